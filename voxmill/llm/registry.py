@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import mixing
+from voxmill.llm import mixing, secrets
 
-_MODULES = (mixing,)
+_MODULES = (mixing, secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
