@@ -173,10 +173,10 @@ SQL = {
     "op9_secret_ledger": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(_sql(r, k) for k, r in enumerate(RULES))}),
-u AS (SELECT doc_id, k, kind, least, ms, gs, gaps, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
+u AS (SELECT doc_id, k, kind, least, unnest(ms) AS m, unnest(gs) AS g, unnest(gaps[1:len(ms)]) AS gap, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
 p AS (
-  SELECT doc_id, k, kind, length(gs[i]) >= least AS counts, length(ms[i]) AS n,
-         (sum(length(gaps[i]) + length(ms[i])) OVER (PARTITION BY doc_id, k ORDER BY i))::BIGINT AS stop
+  SELECT doc_id, k, kind, length(g) >= least AS counts, length(m) AS n,
+         (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i))::BIGINT AS stop
   FROM u),
 f AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS c,
