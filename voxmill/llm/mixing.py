@@ -91,7 +91,7 @@ def cuts(docs: DataFrame, weights: Sequence[float], share: float, cap: float, id
     return common.cut(plan.join(ends, "skey", "left").select("skey", "source_size", "target", "epochs", "cut_key", "cut_id", "cut_words", "cut_taken"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20, per_bucket: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20, per_bucket: int = 10_000) -> DataFrame:
     """``docs`` with ``size, source_size, target, taken``: how many words of each document the mix takes.
 
     Documents of a source stand in the order of a hash of their id; the mix takes the source's words in that order, again

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import mixing, secrets
+from voxmill.llm import mixing, secrets, urlfilter
 
-_MODULES = (mixing, secrets)
+_MODULES = (mixing, secrets, urlfilter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
