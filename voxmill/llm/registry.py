@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import fingerprint, mixing, secrets, urlfilter
+from voxmill.llm import fingerprint, mixing, quality, secrets, urlfilter
 
-_MODULES = (fingerprint, mixing, secrets, urlfilter)
+_MODULES = (fingerprint, mixing, quality, secrets, urlfilter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
