@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import fingerprint, mixing, packing, quality, secrets, urlfilter
+from voxmill.llm import fingerprint, html_text, mixing, packing, quality, secrets, urlfilter
 
-_MODULES = (fingerprint, mixing, packing, quality, secrets, urlfilter)
+_MODULES = (fingerprint, html_text, mixing, packing, quality, secrets, urlfilter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
