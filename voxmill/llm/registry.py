@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import fingerprint, html_text, knn, mixing, near_join, packing, quality, secrets, urlfilter
+from voxmill.llm import fingerprint, html_text, knn, mixing, near_join, packing, quality, secrets, suffix_tree, urlfilter
 
-_MODULES = (fingerprint, html_text, knn, mixing, near_join, packing, quality, secrets, urlfilter)
+_MODULES = (fingerprint, html_text, knn, mixing, near_join, packing, quality, secrets, suffix_tree, urlfilter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
