@@ -131,7 +131,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, id_col: str = "vec
         return (i * 1_000_000 + chunk) * 1_000_000 + salt
 
     def send_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _parts(batches):
             i = b["g"].map(at).to_numpy(np.int64)
             times = salts[i]
             row = np.repeat(np.arange(len(b)), times)
@@ -139,7 +139,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, id_col: str = "vec
             yield b.iloc[row][["id", "v"]].assign(unit=units(i[row], _mix(b["id"].to_numpy()[row]) % chunks[i[row]], salt))
 
     def send_data(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _parts(batches):
             g, d = b["g"].to_numpy(), b["d"].to_numpy()[None]
             i, row = np.nonzero((low[:, g] <= d) & (d <= high[:, g]))
             times = chunks[i]
@@ -168,6 +168,13 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, id_col: str = "vec
     return solved.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _parts(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """The batches in small parts: each row may be sent to as many places as there are units."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.iloc[at : at + rows]
+
+
 def _mix(ids: np.ndarray) -> np.ndarray:
     """Ids scattered over the integers from 0."""
     with np.errstate(over="ignore"):
