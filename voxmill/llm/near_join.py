@@ -86,27 +86,68 @@ def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
     return s[np.lexsort((s, rank))[: len(s) - (percent * len(s) + 99) // 100 + 1]]
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each of about ``len(s)`` hash values: whether an odd number of shingles falls to it.
+
+    Two sets differ in at least as many shingles as their parities differ in bits, which bounds their overlap from above. The
+    number of bits is a power of two, at least 64; a half of them is the parity of the other half's size, by exclusive or.
+    """
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    counts = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _class(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """``(doc_id, n, class, prefix)``: the set's size, its hash (equal sets are one class) and its prefix."""
+    """``(doc_id, n, class, prefix, parity)``: the set's size, its hash (equal sets are one class), its prefix and its parity bits."""
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text_col, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, classes, prefixes = [], [], []
+            n, classes, prefixes, parities = [], [], [], []
             for text in _texts(batch, 1):
                 s = shingles(text, width)
                 n.append(len(s))
                 classes.append(_class(s))
                 prefixes.append(prefix(s, sketch.value, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                parities.append(parity(s) if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "prefix"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.binary())],
+                names=["doc_id", "n", "class", "prefix", "parity"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n long, class long, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n long, class long, prefix array<long>, parity binary")
+
+
+def screen_unit(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of a unit that may link with a member of its group, and those members: judged by sizes and parity bits.
+
+    Sets of sizes a and b that link differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` shingles.
+    """
+    rows = rows.sort_values(["own", "class"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    sizes, members, first = rows["n"].to_numpy(), int(rows["own"].sum()), int(rows["chunk"].iloc[0]) == 0
+    words = [np.frombuffer(b, np.uint64) for b in rows["parity"]]
+    width = np.array([len(w) for w in words])
+    fold = lambda m: m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+    by_width = {int(w): np.flatnonzero(width[:members] == w) for w in np.unique(width[:members])}
+    bits = {w: np.stack([words[m] for m in at]) for w, at in by_width.items()}
+    halves = {w: fold(m) for w, m in bits.items() if w > 1}
+    needed = np.zeros(len(rows), bool)
+    for k in range(0 if first else members, len(rows)):
+        own, w = words[k][None], int(width[k])
+        # sizes of sets that link are within a factor of two, and so are their numbers of bits
+        for at, theirs, mine in ((by_width.get(w), bits.get(w), own), (by_width.get(2 * w), halves.get(2 * w), own), (by_width.get(w // 2) if w > 1 else None, bits.get(w // 2), fold(own) if w > 1 else own)):
+            if at is None:
+                continue
+            apart = np.bitwise_count(theirs ^ mine).sum(1).astype(np.int64)
+            near = ((100 + percent) * apart <= (100 - percent) * (sizes[at] + sizes[k])) & (100 * np.minimum(sizes[at], sizes[k]) >= percent * np.maximum(sizes[at], sizes[k])) & (at != k)
+            if near.any():
+                needed[k] = True
+                needed[at[near]] = True
+    return rows.loc[needed, ["class", "group", "chunk", "own"]]
 
 
 def solve_unit(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -115,7 +156,7 @@ def solve_unit(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     The union of the members' shingles bounds what a visitor can share with any of them; only visitors that may reach the
     threshold are compared. Returns each set's links, counted in documents, and the smallest set it is connected to here.
     """
-    rows = rows.sort_values(["own", "class"], ascending=[False, True], kind="stable")
+    rows = rows.drop_duplicates("class").sort_values(["own", "class"], ascending=[False, True], kind="stable")
     sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
     sizes, copies, classes = np.array([len(s) for s in sets]), rows["copies"].to_numpy(), rows["class"].to_numpy()
     members, first = int(rows["own"].sum()), int(rows["chunk"].iloc[0]) == 0
@@ -179,7 +220,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     Documents are sets of runs of ``width`` words of the text with A-Z lower-cased; two link if ``100 * intersection >= percent * union``.
     Equal sets form a class and are joined once. Classes that share a rare shingle with another are put into groups of about ``group_sets``
     by the shingle that most of them share; the token-group matrix has the shingles by which each group can be reached. A set
-    visits the groups where it finds one of its own, each visit is bounded by the group's token union, and only then are sets
+    visits the groups where it finds one of its own; parity bits and the group's token union bound each visit, and only then are sets
     compared. ``n_links`` counts linked documents; ``component_id`` is the smallest id reachable by links, itself included.
 
     Null, empty and white-space texts have an empty set and no links; fewer than ``width`` words are one run. Rows with a null id
@@ -188,7 +229,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     """
     spark = docs.sparkSession
     rows = common.cut(signatures(docs, id_col, text_col, width, percent))
-    classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     classes = common.cut(classes)
     tokens = classes.select("class", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -206,8 +247,11 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     open_groups = full.join(asked, "group", "left").filter("members > 1 OR chunks IS NOT NULL").select("group", F.coalesce("chunks", F.lit(1).cast("long")).alias("chunks"))
     own = groups.join(open_groups, "group").select("class", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("own"))
     guests = visits.join(open_groups, "group").select("class", "group", F.pmod(F.xxhash64("class"), "chunks").alias("chunk"), F.lit(False).alias("own"))
-    stops = own.unionByName(guests).groupBy("class").agg(F.collect_list(F.struct("group", "chunk", "own")).alias("stops"))
-    stops = stops.join(classes.select("class", F.col("rep").alias("_rep"), "copies"), "class").filter("_rep IS NOT NULL")
+    # first without the sets themselves: their parity bits tell nearly all strangers apart
+    screened = own.unionByName(guests).join(classes.filter("rep IS NOT NULL").select("class", "n", "parity"), "class")
+    screened = screened.groupBy("group", "chunk").applyInPandas(lambda rows: screen_unit(rows, percent), "class long, group long, chunk long, own boolean")
+    stops = screened.groupBy("class").agg(F.collect_list(F.struct("group", "chunk", "own")).alias("stops"))
+    stops = common.cut(stops.join(classes.select("class", F.col("rep").alias("_rep"), "copies"), "class"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,8 +264,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["group", "chunk", "own", "class", "copies", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("_text")).join(stops, "_rep").select("_text", "class", "copies", "stops")
-    sent = texts.mapInArrow(send, "group long, chunk long, own boolean, class long, copies long, shingles binary").dropDuplicates(["group", "chunk", "class"])
+    texts = docs.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("_text"))
+    texts = common.lookup(texts, stops, ["_rep"], "inner").select("_text", "class", "copies", "stops")
+    sent = texts.mapInArrow(send, "group long, chunk long, own boolean, class long, copies long, shingles binary")
     unit = sent.groupBy("group", "chunk").applyInPandas(lambda rows: solve_unit(rows, percent), "class long, other long, links long")
     found = common.cut(unit)
     joined = components(found.select(F.col("class").alias("a"), F.col("other").alias("b")))
