@@ -54,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its own columns of these names out of the way, as ``_own_<name>``; see :func:`back`."""
+    return df.withColumnsRenamed({c: f"_own_{c}" for c in names if c in df.columns})
+
+
+def back(name: str, *names: str) -> Column:
+    """The column ``name`` of a table that :func:`aside` was applied to."""
+    return F.col(f"_own_{name}").alias(name) if name in names else F.col(name)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for a Parquet table of this application."""
     return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

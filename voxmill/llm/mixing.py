@@ -116,9 +116,11 @@ def copies(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself, with the columns of ``docs``: a row for each time that a document is taken.
 
     A document taken in part appears as its first words joined by single spaces. Documents of size 0 are not taken.
+    Columns that are named like those of :func:`mix` stay as they are.
     """
     text = options.get("text_col", "text")
-    mixed = mix(docs, **options)
+    own = ("size", "source_size", "target", "taken")
+    mixed = mix(common.aside(docs, *own), **options)
     full = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     part = F.col("taken") - full * F.col("size")
     words = F.filter(F.split(F.col(text), common.SPACE), lambda w: w != "")
@@ -127,7 +129,7 @@ def copies(docs: DataFrame, **options) -> DataFrame:
     out = out.withColumn("_taken", taken)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("_taken").cast("long"))
-    return out.select(*[F.col("_taken").alias(text) if c == text else F.col(c) for c in docs.columns])
+    return out.select(*[F.col("_taken").alias(text) if c == text else common.back(c, *own) for c in docs.columns])
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

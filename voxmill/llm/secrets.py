@@ -121,11 +121,12 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
 def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; spans that overlap are merged first. Other rows stay as they are.
 
-    Null texts stay null; ``n_chars`` is counted anew where a text changed.
+    Null texts stay null; ``n_chars`` is counted anew where a text changed. All other columns stay, whatever their names.
     """
+    own = ("blob", "found")
     new = update(docs, ledger, rules, text_col)
     known = new if ledger is None else ledger.unionByName(new)
-    out = findings(docs, known, rules, text_col)
+    out = findings(common.aside(docs, *own), known, rules, text_col)
     text = F.col(text_col)
     state = "struct<at:bigint,parts:array<string>>"
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")).cast(state)
@@ -142,7 +143,7 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     hit = F.size("found") > 0
     out = out.withColumn("_clean", F.when(hit, F.aggregate("found", begin, step, rest)).otherwise(text))
     new = {text_col: F.col("_clean"), "n_chars": F.when(hit, F.length("_clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if new.get(c) is not None else common.back(c, *own) for c in docs.columns])
 
 
 def digest(found: Column) -> Column:

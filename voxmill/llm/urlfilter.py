@@ -90,10 +90,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     # each (host, path) is asked about once, however often it occurs
     hits = common.lookup(asked.distinct(), rules, ["key"], "inner")
     best = hits.groupBy("host", "path").agg(
-        F.min(F.struct((-F.length("rule")).alias("n"), F.when(F.col("verdict") == "block", 0).otherwise(1).alias("mild"), "rule", "verdict")).alias("best")
+        F.min(F.struct((-F.length("rule")).alias("n"), F.when(F.col("verdict") == "block", 0).otherwise(1).alias("mild"), "rule", "verdict")).alias("_best")
     )
     out = urls.join(best, ["host", "path"], "left")
-    return out.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return out.select(*kept, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
