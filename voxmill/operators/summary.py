@@ -47,7 +47,7 @@ def cross_table(scores: DataFrame, rows: str, columns: str, fold: str, value: st
 def benchmark_table(runs: DataFrame, by: Sequence[str], device: str, value: str, devices: Sequence[str], missing: str = "MISSING") -> DataFrame:
     """Best value of each run by device, two decimals, ``missing`` where there is none."""
     best = lambda d: F.min(F.when(F.col(device) == d, F.col(value)))
-    return runs.groupBy(*by).agg(*[F.coalesce(F.format_string("%.2f", F.round(best(d), 2)), F.lit(missing)).alias(d) for d in devices])
+    return runs.groupBy(*by).agg(*[F.when(F.count(F.when(F.col(device) == d, F.col(value))) > 0, F.format_string("%.2f", F.round(best(d), 2))).otherwise(F.lit(missing)).alias(d) for d in devices])
 
 
 def fingerprint(voxels: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:

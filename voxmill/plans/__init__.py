@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.plans import scoring
+from voxmill.plans import cases, scoring
 
-_MODULES = (scoring,)
+_MODULES = (cases, scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
