@@ -18,7 +18,7 @@ SKETCH_BITS, GROUP_SETS, VISITORS = 20, 128, 2_000
 #: Rows into which a task's sketch is cut, so that several tasks add them up.
 _SLICES = 64
 #: Word hashes that a Python worker keeps.
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 100_000
 
 
 class _WordHashes(dict):
