@@ -94,7 +94,7 @@ def describe_text(spark, d):
 
 
 def fingerprint(spark, d):
-    return rounded(summary.fingerprint(tables.read(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice"), 4)
+    return rounded(summary.fingerprint(tables.read(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice"), 6)
 
 
 def vector_percentile(spark, d):
@@ -220,8 +220,8 @@ WITH l AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS v FROM orders UN
 n AS (SELECT "column", v, count(*) AS n FROM l WHERE v IS NOT NULL GROUP BY 1, 2)
 SELECT "column", sum(n)::BIGINT AS count, max(n) AS freq FROM n GROUP BY 1""",
     "fingerprint": """
-SELECT l_returnflag, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS median, round(stddev_pop(v), 4) AS std, round(min(v), 4) AS min, round(max(v), 4) AS max,
-       round(quantile_cont(v, 0.995), 4) AS percentile_99_5, round(quantile_cont(v, 0.005), 4) AS percentile_00_5
+SELECT l_returnflag, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max,
+       round(quantile_cont(v, 0.995), 6) AS percentile_99_5, round(quantile_cont(v, 0.005), 6) AS percentile_00_5
 FROM (SELECT l_returnflag, l_extendedprice::DOUBLE AS v FROM lineitem) GROUP BY 1""",
     "vector_percentile": """
 SELECT label, (i - 1)::INTEGER AS axis, round(quantile_cont(v, 0.5), 6) AS value
