@@ -15,9 +15,9 @@ from voxmill.llm import common
 
 WINDOW, END = 4096, 2
 #: Pieces that one task packs by itself, and words whose ids a Python worker keeps between batches.
-PIECES_PER_SHARD, CACHED_WORDS = 50_000, 100_000
+PIECES_PER_SHARD, CACHED_WORDS = 50_000, 300_000
 #: Bytes of text that a task looks up at once.
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 
 
 class Encoder:
