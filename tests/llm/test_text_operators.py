@@ -67,6 +67,16 @@ def test_suffix_tree_awkward_rows(spark):
     assert alone.n_known == 0 and np.isfinite(alone.score)
 
 
+def test_suffix_tree_scores_do_not_depend_on_what_is_hot(spark):
+    rows = common.read(spark, SMALL, "documents").limit(150)
+    made = []
+    for p_min in (0, 1e-3, 1):  # all of the tree in every task, some of it, none of it
+        found = suffix_tree.scores(rows, F.col("doc_id") % 5 != 1, p_min=p_min).collect()
+        made.append({r.doc_id: r.score for r in found})
+    assert made[1] == pytest.approx(made[0], rel=1e-9)
+    assert made[2] == pytest.approx(made[0], rel=1e-9)
+
+
 # -- quality
 
 

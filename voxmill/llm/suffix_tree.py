@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +15,14 @@ from pyspark.sql import types as T
 
 from voxmill.llm import common
 
-#: Longest context. Share of all training tokens that a symbol or transition must have to be stored, and its least count.
-DEPTH, P_MIN, C_MIN = 2, 1e-6, 3
+#: Longest context, and the count that a token or run of tokens must have to be stored. Share of all training tokens from which on it is hot: held by every task.
+DEPTH, C_MIN, P_MIN = 2, 3, 1e-6
 #: Taken from the count of each stored transition for those that aren't; nats by which a context must improve its training text.
 DISCOUNT, DIVERGENCE = 0.75, 8.0
-#: Bytes of text handled at once, and codes that a task sums before it sends them on.
+#: Bytes of text handled at once, and runs that a task sums before it sends them on.
 BLOCK, SUMMED = 4 << 20, 4_000_000
+#: Most bits of a filter of stored runs, as a power of two, and the slices into which a task's bits are cut.
+FILTER_BITS, _SLICES = 26, 64
 _KEPT_WORDS = 100_000
 
 
@@ -70,18 +73,23 @@ def _summed(codes: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-@dataclass
-class Level:
-    """Stored transitions out of contexts of one length, sorted by ``code = context * symbols + symbol``.
+def _key(*run: np.ndarray) -> np.ndarray:
+    """Hash of the runs whose first, second, ... tokens are given."""
+    out = np.full(len(run[0]), len(run), np.uint64)
+    with np.errstate(over="ignore"):
+        for tokens in run:
+            out = (out ^ tokens) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
 
-    A context is the number of the transition, one level up, that it ends with; at the first level it is a symbol.
-    """
 
-    code: np.ndarray
-    count: np.ndarray
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    logp: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
+def _run(h: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The runs of ``length`` tokens in a stream, and which of them don't reach back over the end of a text."""
+    run = [h[k : len(h) - length + 1 + k] for k in range(length)] if len(h) >= length else [h[:0]] * length
+    inside = np.ones(len(run[0]), bool)
+    for tokens in run[1:-1]:
+        inside &= tokens != END
+    return run, inside
 
 
 def _find(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -97,9 +105,68 @@ def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(at >= 0, values[at], 0) if len(values) else np.zeros(len(at))
 
 
+@dataclass
+class Filter:
+    """Two bits for each of a set of keys: what isn't in it for certain. Its size has a bound; beyond that it lets more through."""
+
+    bits: np.ndarray
+    power: int
+
+    @staticmethod
+    def places(keys: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.uint64(64 - power)
+        with np.errstate(over="ignore"):
+            return (keys * np.uint64(0xD6E8FEB86659FD93)) >> shift, ((keys ^ (keys >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)) >> shift
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        one, two = self.places(keys, self.power)
+        bit = lambda at: self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+        return (bit(one) & bit(two)) > 0
+
+
+def _filter(keyed: DataFrame) -> Filter:
+    """The filter of the column ``key`` of a checkpointed table."""
+    power = min(FILTER_BITS, max(16, (12 * keyed.count()).bit_length()))
+    part = (1 << power) // 8 // _SLICES
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, some = np.zeros(1 << power, bool), False
+        for batch in batches:
+            some = some or batch.num_rows > 0
+            for at in Filter.places(batch.column(0).to_numpy().view(np.uint64), power):
+                bits[at.astype(np.int64)] = True
+        if some:
+            made = np.packbits(bits, bitorder="little")
+            rows = [made[k * part : (k + 1) * part].tobytes() for k in range(_SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(rows, pa.binary())], names=["slice", "bits"])
+
+    def unite(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
+
+    kind = "slice int, bits binary"
+    tasks = keyed.select("key").mapInArrow(mark, kind).withColumn("_some", F.pmod(F.spark_partition_id(), F.lit(64)))
+    some = tasks.groupBy("slice", "_some").applyInPandas(lambda rows: unite(rows), kind)
+    found = some.groupBy("slice").applyInPandas(unite, kind).toPandas().sort_values("slice")
+    return Filter(np.frombuffer(b"".join(found["bits"]) or bytes((1 << power) // 8), np.uint8), power)
+
+
+@dataclass
+class Level:
+    """Hot runs of one length, sorted by ``key``: whether each stays as a context, and its weights.
+
+    ``own`` is what it adds to the score of its last token, ``after`` what it adds, as a context, to that of the next token.
+    """
+
+    key: np.ndarray
+    own: np.ndarray
+    after: np.ndarray
+    kept: np.ndarray
+
+
 @dataclass
 class Tree:
-    """The tree and the counts of its symbols. At most ``1 / P_MIN`` symbols and as many transitions a level, however large the corpus."""
+    """The hot part of the tree, and the counts of hot symbols. At most ``1 / P_MIN`` symbols and as many runs of each length, however large
+    the corpus; the rest is in tables."""
 
     symbols: np.ndarray
     count: np.ndarray
@@ -111,79 +178,37 @@ class Tree:
         """log10 probability, at the root, of a token counted ``c`` times."""
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def walk(self, hashes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """At every token but the first, for each level: its context (or -1), and its code.
+    def look(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length: the keys of the stream's runs, where they are among the hot ones (or -1), and which are inside a text."""
+        for n, level in enumerate(self.levels):
+            run, inside = _run(hashes, n + 1)
+            key = _key(*run)
+            yield key, np.where(inside, _find(level.key, key), -1), inside
 
-        A context doesn't reach back over the end of a text.
-        """
-        symbol, k = _find(self.symbols, hashes), len(self.symbols)
-        end, now = _find(self.symbols, np.array([END]))[0], symbol[1:]
-        context = symbol[:-1]
-        for level in range(depth):
-            code = np.where((context >= 0) & (now >= 0), context * k + now, -1)
-            yield context, code
-            if level + 1 < depth:
-                found = np.where(now == end, -1, _find(self.levels[level].code, code))
-                context = np.concatenate([[-1], found[:-1]])
-
-    def score(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every token but the first: the symbol (or -1), its root log10 probability (0 if no symbol), and what the tree makes of it.
-
-        A token that is no symbol adds the backoff of its contexts only: its root probability is added where its count is known.
+    def score(self, hashes: np.ndarray, looked: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every token but the first: the symbol (or -1), its root log10 probability (0 if no symbol), and what the hot runs make of it.
+
+        A token that is no symbol adds the weights of its runs only: its root probability is added where its count is known.
         """
         symbol = _find(self.symbols, hashes)[1:]
         base = _take(self.root(self.count), symbol)
-        value = base
-        for level, (context, code) in zip(self.levels, self.walk(hashes, len(self.levels)), strict=True):
-            at = _find(level.code, code)
-            inside = _take(level.kept, context) > 0
-            value = np.where(inside, np.where(at >= 0, _take(level.logp, at), _take(level.backoff, context) + value), value)
-        return symbol, base, value
-
-
-def finish(tree: Tree) -> Tree:
-    """Probabilities of all levels, and which contexts stay.
-
-    A stored transition has ``(count - DISCOUNT) / count of the context``; the rest of the mass goes to all other tokens in
-    proportion to what the context without its first symbol gives them, so every state's probabilities add up to one. A context stays if its
-    distribution improves the log likelihood of what followed it by ``DIVERGENCE`` nats over that shorter context, or if a
-    longer one that ends with it stays.
-    """
-    k = len(tree.symbols)
-    below_p = 10 ** tree.root(tree.count)  # of each symbol, at the root
-    context_count = tree.count
-    shorter_of = None  # of each context of this level, the context of the level before
-    shorter_backoff = shorter_code = None
-    parents = []
-    for n, level in enumerate(tree.levels):
-        context, symbol = level.code // k, level.code % k
-        if n == 0:
-            parent_p = below_p[symbol]
-        else:
-            last = tree.levels[n - 1]
-            at = _find(last.code, shorter_of[context] * k + symbol)
-            parent_p = 10 ** last.logp[at]  # a frequent run's end is frequent, so it is stored
-        size = len(context_count)
-        own = (level.count - DISCOUNT) / context_count[context]
-        mass = np.bincount(context, own, size)
-        given = np.bincount(context, parent_p, size)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rest = np.maximum(1 - mass, 1e-12) / np.maximum(1 - given, 1e-12)
-        level.logp, level.backoff = np.log10(own), np.log10(rest)
-        gain = np.bincount(context, level.count * np.log(own / parent_p), size)
-        others = context_count - np.bincount(context, level.count, size)
-        level.kept = gain + others * np.log(rest) >= DIVERGENCE
-        parents.append(shorter_of)
-        # contexts of the next level are this level's transitions; without its first symbol, such a run is a transition one level up
-        if n == 0:
-            shorter_of = symbol
-        else:
-            shorter_of = at
-        context_count = level.count
-    for n in range(len(tree.levels) - 1, 0, -1):
-        kept = np.unique(parents[n][tree.levels[n].kept])
-        tree.levels[n - 1].kept[kept] = True
-    return tree
+        made = base.copy()
+        for n, (level, (_, at, _)) in enumerate(zip(self.levels, looked or self.look(hashes), strict=True)):
+            made[max(n - 1, 0) :] += _take(level.own, at)[n == 0 :]
+            made[n:] += _take(level.after, at)[:-1]
+        return symbol, base, made
+
+    def asked(self, looked: list, stored: Filter) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of runs that may be stored but aren't hot, and at which token (but the first) of the stream each counts."""
+        keys, places = [], []
+        for n, (key, at, inside) in enumerate(looked):
+            if n == 0:  # a single token is looked up as the context of the token after it
+                key, at, inside = key[:-1], at[:-1], inside[:-1]
+            cold = np.flatnonzero(inside & (at < 0))
+            cold = cold[stored.has(key[cold])]
+            keys.append(key[cold])
+            places.append(cold + max(n - 1, 0))
+        return np.concatenate(keys), np.concatenate(places)
 
 
 def _token_counts(train: DataFrame, text_col: str) -> DataFrame:
@@ -193,60 +218,157 @@ def _token_counts(train: DataFrame, text_col: str) -> DataFrame:
     return train.select(text_col).mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def learn(train: DataFrame, counts: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
-    """The tree of the training texts; ``counts(token, c)`` holds all their tokens. One pass over the texts for each level."""
-    facts = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    least = max(C_MIN, int(np.ceil(p_min * (facts.n or 0))))
-    frequent = counts.filter(F.col("c") >= least).toPandas()
-    hashes = frequent["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    tree = Tree(hashes[order], frequent["c"].to_numpy(np.int64)[order], int(facts.n or 0), int(facts.v), [])
-    context = train.sparkSession.sparkContext
-    for level in range(depth):
-        shared = context.broadcast(tree)
+def _names(length: int, first: int = 0) -> list[str]:
+    return [f"w{k}" for k in range(first, first + length)]
+
 
-        def run(batches: Iterator[pa.RecordBatch], level: int = level, shared=shared) -> Iterator[pa.RecordBatch]:
-            def codes() -> Iterator[np.ndarray]:
-                for _, _, h, _ in _streams(batches, 0):
-                    *_, (_, code) = shared.value.walk(h, level + 1)
-                    yield code[code >= 0]
+def _keyed(runs: DataFrame, length: int) -> DataFrame:
+    """``runs`` with the hash of ``w0, w1, ...`` as ``key``, and without those."""
+    others = [f for f in runs.schema.fields if f.name not in _names(length)]
 
-            return _summed(codes(), "code")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _key(*(batch.column(k).to_numpy().view(np.uint64) for k in range(length)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns[length:]], names=["key", *(f.name for f in others)])
+
+    return runs.select(*_names(length), *(f.name for f in others)).mapInArrow(add, T.StructType([T.StructField("key", T.LongType()), *others]))
+
+
+def _run_counts(train: DataFrame, shorter: DataFrame, text_col: str, length: int) -> DataFrame:
+    """``(w0, w1, ..., c)`` of the runs of ``length`` tokens counted ``C_MIN`` times or more; ``shorter`` has those of one token less.
+
+    A frequent run has frequent parts: a filter of the shorter runs keeps most others from being sent.
+    """
+    names = _names(length)
+    shared = train.sparkSession.sparkContext.broadcast(_filter(common.cut(_keyed(shorter.select(*_names(length - 1)), length - 1))))
+
+    def sums(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held, axis=1)
+        _, at, counts = np.unique(_key(*rows), return_index=True, return_counts=True)
+        rows = rows[:, at]
+        order = np.lexsort(rows[::-1])  # neighbours are alike, and so take less room
+        return pa.RecordBatch.from_arrays([*(pa.array(r[order].view(np.int64)) for r in rows), pa.array(counts[order], pa.int64())], names=[*names, "c"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, _, h, _ in _streams(batches, 0):
+            run, inside = _run(h, length)
+            part = shared.value.has(_key(*_run(h, length - 1)[0]))
+            inside &= part[: len(inside)] & part[len(part) - len(inside) :]
+            held.append(np.stack([r[inside] for r in run]))
+            size += int(inside.sum())
+            if size >= SUMMED:
+                yield sums(held)
+                held, size = [], 0
+        if size:
+            yield sums(held)
+
+    kind = ", ".join(f"{n} long" for n in [*names, "c"])
+    return common.cut(train.select(text_col).mapInArrow(count, kind).groupBy(*names).agg(F.sum("c").alias("c")).filter(F.col("c") >= C_MIN))
+
+
+def grow(train: DataFrame, counts: DataFrame, text_col: str = "text", depth: int = DEPTH) -> list[DataFrame]:
+    """``(key, c, own, after, kept)`` of the stored runs of 1 to ``depth + 1`` tokens that change a score; ``counts(token, c)`` holds all training tokens.
 
-        found = train.select(text_col).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).toPandas().sort_values("code")
-        tree.levels.append(Level(found["code"].to_numpy(np.int64), found["c"].to_numpy(np.int64)))
-        shared.unpersist()
-    return finish(tree)
+    A stored transition has ``(count - DISCOUNT) / count of the context``; the rest of the mass goes to all other tokens in
+    proportion to what the context without its first symbol gives them, so every state's probabilities add up to one. A context stays if its
+    distribution improves the log likelihood of what followed it by ``DIVERGENCE`` nats over that shorter context, or if a
+    longer one that ends with it stays. The log10 of it all is a sum of weights of the runs that end with a token or before it (see :class:`Level`).
+    """
+    facts = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    root = F.log10((F.col("c") + 0.5) / F.lit((facts.n or 0) + 0.5 * (facts.v + 1)))
+    below = common.cut(counts.filter(F.col("c") >= C_MIN).select(F.col("token").alias("w0"), "c", root.alias("logp")))
+    runs, contexts = [], []
+    for n in range(1, depth + 1):
+        found = _run_counts(train, below, text_col, n + 1)
+        # what the shorter context gives the last token: a frequent run's end is frequent, so it is stored
+        ends = below.select(*(F.col(w).alias(f"w{k + 1}") for k, w in enumerate(_names(n))), F.col("logp").alias("given"))
+        found = common.cut(found.join(ends, _names(n, 1)))
+        own = F.col("c") - DISCOUNT
+        sums = found.groupBy(*_names(n)).agg(
+            F.sum(own).alias("mass"), F.sum(F.pow(F.lit(10.0), "given")).alias("given"), F.sum("c").alias("n"), F.sum(F.col("c") * (F.ln(own) - F.col("given") * float(np.log(10)))).alias("gain"),
+        )
+        rest = F.greatest(1 - F.col("mass") / F.col("c"), F.lit(1e-12)) / F.greatest(1 - F.col("given"), F.lit(1e-12))
+        gain = F.col("gain") - F.col("n") * F.ln("c") + (F.col("c") - F.col("n")) * F.ln(rest)
+        state = below.select(*_names(n), "c").join(sums, _names(n)).select(*_names(n), F.col("c").alias("size"), F.log10(rest).alias("after"), (gain >= DIVERGENCE).alias("kept"))
+        contexts.append(common.cut(state))
+        below = common.cut(found.join(contexts[-1].select(*_names(n), "size"), _names(n)).select(*_names(n + 1), "c", "given", F.log10(own / F.col("size")).alias("logp")))
+        runs.append(below)
+    for n in range(depth - 1, 0, -1):
+        ends = contexts[n].filter("kept").select(*(F.col(w).alias(f"w{k}") for k, w in enumerate(_names(n, 1)))).distinct().withColumn("_end", F.lit(True))
+        contexts[n - 1] = common.cut(contexts[n - 1].join(ends, _names(n), "left").withColumn("kept", F.col("kept") | F.col("_end").isNotNull()).drop("_end"))
+    made = []
+    for n in range(depth + 1):
+        parts = []
+        if n < depth:
+            parts.append(contexts[n].filter("kept").select(*_names(n + 1), F.col("size").alias("c"), F.lit(0.0).alias("own"), "after", "kept"))
+        if n:
+            kept = contexts[n - 1].filter("kept").select(*_names(n), "after")
+            parts.append(runs[n - 1].join(kept, _names(n)).select(*_names(n + 1), "c", (F.col("logp") - F.col("given") - F.col("after")).alias("own"), F.lit(0.0).alias("after"), F.lit(False).alias("kept")))
+        table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy(*_names(n + 1)).agg(F.max("c").alias("c"), F.sum("own").alias("own"), F.sum("after").alias("after"), F.max("kept").alias("kept"))
+        made.append(common.cut(_keyed(table, n + 1)))
+    return made
+
+
+def hot(counts: DataFrame, levels: list[DataFrame], p_min: float = P_MIN) -> Tree:
+    """What of :func:`grow` every task holds: tokens and runs with a share of at least ``p_min`` of all training tokens."""
+    facts = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    often = F.col("c") >= max(C_MIN, int(np.ceil(p_min * (facts.n or 0))))
+    unsigned = lambda values: values.to_numpy(np.int64).view(np.uint64)
+    frequent = counts.filter(often).toPandas()
+    order = np.argsort(unsigned(frequent["token"]))
+    tree = Tree(unsigned(frequent["token"])[order], frequent["c"].to_numpy(np.int64)[order], int(facts.n or 0), int(facts.v), [])
+    for table in levels:
+        found = table.filter(often).drop("c").toPandas()
+        order = np.argsort(unsigned(found["key"]))
+        tree.levels.append(Level(unsigned(found["key"])[order], found["own"].to_numpy(float)[order], found["after"].to_numpy(float)[order], found["kept"].to_numpy(bool)[order]))
+    return tree
+
+
+def learn(train: DataFrame, counts: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
+    """The hot part of the tree of the training texts; with a ``p_min`` of 0 the whole tree."""
+    return hot(counts, grow(train, counts, text_col, depth), p_min)
 
 
 def scores(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, p_min: float = P_MIN) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of all ``docs``, learnt from those where ``train_when`` holds.
 
     Tokens are the words of the text with A-Z lower-cased, and one end. ``base_score`` is the log10 probability under smoothed counts of single
-    tokens, ``score`` that of the tree. Symbols and transitions of a share of at least ``p_min`` of the training tokens (at most ``1 / p_min``
-    of each kind) make up the tree, which every task holds; all other tokens are looked up by a join with the counts of all tokens.
+    tokens, ``score`` that of the tree, whose contexts have ``depth`` tokens at most. All runs counted ``C_MIN`` times make up the tree, however
+    large the corpus. Every task holds those of a share of at least ``p_min`` of the training tokens; all others are looked up by joins,
+    so ``p_min`` changes no score.
 
     Null text counts as empty: its only token is the end. Rows of equal id are scored each by itself. Rows whose
-    condition is null are held out. Without training rows the model is uniform over the one unknown token. Tokens are told apart by 64-bit hashes.
+    condition is null are held out. Without training rows the model is uniform over the one unknown token. Tokens and runs are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(train_when, F.lit(False)).alias("_train"))
     train = docs.filter("_train")
     counts = common.cut(_token_counts(train, "_text"))
-    tree = learn(train, counts, "_text", depth, p_min)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    schema = T.StructType([docs.schema["_id"], docs.schema["_train"]]).add("n", "long").add("known", "long").add("base", "double").add("made", "double").add("rare", T.ArrayType(T.LongType()))
+    levels = grow(train, counts, "_text", depth)
+    tree = hot(counts, levels, p_min)
+    weights = levels[0].select("key", "own", "after")
+    for level in levels[1:]:
+        weights = weights.unionByName(level.select("key", "own", "after"))
+    shared = docs.sparkSession.sparkContext.broadcast((tree, _filter(weights)))
+    schema = T.StructType([docs.schema["_id"], docs.schema["_train"]]).add("n", "long").add("known", "long").add("base", "double").add("made", "double").add("rare", T.ArrayType(T.LongType())).add("runs", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, h, lengths in _streams(batches, 1):
-            symbol, base, made = shared.value.score(h)
+            tree, stored = shared.value
+            looked = list(tree.look(h))
+            symbol, base, made = tree.score(h, looked)
             start = np.cumsum(lengths) - lengths
             rare = symbol < 0
             ends = np.append(0, np.cumsum(np.add.reduceat(rare, start)))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[1:][rare].view(np.int64)))
+            keys, places = tree.asked(looked, stored)
+            order = np.argsort(places, kind="stable")
+            ends = np.append(np.searchsorted(places[order], start), len(places))
+            runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order].view(np.int64)))
             part = batch.slice(first, len(lengths))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((~rare).astype(np.int64), start)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(made, start)), lists],
-                names=["_id", "_train", "n", "known", "base", "made", "rare"],
+                [part.column(0), part.column(2), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((~rare).astype(np.int64), start)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(made, start)), lists, runs],
+                names=["_id", "_train", "n", "known", "base", "made", "rare", "runs"],
             )
 
     # the checkpoint fixes the rows' numbers
@@ -255,11 +377,12 @@ def scores(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col
     c = F.coalesce("c", F.lit(0))
     root = F.log10((c + 0.5) / F.lit(tree.tokens + 0.5 * (tree.distinct + 1)))
     rest = asked.join(counts, "token", "left").groupBy("_row").agg(F.sum(root).alias("more"), F.sum((c > 0).cast("long")).alias("seen"))
-    out = rows.drop("rare").join(rest, "_row", "left")
+    parts = rows.select("_row", F.explode("runs").alias("key")).join(weights, "key").groupBy("_row").agg(F.sum(F.col("own") + F.col("after")).alias("runs"))
+    out = rows.drop("rare", "runs").join(rest, "_row", "left").join(parts, "_row", "left")
     more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0).cast("long"))
     return out.select(
         F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + seen).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("made") + more).alias("score"),
+        F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("made") + more + F.coalesce("runs", F.lit(0.0))).alias("score"),
     )
 
 
