@@ -87,6 +87,13 @@ def test_parity_bounds_the_difference():
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_join_links_sets_of_very_different_sizes(spark):
+    # 60 of 150 words: 64 and 256 parity bits
+    rows = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(60))), (2, " ".join(f"w{k}" for k in range(150)))], "doc_id long, text string")
+    got = near_join.jaccard_join(rows, width=1, percent=40).collect()
+    assert {(r.doc_id, r.n_links, r.component_id) for r in got} == {(1, 1, 1), (2, 1, 1)}
+
+
 def test_join_awkward_rows(spark):
     table = docs(spark)
     got = near_join.jaccard_join(table).collect()

@@ -132,17 +132,27 @@ def screen_unit(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     words = [np.frombuffer(b, np.uint64) for b in rows["parity"]]
     width = np.array([len(w) for w in words])
     fold = lambda m: m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+    # sizes of sets that link are within a factor of 100 / percent, and so many halvings at most are between their numbers of bits
+    steps = next(k for k in range(8) if (max(percent, 1) << k) >= 100)
+
+    def folds(m: np.ndarray) -> list[np.ndarray]:
+        """The parities at their own width, half of it, ..."""
+        out = [m]
+        while len(out) <= steps and out[-1].shape[1] > 1:
+            out.append(fold(out[-1]))
+        return out
+
     by_width = {int(w): np.flatnonzero(width[:members] == w) for w in np.unique(width[:members])}
-    bits = {w: np.stack([words[m] for m in at]) for w, at in by_width.items()}
-    halves = {w: fold(m) for w, m in bits.items() if w > 1}
+    bits = {w: folds(np.stack([words[m] for m in at])) for w, at in by_width.items()}
     needed = np.zeros(len(rows), bool)
     for k in range(0 if first else members, len(rows)):
-        own, w = words[k][None], int(width[k])
-        # sizes of sets that link are within a factor of two, and so are their numbers of bits
-        for at, theirs, mine in ((by_width.get(w), bits.get(w), own), (by_width.get(2 * w), halves.get(2 * w), own), (by_width.get(w // 2) if w > 1 else None, bits.get(w // 2), fold(own) if w > 1 else own)):
-            if at is None:
+        own, w = folds(words[k][None]), int(width[k])
+        pairs = [(w << d, d, 0) for d in range(steps + 1)] + [(w >> d, 0, d) for d in range(1, len(own))]
+        for there, theirs, mine in pairs:
+            if there not in by_width:
                 continue
-            apart = np.bitwise_count(theirs ^ mine).sum(1).astype(np.int64)
+            at = by_width[there]
+            apart = np.bitwise_count(bits[there][theirs] ^ own[mine]).sum(1).astype(np.int64)
             near = ((100 + percent) * apart <= (100 - percent) * (sizes[at] + sizes[k])) & (100 * np.minimum(sizes[at], sizes[k]) >= percent * np.maximum(sizes[at], sizes[k])) & (at != k)
             if near.any():
                 needed[k] = True
