@@ -107,6 +107,18 @@ def test_join_awkward_rows(spark):
     assert near_join.jaccard_join(empty(spark)).count() == 0 and near_join.keep_one(empty(spark)).count() == 0
 
 
+def test_keep_one_keeps_one_row(spark):
+    rows = [
+        (1, PROSE, 0), (1, PROSE, 1), (2, PROSE, 2), (None, PROSE, 3), (None, PROSE + " again", 4),  # one component
+        (2, "a text of its own with quite other words", 5), (3, "a text of its own with quite other words", 6),
+        (None, "nobody knows the id of these two rows", 7), (None, "nobody knows the id of these two rows", 8),
+        (None, "one two three four five six seven eight nine ten", 9), (None, "one two three four five six seven eight nine ten eleven", 10),
+        (None, None, 11), (4, "", 12), (4, " ", 13),
+    ]
+    got = sorted(r.k for r in near_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, k int")).collect())
+    assert len(got) == 7 and [sum(k in part for k in got) for part in ((0, 1), (2, 3, 4), (5,), (6,), (7, 8), (9, 10), (11, 12, 13))] == [1, 0, 1, 0, 1, 1, 3]
+
+
 # -- vector search
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxmill.llm import common
 
@@ -224,20 +225,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group_sets: int = GROUP_SETS, visitors: int = VISITORS) -> DataFrame:
-    """``(doc_id, n_shingles, class, n_links, component_id)`` of every document.
+def _class_of(width: int):
+    """The class of a text's set, as a function of Columns."""
+    return F.pandas_udf(lambda texts: pd.Series([_class(shingles(t or b"", width)) for t in texts], dtype="int64"), T.LongType())
 
-    Documents are sets of runs of ``width`` words of the text with A-Z lower-cased; two link if ``100 * intersection >= percent * union``.
-    Equal sets form a class and are joined once. Classes that share a rare shingle with another are put into groups of about ``group_sets``
-    by the shingle that most of them share; the token-group matrix has the shingles by which each group can be reached. A set
-    visits the groups where it finds one of its own; parity bits and the group's token union bound each visit, and only then are sets
-    compared. ``n_links`` counts linked documents; ``component_id`` is the smallest id reachable by links, itself included.
 
-    Null, empty and white-space texts have an empty set and no links; fewer than ``width`` words are one run. Rows with a null id
-    are returned with a null component; their sets may still connect others of equal text. Rows of equal id and text count as copies. Sets are compared by 64-bit hashes of
-    their runs. Input columns but the two named are not read.
-    """
-    spark = docs.sparkSession
+def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, group_sets: int, visitors: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and ``(class, rep, top, n_links, component_id)`` of the classes: ``top`` is a class of the component, ``rep`` the smallest id."""
     rows = common.cut(signatures(docs, id_col, text_col, width, percent))
     classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     classes = common.cut(classes)
@@ -258,7 +252,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     own = groups.join(open_groups, "group").select("class", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("own"))
     guests = visits.join(open_groups, "group").select("class", "group", F.pmod(F.xxhash64("class"), "chunks").alias("chunk"), F.lit(False).alias("own"))
     # first without the sets themselves: their parity bits tell nearly all strangers apart
-    screened = own.unionByName(guests).join(classes.filter("rep IS NOT NULL").select("class", "n", "parity"), "class")
+    screened = own.unionByName(guests).join(classes.select("class", "n", "parity"), "class")
     screened = screened.groupBy("group", "chunk").applyInPandas(lambda rows: screen_unit(rows, percent), "class long, group long, chunk long, own boolean")
     stops = screened.groupBy("class").agg(F.collect_list(F.struct("group", "chunk", "own")).alias("stops"))
     stops = common.cut(stops.join(classes.select("class", F.col("rep").alias("_rep"), "copies"), "class"))
@@ -274,8 +268,13 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["group", "chunk", "own", "class", "copies", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("_text"))
-    texts = common.lookup(texts, stops, ["_rep"], "inner").select("_text", "class", "copies", "stops")
+    texts = docs.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).cast("binary").alias("_text"))
+    named = common.lookup(texts, stops.filter("_rep IS NOT NULL"), ["_rep"], "inner").select("_text", "class", "copies", "stops")
+    nameless = stops.filter("_rep IS NULL").drop("_rep")
+    if nameless.limit(1).count():  # sets of rows without an id only are found by themselves
+        own_class = _class_of(width)
+        named = named.unionByName(texts.filter("_rep IS NULL").withColumn("class", own_class("_text")).join(nameless, "class").select("_text", "class", "copies", "stops"))
+    texts = named
     sent = texts.mapInArrow(send, "group long, chunk long, own boolean, class long, copies long, shingles binary")
     unit = sent.groupBy("group", "chunk").applyInPandas(lambda rows: solve_unit(rows, percent), "class long, other long, links long")
     found = common.cut(unit)
@@ -284,8 +283,25 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     label = classes.select("class", "rep", "copies").join(joined.withColumnRenamed("node", "class"), "class", "left").join(links, "class", "left")
     label = label.withColumn("top", F.coalesce("component", "class"))
     lowest = label.groupBy("top").agg(F.min("rep").alias("component_id"))
-    label = label.join(lowest, "top").select("class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(label, "class", "left")
+    label = label.join(lowest, "top").select("class", "rep", "top", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    return rows, label
+
+
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group_sets: int = GROUP_SETS, visitors: int = VISITORS) -> DataFrame:
+    """``(doc_id, n_shingles, class, n_links, component_id)`` of every document.
+
+    Documents are sets of runs of ``width`` words of the text with A-Z lower-cased; two link if ``100 * intersection >= percent * union``.
+    Equal sets form a class and are joined once. Classes that share a rare shingle with another are put into groups of about ``group_sets``
+    by the shingle that most of them share; the token-group matrix has the shingles by which each group can be reached. A set
+    visits the groups where it finds one of its own; parity bits and the group's token union bound each visit, and only then are sets
+    compared. ``n_links`` counts linked documents; ``component_id`` is the smallest id reachable by links, itself included.
+
+    Null, empty and white-space texts have an empty set and no links; fewer than ``width`` words are one run. Rows with a null id
+    are returned with a null component; they link, count as links and connect others as all rows do. Rows of equal id and text count as copies. Sets are compared by 64-bit hashes of
+    their runs. Input columns but the two named are not read.
+    """
+    rows, label = _labelled(docs, width, percent, id_col, text_col, group_sets, visitors)
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(label.drop("rep", "top"), "class", "left")
     alone = F.col("n_shingles") == 0
     return out.select(
         "doc_id", "n_shingles", "class", F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"),
@@ -293,10 +309,36 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without all but one document of each component, that of the smallest id; texts without words all stay."""
-    kept = jaccard_join(docs, **options).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_kept")), "left_semi")
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group_sets: int = GROUP_SETS, visitors: int = VISITORS) -> DataFrame:
+    """``docs`` without all but one row of each component, one of the smallest id; texts without words all stay.
+
+    That holds for rows of repeated and of null ids too: of a component, one row stays in all, and a null id stays only where no row of the
+    component has an id. Of several rows of that id and set, the one of the smallest hash of its columns (maps, arrays and structs aside) stays.
+    """
+    rows, label = _labelled(docs, width, percent, id_col, text_col, group_sets, visitors)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "class")).alias("first")
+    kept = common.cut(label.groupBy("top").agg(first).select(F.col("first.rep").alias("_kept"), F.col("first.class").alias("_class")))
+    named = rows.filter("doc_id IS NOT NULL")
+    several = common.cut(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("doc_id").alias("_kept")))
+    ids = kept.filter("_kept IS NOT NULL").select("_kept").unionByName(named.filter("n = 0").select(F.col("doc_id").alias("_kept")))
+    row_id = F.col(id_col).cast("long")
+    out = docs.join(ids.join(several, "_kept", "left_anti"), row_id == F.col("_kept"), "left_semi")
+    repeated, nameless = several.limit(1).count(), rows.filter("doc_id IS NULL").limit(1).count()
+    if not repeated and not nameless:
+        return out
+    # rows that their id doesn't tell apart
+    left = docs.filter(row_id.isNull())
+    if repeated:
+        left = left.unionByName(docs.join(several, row_id == F.col("_kept"), "left_semi"))
+    own_class = _class_of(width)
+    left = left.withColumn("_class", own_class(F.col(text_col).cast("binary"))).withColumn("_id", row_id)
+    empty = F.col("_class") == F.lit(_class(np.zeros(0, np.uint64)))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    mine = kept.withColumnsRenamed({"_class": "_kept_class"})
+    words = left.filter(~empty).join(mine, (F.col("_class") == F.col("_kept_class")) & F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    one = words.groupBy("_class").agg(F.min_by(whole, F.xxhash64(*plain)).alias("_row")).select("_row.*")
+    return out.unionByName(left.filter(empty).select(*docs.columns)).unionByName(one)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
