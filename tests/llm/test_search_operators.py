@@ -67,14 +67,44 @@ def _near_copies():
 @pytest.mark.parametrize(("width", "percent", "options"), [(3, 90, {}), (5, 80, {}), (3, 80, {"group_sets": 3, "visitors": 2}), (2, 60, {"group_sets": 5, "visitors": 3})])
 def test_join_finds_every_link(spark, width, percent, options):
     rows = _near_copies()
-    got = near_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width, percent, **options).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == _components(rows, width, percent)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _components(rows, width, percent)
+    got = near_join.jaccard_join(table, width, percent, links=True, **options).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == want
+    got = near_join.jaccard_join(table, width, percent, **options).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: x[:2] for i, x in want.items()}
 
 
 def test_join_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in common.read(spark, SMALL, "documents").collect()]
     got = near_join.op4_jaccard_join(spark, SMALL).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == _components(rows, 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: x[:2] for i, x in _components(rows, 3, 90).items()}
+
+
+def test_join_is_linear_in_a_large_group(spark, monkeypatch):
+    """Near copies of one text, most of which don't link with one another: all their links are found, by few visits."""
+    draw = random.Random(8)
+    base = [f"w{draw.randrange(5000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 1200):
+        copy = list(base)
+        for _ in range(draw.choice((1, 2, 3, 3, 4, 9))):
+            copy[draw.randrange(150)] = f"x{draw.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    made = []
+    before = near_join._visits
+    monkeypatch.setattr(near_join, "_visits", lambda *a: made.append(before(*a)) or made[-1])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_join.jaccard_join(table, 3, 80, group_sets=32).collect()}
+    assert got == {i: x[1] for i, x in _components(rows, 3, 80).items()} and len(set(got.values())) > 10
+    assert made[0].count() < 38 * len(rows) / 4
+
+
+def test_join_counts_links_of_rows_without_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (None, text + " one"), (3, text + " two")]
+    got = near_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect()
+    assert {(r.doc_id, r.n_links, r.component_id) for r in got} == {(1, 2, 1), (None, 2, None), (3, 2, 1)}
 
 
 def test_parity_bounds_the_difference():
@@ -90,13 +120,13 @@ def test_parity_bounds_the_difference():
 def test_join_links_sets_of_very_different_sizes(spark):
     # 60 of 150 words: 64 and 256 parity bits
     rows = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(60))), (2, " ".join(f"w{k}" for k in range(150)))], "doc_id long, text string")
-    got = near_join.jaccard_join(rows, width=1, percent=40).collect()
+    got = near_join.jaccard_join(rows, width=1, percent=40, links=True).collect()
     assert {(r.doc_id, r.n_links, r.component_id) for r in got} == {(1, 1, 1), (2, 1, 1)}
 
 
 def test_join_awkward_rows(spark):
     table = docs(spark)
-    got = near_join.jaccard_join(table).collect()
+    got = near_join.jaccard_join(table, links=True).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in DOCS)
     by_id = {r.doc_id: r for r in got}
     assert [by_id[i].component_id for i in (1, 6, 7, 8, 10)] == [1] * 5

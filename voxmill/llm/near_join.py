@@ -16,8 +16,10 @@ from voxmill.llm import common
 
 #: Counters of the frequency sketch, sets in a group, and visitors that one task compares with a group.
 SKETCH_BITS, GROUP_SETS, VISITORS = 20, 128, 2_000
-#: Rows into which a task's sketch is cut, so that several tasks add them up.
-_SLICES = 64
+#: Rare shingles that a set must share with a group's union before the group is opened to it, and sets that every part of a large group is compared with.
+SHARED, LEADERS = 2, 16
+#: Rows into which a task's sketch is cut, so that several tasks add them up; tasks that make a sketch, at most; rows of units for each task.
+_SLICES, _SKETCHES, _UNIT_ROWS = 64, 4_096, 4_000
 #: Word hashes that a Python worker keeps.
 _KEPT_WORDS = 100_000
 
@@ -75,16 +77,24 @@ def frequency_sketch(docs: DataFrame, text_col: str, width: int, bits: int = SKE
         return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
 
     kind = "slice int, counts binary"
-    tasks = docs.select(text_col).mapInArrow(count, kind).withColumn("_some", F.pmod(F.spark_partition_id(), F.lit(64)))
+    tasks = docs.select(text_col).coalesce(_SKETCHES).mapInArrow(count, kind).withColumn("_some", F.pmod(F.spark_partition_id(), F.lit(64)))
     some = tasks.groupBy("slice", "_some").applyInPandas(lambda rows: add(rows), kind)
     found = some.groupBy("slice").applyInPandas(add, kind).toPandas().sort_values("slice")
     return np.frombuffer(b"".join(found["counts"]) or bytes(4 << bits), "<u4")
 
 
+def needed(n: int, percent: int) -> int:
+    """How many rare shingles of a set of ``n`` each set that links with it has among its own."""
+    return max(1, min(SHARED, (percent * n + 99) // 100))
+
+
 def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest shingles of a set, so many that each set which links with it has one of them among its own."""
+    """The rarest shingles of a set, so many that each set which links with it has :func:`needed` of them among its own.
+
+    A link takes ``least = percent * n / 100`` common shingles; of those, at most ``least - k`` come after the first ``n - least + k``.
+    """
     rank = sketch[(s >> np.uint64(64 - int(np.log2(len(sketch))))).astype(np.int64)]
-    return s[np.lexsort((s, rank))[: len(s) - (percent * len(s) + 99) // 100 + 1]]
+    return s[np.lexsort((s, rank))[: len(s) - (percent * len(s) + 99) // 100 + needed(len(s), percent)]]
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -123,46 +133,50 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n long, class long, prefix array<long>, parity binary")
 
 
-def screen_unit(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _fold(m: np.ndarray, times: int) -> np.ndarray:
+    """Parity bits of so many halvings of the width."""
+    for _ in range(times):
+        m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+    return m
+
+
+def screen_unit(rows: pd.DataFrame, percent: int, inside: bool) -> pd.DataFrame:
     """The rows of a unit that may link with a member of its group, and those members: judged by sizes and parity bits.
 
-    Sets of sizes a and b that link differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` shingles.
+    Sets of sizes a and b that link differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` shingles. Members are
+    compared with one another where ``inside`` holds, and with visitors always.
     """
     rows = rows.sort_values(["own", "class"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    sizes, members, first = rows["n"].to_numpy(), int(rows["own"].sum()), int(rows["chunk"].iloc[0]) == 0
+    sizes, members = rows["n"].to_numpy(), int(rows["own"].sum())
     words = [np.frombuffer(b, np.uint64) for b in rows["parity"]]
     width = np.array([len(w) for w in words])
-    fold = lambda m: m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
     # sizes of sets that link are within a factor of 100 / percent, and so many halvings at most are between their numbers of bits
     steps = next(k for k in range(8) if (max(percent, 1) << k) >= 100)
-
-    def folds(m: np.ndarray) -> list[np.ndarray]:
-        """The parities at their own width, half of it, ..."""
-        out = [m]
-        while len(out) <= steps and out[-1].shape[1] > 1:
-            out.append(fold(out[-1]))
-        return out
-
-    by_width = {int(w): np.flatnonzero(width[:members] == w) for w in np.unique(width[:members])}
-    bits = {w: folds(np.stack([words[m] for m in at])) for w, at in by_width.items()}
-    needed = np.zeros(len(rows), bool)
-    for k in range(0 if first else members, len(rows)):
-        own, w = folds(words[k][None]), int(width[k])
-        pairs = [(w << d, d, 0) for d in range(steps + 1)] + [(w >> d, 0, d) for d in range(1, len(own))]
-        for there, theirs, mine in pairs:
-            if there not in by_width:
+    at_width = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+    bits = {w: np.stack([words[k] for k in at]) for w, at in at_width.items()}
+    hit = np.zeros(len(rows), bool)
+    for w, at in at_width.items():
+        here = at < members
+        own, mine = at[here], bits[w][here]
+        for v, there in at_width.items():
+            if not len(own) or max(v, w) > min(v, w) << steps:
                 continue
-            at = by_width[there]
-            apart = np.bitwise_count(bits[there][theirs] ^ own[mine]).sum(1).astype(np.int64)
-            near = ((100 + percent) * apart <= (100 - percent) * (sizes[at] + sizes[k])) & (100 * np.minimum(sizes[at], sizes[k]) >= percent * np.maximum(sizes[at], sizes[k])) & (at != k)
-            if near.any():
-                needed[k] = True
-                needed[at[near]] = True
-    return rows.loc[needed, ["class", "group", "chunk", "own"]]
-
-
-def solve_unit(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links inside one unit: members of a group among themselves (in its first chunk only) and with the unit's visitors.
+            come = np.ones(len(there), bool) if inside else there >= members
+            others, theirs = there[come], bits[v][come]
+            k = min(v, w)
+            left, right = _fold(mine, (w // k).bit_length() - 1), _fold(theirs, (v // k).bit_length() - 1)
+            for lo in range(0, len(others), step := max(1, (1 << 20) // (len(own) * k))):
+                some = others[lo : lo + step]
+                apart = np.bitwise_count(left[:, None] ^ right[None, lo : lo + step]).sum(2, dtype=np.int64)
+                a, b = sizes[own][:, None], sizes[some][None]
+                near = ((100 + percent) * apart <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (own[:, None] != some[None])
+                hit[own[near.any(1)]] = True
+                hit[some[near.any(0)]] = True
+    return rows.loc[hit, ["class", "group", "chunk", "own"]]
+
+
+def solve_unit(rows: pd.DataFrame, percent: int, inside: bool) -> pd.DataFrame:
+    """Links inside one unit: members of a group with the unit's visitors, and among themselves where ``inside`` holds.
 
     The union of the members' shingles bounds what a visitor can share with any of them; only visitors that may reach the
     threshold are compared. Returns each set's links, counted in documents, and the smallest set it is connected to here.
@@ -170,7 +184,7 @@ def solve_unit(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     rows = rows.drop_duplicates("class").sort_values(["own", "class"], ascending=[False, True], kind="stable")
     sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
     sizes, copies, classes = np.array([len(s) for s in sets]), rows["copies"].to_numpy(), rows["class"].to_numpy()
-    members, first = int(rows["own"].sum()), int(rows["chunk"].iloc[0]) == 0
+    members = int(rows["own"].sum())
     links, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
 
     def find(k: int) -> int:
@@ -186,7 +200,7 @@ def solve_unit(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         tokens, owner = tokens[order], owner[order]
         union, start = np.unique(tokens, return_index=True)
         stop = np.append(start[1:], len(tokens))
-        for k in range(0 if first else members, len(sets)):
+        for k in range(0 if inside else members, len(sets)):
             at = np.searchsorted(union, sets[k])
             at = at[union[np.minimum(at, len(union) - 1)] == sets[k]]
             if 100 * len(at) < percent * sizes[k]:
@@ -230,30 +244,16 @@ def _class_of(width: int):
     return F.pandas_udf(lambda texts: pd.Series([_class(shingles(t or b"", width)) for t in texts], dtype="int64"), T.LongType())
 
 
-def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, group_sets: int, visitors: int) -> tuple[DataFrame, DataFrame]:
-    """The signatures of all rows, and ``(class, rep, top, n_links, component_id)`` of the classes: ``top`` is a class of the component, ``rep`` the smallest id."""
-    rows = common.cut(signatures(docs, id_col, text_col, width, percent))
-    classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    classes = common.cut(classes)
-    tokens = classes.select("class", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    hits = common.cut(tokens.join(shared, "token"))
-    best = hits.groupBy("class").agg(F.max(F.struct("m", "token")).alias("best")).select("class", F.col("best.token").alias("seed"))
-    sizes = best.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_sets)).alias("parts"))
-    groups = common.cut(best.join(sizes, "seed").select("class", F.xxhash64("seed", F.pmod(F.xxhash64("class"), "parts")).alias("group")))
-    grouped = hits.join(groups, "class").select("token", "class", "n", "group")
-    matrix = grouped.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    there = matrix.withColumnRenamed("group", "to")
-    fits = (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
-    visits = common.cut(grouped.join(there, "token").filter((F.col("to") > F.col("group")) & fits).select("class", F.col("to").alias("group")).distinct())
-    asked = visits.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(visitors)).alias("chunks"))
-    full = groups.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
-    open_groups = full.join(asked, "group", "left").filter("members > 1 OR chunks IS NOT NULL").select("group", F.coalesce("chunks", F.lit(1).cast("long")).alias("chunks"))
-    own = groups.join(open_groups, "group").select("class", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("own"))
-    guests = visits.join(open_groups, "group").select("class", "group", F.pmod(F.xxhash64("class"), "chunks").alias("chunk"), F.lit(False).alias("own"))
-    # first without the sets themselves: their parity bits tell nearly all strangers apart
-    screened = own.unionByName(guests).join(classes.select("class", "n", "parity"), "class")
-    screened = screened.groupBy("group", "chunk").applyInPandas(lambda rows: screen_unit(rows, percent), "class long, group long, chunk long, own boolean")
+def _solved(docs: DataFrame, classes: DataFrame, units: DataFrame, width: int, percent: int, id_col: str, text_col: str, inside: bool) -> DataFrame:
+    """``(class, other, links)`` of ``units(class, group, chunk, own)``: what :func:`solve_unit` finds in each (group, chunk).
+
+    First without the sets themselves, as their parity bits tell nearly all strangers apart; then the sets that are left are made
+    from their texts and sent. The work of a unit isn't in proportion to its bytes, so the number of tasks follows the rows.
+    """
+    units = common.cut(units)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // _UNIT_ROWS))
+    screened = units.join(classes.select("class", "n", "parity"), "class").repartition(tasks, "group", "chunk")
+    screened = screened.groupBy("group", "chunk").applyInPandas(lambda rows: screen_unit(rows, percent, inside), "class long, group long, chunk long, own boolean")
     stops = screened.groupBy("class").agg(F.collect_list(F.struct("group", "chunk", "own")).alias("stops"))
     stops = common.cut(stops.join(classes.select("class", F.col("rep").alias("_rep"), "copies"), "class"))
 
@@ -274,39 +274,114 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     if nameless.limit(1).count():  # sets of rows without an id only are found by themselves
         own_class = _class_of(width)
         named = named.unionByName(texts.filter("_rep IS NULL").withColumn("class", own_class("_text")).join(nameless, "class").select("_text", "class", "copies", "stops"))
-    texts = named
-    sent = texts.mapInArrow(send, "group long, chunk long, own boolean, class long, copies long, shingles binary")
-    unit = sent.groupBy("group", "chunk").applyInPandas(lambda rows: solve_unit(rows, percent), "class long, other long, links long")
-    found = common.cut(unit)
-    joined = components(found.select(F.col("class").alias("a"), F.col("other").alias("b")))
-    links = found.groupBy("class").agg(F.sum("links").alias("links"))
-    label = classes.select("class", "rep", "copies").join(joined.withColumnRenamed("node", "class"), "class", "left").join(links, "class", "left")
-    label = label.withColumn("top", F.coalesce("component", "class"))
-    lowest = label.groupBy("top").agg(F.min("rep").alias("component_id"))
-    label = label.join(lowest, "top").select("class", "rep", "top", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    return rows, label
-
-
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group_sets: int = GROUP_SETS, visitors: int = VISITORS) -> DataFrame:
-    """``(doc_id, n_shingles, class, n_links, component_id)`` of every document.
+    sent = named.mapInArrow(send, "group long, chunk long, own boolean, class long, copies long, shingles binary")
+    return common.cut(sent.groupBy("group", "chunk").applyInPandas(lambda rows: solve_unit(rows, percent, inside), "class long, other long, links long"))
+
+
+def _visits(hits: DataFrame, groups: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """``(class, group)``: the groups of others that a set must be compared with.
+
+    The matrix holds, for each token of a group's union, the sizes of the group's sets that have it. A set is led to the groups where
+    it finds a token of its own, with a set of a fitting size; the tokens found there bound what it can share with any member, and only
+    where they are as many as a link takes is the group opened.
+
+    ``labels(class, label)`` names sets that are already known to be connected. Those need no comparison: of each token, the sets of its most
+    frequent label stay where they are, and all others go to the groups that have it under another label. Without labels, each pair of groups that meet is opened once.
+    """
+    least = lambda n: F.greatest(F.lit(1), F.least(F.lit(SHARED), F.ceil(F.lit(percent) * n / 100)))
+    grouped = hits.select("token", "class", "n").join(groups, "class")
+    if labels is None:
+        grouped = grouped.withColumn("label", F.col("class")).withColumn("out", F.lit(True))
+    else:
+        grouped = grouped.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        counted = grouped.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+        most = counted.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+        grouped = grouped.join(most.drop("several"), "token").withColumn("out", F.col("label") != F.col("most")).drop("most")
+    grouped = common.cut(grouped)
+    there = grouped.groupBy("token", F.col("group").alias("to")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last"), F.bool_or(~F.col("out")).alias("home")
+    )
+    fits = (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
+    other = (F.col("to") != F.col("group")) & (F.col("home") | (F.col("to") > F.col("group"))) & ((F.col("first") != F.col("label")) | (F.col("last") != F.col("label")))
+    met = grouped.filter("out").join(there, "token").filter(other & fits)
+    met = met.groupBy("class", "to").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("low").alias("low"))
+    return common.cut(met.filter(F.col("shared") >= F.least(least(F.col("n")), least(F.col("low")))).select("class", F.col("to").alias("group")))
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, group_sets: int, visitors: int, links: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and ``(class, rep, top, component_id)`` of the classes: ``top`` is a class of the component, ``rep`` the smallest id.
+
+    With ``links``, ``n_links`` too.
+    """
+    rows = common.cut(signatures(docs, id_col, text_col, width, percent))
+    classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    classes = common.cut(classes)
+    tokens = classes.select("class", "n", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    hits = common.cut(tokens.join(shared, "token"))
+    best = hits.groupBy("class").agg(F.max(F.struct("m", "token")).alias("best")).select("class", F.col("best.token").alias("seed"))
+    sizes = best.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_sets)).alias("parts"))
+    dealt = common.cut(best.join(sizes, "seed").withColumn("part", F.pmod(F.xxhash64("class"), "parts")).withColumn("group", F.xxhash64("seed", "part")))
+    groups = dealt.select("class", "group")
+    # the members of each group among themselves, and some sets of its seed, the same for each part of it
+    several = groups.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("group")
+    units = groups.join(several, "group").select("class", "group", F.lit(True).alias("own"))
+    if not links:
+        split = dealt.filter("parts > 1")
+        slot = F.pmod(F.xxhash64("class", F.lit("leader")), F.lit(LEADERS))
+        leaders = split.groupBy("seed", "parts", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("class"), "class", "part")).alias("one"))
+        leaders = leaders.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter(F.col("part") != F.col("one.part"))
+        units = units.unionByName(leaders.select(F.col("one.class").alias("class"), F.xxhash64("seed", "part").alias("group"), F.lit(False).alias("own")))
+    zero = F.lit(0).cast("long")
+    found = _solved(docs, classes, units.select("class", "group", zero.alias("chunk"), "own"), width, percent, id_col, text_col, inside=True)
+    label = components(found.select(F.col("class").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("class"), F.col("component").alias("label"))
+    # what is left: sets not yet connected that may link all the same
+    visits = _visits(hits, groups, None if links else label, percent)
+    asked = common.cut(visits.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(visitors)).alias("chunks")))
+    own = groups.join(asked, "group").select("class", "group", F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("own"))
+    guests = visits.join(asked, "group").select("class", "group", F.pmod(F.xxhash64("class"), "chunks").alias("chunk"), F.lit(False).alias("own"))
+    more = _solved(docs, classes, own.unionByName(guests), width, percent, id_col, text_col, inside=False)
+    named = lambda column: more.filter("class <> other").select(F.col(column).alias("class"), "_edge").join(label, "class", "left").select("_edge", F.coalesce("label", "class").alias(column))
+    more = more.withColumn("_edge", F.xxhash64("class", "other"))
+    between = named("class").join(named("other"), "_edge").select(F.col("class").alias("a"), F.col("other").alias("b"))
+    joined = components(between).select(F.col("node").alias("label"), F.col("component").alias("_joined"))
+    out = classes.select("class", "rep", "copies").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    out = common.cut(out.join(joined, "label", "left").withColumn("top", F.coalesce("_joined", "label")))
+    lowest = out.groupBy("top").agg(F.min("rep").alias("component_id"))
+    cols = ["class", "rep", "top", "component_id"]
+    out = out.join(lowest, "top")
+    if links:
+        counted = found.unionByName(more.drop("_edge")).groupBy("class").agg(F.sum("links").alias("links"))
+        out = out.join(counted, "class", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", zero))
+        cols.append("n_links")
+    return rows, out.select(*cols)
+
+
+def jaccard_join(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group_sets: int = GROUP_SETS, visitors: int = VISITORS, links: bool = False
+) -> DataFrame:
+    """``(doc_id, n_shingles, class, component_id)`` of every document, and ``n_links`` if asked for.
 
     Documents are sets of runs of ``width`` words of the text with A-Z lower-cased; two link if ``100 * intersection >= percent * union``.
     Equal sets form a class and are joined once. Classes that share a rare shingle with another are put into groups of about ``group_sets``
-    by the shingle that most of them share; the token-group matrix has the shingles by which each group can be reached. A set
-    visits the groups where it finds one of its own; parity bits and the group's token union bound each visit, and only then are sets
-    compared. ``n_links`` counts linked documents; ``component_id`` is the smallest id reachable by links, itself included.
+    by the shingle that most of them share. Members of a group are compared with one another and, where one shingle makes many groups,
+    with a few leaders that all of these have in common, which connects most of a large group of near copies in time proportional to its
+    size. Only sets not connected so far are led to other groups, by the token-group matrix (:func:`_visits`). ``component_id`` is the smallest id
+    reachable by links, itself included.
+
+    ``n_links`` counts linked documents. Every pair of similar texts must be looked at for it, so it leaves out the leaders, and the work in a
+    large group of near copies grows with the square of its size (in units of ``group_sets`` by ``visitors``).
 
     Null, empty and white-space texts have an empty set and no links; fewer than ``width`` words are one run. Rows with a null id
-    are returned with a null component; they link, count as links and connect others as all rows do. Rows of equal id and text count as copies. Sets are compared by 64-bit hashes of
-    their runs. Input columns but the two named are not read.
+    are returned with a null component; they link, count as links and connect others as all rows do. Rows of equal id and text count as copies. Ids
+    must be integers or null. Sets are compared by 64-bit hashes of their runs. Input columns but the two named are not read.
     """
-    rows, label = _labelled(docs, width, percent, id_col, text_col, group_sets, visitors)
+    rows, label = _labelled(docs, width, percent, id_col, text_col, group_sets, visitors, links)
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(label.drop("rep", "top"), "class", "left")
     alone = F.col("n_shingles") == 0
-    return out.select(
-        "doc_id", "n_shingles", "class", F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"),
-        F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    component = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    counts = [F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links")] if links else []
+    return out.select("doc_id", "n_shingles", "class", *counts, component)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group_sets: int = GROUP_SETS, visitors: int = VISITORS) -> DataFrame:
@@ -344,7 +419,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under three-word shingles and a similarity of 0.9."""
     docs = common.read(spark, sf_dir, "documents")
-    return jaccard_join(docs, width=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard_join(docs, width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op4_jaccard_join": op4_jaccard_join}
