@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,22 +16,40 @@ from pyspark.sql import types as T
 
 from voxmill.llm import common
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A quoted value may hold ``>`` but not ``<``: where a quote isn't closed, the tag ends at the next ``>`` all the same.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|[^>"']|["'](?![^"<]*"|[^'<]*'))*)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"<>]*)"?|'([^'<>]*)'?|([^\s"'>]+)))?""", re.I)
 
 #: Elements that run inside a line of text; every other tag ends the block, but for br, which is white space.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Their content isn't text of the page.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-#: Elements and words of class, id and role that mark what stands around an article.
-CHROME_TAGS = frozenset("nav footer aside form menu button select dialog noscript template svg head object audio video".split())
+#: Elements that stand around an article, and words that occur in the names (class, id, role) of such parts.
+CHROME_TAGS = frozenset("nav footer aside form menu button select dialog noscript template svg head object audio video header".split())
 CHROME_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus foot footer gdpr login menu modal nav navbar navigation newsletter notice notices "
-    "pager pagination popup promo promoted related replies respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus foot footer gdpr header login masthead menu modal nav navbar navigation newsletter "
+    "notice notices pager pagination popup promo promoted related replies respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
-#: These are chrome only outside of an article, which may have a header of its own.
-HEADER = frozenset("header masthead topbar".split())
+#: Words that say nothing of a part, those that name an article, and those that deny what follows them.
+PLAIN_WORDS = frozenset("area bar bottom box block col column container group inner item items left links list outer panel right row section site slot space text top unit wrap wrapper".split())
+CONTENT_WORDS = frozenset("article body content entry main post prose story".split())
+DENIALS = frozenset("has hide no non not with without".split())
+#: Elements whose blocks belong together.
+CONTAINERS = frozenset("address article aside blockquote body center dd details div fieldset footer form header main menu nav section td th".split())
+
+
+@dataclass(frozen=True)
+class Place:
+    """What the elements around a block say of it, as counts over all of them, and the container that holds it."""
+
+    tags: int = 0
+    names: int = 0
+    mixed: int = 0
+    content: int = 0
+    hidden: bool = False
+    inside: bool = False
+    container: int = 0
 
 
 @dataclass
@@ -39,25 +59,43 @@ class Block:
     text: str
     words: int
     linked: int
-    chrome: bool
-    inside: bool
     heading: bool
+    place: Place
 
 
-def _flag(tag: str, attributes: str, within: bool) -> bool:
-    if tag in ("html", "body", "article", "main"):
-        return False
-    if tag in CHROME_TAGS or tag == "header" and not within:
-        return True
-    for name, *values in _ATTRIBUTE.findall(attributes) if "=" in attributes or "hidden" in attributes.lower() else ():
-        value, name = "".join(values).lower(), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & CHROME_WORDS or not within and words & HEADER:
-                return True
-    return False
+def _names(value: str) -> tuple[int, int, int]:
+    """How many names of a class, id or role consist of words for surroundings, hold such a word among others, and name an article."""
+    whole = mixed = content = 0
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", name) if p]
+        if not parts or parts[0] in DENIALS:
+            continue
+        chrome = [p in CHROME_WORDS for p in parts]
+        if any(chrome):
+            plain = all(c or p in PLAIN_WORDS or p in CONTENT_WORDS for p, c in zip(parts, chrome, strict=True))
+            whole, mixed = whole + plain, mixed + (not plain)
+        elif any(p in CONTENT_WORDS for p in parts):
+            content += 1
+    return whole, mixed, content
+
+
+def _within(place: Place, tag: str, attributes: str, number: int) -> Place:
+    """The place of what an element holds. An article starts anew; its own header belongs to it."""
+    inside = tag in ("article", "main")
+    if inside:
+        place = Place(inside=True, container=number)
+    tags, names, mixed, content, hidden = place.tags, place.names, place.mixed, place.content, place.hidden
+    tags += tag in CHROME_TAGS and not (tag == "header" and place.inside)
+    if tag not in ("html", "body"):
+        for name, *values in _ATTRIBUTE.findall(attributes) if "=" in attributes or "hidden" in attributes.lower() else ():
+            value, name = "".join(values), name.lower()
+            hidden |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and bool(re.search(r"display\s*:\s*none", value, re.I))
+            if name in ("class", "id", "role") and not inside:
+                if place.inside:
+                    value = re.sub(r"(?i)\b(header|masthead|topbar)\b", "", value)
+                more = _names(value)
+                names, mixed, content = names + more[0], mixed + more[1], content + more[2]
+    return Place(tags, names, mixed, content, hidden, place.inside, number if tag in CONTAINERS else place.container)
 
 
 def blocks(page: str) -> list[Block]:
@@ -67,13 +105,13 @@ def blocks(page: str) -> list[Block]:
     open element of its name, and what is open at the end counts as closed there.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, chrome, inside an article: all as of this depth
+    stack: list[tuple[str, Place]] = []
     parts: list[str] = []
-    linked, links, heading = 0, 0, False
+    linked, links, heading, opened = 0, 0, False, 0
     at, end = 0, len(page)
 
-    def state() -> tuple[bool, bool]:
-        return stack[-1][1:] if stack else (False, False)
+    def place() -> Place:
+        return stack[-1][1] if stack else Place()
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -86,8 +124,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         words = html.unescape("".join(parts)).split()
         if words:
-            chrome, inside = state()
-            out.append(Block(" ".join(words), len(words), min(linked, len(words)), chrome, inside, heading))
+            out.append(Block(" ".join(words), len(words), min(linked, len(words)), heading, place()))
         parts.clear()
         linked = 0
 
@@ -125,81 +162,120 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             elif tag != "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            chrome, inside = state()
-            if tag in ("article", "main"):
-                chrome, inside = False, True
-            stack.append((tag, chrome or _flag(tag, found[3], inside), inside))
+            opened += 1
+            stack.append((tag, _within(place(), tag, found[3], opened)))
         links = 0 if tag in ("p", "div", "article") else links
         heading = bool(stack) and bool(re.fullmatch("h[1-6]", stack[-1][0]))
     close()
     return out
 
 
-FIGURES = ("chrome", "place", "words", "link density", "words before", "link density before", "words after", "link density after", "heading")
+FIGURES = (
+    "words", "link density", "words before", "link density before", "words after", "link density after", "words of the container", "link density of the container", "heading",
+    "chrome tags", "chrome names", "mixed names", "content names", "hidden", "place",
+)
 
 
 def figures(found: list[Block]) -> np.ndarray:
-    """A row for each block: whether markup calls it chrome, where it is (1 inside the article, -1 outside, 0 where the page marks
-    none), its words and link density and those of both neighbours, whether it is a heading."""
+    """A row for each block: its words and link density, those of the blocks before and after it and of its container, whether it is a heading, and what the
+    elements around it say: counts of their tags and names, and where it is (1 inside an article, -1 outside, 0 where the page marks none)."""
+    marked = any(b.place.inside for b in found)
+    words, linked = Counter(), Counter()
+    for b in found:
+        words[b.place.container] += b.words
+        linked[b.place.container] += b.linked
     own = [(b.words, b.linked / b.words) for b in found]
-    marked = any(b.inside for b in found)
     none = (0, 0.0)
-    return np.array(
-        [(b.chrome, (1 if b.inside else -1) if marked else 0, *own[k], *(own[k - 1] if k else none), *(own[k + 1] if k + 1 < len(own) else none), b.heading) for k, b in enumerate(found)],
-        float,
-    ).reshape(-1, len(FIGURES))
-
-
-_LONG = "It had rained for most of the week, and the river stood higher than anyone in the village could remember having seen it."
-#: The labelled table: pages, and for each of their blocks whether it belongs to the main text.
-LABELLED = (
-    (f"<nav><a href=a>Home</a></nav><div class=ad>Buy now</div><article><h1>A title of words</h1><p>{_LONG}<p>Yes.</p><p>A short one here.</p></article><footer>All rights reserved by us</footer>", "00" + "1111" + "0"),
-    (f"<ul><li><a>One</a></li><li><a>Two three</a></li></ul><article><p>{_LONG}</p><aside>See also our other pages on this</aside><p>No.</p></article><p>Contact us by post or call</p>", "00" + "1" + "0" + "1" + "0"),
-    (f"<div>Menu <a>News</a> <a>Sport</a></div><h1>The flood of the year</h1><p>{_LONG}</p><p>{_LONG} {_LONG}</p><div><a>Next page of this</a></div><div>Copyright</div>", "0" + "111" + "00"),
-    (f"<div id=sidebar><p>{_LONG}</p></div><div>{_LONG}</div><p>He said so twice, and left.</p><div>{_LONG}</div><div class=comments><p>{_LONG}</p><p>Great text</p></div>", "0" + "111" + "00"),
-    (f"<main><h2>News</h2><p>{_LONG}</p><form>Your name and mail here please</form><div class=comments>{_LONG}</div></main><div>{_LONG}</div>", "11" + "00" + "0"),
-    (f"<header><h1>Our site</h1><p>{_LONG}</p></header><article><ul><li>A list item</li><li><a>A linked item</a></li></ul><p><a>{_LONG}</a></p></article>", "00" + "111"),
-    (f"<p><a>All</a> <a>Pages</a> <a>Tags</a></p><p>{_LONG}</p><p><a>Read</a> more of it at the end of the line, as he did.</p><p>{_LONG}</p><p><a>{_LONG}</a></p>", "0" + "111" + "0"),
-    (f"<div class=cookie-notice>{_LONG}</div><div>{_LONG}</div><h3>Then</h3><div>{_LONG}</div><h3><a>Most read</a></h3><ul><li><a>{_LONG}</a></li></ul>", "0" + "111" + "00"),
-    ("<article><p>One.</p></article>", "1"),
-    (f"<nav><a>Home</a> <a>News</a></nav><article><h1>A page cut off</h1><p>{_LONG}</p><p>And then", "0111"),
-    (f"<div>Welcome back</div><article><p>Yes.</p><p>No.</p><p>{_LONG}</p></article>", "0111"),
-    (f"<article><p>{_LONG}</p><p><a>{_LONG}</a></p><p>The end.</p></article>", "111"),
-    (f"<p>{_LONG}</p><div>Share this page with your friends</div>", "10"),
-    (f"<div>You are here: <a>Start</a></div><div>{_LONG} {_LONG}</div><p>So it went.</p><p>{_LONG} {_LONG}", "0111"),
-    ("<article><h1>Only a title</h1></article><footer>Imprint</footer>", "10"),
-    (f"<p>{_LONG}</p>", "1"),
-    (f"<div>{_LONG}</div><div>Print</div>", "10"),
-)
+    rows = []
+    for k, b in enumerate(found):
+        p, c = b.place, b.place.container
+        near = (*own[k], *(own[k - 1] if k else none), *(own[k + 1] if k + 1 < len(own) else none), words[c], linked[c] / words[c])
+        rows.append((*near, b.heading, p.tags, p.names, p.mixed, p.content, p.hidden, (1 if p.inside else -1) if marked else 0))
+    return np.array(rows, float).reshape(-1, len(FIGURES))
+
+
+_SENTENCE = "It had rained for most of the week, and the river stood higher than anyone in the village could remember having seen it.".split()
+#: Parts of the labelled pages: how the parts of an article are written, what may stand within one that is not of it, and what stands around it.
+#: ``{n}`` stands for a number of words, ``{a}`` for linked words.
+_BODY = ("<p>{60}</p>", "<p>{25}</p>", "<p>{40} <a href=x>{2}</a> {20}</p>", "<p>{3}</p>", "<h2>{4}</h2>", "<ul><li>{6}</li><li>{12}</li></ul>", "<blockquote>{18}</blockquote>", "<p><a href=x>{9}</a></p>", "<p>{1}</p>", "<div class=related-work>{35}</div>", "<p class=notice-of-death>{30}</p>")
+_BETWEEN = ("<aside>{20}</aside>", "<div class=ad>{9}</div>", "<div class=\"share box\"><a>{1}</a> <a>{1}</a></div>", "<form>{5} <button>{1}</button></form>", "<div class=related><a>{6}</a> <a>{7}</a></div>", "<div id=comments><p>{30}</p><p>{8}</p></div>", "<section class=comments-list><h3>{2}</h3><p>{50}</p></section>", "<div class=newsletter-signup>{14}</div>")
+_BEFORE = ("<nav><ul><li><a>{1}</a></li><li><a>{2}</a></li></ul></nav>", "<header><h1>{3}</h1><p>{9}</p></header>", "<div id=menu><a>{1}</a> <a>{1}</a></div>", "<div class=cookie-notice>{25}</div>", "<div class=\"ad banner\">{11}</div>", "<ul><li><a>{1}</a></li><li><a>{2}</a></li><li><a>{1}</a></li></ul>", "<div><a>{2}</a> | <a>{1}</a> | <a>{2}</a></div>", "<div class=breadcrumbs>{2} <a>{1}</a></div>", "<div id=sidebar><p>{45}</p><p>{10}</p></div>", "<div class=topbar>{4}</div>", "<p><a>{1}</a> <a>{2}</a></p>", "<div hidden>{30}</div>", "<div class=ad>{16}</div>", "<header class=site-header>{5}</header>")
+_AFTER = ("<footer>{8}</footer>", "<div class=comments><p>{40}</p><p>{3}</p></div>", "<footer><p>{30}</p><a>{1}</a></footer>", "<div><a>{4}</a> <a>{5}</a></div>", "<div class=sidebar><h3>{2}</h3><ul><li><a>{4}</a></li></ul></div>", "<h3><a>{2}</a></h3><ul><li><a>{18}</a></li><li><a>{12}</a></li></ul>", "<form>{6}</form>", "<p><a>{1}</a> <a>{1}</a> <a>{1}</a></p>", "<div id=footer>{7}</div>", "<aside><p>{55}</p></aside>", "<div class=pagination><a>{1}</a> <a>{1}</a></div>")
+_FRAMES = ("<article><h1>{5}</h1>%s</article>", "<main><h1>{5}</h1>%s</main>", "<article>%s</article>", "<div class=\"content no-sidebar\"><h1>{6}</h1>%s</div>", "<div id=post-body>%s</div>", "<div><h1>{5}</h1>%s</div>", "<h1>{7}</h1>%s", "<article class=post><header><h1>{6}</h1></header>%s</article>", "<table><tr><td>%s</td></tr></table>", "<section>%s</section>")
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
-    """A decision tree by Gini impurity: ``(figure, threshold, left, right)`` or ``(label,)``; ties go to the first figure."""
+def labelled(pages: int = 1500, seed: int = 5) -> list[tuple[str, np.ndarray]]:
+    """The labelled table: pages put together from the parts above, and for each of their blocks whether it belongs to the main text.
+
+    A page has an article in one of the frames, or bare text, with or without surroundings; each part's blocks have the part's label.
+    """
+    draw = random.Random(seed)
+
+    def words(n: int) -> str:
+        return " ".join(draw.choice(_SENTENCE) for _ in range(max(1, round(n * draw.uniform(0.5, 1.6)))))
+
+    def write(part: str) -> str:
+        return re.sub(r"\{(\d+)\}", lambda m: words(int(m[1])), part)
+
+    def count(page: str) -> int:
+        return len(blocks(page))
+
+    table = []
+    for k in range(pages):
+        if k % 15 == 0:  # nothing but a text
+            page = write(draw.choice(("{4}", "{9}", "{30}", "<p>{5}</p>", "<p>{40}</p><p>{9}</p>", "<article><p>{2}</p></article>")))
+            table.append((page, np.ones(count(page))))
+            continue
+        frame = draw.choice(_FRAMES)
+        pieces = [(write(p), 0) for p in draw.sample(_BEFORE, draw.randint(0, 3))]
+        head, tail = frame.split("%s")
+        # without a frame that marks it, an article begins and ends with a long paragraph
+        plain = "article" not in frame and "main" not in frame
+        long = lambda: (write(draw.choice(("<p>{20}</p>", "<p>{30}</p>", "<p>{60}</p>"))), 1)
+        body = [long() for _ in range(plain)] + [(write(draw.choice(_BODY)), 1) for _ in range(draw.randint(1, 6))]
+        for _ in range(draw.randint(0, 1) * draw.randint(0, 2)):
+            body.insert(draw.randint(1, len(body)), (write(draw.choice(_BETWEEN)), 0))
+        body += [long() for _ in range(plain)]
+        pieces += [(write(head), 1), *body, (tail, 1), *[(write(p), 0) for p in draw.sample(_AFTER, draw.randint(0, 3))]]
+        page, marks = "", []
+        for piece, mark in pieces:
+            page += piece
+            marks += [mark] * (count(page) - len(marks))
+        table.append((page, np.array(marks, float)))
+    return table
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 4) -> tuple:
+    """A decision tree by Gini impurity, ``least`` rows a leaf: ``(figure, threshold, left, right)`` or ``(label,)``; ties go to the first figure."""
     rate = y.mean()
-    if depth == 0 or rate in (0, 1):
+    if depth == 0 or rate in (0, 1) or len(y) < 2 * least:
         return (bool(rate >= 0.5),)
     best = None
     for k in range(x.shape[1]):
-        values = np.unique(x[:, k])
-        for cut in (values[:-1] + values[1:]) / 2:
-            left = x[:, k] <= cut
-            cost = sum(s.sum() * y[s].mean() * (1 - y[s].mean()) for s in (left, ~left))
-            if best is None or cost < best[0] - 1e-12:
-                best = (cost, k, cut, left)
+        order = np.argsort(x[:, k], kind="stable")
+        v, ones = x[order, k], np.cumsum(y[order])
+        n = np.arange(1, len(y))
+        left, right = ones[:-1], ones[-1] - ones[:-1]
+        cost = left * (1 - left / n) + right * (1 - right / (len(y) - n))
+        cost[(v[1:] == v[:-1]) | (n < least) | (len(y) - n < least)] = np.inf
+        at = int(cost.argmin())
+        if np.isfinite(cost[at]) and (best is None or cost[at] < best[0] - 1e-9):
+            best = (cost[at], k, (v[at] + v[at + 1]) / 2)
     if best is None:
         return (bool(rate >= 0.5),)
-    _, k, cut, left = best
-    return (k, float(cut), grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1))
-
-
-def train(labelled: tuple[tuple[str, str], ...] = LABELLED) -> tuple:
-    """The tree of a labelled table."""
-    found = [blocks(page) for page, _ in labelled]
-    for b, (page, marks) in zip(found, labelled, strict=True):
-        if len(b) != len(marks):
-            raise ValueError(f"{len(marks)} labels for {len(b)} blocks: {page[:80]}")
-    x = np.vstack([figures(b) for b in found])
-    return grow(x, np.array([float(m) for _, marks in labelled for m in marks]))
+    _, k, cut = best
+    left = x[:, k] <= cut
+    return (k, float(cut), grow(x[left], y[left], depth - 1, least), grow(x[~left], y[~left], depth - 1, least))
+
+
+def train(table: list[tuple[str, np.ndarray]] | None = None) -> tuple:
+    """The tree of a labelled table: pages, and a 0 or 1 for each of their blocks."""
+    table = labelled() if table is None else table
+    found = [figures(blocks(page)) for page, _ in table]
+    for x, (page, marks) in zip(found, table, strict=True):
+        if len(x) != len(marks):
+            raise ValueError(f"{len(marks)} labels for {len(x)} blocks: {page[:80]}")
+    return grow(np.vstack(found), np.concatenate([marks for _, marks in table]))
 
 
 def _is_text(tree: tuple, row: np.ndarray) -> bool:
