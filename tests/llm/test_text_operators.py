@@ -1,6 +1,7 @@
 """Suffix tree, quality, fingerprints, packing, secrets and mixing against brute force and on awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -38,23 +39,72 @@ def test_suffix_tree_base_scores_and_counts(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_suffix_tree_states_are_distributions(spark):
-    lines = ["a b c a b c a b d", "b c a b c", "x b d x b d x b d", "a b c rare once"] * 6
-    train = spark.createDataFrame([(t,) for t in lines], "text string")
-    counts = suffix_tree._token_counts(train, "text")
-    tree = suffix_tree.learn(train, counts, "text", depth=2, p_min=0)
-    assert any(level.kept.any() for level in tree.levels)
-    known = {r.token: r.c for r in counts.collect()}
-    h = lambda w: np.uint64(suffix_tree._HASHES[w])
-    rare = [c for t, c in known.items() if np.int64(t).view(np.uint64) not in tree.symbols]
-    for context in ([b"a", b"b"], [b"x", b"b"], [b"", b"a"], [b"c", b"a"], [b"never", b"b"], [b"never", b"seen"]):
-        total = 0.0
-        for s in tree.symbols:
-            _, _, made = tree.score(np.array([h(context[0]), h(context[1]), s]))
-            total += 10 ** made[-1]
-        _, _, unknown = tree.score(np.array([h(context[0]), h(context[1]), h(b"no such token")]))
-        total += sum(10 ** (unknown[-1] + tree.root(c)) for c in [*rare, 0])
-        assert total == pytest.approx(1, abs=1e-6), context
+class _Brute:
+    """The suffix tree of a small corpus, from dictionaries."""
+
+    def __init__(self, texts, depth, least=suffix_tree.C_MIN):
+        self.depth, runs = depth, Counter()
+        for t in texts:
+            w = [b"", *words(t), b""]
+            for n in range(1, depth + 2):
+                runs.update(tuple(w[k : k + n]) for k in range(n == 1, len(w) - n + 1))
+        self.token = {k[0]: c for k, c in runs.items() if len(k) == 1}
+        self.n, self.v = sum(self.token.values()), len(self.token)
+        stored = {k: c for k, c in runs.items() if c >= least}
+        self.moves = defaultdict(dict)
+        for k, c in stored.items():
+            if len(k) > 1:
+                self.moves[k[:-1]][k[-1]] = c
+        self.states = {}
+        for s in sorted(self.moves, key=len):
+            if len(s) == 1 or s[1:] in self.states:
+                size, own = stored[s], {a: c - suffix_tree.DISCOUNT for a, c in self.moves[s].items() if len(s) == 1 or a in self.moves[s[1:]]}
+                given = {a: 10 ** self.log10(s[1:], a) for a in own}
+                rest = (1 - sum(own.values()) / size) / (1 - sum(given.values()))
+                n = sum(self.moves[s][a] for a in own)
+                gain = sum(self.moves[s][a] * np.log(own[a] / size / given[a]) for a in own) + (size - n) * np.log(rest)
+                if gain >= suffix_tree.DIVERGENCE:
+                    self.states[s] = (size, own, rest)
+
+    def log10(self, context, token):
+        while context and context not in self.states:
+            context = context[1:]
+        if not context:
+            return np.log10((self.token.get(token, 0) + 0.5) / (self.n + 0.5 * (self.v + 1)))
+        size, own, rest = self.states[context]
+        return np.log10(own[token] / size) if token in own else np.log10(rest) + self.log10(context[1:], token)
+
+    def score(self, text):
+        w = [b"", *words(text), b""]
+        return sum(self.log10(tuple(w[max(0, k - self.depth) : k]), w[k]) for k in range(1, len(w)))
+
+
+def test_suffix_tree_equals_a_tree_of_dictionaries(spark):
+    draw = random.Random(4)
+    phrases = [" ".join(f"w{draw.randrange(60)}" for _ in range(draw.randint(2, 9))) for _ in range(20)]
+    phrases += ["a b c d x", "e b c d y", "f c d z", "g d w"] * 4  # what follows d is told by ever more words before it
+    rows = [(i, " ".join(draw.choice(phrases) if draw.random() < 0.7 else f"w{draw.randrange(90)}" for _ in range(draw.randint(0, 30)))) for i in range(400)]
+    train = lambda i: i % 4 != 1
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for depth in (1, 4):
+        brute = _Brute([t for i, t in rows if train(i)], depth)
+        assert {len(s) for s in brute.states} == set(range(1, depth + 1))
+        for options in ({}, {"hot_tokens": 20, "hot_runs": 200}, {"hot_tokens": 0, "hot_runs": 0}):
+            got = {r.doc_id: r.score for r in suffix_tree.scores(table, F.col("doc_id") % 4 != 1, depth=depth, **options).collect()}
+            assert got == pytest.approx({i: brute.score(t) for i, t in rows}, rel=1e-9), (depth, options)
+
+
+def test_suffix_tree_states_are_distributions():
+    brute = _Brute(["a b c a b c a b d", "b c a b c", "x b d x b d x b d", "a b c rare once"] * 9, 3)
+    assert {len(s) for s in brute.states} >= {1, 2}
+    for s in [*brute.states, (b"never", b"b"), (b"never",)]:
+        assert sum(10 ** brute.log10(s, w) for w in [*brute.token, b"no such token"]) == pytest.approx(1, abs=1e-9), s
+
+
+def test_run_keys_are_those_of_sql(spark):
+    a, b = (np.random.default_rng(k).integers(0, 2**64 - 1, 50, np.uint64, True) for k in (1, 2))
+    rows = spark.createDataFrame(list(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True)), "a long, b long")
+    assert [r[0] for r in rows.select(F.xxhash64("a", "b")).collect()] == suffix_tree.run_key(a, b).view(np.int64).tolist()
 
 
 def test_suffix_tree_awkward_rows(spark):
@@ -67,16 +117,6 @@ def test_suffix_tree_awkward_rows(spark):
     assert alone.n_known == 0 and np.isfinite(alone.score)
 
 
-def test_suffix_tree_scores_do_not_depend_on_what_is_hot(spark):
-    rows = common.read(spark, SMALL, "documents").limit(150)
-    made = []
-    for p_min in (0, 1e-3, 1):  # all of the tree in every task, some of it, none of it
-        found = suffix_tree.scores(rows, F.col("doc_id") % 5 != 1, p_min=p_min).collect()
-        made.append({r.doc_id: r.score for r in found})
-    assert made[1] == pytest.approx(made[0], rel=1e-9)
-    assert made[2] == pytest.approx(made[0], rel=1e-9)
-
-
 # -- quality
 
 
@@ -147,12 +187,24 @@ def test_densify_fills_every_bin(spark):
 
 
 def test_fingerprints_awkward_rows(spark):
-    rows = docs(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    got = {r.doc_id: r.fingerprint for r in fingerprint.document_fingerprints(rows).collect()}
-    assert got[2] == got[3] == got[4] == "" and got[1] == got[6] == got[7] == got[8] != got[11]
+    found = fingerprint.document_fingerprints(docs(spark)).collect()
+    got = {r.doc_id: r.fingerprint for r in found}
+    assert len(found) == len(DOCS) and got[2] == got[3] == got[4] == "" and got[1] == got[6] == got[7] == got[8] != got[11]
     assert fingerprint.document_fingerprints(empty(spark)).count() == 0
 
 
+def test_edited_fingerprints_have_a_row_for_each_row(spark):
+    rows = sorted(((i is not None, i or 0), hashlib.md5(f"{'null' if i is None else i}:{t or ''}".encode()).hexdigest(), i, t or "") for i, t, *_ in DOCS)
+    want = Counter()
+    for k, (_, _, i, text) in enumerate(rows):
+        after, half = rows[k - 1][3], len(text) // 2
+        want[i, len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.edited_fingerprints(docs(spark)).collect()) == want
+    (alone,) = fingerprint.edited_fingerprints(docs(spark, DOCS[:1])).collect()
+    assert alone.bits == alone.after
+    assert fingerprint.edited_fingerprints(empty(spark)).count() == 0
+
+
 # -- packing
 
 
@@ -237,7 +289,7 @@ def test_ledger_scans_each_pair_once(spark):
     table = docs(spark).select("doc_id", "text")
     ledger = common.cut(secrets.update(table))
     blobs = len({t or "" for _, t, *_ in DOCS})
-    assert ledger.count() == blobs * len(secrets.RULES)
+    assert ledger.count() == blobs * len(secrets.ALL_RULES)
     assert secrets.update(table, ledger).count() == 0
     newer = (*secrets.RULES[:2], secrets.Rule("hex", "[0-9a-f]+", "[0-9a-f]{10}", least=10, version=2))
     more = secrets.update(table, ledger, newer)
@@ -257,6 +309,34 @@ def test_redaction_awkward_rows(spark):
     assert secrets.redact(empty(spark)).count() == 0
 
 
+def test_ledger_scans_each_version_once(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    key, hexa = "password = hunter2hunter2", "0123456789abcdef0123456789abcdef"
+    first = spark.createDataFrame([("a.txt", 1, key), ("b.txt", 1, "nothing"), ("c.txt", 1, None)], "path string, version int, text string")
+    later = spark.createDataFrame([("a.txt", 2, f"{key} {hexa}"), ("moved/a.txt", 2, key), ("b.txt", 2, "nothing")], "path string, version int, text string")
+    n = len(secrets.ALL_RULES)
+    assert secrets.advance(first, path).count() == 3 * n
+    history = first.unionByName(later)
+    ledger = secrets.advance(history, path)
+    assert ledger.count() == 4 * n and ledger.select("blob", "kind", "version").distinct().count() == 4 * n
+    found = {(r.path, r.version): [(s.kind, s.start, s.end) for s in r.found] for r in secrets.findings(history, ledger).collect()}
+    one = [("assign", 0, len(key))]
+    assert found == {("a.txt", 1): one, ("a.txt", 2): [*one, ("hex", len(key) + 1, len(key) + 33)], ("moved/a.txt", 2): one, ("b.txt", 1): [], ("b.txt", 2): [], ("c.txt", 1): []}
+    newer = (*secrets.ALL_RULES[:2], secrets.Rule("hex", "[0-9a-f]+", "[0-9a-f]{10}", least=10, version=2))
+    assert secrets.advance(history, path, newer).count() == 4 * n + 4
+    assert secrets.advance(history, path, newer).count() == 4 * n + 4
+
+
+def test_more_rules_find_keys_and_logins(spark):
+    texts = {
+        "-----BEGIN RSA PRIVATE KEY-----": ["private_key"], "see eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl now": ["signed_token"], "http://user:pass@host/x": ["url_login"],
+        "ghp_" + "a1B2" * 8: ["issued_key"], "ghp_short": [], "http://host:80/a@b": [], "mail me: a@b.c": [], "eyJhbGciOiJI.only": [], "nothing here": [],
+    }
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = secrets.findings(table, secrets.update(table)).collect()
+    assert {r.text: [s.kind for s in r.found] for r in got} == texts
+
+
 # -- mixing
 
 
@@ -292,6 +372,14 @@ def test_mix_meets_every_target(spark, per_bucket):
     assert sorted(got, key=str) == sorted(again.collect(), key=str)
 
 
+def test_mix_splits_a_source_into_any_number_of_ranges(spark):
+    rows = [(f"id-{k}", "word " * (k % 7), "a") for k in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id string, text string, source string"), per_bucket=1).collect()
+    size = sum(k % 7 for k in range(6000))
+    assert len(got) == 6000 and {r.target for r in got} == {1.5 * size} and sum(r.taken for r in got) == int(1.5 * size)
+    assert all(r.size <= r.taken <= 2 * r.size for r in got)
+
+
 def test_mix_awkward_rows(spark):
     got = mixing.mix(docs(spark))
     assert got.count() == len(DOCS)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, and what separates words: ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,13 +31,15 @@ def ascii_lower(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests, one machine) a folder of this machine takes its place.
+    Where that setting is absent, a session of this machine alone gets a folder of its own; a cluster gets an error, as no local folder would do.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
-        found = f"file://{tempfile.gettempdir()}/voxmill-checkpoints"
+        found = f"file://{tempfile.mkdtemp(prefix='voxmill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -69,6 +72,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder, in a folder for each value of the columns ``by``, and read again.
+
+    For tables that several later steps read: smaller than a checkpoint, and read by column.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(T.StructType([f for f in df.schema if f.name not in by] + [f for f in df.schema if f.name in by])).parquet(path)
+
+
 def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` joined with a table that is usually small: a broadcast after its rows were counted, else a shuffle join.
 

@@ -15,14 +15,16 @@ from pyspark.sql import types as T
 
 from voxmill.llm import common
 
-#: Longest context, and the count that a token or run of tokens must have to be stored. Share of all training tokens from which on it is hot: held by every task.
-DEPTH, C_MIN, P_MIN = 2, 3, 1e-6
+#: Longest context, and the count that a run of tokens must have to be stored.
+DEPTH, C_MIN = 4, 3
 #: Taken from the count of each stored transition for those that aren't; nats by which a context must improve its training text.
 DISCOUNT, DIVERGENCE = 0.75, 8.0
-#: Bytes of text handled at once, and runs that a task sums before it sends them on.
-BLOCK, SUMMED = 4 << 20, 4_000_000
-#: Most bits of a filter of stored runs, as a power of two, and the slices into which a task's bits are cut.
-FILTER_BITS, _SLICES = 26, 64
+#: The most counted tokens and runs that every task holds: so many at most, whatever the corpus. All others are joined by key.
+HOT_TOKENS, HOT_RUNS = 1 << 20, 1 << 21
+#: Bytes of text handled at once, runs of a length that a task sums before it sends them on, and bytes of training text for each slice of the counts.
+BLOCK, SUMMED, SLICE = 4 << 20, 2_500_000, 16 << 20
+#: Most bits of a filter of stored runs, as a power of two, and the parts into which a task's bits are cut.
+FILTER_BITS, _PARTS = 26, 64
 _KEPT_WORDS = 100_000
 
 
@@ -55,41 +57,30 @@ def _streams(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
                 words, lengths, size, first = [b""], [], 0, row + 1
 
 
-def _summed(codes: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
-    """Counts of the codes, added up as far as ``SUMMED`` codes at a time allow."""
-    held, size = [], 0
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
-    def out() -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], names=[name, "c"])
 
-    for c in codes:
-        held.append(c)
-        size += len(c)
-        if size >= SUMMED:
-            yield out()
-            held, size = [], 0
-    if size:
-        yield out()
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def _key(*run: np.ndarray) -> np.ndarray:
-    """Hash of the runs whose first, second, ... tokens are given."""
-    out = np.full(len(run[0]), len(run), np.uint64)
-    with np.errstate(over="ignore"):
-        for tokens in run:
-            out = (out ^ tokens) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-    return out
-
+def run_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The key of runs whose parts without the last and without the first token are given: what ``xxhash64(before, after)`` gives in SQL.
 
-def _run(h: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The runs of ``length`` tokens in a stream, and which of them don't reach back over the end of a text."""
-    run = [h[k : len(h) - length + 1 + k] for k in range(length)] if len(h) >= length else [h[:0]] * length
-    inside = np.ones(len(run[0]), bool)
-    for tokens in run[1:-1]:
-        inside &= tokens != END
-    return run, inside
+    A token is its own key, so a run of any length is the pair of the two runs within it.
+    """
+    h: np.ndarray | np.uint64 = np.uint64(42)
+    with np.errstate(over="ignore"):
+        for x in (before, after):
+            h = h + _P5 + np.uint64(8)
+            h = h ^ (_turn(x * _P2, 31) * _P1)
+            h = _turn(h, 27) * _P1 + _P4
+            h ^= h >> np.uint64(33)
+            h *= _P2
+            h ^= h >> np.uint64(29)
+            h *= _P3
+            h ^= h >> np.uint64(32)
+    return h
 
 
 def _find(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -125,9 +116,9 @@ class Filter:
 
 
 def _filter(keyed: DataFrame) -> Filter:
-    """The filter of the column ``key`` of a checkpointed table."""
+    """The filter of the column ``key`` of a stored table."""
     power = min(FILTER_BITS, max(16, (12 * keyed.count()).bit_length()))
-    part = (1 << power) // 8 // _SLICES
+    part = (1 << power) // 8 // _PARTS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, some = np.zeros(1 << power, bool), False
@@ -137,252 +128,308 @@ def _filter(keyed: DataFrame) -> Filter:
                 bits[at.astype(np.int64)] = True
         if some:
             made = np.packbits(bits, bitorder="little")
-            rows = [made[k * part : (k + 1) * part].tobytes() for k in range(_SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(rows, pa.binary())], names=["slice", "bits"])
+            rows = [made[k * part : (k + 1) * part].tobytes() for k in range(_PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["part", "bits"])
 
     def unite(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
 
-    kind = "slice int, bits binary"
-    tasks = keyed.select("key").mapInArrow(mark, kind).withColumn("_some", F.pmod(F.spark_partition_id(), F.lit(64)))
-    some = tasks.groupBy("slice", "_some").applyInPandas(lambda rows: unite(rows), kind)
-    found = some.groupBy("slice").applyInPandas(unite, kind).toPandas().sort_values("slice")
+    kind = "part int, bits binary"
+    tasks = keyed.select("key").coalesce(256).mapInArrow(mark, kind).withColumn("_some", F.pmod(F.spark_partition_id(), F.lit(16)))
+    some = tasks.groupBy("part", "_some").applyInPandas(lambda rows: unite(rows), kind)
+    found = some.groupBy("part").applyInPandas(unite, kind).toPandas().sort_values("part")
     return Filter(np.frombuffer(b"".join(found["bits"]) or bytes((1 << power) // 8), np.uint8), power)
 
 
-@dataclass
-class Level:
-    """Hot runs of one length, sorted by ``key``: whether each stays as a context, and its weights.
-
-    ``own`` is what it adds to the score of its last token, ``after`` what it adds, as a context, to that of the next token.
+# -- counts: each task sends its sums as one compact block for each slice of the keys
+
+
+def _blocks(length: int, before: np.ndarray, after: np.ndarray, slices: int) -> pa.RecordBatch:
+    """(length, slice, block) of the counts of runs: a block has the distinct ``before``, how often each stands, then ``after`` and the counts."""
+    key = run_key(before, after)
+    key, at, counts = np.unique(key, return_index=True, return_counts=True)
+    place = (key % np.uint64(slices)).astype(np.int64)
+    before, after = before[at], after[at]
+    order = np.lexsort((after, before, place))
+    place, before, after, counts = place[order], before[order], after[order], counts[order].astype("<u4")
+    some, start = np.unique(place, return_index=True)
+    blocks = []
+    for lo, hi in zip(start, np.append(start[1:], len(place)), strict=True):
+        firsts = np.flatnonzero(np.append(True, before[lo + 1 : hi] != before[lo : hi - 1]))
+        stands = np.diff(np.append(firsts, hi - lo)).astype("<u4")
+        head = np.array([hi - lo, len(firsts)], "<u4")
+        blocks.append(b"".join(x.tobytes() for x in (head, before[lo:hi][firsts], stands, after[lo:hi], counts[lo:hi])))
+    return pa.RecordBatch.from_arrays([pa.array([length] * len(some), pa.int32()), pa.array(some, pa.int64()), pa.array(blocks, pa.binary())], names=["length", "slice", "block"])
+
+
+def _merged(rows: pd.DataFrame, least: int) -> Iterator[pd.DataFrame]:
+    """The summed counts of the blocks of one slice, for each length; runs of several tokens from ``least`` on."""
+    for length, blocks in rows.groupby("length")["block"]:
+        before, after, counts = [], [], []
+        for b in blocks:
+            n, m = np.frombuffer(b, "<u4", 2).tolist()
+            before.append(np.repeat(np.frombuffer(b, np.uint64, m, 8), np.frombuffer(b, "<u4", m, 8 + 8 * m)))
+            after.append(np.frombuffer(b, np.uint64, n, 8 + 12 * m))
+            counts.append(np.frombuffer(b, "<u4", n, 8 + 12 * m + 8 * n))
+        before, after = np.concatenate(before), np.concatenate(after)
+        _, at, back = np.unique(run_key(before, after), return_index=True, return_inverse=True)
+        total = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+        kept = total >= (least if length > 1 else 1)
+        yield pd.DataFrame({"length": np.int32(length), "pre": before[at][kept].view(np.int64), "suf": after[at][kept].view(np.int64), "c": total[kept]})
+
+
+def _counted(train: DataFrame, text_col: str, runs, name: str) -> DataFrame:
+    """A stored table ``(length, pre, suf, c)`` of what ``runs`` finds in a stream of tokens: (length, runs without their last, without their first token).
+
+    A token has a ``suf`` of 0. Slices follow the size of the texts, so what a task merges at once has a bound.
     """
+    size = train.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    slices = max(1, -(-size // SLICE))
 
-    key: np.ndarray
-    own: np.ndarray
-    after: np.ndarray
-    kept: np.ndarray
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        sizes: dict[int, int] = {}
+
+        def sums(length: int) -> pa.RecordBatch:
+            sizes[length] = 0
+            return _blocks(length, *map(np.concatenate, zip(*held.pop(length), strict=True)), slices)
+
+        for _, _, h, _ in _streams(batches, 0):
+            for length, before, after in runs(h):
+                if not len(before):
+                    continue
+                held.setdefault(length, []).append((before, after))
+                sizes[length] = sizes.get(length, 0) + len(before)
+                if sizes[length] >= SUMMED:
+                    yield sums(length)
+        for length in list(held):
+            yield sums(length)
+
+    sent = train.select(text_col).mapInArrow(count, "length int, slice long, block binary")
+    merged = sent.groupBy("slice").applyInPandas(lambda rows: pd.concat([*_merged(rows, C_MIN)]), "length int, pre long, suf long, c long")
+    return common.stored(merged, name, "length")
+
+
+def _short(h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """All tokens but the first, and all pairs of a stream."""
+    yield 1, h[1:], np.zeros(len(h) - 1, np.uint64)
+    yield 2, h[:-1], h[1:]
+
+
+def _long(depth: int, pairs, states):
+    """Runs of 3 to ``depth + 1`` tokens whose pairs all are in ``pairs``, and whose last token but one is a state, or the last one if they can be contexts."""
+
+    def runs(h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        key = run_key(h[:-1], h[1:])
+        fine = pairs.has(key)
+        may = fine.copy()  # of a run that starts here
+        for length in range(3, depth + 2):
+            if len(key) < 2:
+                return
+            may = may[:-1] & fine[length - 2 :] & (h[length - 2 : -1] != END)  # the tokens in between don't end a text
+            at = np.flatnonzero(may)
+            last = states.has(h[at + length - 2])
+            if length <= depth:  # its count is the size of a longer context
+                last |= states.has(h[at + length - 1])
+            at = at[last]
+            yield length, key[at], key[at + 1]
+            key = run_key(key[:-1], key[1:])
+
+    return runs
 
 
 @dataclass
 class Tree:
-    """The hot part of the tree, and the counts of hot symbols. At most ``1 / P_MIN`` symbols and as many runs of each length, however large
-    the corpus; the rest is in tables."""
+    """The hot part of the tree: the most counted tokens, and the most counted runs with what each adds to a score.
+
+    ``own`` is what a run adds to the score of its last token, ``after`` what it adds, as a state, to that of the next token.
+    Everything else is in tables; ``stored`` tells which keys may be there.
+    """
 
     symbols: np.ndarray
     count: np.ndarray
     tokens: int
     distinct: int
-    levels: list[Level]
+    key: np.ndarray
+    own: np.ndarray
+    after: np.ndarray
+    stored: Filter
+    depth: int
 
     def root(self, c: np.ndarray | float) -> np.ndarray:
         """log10 probability, at the root, of a token counted ``c`` times."""
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def look(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length: the keys of the stream's runs, where they are among the hot ones (or -1), and which are inside a text."""
-        for n, level in enumerate(self.levels):
-            run, inside = _run(hashes, n + 1)
-            key = _key(*run)
-            yield key, np.where(inside, _find(level.key, key), -1), inside
-
-    def score(self, hashes: np.ndarray, looked: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
         """Of every token but the first: the symbol (or -1), its root log10 probability (0 if no symbol), and what the hot runs make of it.
 
-        A token that is no symbol adds the weights of its runs only: its root probability is added where its count is known.
+        Then the keys of states and of runs that may be stored but aren't hot, with the token that each counts at. From token to token the
+        states of growing length are followed as far as there are any.
         """
-        symbol = _find(self.symbols, hashes)[1:]
+        symbol = _find(self.symbols, h[1:])
         base = _take(self.root(self.count), symbol)
         made = base.copy()
-        for n, (level, (_, at, _)) in enumerate(zip(self.levels, looked or self.look(hashes), strict=True)):
-            made[max(n - 1, 0) :] += _take(level.own, at)[n == 0 :]
-            made[n:] += _take(level.after, at)[:-1]
-        return symbol, base, made
-
-    def asked(self, looked: list, stored: Filter) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of runs that may be stored but aren't hot, and at which token (but the first) of the stream each counts."""
-        keys, places = [], []
-        for n, (key, at, inside) in enumerate(looked):
-            if n == 0:  # a single token is looked up as the context of the token after it
-                key, at, inside = key[:-1], at[:-1], inside[:-1]
-            cold = np.flatnonzero(inside & (at < 0))
-            cold = cold[stored.has(key[cold])]
-            keys.append(key[cold])
-            places.append(cold + max(n - 1, 0))
-        return np.concatenate(keys), np.concatenate(places)
-
-
-def _token_counts(train: DataFrame, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _summed((h[1:] for _, _, h, _ in _streams(batches, 0)), "token")
-
-    return train.select(text_col).mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
-def _names(length: int, first: int = 0) -> list[str]:
-    return [f"w{k}" for k in range(first, first + length)]
-
-
-def _keyed(runs: DataFrame, length: int) -> DataFrame:
-    """``runs`` with the hash of ``w0, w1, ...`` as ``key``, and without those."""
-    others = [f for f in runs.schema.fields if f.name not in _names(length)]
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = _key(*(batch.column(k).to_numpy().view(np.uint64) for k in range(length)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns[length:]], names=["key", *(f.name for f in others)])
-
-    return runs.select(*_names(length), *(f.name for f in others)).mapInArrow(add, T.StructType([T.StructField("key", T.LongType()), *others]))
-
-
-def _run_counts(train: DataFrame, shorter: DataFrame, text_col: str, length: int) -> DataFrame:
-    """``(w0, w1, ..., c)`` of the runs of ``length`` tokens counted ``C_MIN`` times or more; ``shorter`` has those of one token less.
-
-    A frequent run has frequent parts: a filter of the shorter runs keeps most others from being sent.
+        cold: tuple[list, list] = ([], [])
+
+        def look(keys: np.ndarray, at: np.ndarray, weights: np.ndarray, kind: int) -> None:
+            found = _find(self.key, keys)
+            made[at] += _take(weights, found)
+            cold[kind].append((keys[found < 0], at[found < 0]))
+
+        key, t = h, np.arange(1, len(h))
+        for n in range(1, self.depth + 1):
+            if n > 1:
+                t = t[t >= n]
+                t = t[h[t - n + 1] != END]
+            state = key[t - n]
+            may = self.stored.has(state)
+            t, state = t[may], state[may]
+            if not len(t):
+                break
+            longer = run_key(key[:-1], key[1:])
+            run = longer[t - n]
+            may = self.stored.has(run)
+            look(state, t - 1, self.after, 0)
+            look(run[may], t[may] - 1, self.own, 1)
+            key = longer
+        return symbol, base, made, *cold
+
+
+def grow(grams: DataFrame, longer: DataFrame | None, depth: int, lengths: list[int], below: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame]:
+    """Stored weights ``(key, c, own, after)`` of the states of ``lengths`` tokens less one and of their transitions.
+
+    Starts from ``below(key, v)``, the runs of one token less that a state reaches, with ``v`` their count and log10 probability. A stored transition has
+    ``(count - DISCOUNT) / count of the context``; the rest of the mass goes to all other tokens in proportion to what the context without
+    its first token gives them, so every state's probabilities add up to one. A context becomes a state if the context without its first token is one (the empty
+    one always is) and its distribution improves the log likelihood of what followed it by ``DIVERGENCE`` nats over that shorter state. The log10 of it all is a
+    sum of weights of the runs that end with a token or before it (see :class:`Tree`).
     """
-    names = _names(length)
-    shared = train.sparkSession.sparkContext.broadcast(_filter(common.cut(_keyed(shorter.select(*_names(length - 1)), length - 1))))
-
-    def sums(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(held, axis=1)
-        _, at, counts = np.unique(_key(*rows), return_index=True, return_counts=True)
-        rows = rows[:, at]
-        order = np.lexsort(rows[::-1])  # neighbours are alike, and so take less room
-        return pa.RecordBatch.from_arrays([*(pa.array(r[order].view(np.int64)) for r in rows), pa.array(counts[order], pa.int64())], names=[*names, "c"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for _, _, h, _ in _streams(batches, 0):
-            run, inside = _run(h, length)
-            part = shared.value.has(_key(*_run(h, length - 1)[0]))
-            inside &= part[: len(inside)] & part[len(part) - len(inside) :]
-            held.append(np.stack([r[inside] for r in run]))
-            size += int(inside.sum())
-            if size >= SUMMED:
-                yield sums(held)
-                held, size = [], 0
-        if size:
-            yield sums(held)
-
-    kind = ", ".join(f"{n} long" for n in [*names, "c"])
-    return common.cut(train.select(text_col).mapInArrow(count, kind).groupBy(*names).agg(F.sum("c").alias("c")).filter(F.col("c") >= C_MIN))
-
-
-def grow(train: DataFrame, counts: DataFrame, text_col: str = "text", depth: int = DEPTH) -> list[DataFrame]:
-    """``(key, c, own, after, kept)`` of the stored runs of 1 to ``depth + 1`` tokens that change a score; ``counts(token, c)`` holds all training tokens.
-
-    A stored transition has ``(count - DISCOUNT) / count of the context``; the rest of the mass goes to all other tokens in
-    proportion to what the context without its first symbol gives them, so every state's probabilities add up to one. A context stays if its
-    distribution improves the log likelihood of what followed it by ``DIVERGENCE`` nats over that shorter context, or if a
-    longer one that ends with it stays. The log10 of it all is a sum of weights of the runs that end with a token or before it (see :class:`Level`).
-    """
-    facts = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    root = F.log10((F.col("c") + 0.5) / F.lit((facts.n or 0) + 0.5 * (facts.v + 1)))
-    below = common.cut(counts.filter(F.col("c") >= C_MIN).select(F.col("token").alias("w0"), "c", root.alias("logp")))
-    runs, contexts = [], []
-    for n in range(1, depth + 1):
-        found = _run_counts(train, below, text_col, n + 1)
-        # what the shorter context gives the last token: a frequent run's end is frequent, so it is stored
-        ends = below.select(*(F.col(w).alias(f"w{k + 1}") for k, w in enumerate(_names(n))), F.col("logp").alias("given"))
-        found = common.cut(found.join(ends, _names(n, 1)))
+    made = []
+    for length in lengths:
+        runs = (grams if length <= 2 else longer).filter(F.col("length") == length).select("pre", "suf", "c")
+        # what the shorter state gives the last token; runs that no shorter state reaches go
+        found = runs.join(below.select(F.col("key").alias("suf"), F.col("v.logp").alias("given")), "suf").select("pre", "suf", "c", "given")
+        sizes = (grams if length - 1 <= 2 else longer).filter(F.col("length") == length - 1)
+        sizes = sizes.select((F.col("pre") if length == 2 else F.xxhash64("pre", "suf")).alias("pre"), F.col("c").alias("size"))
+        found = common.stored(found.join(sizes, "pre"), f"runs{length}")
         own = F.col("c") - DISCOUNT
-        sums = found.groupBy(*_names(n)).agg(
-            F.sum(own).alias("mass"), F.sum(F.pow(F.lit(10.0), "given")).alias("given"), F.sum("c").alias("n"), F.sum(F.col("c") * (F.ln(own) - F.col("given") * float(np.log(10)))).alias("gain"),
+        sums = found.groupBy("pre").agg(
+            F.sum(own).alias("mass"), F.sum(F.pow(F.lit(10.0), "given")).alias("given"), F.sum("c").alias("n"), F.first("size").alias("size"),
+            F.sum(F.col("c") * (F.ln(own) - F.col("given") * float(np.log(10)))).alias("gain"),
         )
-        rest = F.greatest(1 - F.col("mass") / F.col("c"), F.lit(1e-12)) / F.greatest(1 - F.col("given"), F.lit(1e-12))
-        gain = F.col("gain") - F.col("n") * F.ln("c") + (F.col("c") - F.col("n")) * F.ln(rest)
-        state = below.select(*_names(n), "c").join(sums, _names(n)).select(*_names(n), F.col("c").alias("size"), F.log10(rest).alias("after"), (gain >= DIVERGENCE).alias("kept"))
-        contexts.append(common.cut(state))
-        below = common.cut(found.join(contexts[-1].select(*_names(n), "size"), _names(n)).select(*_names(n + 1), "c", "given", F.log10(own / F.col("size")).alias("logp")))
-        runs.append(below)
-    for n in range(depth - 1, 0, -1):
-        ends = contexts[n].filter("kept").select(*(F.col(w).alias(f"w{k}") for k, w in enumerate(_names(n, 1)))).distinct().withColumn("_end", F.lit(True))
-        contexts[n - 1] = common.cut(contexts[n - 1].join(ends, _names(n), "left").withColumn("kept", F.col("kept") | F.col("_end").isNotNull()).drop("_end"))
-    made = []
-    for n in range(depth + 1):
-        parts = []
-        if n < depth:
-            parts.append(contexts[n].filter("kept").select(*_names(n + 1), F.col("size").alias("c"), F.lit(0.0).alias("own"), "after", "kept"))
-        if n:
-            kept = contexts[n - 1].filter("kept").select(*_names(n), "after")
-            parts.append(runs[n - 1].join(kept, _names(n)).select(*_names(n + 1), "c", (F.col("logp") - F.col("given") - F.col("after")).alias("own"), F.lit(0.0).alias("after"), F.lit(False).alias("kept")))
-        table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy(*_names(n + 1)).agg(F.max("c").alias("c"), F.sum("own").alias("own"), F.sum("after").alias("after"), F.max("kept").alias("kept"))
-        made.append(common.cut(_keyed(table, n + 1)))
-    return made
-
-
-def hot(counts: DataFrame, levels: list[DataFrame], p_min: float = P_MIN) -> Tree:
-    """What of :func:`grow` every task holds: tokens and runs with a share of at least ``p_min`` of all training tokens."""
-    facts = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    often = F.col("c") >= max(C_MIN, int(np.ceil(p_min * (facts.n or 0))))
-    unsigned = lambda values: values.to_numpy(np.int64).view(np.uint64)
-    frequent = counts.filter(often).toPandas()
-    order = np.argsort(unsigned(frequent["token"]))
-    tree = Tree(unsigned(frequent["token"])[order], frequent["c"].to_numpy(np.int64)[order], int(facts.n or 0), int(facts.v), [])
-    for table in levels:
-        found = table.filter(often).drop("c").toPandas()
-        order = np.argsort(unsigned(found["key"]))
-        tree.levels.append(Level(unsigned(found["key"])[order], found["own"].to_numpy(float)[order], found["after"].to_numpy(float)[order], found["kept"].to_numpy(bool)[order]))
-    return tree
-
-
-def learn(train: DataFrame, counts: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
-    """The hot part of the tree of the training texts; with a ``p_min`` of 0 the whole tree."""
-    return hot(counts, grow(train, counts, text_col, depth), p_min)
-
-
-def scores(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, p_min: float = P_MIN) -> DataFrame:
+        rest = F.greatest(1 - F.col("mass") / F.col("size"), F.lit(1e-12)) / F.greatest(1 - F.col("given"), F.lit(1e-12))
+        gain = F.col("gain") - F.col("n") * F.ln("size") + (F.col("size") - F.col("n")) * F.ln(rest)
+        states = common.stored(sums.select("pre", "size", F.log10(rest).alias("after"), gain.alias("gain")).filter(F.col("gain") >= DIVERGENCE).drop("gain"), f"states{length}")
+        logp = F.log10(own / F.col("size"))
+        moves = common.stored(
+            found.join(states.select("pre", "after"), "pre").select(F.xxhash64("pre", "suf").alias("key"), F.struct("c", logp.alias("logp")).alias("v"), (logp - F.col("given") - F.col("after")).alias("own")), f"moves{length}"
+        )
+        made.append(states.select(F.col("pre").alias("key"), F.col("size").alias("c"), F.lit(0.0).alias("own"), "after"))
+        made.append(moves.select("key", "v.c", "own", F.lit(0.0).alias("after")))
+        below = moves.select("key", "v")
+    return made, below
+
+
+def learn(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Stored tables of the tree of the training texts: ``(token, c)`` of all tokens, and ``(key, c, own, after)`` of states and transitions (:func:`grow`).
+
+    Texts are read twice: tokens and pairs are counted first; of the longer runs, only those whose pairs are all stored and that a state of
+    one token reaches are counted. No other can be in the tree.
+    """
+    grams = _counted(train, text_col, _short, "grams")
+    tokens = grams.filter("length = 1").select(F.col("pre").alias("token"), "c")
+    facts = tokens.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    root = F.log10((F.col("c") + 0.5) / F.lit((facts.n or 0) + 0.5 * (facts.v + 1)))
+    below = tokens.filter(F.col("c") >= C_MIN).select(F.col("token").alias("key"), F.struct("c", root.alias("logp")).alias("v"))
+    weights, below = grow(grams, None, depth, [2], below)
+    if depth > 1:
+        share = train.sparkSession.sparkContext.broadcast
+        pairs, states = share(_filter(grams.filter("length = 2").select(F.xxhash64("pre", "suf").alias("key")))), share(_filter(weights[0]))
+        longer = _counted(train, text_col, lambda h: _long(depth, pairs.value, states.value)(h), "longer")
+        more, _ = grow(grams, longer, depth, [*range(3, depth + 2)], below)
+        weights += more
+    every = weights[0]
+    for w in weights[1:]:
+        every = every.unionByName(w)
+    every = every.groupBy("key").agg(F.max("c").alias("c"), F.sum("own").alias("own"), F.sum("after").alias("after"))
+    return tokens, common.stored(every, "weights")
+
+
+def _most(table: DataFrame, rows: int) -> pd.DataFrame:
+    """The most counted rows of a table, ``rows`` at most: from the count on that no more reach (to an eighth of a power of two)."""
+    step = F.floor(F.log2("c") * 8)
+    found = table.groupBy(step.alias("step")).count().toPandas().sort_values("step", ascending=False)  # a few hundred rows
+    fits = found.loc[found["count"].cumsum() <= rows, "step"]
+    return table.filter(step >= (int(fits.min()) if len(fits) else 1 << 30)).toArrow().to_pandas()
+
+
+def hot(tokens: DataFrame, weights: DataFrame, depth: int = DEPTH, hot_tokens: int = HOT_TOKENS, hot_runs: int = HOT_RUNS) -> Tree:
+    """What of the tables of :func:`learn` every task holds: the most counted tokens and runs, of a fixed number at most."""
+    facts = tokens.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+
+    def by(table: pd.DataFrame, name: str) -> tuple[pd.DataFrame, np.ndarray]:
+        key = table[name].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        return table.iloc[order], key[order]
+
+    (symbols, names), (runs, keys) = by(_most(tokens, hot_tokens), "token"), by(_most(weights, hot_runs), "key")
+    return Tree(names, symbols["c"].to_numpy(np.int64), int(facts.n or 0), int(facts.v), keys, runs["own"].to_numpy(float), runs["after"].to_numpy(float), _filter(weights), depth)
+
+
+def scores(
+    docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, hot_tokens: int = HOT_TOKENS, hot_runs: int = HOT_RUNS
+) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of all ``docs``, learnt from those where ``train_when`` holds.
 
     Tokens are the words of the text with A-Z lower-cased, and one end. ``base_score`` is the log10 probability under smoothed counts of single
-    tokens, ``score`` that of the tree, whose contexts have ``depth`` tokens at most. All runs counted ``C_MIN`` times make up the tree, however
-    large the corpus. Every task holds those of a share of at least ``p_min`` of the training tokens; all others are looked up by joins,
-    so ``p_min`` changes no score.
+    tokens, ``score`` that of the tree, whose states have 1 to ``depth`` tokens: each token is scored at the longest state that the tokens before it
+    end with. All runs counted ``C_MIN`` times are tried, however large the corpus. Every task holds the most counted
+    tokens and runs, ``hot_tokens`` and ``hot_runs`` at most; all others are looked up by joins, so neither changes a score.
 
     Null text counts as empty: its only token is the end. Rows of equal id are scored each by itself. Rows whose
     condition is null are held out. Without training rows the model is uniform over the one unknown token. Tokens and runs are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(train_when, F.lit(False)).alias("_train"))
-    train = docs.filter("_train")
-    counts = common.cut(_token_counts(train, "_text"))
-    levels = grow(train, counts, "_text", depth)
-    tree = hot(counts, levels, p_min)
-    weights = levels[0].select("key", "own", "after")
-    for level in levels[1:]:
-        weights = weights.unionByName(level.select("key", "own", "after"))
-    shared = docs.sparkSession.sparkContext.broadcast((tree, _filter(weights)))
-    schema = T.StructType([docs.schema["_id"], docs.schema["_train"]]).add("n", "long").add("known", "long").add("base", "double").add("made", "double").add("rare", T.ArrayType(T.LongType())).add("runs", T.ArrayType(T.LongType()))
+    tokens, weights = learn(docs.filter("_train"), "_text", depth)
+    tree = hot(tokens, weights, depth, hot_tokens, hot_runs)
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    lists = T.ArrayType(T.LongType())
+    schema = T.StructType([docs.schema["_id"], docs.schema["_train"]]).add("n", "long").add("known", "long").add("base", "double").add("made", "double").add("rare", lists).add("states", lists).add("runs", lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, h, lengths in _streams(batches, 1):
-            tree, stored = shared.value
-            looked = list(tree.look(h))
-            symbol, base, made = tree.score(h, looked)
+            tree = shared.value
+            symbol, base, made, states, runs = tree.score(h)
             start = np.cumsum(lengths) - lengths
-            rare = symbol < 0
-            ends = np.append(0, np.cumsum(np.add.reduceat(rare, start)))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[1:][rare].view(np.int64)))
-            keys, places = tree.asked(looked, stored)
-            order = np.argsort(places, kind="stable")
-            ends = np.append(np.searchsorted(places[order], start), len(places))
-            runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order].view(np.int64)))
+
+            def by_text(keys: np.ndarray, at: np.ndarray) -> pa.ListArray:
+                order = np.argsort(at, kind="stable")
+                ends = np.append(np.searchsorted(at[order], start), len(at))
+                return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order].view(np.int64)))
+
+            none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            joined = [by_text(*map(np.concatenate, zip(*(found or [none]), strict=True))) for found in (states, runs)]
+            rare = np.flatnonzero(symbol < 0)
             part = batch.slice(first, len(lengths))
+            known = np.add.reduceat((symbol >= 0).astype(np.int64), start)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((~rare).astype(np.int64), start)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(made, start)), lists, runs],
-                names=["_id", "_train", "n", "known", "base", "made", "rare", "runs"],
+                [part.column(0), part.column(2), pa.array(lengths, pa.int64()), pa.array(known), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(made, start)), by_text(h[1:][rare], rare), *joined],
+                names=["_id", "_train", "n", "known", "base", "made", "rare", "states", "runs"],
             )
 
-    # the checkpoint fixes the rows' numbers
-    rows = common.cut(docs.select("_id", "_text", "_train").mapInArrow(run, schema)).withColumn("_row", F.monotonically_increasing_id())
-    asked = rows.select("_row", F.explode("rare").alias("token"))
-    c = F.coalesce("c", F.lit(0))
-    root = F.log10((c + 0.5) / F.lit(tree.tokens + 0.5 * (tree.distinct + 1)))
-    rest = asked.join(counts, "token", "left").groupBy("_row").agg(F.sum(root).alias("more"), F.sum((c > 0).cast("long")).alias("seen"))
-    parts = rows.select("_row", F.explode("runs").alias("key")).join(weights, "key").groupBy("_row").agg(F.sum(F.col("own") + F.col("after")).alias("runs"))
-    out = rows.drop("rare", "runs").join(rest, "_row", "left").join(parts, "_row", "left")
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0).cast("long"))
+    # the rows' numbers are fixed once they are written
+    rows = common.stored(docs.select("_id", "_text", "_train").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
+    none = float(tree.root(0))
+    root = F.log10((F.col("c") + 0.5) / F.lit(tree.tokens + 0.5 * (tree.distinct + 1)))
+    seen = rows.select("_row", F.explode("rare").alias("token")).join(tokens, "token").select("_row", F.lit(1).alias("seen"), (root - none).alias("root"), F.lit(0.0).alias("more"))
+    asked = lambda lists, weight: rows.select("_row", F.explode(lists).alias("key")).join(weights.select("key", weight), "key").select("_row", F.lit(0).alias("seen"), F.lit(0.0).alias("root"), F.col(weight).alias("more"))
+    rest = seen.unionByName(asked("states", "after")).unionByName(asked("runs", "own"))
+    rest = rest.groupBy("_row").agg(F.sum("seen").alias("seen"), F.sum("root").alias("root"), F.sum("more").alias("more"))
+    out = rows.withColumn("unseen", F.size("rare") * F.lit(none)).drop("rare", "states", "runs").join(rest, "_row", "left")
+    base = F.col("unseen") + F.coalesce("root", F.lit(0.0))
     return out.select(
-        F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + seen).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("made") + more + F.coalesce("runs", F.lit(0.0))).alias("score"),
+        F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+        F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + base).alias("base_score"), (F.col("made") + base + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 
