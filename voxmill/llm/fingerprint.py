@@ -13,14 +13,21 @@ BINS, DIGITS, WIDTH = 128, 2, 5
 BITS = 4 * DIGITS
 
 
+def _with(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
-    """Hash of every shingle of ``width`` words of the lower-cased text; fewer words are one shingle, no words none."""
+    """Hash of every shingle of ``width`` words of the lower-cased text; fewer words are one shingle, no words none.
+
+    Words are hashed once; a shingle is the hash of its words' hashes.
+    """
     words = F.filter(F.split(common.ascii_lower(text), common.SPACE), lambda w: w != "")
-    long = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - (width - 1)), lambda i: F.xxhash64(F.slice(ws, i, width)))
-    short = lambda ws: F.when(F.size(ws) > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))
-    # bind the words once: each use would split the text again
-    bound = F.transform(F.array(words), lambda ws: F.when(F.size(ws) >= width, long(ws)).otherwise(short(ws)))
-    return bound[0]
+    at = lambda hs, k: F.get(hs, k)
+    long = lambda hs: F.transform(F.sequence(F.lit(0), F.size(hs) - width), lambda i: F.xxhash64(*[at(hs, i + k) for k in range(width)]))
+    short = lambda hs: F.when(F.size(hs) > 0, F.array(F.xxhash64(hs))).otherwise(F.array().cast("array<bigint>"))
+    return _with(F.transform(words, lambda w: F.xxhash64(w)), lambda hs: F.when(F.size(hs) >= width, long(hs)).otherwise(short(hs)))
 
 
 def densify(filled: Column, bins: int = BINS, attempts: int = 8) -> Column:
@@ -34,20 +41,27 @@ def densify(filled: Column, bins: int = BINS, attempts: int = 8) -> Column:
     ask = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(bins)).cast("int")
     tried = lambda ks, i: F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(attempts)), lambda t: F.get(ks, ask(i, t))), lambda x: x.isNotNull()), F.lit(0))
     last = lambda i: F.array_min(F.transform(F.map_entries(filled), lambda e: F.struct(F.xxhash64(i, F.lit("last"), e["key"]), e["value"].alias("v"))))["v"]
-    bound = F.transform(F.array(known), lambda ks: F.transform(ks, lambda k, i: F.coalesce(k, tried(ks, i), last(i))))
-    return bound[0]
+    return _with(known, lambda ks: F.transform(ks, lambda k, i: F.coalesce(k, tried(ks, i), last(i))))
 
 
-def fingerprints(hashes: DataFrame, key: list[str], bins: int = BINS) -> DataFrame:
-    """``(*key, bits)`` of ``hashes(*key, _h)`` with one row for each shingle; rows of a null ``_h`` stand for no shingle.
+def fingerprint_bits(hashes: Column, bins: int = BINS) -> Column:
+    """The fingerprint of an array of shingle hashes as ``bins`` small numbers; an empty array for no shingles.
 
-    The bin is the hash modulo ``bins``; of the rest, the smallest is kept, and of that the ``BITS`` low-order bits. A document
-    without shingles has an empty array.
+    The bin is the hash modulo ``bins``; of the rest, the smallest in each bin is kept, and of that the ``BITS`` low-order bits. All of it
+    happens inside the row: sorted by (bin, rest), the first of each bin is its minimum.
     """
-    minima = hashes.withColumn("_bin", F.pmod("_h", F.lit(bins)).cast("int")).groupBy(*key, "_bin").agg(F.min(F.shiftrightunsigned("_h", 7)).alias("_min"))
-    maps = minima.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", "_min")))).alias("_map"))
-    low = F.transform(densify(F.col("_map"), bins), lambda v: v.bitwiseAND(F.lit((1 << BITS) - 1)).cast("smallint"))
-    return maps.select(*key, F.when(F.size("_map") > 0, low).otherwise(F.array().cast("array<smallint>")).alias("bits"))
+    power = bins.bit_length() - 1
+    if bins != 1 << power:
+        raise ValueError("the number of bins must be a power of two")
+    rest = 63 - power
+    placed = F.transform(hashes, lambda h: F.shiftleft(h.bitwiseAND(F.lit(bins - 1)), rest).bitwiseOR(F.shiftrightunsigned(h, power + 1)))
+    bin_of = lambda x: F.shiftright(x, rest)
+    firsts = _with(F.sort_array(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))))
+    value = lambda x: x.bitwiseAND(F.lit((1 << rest) - 1))
+    low = lambda vs: F.transform(vs, lambda v: v.bitwiseAND(F.lit((1 << BITS) - 1)).cast("smallint"))
+    sparse = lambda fs: densify(F.map_from_arrays(F.transform(fs, lambda x: bin_of(x).cast("int")), F.transform(fs, value)), bins)
+    full = lambda fs: F.when(F.size(fs) == bins, F.transform(fs, value)).when(F.size(fs) > 0, sparse(fs)).otherwise(F.array().cast("array<bigint>"))
+    return low(_with(firsts, full))
 
 
 def packed(bits: Column) -> Column:
@@ -68,57 +82,61 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fingerprint, bits)`` of ``docs``: equal texts have equal fingerprints.
+    """``(id, fingerprint, bits)`` of every row of ``docs``: equal texts have equal fingerprints.
 
-    Null and empty texts, and texts of white space, have the empty fingerprint. Ids must be unique; rows of one id are
-    fingerprinted together, as one document of all their shingles.
+    Null and empty texts, and texts of white space, have the empty fingerprint. Nothing is shuffled; ids may repeat or be null.
     """
-    rows = docs.select(id_col, F.explode_outer(shingle_hashes(F.coalesce(F.col(text_col), F.lit("")))).alias("_h"))
-    return fingerprints(rows, [id_col]).select(id_col, packed(F.col("bits")).alias("fingerprint"), "bits")
+    bits = fingerprint_bits(shingle_hashes(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.select(id_col, bits.alias("bits")).select(id_col, packed(F.col("bits")).alias("fingerprint"), "bits")
 
 
-def neighbours(ids: DataFrame, id_col: str) -> DataFrame:
-    """``ids`` with ``_prev``, the next larger id, and ``_next``, the next smaller; after the ends the order goes round.
+def neighbours(ids: DataFrame, *order: str) -> DataFrame:
+    """``ids`` with ``_next``, the last of the ``order`` columns of the row before it in that order; the first row's is that of the last row.
 
-    Ids are dealt out by range; windows order each range, and the ends of the ranges (one row each) are joined in order.
+    Rows are dealt out by range; windows order each range, and the ends of the ranges (one row each) are joined in order.
     """
-    parts = common.cut(ids.repartitionByRange(id_col).withColumn("_part", F.spark_partition_id()))
-    ends = common.cut(parts.groupBy("_part").agg(F.min(id_col).alias("_low"), F.max(id_col).alias("_high")))
-    everything = W.partitionBy()
-    order = W.orderBy("_part")
-    ends = ends.select(
-        "_part",
-        F.coalesce(F.lead("_low").over(order), F.min("_low").over(everything)).alias("_above"),
-        F.coalesce(F.lag("_high").over(order), F.max("_high").over(everything)).alias("_below"),
-    )
-    within = W.partitionBy("_part").orderBy(id_col)
-    near = parts.withColumn("_up", F.lead(id_col).over(within)).withColumn("_down", F.lag(id_col).over(within))
+    *_, key = order
+    parts = common.cut(ids.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ends = common.cut(parts.groupBy("_part").agg(F.max(F.struct(*order))[key].alias("_high")))
+    ends = ends.select("_part", F.coalesce(F.lag("_high").over(W.orderBy("_part")), F.max_by("_high", "_part").over(W.partitionBy())).alias("_below"))
+    near = parts.withColumn("_down", F.lag(key).over(W.partitionBy("_part").orderBy(*order)))
     near = near.join(F.broadcast(ends), "_part")  # a row for each partition
-    return near.select(*ids.columns, F.coalesce("_up", "_above").alias("_prev"), F.coalesce("_down", "_below").alias("_next"))
+    return near.select(*ids.columns, F.coalesce("_down", "_below").alias("_next"))
+
+
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_chars, edited_sha256, bits, edited, after)`` of every row: the bits of its text, of its edited text and of the next document.
+
+    The next document is that of the next smaller id, and after the smallest the largest. Null ids count as the smallest. Rows of equal id stand in the order of a
+    hash of their texts, so every input row has one output row. Rows of equal id and text are one document until the end: all but one of them are followed by
+    themselves. A document that is alone is followed by itself.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), text)).alias("_k"))
+    ids = common.cut(docs.select("_k", "_id", F.length("_text").cast("long").alias("n")).groupBy("_k").agg(F.first("_id").alias("_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("m")))
+    near = neighbours(ids, "_id", "_k").select("_k", "_next", "_id", "n", F.lit(1).cast("long").alias("_times"), F.lit(True).alias("_main"))
+    again = ids.filter("m > 1").select("_k", F.col("_k").alias("_next"), "_id", "n", (F.col("m") - 1).alias("_times"), F.lit(False).alias("_main"))
+    cases = common.cut(near.unionByName(again))
+    # two readers of one shuffle: Spark reuses the exchange. What a document lends is cut to size before it is moved
+    texts = docs.groupBy("_k").agg(F.first("_text").alias("_text"))
+    half = F.floor(F.col("n") / 2).cast("int")
+    lent = texts.withColumnsRenamed({"_k": "_next"}).join(cases, "_next").select("_k", "_next", "_id", "n", "_times", "_main", F.substring("_text", F.lit(1), half).alias("_lent"))
+    both = texts.join(lent, "_k")
+    edited = F.concat(F.substring("_text", F.lit(1), (F.col("n") - half).cast("int")), F.col("_lent"))
+    bits = lambda t: fingerprint_bits(shingle_hashes(t))
+    wide = both.select("_k", "_next", "_id", "n", "_times", "_main", F.sha2(edited, 256).alias("edited_sha256"), bits(F.col("_text")).alias("bits"), bits(edited).alias("edited"))
+    wide = common.stored(wide, "edited")
+    after = wide.filter("_main").select(F.col("_k").alias("_next"), F.col("bits").alias("after"))
+    out = wide.join(after, "_next").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", "bits", "edited", "after")
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike both, and neighbours, are."""
-    docs = common.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = common.cut(neighbours(docs.select("doc_id", F.length("text").cast("long").alias("n_chars")), "doc_id"))
-    # what each document lends to the one before it, cut to size before it is moved
-    half = near.select(F.col("_next").alias("doc_id"), F.col("doc_id").alias("_of"), F.floor(F.col("n_chars") / 2).cast("int").alias("_half"))
-    lent = docs.join(half, "doc_id").select(F.col("_of").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("_half")).alias("_lent"), "_half")
-    both = docs.join(lent, "doc_id")
-    n = F.length("text")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.col("_half")), F.col("_lent"))
-    # two readers of one shuffle: Spark reuses the exchange
-    facts = both.select("doc_id", F.sha2(edited, 256).alias("edited_sha256"))
-    texts = both.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("_e"), F.col("text").alias("_t")), F.struct(F.lit(1).alias("_e"), edited.alias("_t")))).alias("_x"))
-    hashed = texts.select("doc_id", "_x._e", F.explode_outer(shingle_hashes(F.col("_x._t"))).alias("_h"))
-    pick = lambda e: F.max(F.when(F.col("_e") == e, F.col("bits")))
-    made = fingerprints(hashed, ["doc_id", "_e"]).groupBy("doc_id").agg(pick(0).alias("bits"), pick(1).alias("edited"))
-    wide = common.cut(made.join(facts, "doc_id"))
-    after = wide.select(F.col("doc_id").alias("_next"), F.col("bits").alias("_after"))
-    out = wide.join(near.select("doc_id", "n_chars", "_next"), "doc_id").join(after, "_next")
-    return out.select(
+    made = edited_fingerprints(common.read(spark, sf_dir, "documents"))
+    return made.select(
         "doc_id", "n_chars", "edited_sha256", packed(F.col("bits")).alias("fingerprint"), packed(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("bits"), F.col("edited")).alias("near_edited"), likeness(F.col("bits"), F.col("_after")).alias("near_next"),
+        likeness(F.col("bits"), F.col("edited")).alias("near_edited"), likeness(F.col("bits"), F.col("after")).alias("near_next"),
     )
 
 
