@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,6 +35,14 @@ RULES = (
     Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16}", least=20),
     Rule("hex", "[0-9a-f]+", "[0-9a-f]{24}", least=24),
 )
+#: What is found besides: heads of private keys, signed web tokens, credentials in URLs, and keys whose issuers mark them with a prefix.
+MORE_RULES = (
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ"),
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]*://[^\x20\x09-\x0D/@:]+:[^\x20\x09-\x0D/@]+@", r"://[^\x20\x09-\x0D/@:]+:[^\x20\x09-\x0D/@]+@"),
+    Rule("issued_key", "(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]+", "gh[pousr]_|glpat-|xox[abprs]-|sk_live_|AIza", least=24),
+)
+ALL_RULES = RULES + MORE_RULES
 
 LEDGER = "blob string, kind string, version int, spans array<struct<start:bigint,end:bigint>>"
 
@@ -57,7 +66,7 @@ def _matches(text: Column, rule: Rule, order: int) -> Column:
     return F.filter(structs, lambda x: x["len"].isNotNull())  # the text behind the last match is a gap without a match
 
 
-def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(blobs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES) -> DataFrame:
     """``(blob, kind, version, spans)`` of each of ``blobs(blob, content, todo)`` and each rule whose place is in ``todo``.
 
     Spans are code points, the end exclusive. Rows without findings come too: the ledger notes that the pair was scanned.
@@ -81,7 +90,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+def unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = ALL_RULES, text_col: str = "text") -> DataFrame:
     """``(blob, content, todo)``: each distinct text once, with the places of the rules that the ledger lacks for it."""
     everything = F.array(*[F.lit(k) for k in range(len(rules))])
     content = F.coalesce(F.col(text_col), F.lit(""))
@@ -97,12 +106,12 @@ def unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     return left.join(seen, "blob", "left").select("blob", "content", todo.alias("todo"))
 
 
-def update(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+def update(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = ALL_RULES, text_col: str = "text") -> DataFrame:
     """The rows to append to the ledger: findings of the (blob, rule version) pairs that it lacks. Schema: ``LEDGER``."""
     return scan(unseen(docs, ledger, rules, text_col), rules)
 
 
-def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with ``blob`` and ``found``: the spans of the current rule versions, by start and then in the rules' order.
 
     ``found`` is an array of ``(start, rule, kind, end)``, empty where nothing was found. Equal texts, whatever their path or
@@ -118,7 +127,7 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
     return out.select(*kept, "blob", F.coalesce("found", none).alias("found"))
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = ALL_RULES, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; spans that overlap are merged first. Other rows stay as they are.
 
     Null texts stay null; ``n_chars`` is counted anew where a text changed. All other columns stay, whatever their names.
@@ -151,13 +160,30 @@ def digest(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def advance(docs: DataFrame, path: str, rules: tuple[Rule, ...] = ALL_RULES, text_col: str = "text") -> DataFrame:
+    """The ledger stored at ``path`` after what ``docs`` has and it lacks was scanned and appended; an absent ledger is an empty one.
+
+    ``docs`` may hold any number of versions of any number of paths: a blob that any of them had before is not scanned again, by
+    a rule version that has seen it. The rows of one append are written as a whole or, should the job fail, not at all.
+    """
+    stored = docs.sparkSession.read.schema(LEDGER)
+    try:
+        before = stored.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        before = None
+    update(docs, before, rules, text_col).write.mode("append").parquet(path)
+    return stored.parquet(path)
+
+
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of all documents, from an empty ledger."""
+    """Secrets of all documents, joined back from a ledger that is written and read; it starts empty with each run of the query."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = findings(docs, update(docs))
+    out = findings(docs, advance(docs, common.scratch_path(spark, "ledger")))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    spans = digest(F.col("found"))
-    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+    base = F.filter("found", lambda s: s["rule"] < len(RULES))
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("found")).alias("spans"))
 
 
 QUERIES = {"op9_secret_ledger": op9_secret_ledger}
@@ -173,7 +199,7 @@ def _sql(rule: Rule, order: int) -> str:
 SQL = {
     "op9_secret_ledger": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-m AS ({" UNION ALL ".join(_sql(r, k) for k, r in enumerate(RULES))}),
+m AS ({" UNION ALL ".join(_sql(r, k) for k, r in enumerate(ALL_RULES))}),
 u AS (SELECT doc_id, k, kind, least, unnest(ms) AS m, unnest(gs) AS g, unnest(gaps[1:len(ms)]) AS gap, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
 p AS (
   SELECT doc_id, k, kind, length(g) >= least AS counts, length(m) AS n,
@@ -181,10 +207,11 @@ p AS (
   FROM u),
 f AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS c,
-         string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, k) AS spans
+         string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, k) AS spans,
+         string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, k) FILTER (WHERE k < {len(RULES)}) AS base
   FROM p WHERE counts GROUP BY doc_id)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN f USING (doc_id)
 """,
 }
