@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from voxmill.llm import common
 
-#: Values of the hash-random keys, 13 hex digits of an MD5: they are exact as doubles.
-KEYS = 1 << 52
+#: Bits of the hash-random keys, 13 hex digits of an MD5, and how many of the highest deal them to ranges.
+KEY_BITS, RANGE_BITS = 52, 30
 
 
 def word_count(text: Column) -> Column:
@@ -50,7 +50,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
         "_size": word_count(F.col(text_col)),
         "_skey": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")),
         "_key": F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long"),
-        "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
+        "_id": F.struct(F.col(id_col)),
     })
 
 
@@ -71,7 +71,8 @@ def cuts(docs: DataFrame, weights: Sequence[float], share: float, cap: float, id
         .withColumn("_rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
         .withColumn("_ranges", F.ceil(F.col("_rows") / F.lit(per_bucket)))
     )
-    bucket = F.floor(F.col("_key") * F.col("_ranges") / F.lit(float(KEYS)))
+    # as the key's share of all keys: 30 of its bits times the number of ranges stay within 64 bits
+    bucket = F.shiftright(F.shiftright("_key", KEY_BITS - RANGE_BITS) * F.col("_ranges"), RANGE_BITS)
     placed = common.lookup(rows.drop("source"), plan.select(F.col("skey").alias("_skey"), "_ranges", "_rest"), ["_skey"], "inner").withColumn("_bucket", bucket)
     sums = placed.groupBy("_skey", "_bucket").agg(F.sum("_size").alias("_words"), F.first("_rest").alias("_rest"))
     through = F.sum("_words").over(W.partitionBy("_skey").orderBy("_bucket"))
@@ -98,7 +99,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     from the front in every further epoch, until the source's budget (its target rounded down) is spent. The last document of
     the last epoch is taken in part, so each source meets its budget exactly.
 
-    Null text has size 0; null sources form a source of their own, the last; a null id sorts first. Rows of equal id and source
+    Null text has size 0; null sources form a source of their own, the last; a null id sorts first. Ids may be of any type that has an order. A row for each source is
+    ordered in one task, so sources should be thousands at most, not hosts. Rows of equal id and source
     stand at one place of the order; where the cut falls on them they share what is left in proportion to their sizes, rounded down. An
     empty table gives an empty result. Input columns of the four names are replaced.
     """
