@@ -211,10 +211,47 @@ def test_rules_hold_by_domain_and_prefix(spark):
 
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
-    words = urlfilter.bloom(keys)
-    assert keys.filter(~urlfilter.might_contain(words, F.col("key"))).count() == 0
+    made = urlfilter.bloom(keys)
+    assert keys.filter(~urlfilter.might_contain(made, F.col("key"))).count() == 0
     others = spark.range(3000).select(F.concat(F.lit("other"), "id").alias("key"))
-    assert others.filter(urlfilter.might_contain(words, F.col("key"))).count() < 300
+    assert others.filter(urlfilter.might_contain(made, F.col("key"))).count() < 300
+
+
+_SPELLINGS = {
+    "http://Example.org": "example.org/", "https://user:pw@EXAMPLE.org.:443/a/../b/./c/..#top": "example.org/b/", "http://x.y:8080/%7euser/%c3%a4%2F?q=%41#f": "x.y:8080/~user/%C3%A4%2F?q=%41",
+    "ftp://h/a/.": "h/a/", "http://h/../..": "h/", "http://h/a//b?": "h/a//b", "http://h/%": "h/%", "http://h/%zz%4": "h/%zz%4", "http://h/a/...": "h/a/...", "http://h?x=/../": "h/?x=/../", "http://@/x": None, "no scheme": None, "": None, None: None,
+}
+
+
+def test_canonical_addresses(spark):
+    got = spark.createDataFrame([(u,) for u in _SPELLINGS], "url string").select("url", urlfilter.canonical(F.col("url")).alias("c")).collect()
+    assert {r.url: r.c for r in got} == _SPELLINGS
+
+
+def test_canonical_addresses_in_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (url VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(u,) for u in _SPELLINGS])
+    got = dict(con.execute(urlfilter._CANONICAL.format(id="url", table="t")).fetchall())
+    assert got == {u: c for u, c in _SPELLINGS.items() if c}
+
+
+def test_listed_pages_are_blocked_in_any_spelling(spark):
+    urls = ["http://a.net/x", "https://A.net:443/y/../x#top", "http://a.net/x?", "http://a.net/x/", "http://a.net/", "http://a.org/x", None, "http://example.org/es/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("canonical", F.lit("own"))
+    listed = spark.createDataFrame([("http://user@a.net./%78",), ("http://a.org/x",), (None,), ("bad",), ("http://a.org/x",)], "url string")
+    got = {r.page_id: (r.verdict, r.canonical) for r in urlfilter.filter_urls(pages, urlfilter.rule_table(spark), listed).collect()}
+    assert got == {k: (v, "own") for k, v in enumerate(["block", "block", "block", "allow", "allow", "allow", "allow", "block"])}
+
+
+def test_a_long_list_is_not_in_the_plan(spark):
+    listed = spark.range(1_000_000).select(F.concat(F.lit("http://listed.net/"), "id").alias("url"))
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://listed.net:80/"), F.col("id") * 1000).alias("url"))
+    out = urlfilter.filter_urls(pages, urlfilter.rule_table(spark), listed)
+    assert out.filter("verdict = 'block'").count() == 1000
+    assert len(out._jdf.queryExecution().toString()) < 1_000_000
 
 
 # -- main text
