@@ -140,21 +140,42 @@ def _fold(m: np.ndarray, times: int) -> np.ndarray:
     return m
 
 
-def screen_unit(rows: pd.DataFrame, percent: int, inside: bool) -> pd.DataFrame:
-    """The rows of a unit that may link with a member of its group, and those members: judged by sizes and parity bits.
+def _folded(parity: int, width: int, to: int) -> int:
+    """Parity bits as one number, of ``width`` bits halved down to ``to``."""
+    while width > to:
+        width //= 2
+        parity = (parity >> width) ^ (parity & ((1 << width) - 1))
+    return parity
 
-    Sets of sizes a and b that link differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` shingles. Members are
+
+def _near(a: np.ndarray | int, b: np.ndarray | int, apart: np.ndarray | int, percent: int):
+    """Whether sets of these sizes that differ in ``apart`` shingles at least may link."""
+    return ((100 + percent) * apart <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+
+def screen_unit(sizes: np.ndarray, parities: list[bytes], members: int, percent: int, inside: bool) -> np.ndarray:
+    """Which sets of a unit may link with a member of its group, and which members with any: judged by sizes and parity bits.
+
+    The first ``members`` are the group's. Sets of sizes a and b that link differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` shingles. Members are
     compared with one another where ``inside`` holds, and with visitors always.
     """
-    rows = rows.sort_values(["own", "class"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    sizes, members = rows["n"].to_numpy(), int(rows["own"].sum())
-    words = [np.frombuffer(b, np.uint64) for b in rows["parity"]]
+    hit = np.zeros(len(sizes), bool)
+    if len(sizes) <= 4:  # most units are that small
+        n, bits, width = sizes.tolist(), [int.from_bytes(p, "little") for p in parities], [8 * len(p) for p in parities]
+        for j in range(members):
+            for k in range(j + 1 if inside else members, len(n)):
+                if 100 * min(n[j], n[k]) >= percent * max(n[j], n[k]):
+                    to = min(width[j], width[k])
+                    apart = (_folded(bits[j], width[j], to) ^ _folded(bits[k], width[k], to)).bit_count()
+                    if (100 + percent) * apart <= (100 - percent) * (n[j] + n[k]):
+                        hit[j] = hit[k] = True
+        return hit
+    words = [np.frombuffer(b, np.uint64) for b in parities]
     width = np.array([len(w) for w in words])
     # sizes of sets that link are within a factor of 100 / percent, and so many halvings at most are between their numbers of bits
     steps = next(k for k in range(8) if (max(percent, 1) << k) >= 100)
     at_width = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
     bits = {w: np.stack([words[k] for k in at]) for w, at in at_width.items()}
-    hit = np.zeros(len(rows), bool)
     for w, at in at_width.items():
         here = at < members
         own, mine = at[here], bits[w][here]
@@ -168,11 +189,22 @@ def screen_unit(rows: pd.DataFrame, percent: int, inside: bool) -> pd.DataFrame:
             for lo in range(0, len(others), step := max(1, (1 << 20) // (len(own) * k))):
                 some = others[lo : lo + step]
                 apart = np.bitwise_count(left[:, None] ^ right[None, lo : lo + step]).sum(2, dtype=np.int64)
-                a, b = sizes[own][:, None], sizes[some][None]
-                near = ((100 + percent) * apart <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (own[:, None] != some[None])
+                near = _near(sizes[own][:, None], sizes[some][None], apart, percent) & (own[:, None] != some[None])
                 hit[own[near.any(1)]] = True
                 hit[some[near.any(0)]] = True
-    return rows.loc[hit, ["class", "group", "chunk", "own"]]
+    return hit
+
+
+def screen_units(rows: pd.DataFrame, percent: int, inside: bool) -> pd.DataFrame:
+    """What :func:`screen_unit` leaves of each of many units, told apart by (group, chunk)."""
+    group, chunk, own, classes = (rows[c].to_numpy() for c in ("group", "chunk", "own", "class"))
+    order = np.lexsort((classes, ~own, chunk, group))
+    group, chunk, own, sizes, parities = group[order], chunk[order], own[order], rows["n"].to_numpy()[order], rows["parity"].to_numpy()[order].tolist()
+    starts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (chunk[1:] != chunk[:-1])))
+    hit = np.zeros(len(rows), bool)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+        hit[lo:hi] = screen_unit(sizes[lo:hi], parities[lo:hi], int(own[lo:hi].sum()), percent, inside)
+    return rows.iloc[order[hit]][["class", "group", "chunk", "own"]]
 
 
 def solve_unit(rows: pd.DataFrame, percent: int, inside: bool) -> pd.DataFrame:
@@ -252,8 +284,9 @@ def _solved(docs: DataFrame, classes: DataFrame, units: DataFrame, width: int, p
     """
     units = common.cut(units)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // _UNIT_ROWS))
-    screened = units.join(classes.select("class", "n", "parity"), "class").repartition(tasks, "group", "chunk")
-    screened = screened.groupBy("group", "chunk").applyInPandas(lambda rows: screen_unit(rows, percent, inside), "class long, group long, chunk long, own boolean")
+    bin_of = F.pmod(F.xxhash64("group", "chunk"), F.lit(tasks))
+    screened = units.join(classes.select("class", "n", "parity"), "class").withColumn("bin", bin_of).repartition(tasks, "bin")
+    screened = screened.groupBy("bin").applyInPandas(lambda rows: screen_units(rows, percent, inside), "class long, group long, chunk long, own boolean")
     stops = screened.groupBy("class").agg(F.collect_list(F.struct("group", "chunk", "own")).alias("stops"))
     stops = common.cut(stops.join(classes.select("class", F.col("rep").alias("_rep"), "copies"), "class"))
 
