@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxmill.operators import components, curves, overlap, pairing, paths, selection, surface, tiling, values, workflows
+from voxmill.operators import catalogue, components, curves, losses, overlap, pairing, paths, resampling, selection, shapes, summary, surface, tiling, values, workflows
 from voxmill.sources import manifest, volumes
 from voxmill.streaming import scores
 
@@ -175,3 +175,150 @@ def test_stream_of_scores(spark, tmp_path):
     query = scores.windowed_summary(stream, "t", ["k"], "v", "1 minute", "1 minute").writeStream.format("memory").queryName("summaries").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
     query.awaitTermination(120)
     assert sorted((r["count"], r["mean"]) for r in spark.table("summaries").collect()) == [(1, 5.0), (2, 2.0)]
+
+
+# -- resampling, skeletons, plans
+
+
+def test_cubic_axis_passes_through_a_cubic():
+    weights = resampling.axis_weights(40, 80, 3)
+    at = (np.arange(80) + 0.5) / 2 - 0.5
+    f = lambda x: 0.01 * x**3 - 0.3 * x**2 + 2 * x
+    assert np.allclose((weights @ f(np.arange(40.0)))[20:60], f(at)[20:60], atol=1e-4)
+    assert np.allclose(weights.sum(1), 1) and np.allclose(resampling.axis_weights(7, 7, 3), np.eye(7), atol=1e-6)
+    assert np.allclose(resampling.axis_weights(8, 4, 1).sum(1), 1) and resampling.axis_weights(4, 2, 0).sum() == 2
+
+
+def test_separable_resampling_is_a_product_of_axes(spark):
+    draw = np.random.default_rng(0).normal(size=(5, 4, 3))
+    rows = [("1", x, y, z, float(draw[x, y, z])) for x, y, z in np.ndindex(draw.shape)]
+    got = np.zeros((7, 4, 6))
+    for r in resampling.resample(spark.createDataFrame(rows, "case_id string, x int, y int, z int, value double"), (5, 4, 3), (7, 4, 6), (3, 3, 0)).collect():
+        got[r.x, r.y, r.z] = r.value
+    want = np.einsum("ax,xyz,cz->ayc", resampling.axis_weights(5, 7, 3), draw, resampling.axis_weights(3, 6, 0))
+    assert np.allclose(got, want, atol=1e-6)
+    assert resampling.coarse_axis_orders((1.0, 1.0, 5.0), 3) == (3, 3, 0) and resampling.coarse_axis_orders((1.0, 1.0, 2.0), 3) == (3, 3, 3)
+
+
+def test_skeleton_keeps_topology():
+    bar = np.zeros((5, 5, 12), bool)
+    bar[1:4, 1:4, 1:11] = True
+    line = shapes.thinned(bar)
+    assert 6 <= line.sum() <= 12 and set(zip(*np.nonzero(line)[:2], strict=True)) == {(2, 2)}
+    ring = np.zeros((9, 9, 5), bool)
+    ring[1:8, 1:8, 1:4] = True
+    ring[3:6, 3:6, :] = False
+    thin = shapes.thinned(ring)
+    assert thin.sum() < 40 and components._betti(np.argwhere(thin))[:2] == (1, 1)
+
+
+def test_centre_line_dice(spark):
+    cells = lambda where: spark.createDataFrame([("1", *c) for c in where], "case_id string, x int, y int, z int")
+    bar = {(x, y, z) for x in range(3) for y in range(3) for z in range(12)}
+    half = {c for c in bar if c[2] < 6}
+    same = shapes.centre_line_dice(cells(bar), cells(bar)).first()
+    assert (same.precision, same.recall, same.cldice) == (1, 1, 1)
+    part = shapes.centre_line_dice(cells(bar), cells(half)).first()
+    assert part.precision == 1 and 0.3 < part.recall < 0.7
+    assert shapes.centre_line_dice(cells(bar), cells([(50, 50, 50)])).first().cldice == 0
+
+
+def test_holes_are_filled(spark):
+    shell = cube(5) - {(2, 2, 2)}
+    rows = spark.createDataFrame([("1", *c) for c in shell], "case_id string, x int, y int, z int")
+    assert shapes.fill_holes(rows).count() == 125
+    rows = spark.createDataFrame([("1", *c) for c in shell - {(2, 2, 1), (2, 2, 0)}], "case_id string, x int, y int, z int")
+    assert shapes.fill_holes(rows).count() == 122
+
+
+def test_every_point_finds_its_nearest(spark):
+    points = spark.createDataFrame([("a", 1, 0, 0, 0), ("a", 2, 100, 0, 0), ("b", 3, 0, 0, 0), ("a", 4, None, 0, 0)], "case_id string, pid int, x int, y int, z int")
+    targets = spark.createDataFrame([("a", 7, 1, 0, 0), ("a", 8, 5, 0, 0)], "case_id string, tid int, x int, y int, z int")
+    got = {r.pid: (r.tid, r.dist) for r in surface.nearest_point(points, targets, ["case_id"], 2).collect()}
+    assert got == {1: (7, 1.0), 2: (8, 95.0), 3: (None, None), 4: (None, None)}
+
+
+def test_exact_percentiles(spark):
+    draw = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in np.append(draw.normal(size=500), [5.0] * 300)] + [("b", 2.0)] * 7 + [("c", None), (None, 1.0), (None, 4.0)]
+    table = spark.createDataFrame(rows, "g string, v double")
+    got = {(r.g, r.fraction): r.value for r in summary.percentiles(table, ["g"], "v", [0.005, 0.5, 0.95], bins=16).collect()}
+    for g in ("a", "b", None):
+        values_ = [v for k, v in rows if k == g and v is not None]
+        assert [got[g, q] for q in (0.005, 0.5, 0.95)] == pytest.approx([np.percentile(values_, 100 * q) for q in (0.005, 0.5, 0.95)])
+    assert len(got) == 9
+
+
+def test_ranks_over_ranges(spark):
+    rows = spark.range(5000).selectExpr("id * 7919 % 5003 AS k", "id % 3 AS g")
+    got = selection.numbered(rows, [F.col("k")], ["g"], ranges=17).toPandas()
+    for _, part in got.groupby("g"):
+        part = part.sort_values("k")
+        assert part["_rank"].tolist() == list(range(1, len(part) + 1)) and set(part["_total"]) == {len(part)}
+    assert selection.folds(spark.range(11), ["id"], 3, 1).groupBy("fold").count().orderBy("fold").toPandas()["count"].tolist() == [4, 4, 3]
+    assert selection.numbered(spark.range(0), [F.col("id")]).count() == 0
+
+
+def test_inheritance_finds_circles_and_gaps(spark):
+    kind = "name string, inherits_from string, values map<string,string>"
+    fine = spark.createDataFrame([("a", None, {"x": "1", "y": "1"}), ("b", "a", {"y": "2"}), ("c", "b", {})], kind)
+    assert {r.name: r["values"] for r in catalogue.inherited(fine).collect()}["c"] == {"x": "1", "y": "2"}
+    with pytest.raises(ValueError, match="circle"):
+        catalogue.inherited(spark.createDataFrame([("a", "b", {}), ("b", "a", {})], kind))
+    with pytest.raises(Exception, match="no configuration"):
+        catalogue.inherited(spark.createDataFrame([("a", "zz", {"k": "v"})], kind)).collect()
+
+
+def test_tables_go_to_files_and_back(spark, tmp_path):
+    table = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "name string, n int")
+    catalogue.write_csv(table, f"{tmp_path}/csv")
+    catalogue.write_csv(table.limit(1), f"{tmp_path}/csv", append=True)
+    assert manifest.read_csv(spark, f"{tmp_path}/csv", "name string, n int").count() == 3
+    catalogue.write_json(table, f"{tmp_path}/json")
+    assert spark.read.json(f"{tmp_path}/json").count() == 3
+    catalogue.write_lines(table.withColumnRenamed("name", "line"), f"{tmp_path}/text")
+    assert sorted(r.line for r in manifest.lines(spark, f"{tmp_path}/text").collect()) == ["a", "b"]
+
+
+def test_logs_have_no_gaps(spark):
+    log = spark.createDataFrame([("k", 0, 1.0, 1), ("k", 0, 2.0, 2), ("k", 1, 3.0, 3)], "key string, epoch int, value double, ord int")
+    assert sorted((r.epoch, r.value) for r in catalogue.logged(log).collect()) == [(0, 2.0), (1, 3.0)]
+    with pytest.raises(Exception, match="epochs missing"):
+        catalogue.logged(log.filter("epoch = 1")).collect()
+
+
+def test_preprocess_and_export(spark):
+    rows = [("1", x, y, z, float(x + y) if 1 <= x <= 4 else 0.0, int(x > 2)) for x in range(6) for y in range(4) for z in range(3)]
+    table = spark.createDataFrame(rows, "case_id string, x int, y int, z int, value double, label int")
+    image, labels = workflows.preprocess(table, (6, 4, 3), (1.0, 1.0, 4.0), (1.0, 1.0, 2.0))
+    assert image.count() == labels.count() == 6 * 4 * 6  # the coarse axis comes first and is doubled
+    assert labels.agg(F.max("x"), F.max("y"), F.max("z")).first() == (5, 5, 3) and {r.label for r in labels.select("label").distinct().collect()} == {0, 1}
+    logits = spark.createDataFrame([("1", x, 0, 0, c, float(c == (x > 1))) for x in range(4) for c in range(2)], "case_id string, x int, y int, z int, channel int, value double")
+    out = workflows.export_prediction(logits, (4, 1, 1), (8, 1, 1), (10, 0, 0), 2)
+    assert sorted((r.x, r.label) for r in out.collect()) == [(10 + k, int(k >= 4)) for k in range(8)]
+
+
+def test_postprocessing_is_determined_in_one_pass(spark):
+    rows = [("1", k, 0, 0, 1 if k < 5 else 0, 1 if k < 5 or k == 9 else 0) for k in range(12)] + [("1", k, 3, 0, 2, 2 if k != 4 else 0) for k in range(8)]
+    table = spark.createDataFrame(rows, "case_id string, x int, y int, z int, gt int, pred int")
+    assert workflows.determine_postprocessing(table, [1, 2]) == [(1,)]
+    done = workflows.keep_largest(table, (1,))
+    assert done.filter("pred = 1").count() == 5
+
+
+def test_ensembles_need_every_model(spark):
+    rows = [("m0", "a", 0, 0, 0, [0.2, 0.8]), ("m1", "a", 0, 0, 0, [0.9, 0.1]), ("m0", "b", 0, 0, 0, [0.5, 0.5])]
+    table = spark.createDataFrame(rows, "model string, case_id string, x int, y int, z int, p array<double>")
+    assert workflows.ensemble_folder(table.filter("case_id = 'a'"), 2).first().label == 0
+    with pytest.raises(Exception, match="not all models"):
+        workflows.ensemble_folder(table, 2).collect()
+    with pytest.raises(Exception, match="in several folds"):
+        workflows.ensemble_crossvalidation(table.filter("case_id = 'a'").withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1)))), 2).collect()
+
+
+def test_otsu_parts_two_heaps(spark):
+    rows = [("1", k, 0, 0, 0.1 + 0.01 * (k % 3)) for k in range(60)] + [("1", k, 1, 0, 0.8 + 0.01 * (k % 4)) for k in range(60)]
+    table = spark.createDataFrame(rows, "case_id string, x int, y int, z int, p double")
+    assert 0.11 < losses.otsu(table, ["case_id"], "p").first().threshold < 0.8
+    assert workflows.thresholded(table, None, 50).count() == 60
+    assert workflows.thresholded(table, 0.5, 61).count() == 0

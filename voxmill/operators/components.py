@@ -54,50 +54,53 @@ def label_cells(cells: np.ndarray, connectivity: int) -> np.ndarray:
 
 
 def label_components(voxels: DataFrame, by: Sequence[str] = ("case_id",), connectivity: int = 26) -> DataFrame:
-    """``voxels(*by, x, y, z)`` of foreground cells with ``component``: ``x:y:z`` of its first cell in coordinate order."""
+    """``voxels(*by, x, y, z)`` of foreground cells with ``component, size, place, components``.
+
+    ``component`` numbers a group's components from 0 by their first cells in coordinate order, ``size`` is its cells, ``place`` its rank from 1 by size (ties by
+    number), and ``components`` how many the group has. All rules on components are filters over these, so a volume is labelled once.
+    """
     rows = voxels.select(*by, "x", "y", "z")
 
     def run(cells: pd.DataFrame) -> pd.DataFrame:
         root = label_cells(cells[["x", "y", "z"]].to_numpy(np.int64), connectivity)
-        first = cells[["x", "y", "z"]].iloc[root].astype(str)
-        return cells.assign(component=(first["x"] + ":" + first["y"] + ":" + first["z"]).to_numpy())
+        firsts, number, size = np.unique(root, return_inverse=True, return_counts=True)
+        at = cells[["x", "y", "z"]].to_numpy(np.int64)[firsts]
+        order = np.lexsort(at.T[::-1])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int64)
+        place[np.lexsort((rank, -size))] = np.arange(1, len(order) + 1)
+        return cells.assign(component=rank[number], size=size[number], place=place[number], components=len(order))
 
-    return rows.groupBy(*by).applyInPandas(run, rows.schema.simpleString()[7:-1] + ",component:string")
+    return rows.groupBy(*by).applyInPandas(run, rows.schema.simpleString()[7:-1] + ",component:bigint,size:bigint,place:bigint,components:bigint")
 
 
 def component_sizes(labelled: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """``(*by, component, size, x, y, z)``: voxels and centroid of each component."""
-    return labelled.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("size"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"))
+    return labelled.groupBy(*by, "component").agg(F.first("size").alias("size"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"))
 
 
 def component_count(labelled: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """Components of each group, and the size of the largest."""
-    return component_sizes(labelled, by).groupBy(*by).agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
+    return labelled.groupBy(*by).agg(F.max("components").alias("components"), F.max("size").alias("largest"))
 
 
-def _ranked(labelled: DataFrame, by: Sequence[str]) -> DataFrame:
-    sizes = labelled.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("size"), "component")))
+_FACTS = ("component", "size", "place", "components")
 
 
 def keep_largest(labelled: DataFrame, k: int = 1, larger_than: int = 0, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """Voxels of the ``k`` largest components of more than ``larger_than`` voxels; ties go to the first cell."""
-    kept = _ranked(labelled, by).filter((F.col("place") <= k) & (F.col("size") > larger_than)).select(*by, "component")
-    return labelled.join(kept, [*by, "component"], "left_semi")
+    return labelled.filter((F.col("place") <= k) & (F.col("size") > larger_than))
 
 
 def drop_small(labelled: DataFrame, threshold: int, by: Sequence[str] = ("case_id",), inclusive: bool = True) -> DataFrame:
     """Voxels of components above ``threshold``; of exactly that size they go too if ``inclusive``."""
-    size = F.count(F.lit(1)).over(W.partitionBy(*by, "component"))
-    kept = F.col("_size") > threshold if inclusive else F.col("_size") >= threshold
-    return labelled.withColumn("_size", size).filter(kept).drop("_size")
+    return labelled.filter(F.col("size") > threshold if inclusive else F.col("size") >= threshold)
 
 
 def clean_up(labelled: DataFrame, expected: int, threshold: int, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """Small components removed, except in cases that have exactly ``expected`` components."""
-    counts = component_count(labelled, by).select(*by, (F.col("components") == expected).alias("_fine"))
-    sized = labelled.withColumn("_size", F.count(F.lit(1)).over(W.partitionBy(*by, "component"))).join(counts, list(by))
-    return sized.filter(F.col("_fine") | (F.col("_size") > threshold)).drop("_size", "_fine")
+    return labelled.filter((F.col("components") == expected) | (F.col("size") > threshold))
 
 
 def triage(labelled: DataFrame, expected: int = 2, by: Sequence[str] = ("case_id",)) -> DataFrame:
@@ -115,11 +118,9 @@ DEFAULT_LEAST, ONLY_LARGEST = 1000, (7,)
 
 def clean_by_label(labelled: DataFrame, least: Mapping[int, int] = LEAST_SIZE, default: int = DEFAULT_LEAST, only_largest: Sequence[int] = ONLY_LARGEST, by: Sequence[str] = ("case_id", "label")) -> DataFrame:
     """Components above their label's size stay; of labels in ``only_largest`` the largest alone. The last of ``by`` is the label."""
-    ranked = _ranked(labelled, by)
     label = F.col(by[-1])
     limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for p in least.items() for x in p]), label.cast("int")), F.lit(default))
-    kept = ranked.filter(F.when(label.isin(*only_largest), F.col("place") == 1).otherwise(F.col("size") > limit)).select(*by, "component")
-    return labelled.join(kept, [*by, "component"], "left_semi")
+    return labelled.filter(F.when(label.isin(*only_largest), F.col("place") == 1).otherwise(F.col("size") > limit))
 
 
 def threshold_search(sizes: DataFrame, grid: Sequence[int], present: str = "present", size: str = "size") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxmill.operators.selection import numbered
+
 
 def area_and_final(scores: DataFrame, by: Sequence[str], order: str, value: str, tie: str | None = None) -> DataFrame:
     """``(*by, auc, final)``: the trapezoid area at unit steps of the rows in order, and the last value.
@@ -43,12 +45,8 @@ def best_so_far(scores: DataFrame, by: Sequence[str], order: str, value: str, ou
 
 
 def shard(files: DataFrame, order: str, parts: int, part: int, by: Sequence[str] = ()) -> DataFrame:
-    """Every ``parts``-th row in order from row ``part`` on.
-
-    Ranks need one order over all rows of a group; without ``by`` that is one list of file names.
-    """
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1
-    return files.withColumn("_r", rank).filter(F.col("_r") % parts == part).drop("_r")
+    """Every ``parts``-th row of each group in order from row ``part`` on."""
+    return numbered(files, [F.col(order)], by).filter((F.col("_rank") - 1) % parts == part).drop("_rank", "_total")
 
 
 def click_prefixes(clicks: DataFrame, by: Sequence[str], ordinal: str = "ord", most: int = 5) -> DataFrame:

@@ -22,7 +22,7 @@ def missing(expected: DataFrame, there: DataFrame, key: Sequence[str]) -> DataFr
 
 
 def missing_by_model(expected: DataFrame, models: DataFrame, there: DataFrame, file: str = "file", model: str = "model") -> DataFrame:
-    """Files that each model lacks: every expected file against every model (both lists are short names)."""
+    """Files that each model lacks: every expected file against every model. The result's candidates are the product, so models should be few."""
     return expected.select(file).crossJoin(models.select(model)).join(there.select(file, model), [file, model], "left_anti")
 
 
@@ -42,7 +42,7 @@ def paths_by_file(listing: DataFrame, file: str, path: str) -> DataFrame:
 
 
 def grid(*lists: DataFrame) -> DataFrame:
-    """All combinations of short lists (trainers, configurations, plans)."""
+    """All combinations of short lists (trainers, configurations, plans): the product is the result."""
     out = lists[0]
     for more in lists[1:]:
         out = out.crossJoin(more)
@@ -88,6 +88,6 @@ def nearest_value(asked: DataFrame, there: DataFrame, by: Sequence[str], at: str
     return asked.join(best, [*by, at], "left")
 
 
-def unique_match(rows: DataFrame, what: str) -> Column:
+def unique_match(what: str) -> Column:
     """The only value of a group; an error if there are several or none."""
     return F.when(F.countDistinct(what) == 1, F.min(what)).otherwise(F.raise_error(F.lit(f"not exactly one {what}")))

@@ -19,10 +19,30 @@ def best_configuration(scores: DataFrame, score: str, order: Sequence[str]) -> D
     return scores.orderBy(F.desc(score), *order).limit(1)
 
 
-def model_pairs(models: DataFrame, name: str, order: str) -> DataFrame:
-    """Each unordered pair of models once, the earlier first."""
-    a, b = models.select(F.col(name).alias("a"), F.col(order).alias("_a")), models.select(F.col(name).alias("b"), F.col(order).alias("_b"))
-    return a.join(b, F.col("_a") < F.col("_b")).select("a", "b")
+def model_pairs(models: DataFrame, name: str, order: str, by: Sequence[str] = ()) -> DataFrame:
+    """Each unordered pair of models (of a group) once, the earlier first. The result is all pairs, so lists should be short."""
+    a, b = models.select(*by, F.col(name).alias("a"), F.col(order).alias("_a")), models.select(*by, F.col(name).alias("b"), F.col(order).alias("_b"))
+    return (a.join(b, list(by)).filter(F.col("_a") < F.col("_b")) if by else a.join(b, F.col("_a") < F.col("_b"))).select(*by, "a", "b")
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], by: Sequence[str] = (), ranges: int = 200) -> DataFrame:
+    """``rows`` with ``_rank``, counted from 1 in ``order`` within each group of ``by``, and ``_total``, the group's rows.
+
+    Some rows, chosen by a hash, split the order into ``ranges``; each range is ordered by itself, and the rows in the ranges before it are added. So no task
+    holds all rows. Rows of equal order are numbered arbitrarily.
+    """
+    key = F.struct(*[c.alias(f"_o{k}") for k, c in enumerate(order)])
+    some = rows.select(key.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(ranges).agg(F.sort_array(F.collect_list("k")).alias("bounds"))
+    # a table of one row, whose array has a fixed bound
+    placed = rows.withColumn("_key", key).join(F.broadcast(some)).withColumn("_range", F.size(F.filter("bounds", lambda b: b <= F.col("_key")))).drop("bounds")
+    within, before = W.partitionBy(*by, "_range").orderBy("_key"), W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_m"))
+    counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_in"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"), F.sum("_m").over(W.partitionBy(*by)).alias("_total"))
+    same = F.col("_range") == F.col("_in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    ranked = placed.withColumn("_at", F.row_number().over(within)).join(counts, same)
+    return ranked.select(*rows.columns, (F.col("_before") + F.col("_at")).alias("_rank"), "_total")
 
 
 def reliable(scores: DataFrame, case: str, score: str, components: str, at_least: float, expected: int, most: int) -> DataFrame:
@@ -37,15 +57,41 @@ def complement(cases: DataFrame, chosen: DataFrame, case: str) -> DataFrame:
 
 def split(rows: DataFrame, key: Sequence[str], share: float, seed: int) -> DataFrame:
     """``rows`` with ``part``: ``train`` for the first ``share`` (rounded down) in hash order, else ``valid``."""
-    rank = F.row_number().over(W.orderBy(hash_order(*key, seed=seed), *key))
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    return rows.withColumn("part", F.when(rank <= F.floor(n * share), "train").otherwise("valid"))
+    ranked = numbered(rows, [hash_order(*key, seed=seed), *[F.col(c) for c in key]])
+    return ranked.withColumn("part", F.when(F.col("_rank") <= F.floor(F.col("_total") * share), "train").otherwise("valid")).drop("_rank", "_total")
+
+
+def three_way(rows: DataFrame, key: Sequence[str], valid: float, test: float, seed: int) -> DataFrame:
+    """``rows`` with ``part``: in hash order ``test`` for a first share, ``valid`` for the next (both rounded up), else ``train``."""
+    ranked = numbered(rows, [hash_order(*key, seed=seed), *[F.col(c) for c in key]])
+    first, second = F.ceil(F.col("_total") * test), F.ceil(F.col("_total") * valid)
+    return ranked.withColumn("part", F.when(F.col("_rank") <= first, "test").when(F.col("_rank") <= first + second, "valid").otherwise("train")).drop("_rank", "_total")
 
 
 def folds(rows: DataFrame, key: Sequence[str], k: int, seed: int | None = None) -> DataFrame:
-    """``rows`` with ``fold`` from 0 to ``k - 1``: of equal size, in hash order, or in the keys' order without a seed."""
-    order = list(key) if seed is None else [hash_order(*key, seed=seed), *key]
-    return rows.withColumn("fold", F.ntile(k).over(W.orderBy(*order)) - 1)
+    """``rows`` with ``fold`` from 0 to ``k - 1``: of equal size (the first ones may have a row more), in hash order, or in the keys' order without a seed."""
+    order = [F.col(c) for c in key]
+    ranked = numbered(rows, order if seed is None else [hash_order(*key, seed=seed), *order])
+    at, size, more = F.col("_rank") - 1, F.floor(F.col("_total") / k), F.col("_total") % k
+    fold = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return ranked.withColumn("fold", fold.cast("int")).drop("_rank", "_total")
+
+
+def sampled_to(rows: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
+    """``n`` rows drawn with replacement, each draw ``_draw`` a hash of its number: the same in every run."""
+    ranked = numbered(rows, [F.col(c) for c in key])
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("_draw").cast("string"))), 1, 13), 16, 10).cast("long")
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("_draw")).withColumn("_rank", F.pmod(bits, F.greatest(total, F.lit(1))) + 1)
+    return draws.join(ranked, "_rank").drop("_rank", "_total")
+
+
+def fixed_sample(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int, seed: int) -> DataFrame:
+    """Of each group ``n`` rows drawn with replacement, told apart by ``_draw``; an empty group has none."""
+    ranked = numbered(rows, [F.col(c) for c in order], by)
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("_draw").cast("string"))), 1, 13), 16, 10).cast("long")
+    return groups.withColumn("_rank", F.pmod(bits, "_n") + 1).join(ranked, [*by, "_rank"]).drop("_rank", "_total", "_n")
 
 
 def hash_folds(rows: DataFrame, key: Sequence[str], k: int, seed: int) -> DataFrame:

@@ -5,16 +5,57 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def percentiles(table: DataFrame, by: Sequence[str], value: str, fractions: Sequence[float], bins: int = 4096) -> DataFrame:
+    """``(*by, fraction, value)``: exact percentiles of each group, linear between neighbours; nulls are left out.
+
+    A histogram of ``bins`` equal parts of each group's range tells in which parts the needed ranks are, and only their values are put in
+    order. So no task holds a whole group. The table is read three times.
+    """
+    rows = table.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    keys = [f"_by{k}" for k in range(len(by))]
+    facts = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    same = lambda other: [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys] or [F.lit(True)]
+    renamed = lambda t, other: t.withColumnsRenamed({k: f"{other}{k}" for k in keys})
+    part = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    placed = rows.join(renamed(facts, "f"), same("f")).select(*keys, "_v", part.alias("_part"))
+    upto = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)
+    hist = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_m")).withColumn("_through", F.sum("_m").over(upto))
+    wanted = facts.select(*keys, F.explode(F.lit([float(q) for q in fractions])).alias("fraction"), (F.col("_n") - 1).alias("_last")).withColumn("_at", F.col("fraction") * F.col("_last"))
+    ranks = wanted.select(*keys, "fraction", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank")).distinct()
+    found = ranks.join(renamed(hist, "h"), same("h")).filter((F.col("_rank") < F.col("_through")) & (F.col("_rank") >= F.col("_through") - F.col("_m")))
+    found = found.select(*keys, "fraction", "_at", "_part", "_rank", (F.col("_through") - F.col("_m")).alias("_before"))
+    near = placed.join(renamed(found.select(*keys, "_part").distinct(), "n").withColumnRenamed("_part", "_np"), [*same("n"), F.col("_part") == F.col("_np")], "left_semi")
+    near = near.groupBy(*keys, "_part", "_v").agg(F.count(F.lit(1)).alias("_m")).withColumn("_upto", F.sum("_m").over(W.partitionBy(*keys, "_part").orderBy("_v")))
+    hit = found.join(renamed(near, "v").withColumnRenamed("_part", "_vp"), [*same("v"), F.col("_part") == F.col("_vp")])
+    hit = hit.filter((F.col("_rank") - F.col("_before") < F.col("_upto")) & (F.col("_rank") - F.col("_before") >= F.col("_upto") - F.col("_m")))
+    low, high = F.min("_v"), F.max("_v")
+    out = hit.groupBy(*keys, "fraction", "_at").agg((low + (F.col("_at") - F.floor("_at")) * (high - low)).alias("value"))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], "fraction", "value")
+
+
+def _wide(table: DataFrame, by: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
+    """Percentiles as columns: ``(*by, *named)``."""
+    long = percentiles(table, by, value, list(named.values()))
+    return long.groupBy(*by).agg(*[F.max(F.when(F.col("fraction") == q, F.col("value"))).alias(n) for n, q in named.items()])
+
+
+def _joined(facts: DataFrame, more: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``facts`` with the columns of ``more`` of the same group, null keys included."""
+    other = more.withColumnsRenamed({c: f"_m_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in by] or [F.lit(True)]
+    return facts.join(other, same, "left").drop(*[f"_m_{c}" for c in by])
+
+
 def describe(table: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Long table ``(*by, column, count, mean, std, min, pc25, pc50, pc75, max)``: the sample deviation, linear percentiles."""
     long = unpivot(table, columns, by)
-    return long.groupBy(*by, "column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.percentile("value", F.lit(0.25)).alias("pc25"), F.percentile("value", F.lit(0.5)).alias("pc50"), F.percentile("value", F.lit(0.75)).alias("pc75"), F.max("value").alias("max"),
-    )
+    facts = long.groupBy(*by, "column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    out = _joined(facts, _wide(long, [*by, "column"], "value", {"pc25": 0.25, "pc50": 0.5, "pc75": 0.75}), [*by, "column"])
+    return out.select(*by, "column", "count", "mean", "std", "min", "pc25", "pc50", "pc75", "max")
 
 
 def describe_text(table: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -52,16 +93,15 @@ def benchmark_table(runs: DataFrame, by: Sequence[str], device: str, value: str,
 
 def fingerprint(voxels: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """Intensity statistics of a dataset: the population deviation, and the percentiles 0.5 and 99.5."""
-    v = F.col(value)
-    return voxels.groupBy(*by).agg(
-        F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, F.lit(0.995)).alias("percentile_99_5"), F.percentile(v, F.lit(0.005)).alias("percentile_00_5"),
-    )
+    v = F.col(value).cast("double")
+    facts = voxels.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    out = _joined(facts, _wide(voxels, by, value, {"median": 0.5, "percentile_99_5": 0.995, "percentile_00_5": 0.005}), by)
+    return out.select(*by, "mean", "median", "std", "min", "max", "percentile_99_5", "percentile_00_5")
 
 
 def vector_percentile(table: DataFrame, vector: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """``(*by, axis, value)``: the percentile of each component over the rows."""
-    return table.select(*by, F.posexplode(vector).alias("axis", "_v")).groupBy(*by, "axis").agg(F.percentile("_v", F.lit(q)).alias("value"))
+    return percentiles(table.select(*by, F.posexplode(vector).alias("axis", "_x")), [*by, "axis"], "_x", [q]).drop("fraction")
 
 
 def target_spacing(spacings: DataFrame, sizes: str = "size", spacing: str = "spacing", threshold: float = 3.0) -> DataFrame:

@@ -28,26 +28,35 @@ def border(cells: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
     return rows.groupBy(*key).agg(F.sum("n").alias("n"), F.max("own").alias("own")).filter("own = 1 AND n < 6").select(*key)
 
 
+def _inside(shape: Sequence[int]) -> Column:
+    return (F.col("x") >= 0) & (F.col("x") < shape[0]) & (F.col("y") >= 0) & (F.col("y") < shape[1]) & (F.col("z") >= 0) & (F.col("z") < shape[2])
+
+
+def _spread(cells: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
+    """Cells within ``reach`` steps along any axis or diagonal. A cube is spread axis by axis: ``2 * reach + 1`` cells for each, three times."""
+    out = cells.select(*by, "x", "y", "z")
+    for c in "xyz":
+        out = out.withColumn(c, F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))).distinct()
+    return out
+
+
 def dilate(cells: DataFrame, shape: Sequence[int], iterations: int = 1, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """Cells within ``iterations`` steps along any axis or diagonal, inside the grid."""
-    steps = list(itertools.product(range(-iterations, iterations + 1), repeat=3))
-    inside = (F.col("x") >= 0) & (F.col("x") < shape[0]) & (F.col("y") >= 0) & (F.col("y") < shape[1]) & (F.col("z") >= 0) & (F.col("z") < shape[2])
-    return cells.select(*by, _shifted(steps).alias("_s")).select(*by, "_s.*").filter(inside).distinct()
+    return _spread(cells, by, iterations).filter(_inside(shape))
 
 
 def erode(cells: DataFrame, iterations: int = 1, by: Sequence[str] = ("case_id",)) -> DataFrame:
-    """Cells whose whole neighbourhood of ``iterations`` steps is in the mask."""
-    steps = list(itertools.product(range(-iterations, iterations + 1), repeat=3))
-    told = cells.select(*by, _shifted(steps).alias("_s")).select(*by, "_s.*")
-    return told.groupBy(*by, "x", "y", "z").count().filter(F.col("count") == len(steps)).drop("count")
+    """Cells whose whole neighbourhood of ``iterations`` steps is in the mask, which holds along each axis in turn."""
+    out = cells.select(*by, "x", "y", "z").distinct()
+    for c in "xyz":
+        told = out.withColumn(c, F.explode(F.sequence(F.col(c) - iterations, F.col(c) + iterations)))
+        out = told.groupBy(*by, "x", "y", "z").count().filter(F.col("count") == 2 * iterations + 1).drop("count")
+    return out
 
 
 def close(cells: DataFrame, shape: Sequence[int], iterations: int = 1, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """Dilation, then erosion, on a grid widened so that its edge doesn't erode."""
-    steps = list(itertools.product(range(-iterations, iterations + 1), repeat=3))
-    wide = cells.select(*by, _shifted(steps).alias("_s")).select(*by, "_s.*").distinct()
-    inside = (F.col("x") >= 0) & (F.col("x") < shape[0]) & (F.col("y") >= 0) & (F.col("y") < shape[1]) & (F.col("z") >= 0) & (F.col("z") < shape[2])
-    return erode(wide, iterations, by).filter(inside)
+    return erode(_spread(cells, by, iterations), iterations, by).filter(_inside(shape))
 
 
 def bounding_box(cells: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
@@ -94,6 +103,7 @@ def surface_distances(voxels: DataFrame, labels: Sequence[int], shape: Sequence[
 
     ``hd`` is the largest distance from a border cell of either mask to the other's border, ``hd95`` the 95th percentile
     of all of them (linear), ``msd`` their mean. Both masks empty: 0; one empty: the length of the grid's diagonal ``shape``.
+    A (case, label) is one task, whose memory is about 20 bytes for each cell of the box around both masks.
     """
     table = F.explode(F.array(*[F.lit(int(x)) for x in labels])).alias("label")
     rows = voxels.select(case, "x", "y", "z", table, F.col("gt").alias("_g"), F.col("pred").alias("_p"))
@@ -131,17 +141,30 @@ def surface_distances(voxels: DataFrame, labels: Sequence[int], shape: Sequence[
     return every.join(found, [case, "label"], "left").select(case, "label", zero("hd"), zero("hd95"), zero("msd"))
 
 
-def nearest_point(points: DataFrame, targets: DataFrame, by: Sequence[str], cell: int) -> DataFrame:
-    """Each of ``points(*by, pid, x, y, z)`` with its nearest target ``(tid, dist)`` no farther than ``cell``; ties go to the smaller tid.
+def nearest_point(points: DataFrame, targets: DataFrame, by: Sequence[str], cell: float) -> DataFrame:
+    """Each of ``points(*by, pid, x, y, z)`` with its nearest target ``(tid, dist)``; ties go to the smaller tid.
 
     Points and targets meet in cubes of edge ``cell``: a target goes to its cube and the 26 around it, so the join is by
-    key. Points without a target that near have nulls.
+    key. Points that find none within ``cell`` try again with cubes twice as wide, until all have one. Those whose group has no target, or that
+    have a null coordinate, have nulls.
     """
-    cube = lambda c, shift=0: F.floor(F.col(c) / cell) + shift
-    left = points.withColumns({f"_{c}": cube(c) for c in "xyz"})
-    around = F.explode(F.array(*[F.struct(*[cube(c, s).alias(f"_{c}") for c, s in zip("xyz", o, strict=True)]) for o in itertools.product((-1, 0, 1), repeat=3)]))
-    right = targets.select(*by, "tid", *[F.col(c).alias(f"t{c}") for c in "xyz"], around.alias("_o")).select(*by, "tid", "tx", "ty", "tz", "_o.*")
-    dist = F.sqrt(sum(F.pow(F.col(c) - F.col(f"t{c}"), F.lit(2.0)) for c in "xyz"))
-    pairs = left.join(right, [*by, "_x", "_y", "_z"]).withColumn("dist", dist).filter(F.col("dist") <= cell)
-    best = pairs.groupBy(*by, "pid").agg(F.min(F.struct("dist", "tid")).alias("b")).select(*by, "pid", F.col("b.tid").alias("tid"), F.col("b.dist").alias("dist"))
-    return points.join(best, [*by, "pid"], "left")
+    targets = targets.dropna(subset=["x", "y", "z"])
+    left = points.join(targets.select(*by).distinct(), list(by), "left_semi").dropna(subset=["x", "y", "z"])
+    span = lambda t: [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("a", F.min), ("b", F.max))]
+    ends = left.select("x", "y", "z").unionByName(targets.select("x", "y", "z")).agg(*span(left)).first()
+    widest = max([0.0, *(float(ends[f"b{c}"]) - float(ends[f"a{c}"]) for c in "xyz" if ends[f"a{c}"] is not None)]) * 3**0.5
+    found, size = None, float(cell)
+    while True:
+        cube = lambda c, shift=0, edge=size: F.floor(F.col(c) / edge) + shift
+        around = F.explode(F.array(*[F.struct(*[cube(c, s).alias(f"_{c}") for c, s in zip("xyz", o, strict=True)]) for o in itertools.product((-1, 0, 1), repeat=3)]))
+        right = targets.select(*by, "tid", *[F.col(c).alias(f"t{c}") for c in "xyz"], around.alias("_o")).select(*by, "tid", "tx", "ty", "tz", "_o.*")
+        dist = F.sqrt(sum(F.pow(F.col(c) - F.col(f"t{c}"), F.lit(2.0)) for c in "xyz"))
+        pairs = left.withColumns({f"_{c}": cube(c) for c in "xyz"}).join(right, [*by, "_x", "_y", "_z"]).withColumn("dist", dist).filter(F.col("dist") <= size)
+        best = pairs.groupBy(*by, "pid").agg(F.min(F.struct("dist", "tid")).alias("b")).select(*by, "pid", F.col("b.tid").alias("tid"), F.col("b.dist").alias("dist"))
+        found = best if found is None else found.unionByName(best)
+        if size >= widest:
+            return points.join(found, [*by, "pid"], "left")
+        left = left.join(best.select(*by, "pid"), [*by, "pid"], "left_anti")
+        if not left.limit(1).count():
+            return points.join(found, [*by, "pid"], "left")
+        size *= 2

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -24,11 +23,22 @@ def to_uint8(v: Column, low: float, high: float) -> Column:
     return F.floor(255.0 * (clip(v, low, high) - low) / F.lit(float(high - low)))
 
 
+def with_facts(table: DataFrame, by: Sequence[str], **facts: Column) -> DataFrame:
+    """``table`` with aggregates of each row's group: a row a group is computed first and joined back, null keys included.
+
+    Spark broadcasts the facts if they are small; no group has to fit in a task.
+    """
+    found = table.groupBy(*by).agg(*[c.alias(n) for n, c in facts.items()]).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return table.join(found, same).drop(*[f"_by_{c}" for c in by])
+
+
 def min_max(table: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
     """``value`` mapped to [0, 1] within each group; 0 where a group is constant."""
-    w = W.partitionBy(*by)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return table.withColumn(out, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.0)))
+    rows = with_facts(table, by, _low=F.min(value), _high=F.max(value))
+    return rows.withColumn(out, F.when(F.col("_high") > F.col("_low"), (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.lit(0.0))).drop("_low", "_high")
 
 
 def z_score(table: DataFrame, value: str, by: Sequence[str], out: str, inside: Column | None = None, floor: float = 1e-8) -> DataFrame:
@@ -36,9 +46,15 @@ def z_score(table: DataFrame, value: str, by: Sequence[str], out: str, inside: C
 
     With ``inside`` the statistics are those of the voxels where it holds, and the others become 0.
     """
-    w, kept = W.partitionBy(*by), F.col(value) if inside is None else F.when(inside, F.col(value))
-    score = (F.col(value) - F.avg(kept).over(w)) / F.greatest(F.stddev_pop(kept).over(w), F.lit(floor))
-    return table.withColumn(out, score if inside is None else F.when(inside, score).otherwise(F.lit(0.0)))
+    kept = F.col(value) if inside is None else F.when(inside, F.col(value))
+    score = (F.col(value) - F.col("_mean")) / F.greatest(F.col("_std"), F.lit(floor))
+    rows = with_facts(table, by, _mean=F.avg(kept), _std=F.stddev_pop(kept))
+    return rows.withColumn(out, score if inside is None else F.when(inside, score).otherwise(F.lit(0.0))).drop("_mean", "_std")
+
+
+def clip_rescale_score(table: DataFrame, value: str, low: float, high: float, by: Sequence[str], out: str) -> DataFrame:
+    """``value`` clipped to [low, high], mapped to [0, 1], then z-scored within each group."""
+    return z_score(table.withColumn("_scaled", rescale(F.col(value), low, high)), "_scaled", by, out).drop("_scaled")
 
 
 def ct_normalise(table: DataFrame, prints: DataFrame, value: str, by: Sequence[str], out: str, floor: float = 1e-8) -> DataFrame:

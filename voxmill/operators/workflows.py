@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.operators import components, overlap, summary
+from voxmill.operators import components, losses, overlap, resampling, summary, surface, tiling, values
 
 
 def evaluate(voxels: DataFrame, labels: Sequence[int], case: str = "case_id", policy: str = "challenge") -> tuple[DataFrame, DataFrame]:
@@ -17,6 +17,18 @@ def evaluate(voxels: DataFrame, labels: Sequence[int], case: str = "case_id", po
     return wide, summary.describe(wide, [*[f"dice_{x}" for x in labels], "dice_average"])
 
 
+def evaluate_surfaces(voxels: DataFrame, labels: Sequence[int], shape: Sequence[int], case: str = "case_id", spacing: Sequence[float] = (1, 1, 1)) -> tuple[DataFrame, DataFrame]:
+    """As :func:`evaluate`, with ``hd95_<label>`` and ``hd95_average`` besides: the challenges' score table, a row for each case.
+
+    Labels that neither map has score 1 and 0; a label that one of them lacks scores 0 and the grid's diagonal.
+    """
+    wide, _ = evaluate(voxels, labels, case)
+    far = surface.surface_distances(voxels, labels, shape, case, spacing)
+    far = far.groupBy(case).agg(*[F.max(F.when(F.col("label") == x, F.col("hd95"))).alias(f"hd95_{x}") for x in labels], F.avg("hd95").alias("hd95_average"))
+    table = wide.join(far, case)
+    return table, summary.describe(table, [f"{m}_{x}" for m in ("dice", "hd95") for x in (*labels, "average")])
+
+
 def folder_metrics(voxels: DataFrame, labels: Sequence[int], case: str = "case_id", ignore: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metrics of each case and class, their class means, and the foreground mean."""
     scores = overlap.with_metrics(overlap.confusion(voxels, labels, case, ignore=ignore))
@@ -53,7 +65,7 @@ def determine_postprocessing(voxels: DataFrame, labels: Sequence[int], case: str
     """The sets of labels of which only the largest component should stay, to be applied in order.
 
     First all labels as one mask: accepted if the mean Dice rises and no class falls. Then each label by itself, accepted if its
-    Dice rises. Decisions depend on those before; the driver holds one number for each label.
+    Dice rises. A label's own trial changes no other label, so all of them are scored in one pass; the driver holds one number for each label.
     """
     accepted: list[tuple[int, ...]] = []
     now = _class_dice(voxels, labels, case)
@@ -63,13 +75,16 @@ def determine_postprocessing(voxels: DataFrame, labels: Sequence[int], case: str
         if _mean(new) > _mean(now) and all(new[x] >= now[x] for x in labels if new[x] is not None and now[x] is not None):
             accepted.append(tuple(labels))
             voxels, now = trial, new
-    for x in labels:
-        trial = keep_largest(voxels, (x,), case, connectivity)
-        new = _class_dice(trial, [x], case)
-        if (new[x] or 0.0) > (now[x] or 0.0):
-            accepted.append((x,))
-            voxels = trial
-    return accepted
+    new = _class_dice(keep_largest_each(voxels, labels, case, connectivity), labels, case)
+    return accepted + [(x,) for x in labels if (new[x] or 0.0) > (now[x] or 0.0)]
+
+
+def keep_largest_each(voxels: DataFrame, labels: Sequence[int], case: str = "case_id", connectivity: int = 26, pred: str = "pred") -> DataFrame:
+    """``voxels`` where each of the labels keeps its largest component only; the rest of its predictions become background."""
+    cells = voxels.filter(F.col(pred).isin(*labels)).select(case, pred, "x", "y", "z")
+    kept = components.keep_largest(components.label_components(cells, [case, pred], connectivity)).select(case, "x", "y", "z", F.lit(True).alias("_kept"))
+    gone = F.col(pred).isin(*labels) & F.col("_kept").isNull()
+    return voxels.join(kept, [case, "x", "y", "z"], "left").withColumn(pred, F.when(gone, F.lit(0).cast(dict(voxels.dtypes)[pred])).otherwise(F.col(pred))).drop("_kept")
 
 
 def _mean(scores: dict[int, float | None]) -> float:
@@ -115,3 +130,95 @@ def pseudo_labels(scores: DataFrame, case: str, score: str, component_count: str
 
     chosen = selection.reliable(scores, case, score, component_count, at_least, expected, most)
     return chosen, selection.complement(scores, chosen, case)
+
+
+def ensemble_folder(predictions: DataFrame, models: int, by: Sequence[str] = ("case_id",), value: str = "p") -> DataFrame:
+    """``(*by, x, y, z, label)`` of ``predictions(model, *by, x, y, z, p array)``: mean probabilities, then the first largest; an error, when it runs, for a case that some model lacks."""
+    cover = predictions.select("model", *by).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
+    lacks = F.when(F.col("_m") != models, F.raise_error(F.concat(F.lit("not all models have "), F.concat_ws(" ", *[F.col(c).cast("string") for c in by])))).otherwise(F.lit(True))
+    mean = tiling.mean_vectors(predictions, [*by, "x", "y", "z"], value)
+    return mean.join(cover.filter(lacks).select(*by), list(by), "left_semi").select(*by, "x", "y", "z", values.argmax(F.col(value)).alias("label"))
+
+
+def ensemble_crossvalidation(predictions: DataFrame, models: int, by: Sequence[str] = ("case_id",), value: str = "p") -> DataFrame:
+    """As :func:`ensemble_folder`, over the validation cases of every model's folds: an error, too, for a case that is in two folds of a model."""
+    folds = predictions.select("model", "fold", *by).distinct().groupBy("model", *by).agg(F.count(F.lit(1)).alias("_f"))
+    once = F.when(F.col("_f") > 1, F.raise_error(F.concat(F.lit("in several folds: "), F.concat_ws(" ", *[F.col(c).cast("string") for c in by])))).otherwise(F.lit(True))
+    fine = folds.filter(once).select("model", *by)
+    return ensemble_folder(predictions.join(fine, ["model", *by], "left_semi"), models, by, value)
+
+
+def find_best_configuration(candidates: DataFrame, truth: DataFrame, order: DataFrame, labels: Sequence[int], case: str = "case_id", value: str = "p") -> DataFrame:
+    """``(model, score)`` of the best of all models and of all ensembles of two; of equal ones the first model of ``order(model, ord)``, single ones before pairs.
+
+    ``candidates(model, case, x, y, z, p array)`` are cross-validated probabilities, ``truth(case, x, y, z, gt)`` the labels. Models and pairs are scored in one pass.
+    """
+    named = candidates.join(order, "model")
+    key = [case, "x", "y", "z"]
+    left = named.select(*key, F.col("model").alias("_a"), F.col("ord").alias("_i"), F.col(value).alias("_p"))
+    right = named.select(*key, F.col("model").alias("_b"), F.col("ord").alias("_j"), F.col(value).alias("_q"))
+    pairs = left.join(right, key).filter("_i <= _j")  # a few models for each cell
+    mean = F.zip_with("_p", "_q", lambda a, b: (a + b) / 2)
+    each = pairs.select(*key, F.when(F.col("_i") == F.col("_j"), F.col("_a")).otherwise(F.concat_ws("+", "_a", "_b")).alias("model"), F.struct((F.col("_i") != F.col("_j")).alias("pair"), "_i", "_j").alias("ord"), values.argmax(mean).alias("pred"))
+    scored = each.join(truth.select(*key, "gt"), key)
+    places = each.select("model", "ord").distinct()
+    return best_model(scored, places, labels, case=case)
+
+
+def multi_channel_components(masks: DataFrame, least: int, connectivity: int = 26, by: Sequence[str] = ("case_id",), k: int = 1) -> DataFrame:
+    """``(*by, x, y, z, label)`` of ``masks(*by, x, y, z, channel)``: of each channel the ``k`` largest components of at least ``least`` cells; the last channel wins a cell."""
+    kept = components.keep_largest(components.label_components(masks, [*by, "channel"], connectivity), k, least - 1)
+    return components.merge_channels(kept, 0, by)
+
+
+def clean_and_remap(voxels: DataFrame, remap: dict[int, int], k: int = 2, connectivity: int = 6, by: Sequence[str] = ("case_id",), label: str = "label") -> DataFrame:
+    """The ``k`` largest components of each label, and then the labels' new numbers; labels without one stay."""
+    kept = components.keep_largest(components.label_components(voxels.filter(F.col(label) > 0).select(*by, label, "x", "y", "z"), [*by, label], connectivity), k)
+    return kept.select(*by, "x", "y", "z", values.relabel(F.col(label), remap).alias(label))
+
+
+def thresholded(cells: DataFrame, threshold: float | None, least: int, by: Sequence[str] = ("case_id",), value: str = "p", connectivity: int = 26) -> DataFrame:
+    """Cells above a threshold, or above that of :func:`voxmill.operators.losses.otsu`, in components of at least ``least`` cells."""
+    if threshold is None:
+        above = cells.join(losses.otsu(cells, by, value), list(by)).filter(F.col(value) > F.col("threshold"))
+    else:
+        above = cells.filter(F.col(value) > threshold)
+    return components.drop_small(components.label_components(above.select(*by, "x", "y", "z"), by, connectivity), least, inclusive=False).select(*by, "x", "y", "z")
+
+
+def preprocess(voxels: DataFrame, shape: Sequence[int], spacing: Sequence[float], target: Sequence[float], case: str = "case_id", order: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``voxels(case, x, y, z, value, label)`` transposed so that the coarsest axis comes first, cropped to the nonzero box, z-scored and resampled to ``target`` spacing.
+
+    Returns the resampled values and labels of a dense grid. All cases have the one ``shape`` and ``spacing``; cells outside of a case's box are 0.
+    """
+    worst = max(range(3), key=lambda a: spacing[a])
+    axes = [worst, *[a for a in range(3) if a != worst]]
+    names = "".join("xyz"[a] for a in axes)
+    turned = resampling.reorient(voxels, dict(zip("xyz", shape, strict=True)), names)
+    old, s, t = ([v[a] for a in axes] for v in (shape, spacing, target))
+    new = [round(n * a / b) for n, a, b in zip(old, s, t, strict=True)]
+    cropped = turned.join(surface.bounding_box(turned.filter("value <> 0"), [case]), case)
+    inside = cropped.filter(" AND ".join(f"{c} >= low_{c} AND {c} < high_{c}" for c in "xyz")).select(*voxels.columns)
+    scored = values.z_score(inside, "value", [case], "value")
+    dense = turned.select(case, "x", "y", "z", F.lit(0).alias("_v")).join(scored.select(case, "x", "y", "z", "value", "label"), [case, "x", "y", "z"], "left").fillna(0, ["value", "label"]).drop("_v")
+    orders = resampling.coarse_axis_orders(s, order)
+    image = resampling.resample(dense.drop("label"), old, new, orders, [case])
+    return image, resampling.resample_labels(dense.drop("value"), old, new, tuple(min(o, 1) for o in orders), [case])
+
+
+def export_prediction(logits: DataFrame, old: Sequence[int], new: Sequence[int], box: Sequence[int], classes: int, by: Sequence[str] = ("case_id",)) -> DataFrame:
+    """``(*by, x, y, z, label)``: logits ``(*by, x, y, z, channel, value)`` resampled linearly from ``old`` to ``new``, softmax, argmax, and moved to ``box``'s corner."""
+    back = resampling.resample(logits, old, new, (1, 1, 1), [*by, "channel"])
+    probs = back.groupBy(*by, "x", "y", "z").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "value"))), lambda s: s["value"]).alias("_p"))  # a few channels
+    moved = probs.withColumns({c: F.col(c) + b for c, b in zip("xyz", box, strict=True)})
+    return moved.select(*by, "x", "y", "z", F.when(F.size("_p") == classes, values.argmax(values.softmax(F.col("_p")))).otherwise(F.raise_error(F.lit("a cell lacks a class"))).alias("label"))
+
+
+def training_patch(voxels: DataFrame, corners: DataFrame, size: Sequence[int], by: Sequence[str] = ("case_id",), value: str = "value", label: str = "label") -> DataFrame:
+    """``(*by, pid, x, y, z, value, label)``: all cells of patches at ``corners(*by, pid, x0, y0, z0)``; outside of a volume values are 0 and labels -1."""
+    cells = corners
+    for c, n in zip("xyz", size, strict=True):
+        cells = cells.withColumn(f"_{c}", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    cells = cells.select(*by, "pid", *[(F.col(f"{c}0") + F.col(f"_{c}")).alias(c) for c in "xyz"], "_x", "_y", "_z")
+    found = cells.join(voxels.select(*by, "x", "y", "z", value, label), [*by, "x", "y", "z"], "left")
+    return found.select(*by, "pid", *[F.col(f"_{c}").alias(c) for c in "xyz"], F.coalesce(value, F.lit(0)).alias(value), F.coalesce(label, F.lit(-1)).alias(label))

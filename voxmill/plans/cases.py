@@ -63,7 +63,7 @@ def encodings(spark, d):
 
 
 def _vectors(spark, d):
-    return read(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("p"))
+    return read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("p"))
 
 
 def argmax_label(spark, d):
@@ -71,17 +71,17 @@ def argmax_label(spark, d):
 
 
 def softmax_sigmoid(spark, d):
-    out = _vectors(spark, d).select("vec_id", values.softmax(F.col("p"))[0].alias("softmax0"), values.sigmoid(F.col("p"))[0].alias("sigmoid0"))
-    return rounded(out)
+    text = lambda p: F.array_join(F.transform(p, lambda x: F.format_string("%.4f", x)), ",")
+    return _vectors(spark, d).select("vec_id", text(values.softmax(F.col("p"))).alias("softmax"), text(values.sigmoid(F.col("p"))).alias("sigmoid"))
 
 
 def region_decode(spark, d):
-    return _vectors(spark, d).select("vec_id", values.region_decode(F.col("p"), [3, 1, 2, 4], 0.05).alias("label"))
+    return _vectors(spark, d).select("vec_id", values.region_decode(F.col("p"), [(7 * k) % 64 + 1 for k in range(64)], 0.2).alias("label"))
 
 
 def ensemble_mean(spark, d):
     means = tiling.mean_vectors(_vectors(spark, d), ["label"], "p")
-    return rounded(means.select("label", values.argmax(F.col("p")).alias("top"), F.col("p")[0].alias("p0"), F.col("p")[3].alias("p3")))
+    return rounded(means.select("label", values.argmax(F.col("p")).alias("top"), F.posexplode("p").alias("axis", "mean")))
 
 
 def learning_rates(spark, d):
@@ -282,10 +282,6 @@ def threshold_search(spark, d):
     return components.threshold_search(sizes, range(0, 200, 5))
 
 
-def betti(spark, d):
-    return components.betti_numbers(_mask(spark, d))
-
-
 def verify_labels(spark, d):
     out = workflows.unexpected_labels(tables.voxels(spark, d), [0, 1, 2])
     return out.select("case_id", _joined(F.col("labels")).alias("labels"), _joined(F.col("unexpected")).alias("unexpected"))
@@ -296,13 +292,13 @@ QUERIES = {
     for f in (
         clip_scale, min_max, z_score_masked, ct_norm, relabel, encodings, argmax_label, softmax_sigmoid, region_decode, ensemble_mean, learning_rates, new_shapes, file_names, experiment_names, manifest_mapping, path_fallback,
         missing_predictions, fold_overlap, missing_by_model, restricted, nearest_slice, merged_store, channels, reliable_select, unreliable_rest, fullest_slice, even_clicks, click_prefixes, strided_shard, hash_folds, boxes,
-        border_voxels, dilated, eroded, surface_distances, cropped, resampled, tile_grid, tile_merge, component_count, largest_component, small_removed, triage, threshold_search, betti, verify_labels,
+        border_voxels, dilated, eroded, surface_distances, cropped, resampled, tile_grid, tile_merge, component_count, largest_component, small_removed, triage, threshold_search, verify_labels,
     )
 }
 
 _ORD = "SELECT o_orderpriority, o_orderkey, o_totalprice::DOUBLE AS v FROM orders"
 _M = f"WITH {VOX}, m AS (SELECT case_id, x, y, z FROM vox WHERE gt = 1)"
-_VEC = "WITH e AS (SELECT vec_id, label, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS p FROM embeddings)"
+_VEC = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS p FROM embeddings)"
 _BALL = "o AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i))"
 _FACES = "o(dx, dy, dz) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))"
 _COMP = f"""
@@ -329,10 +325,11 @@ SELECT o_orderpriority, round(max(z), 4) AS high, round(min(z), 4) AS low, round
     "relabel": f"WITH {VOX} SELECT CASE gt WHEN 1 THEN 10 WHEN 2 THEN 20 ELSE gt END::BIGINT AS kept, CASE gt WHEN 1 THEN 10 WHEN 2 THEN 20 ELSE 0 END::BIGINT AS dropped, count(*) AS n FROM vox GROUP BY 1, 2",
     "encodings": f"WITH {VOX} SELECT concat_ws(',', (gt = 0)::INT, (gt = 1)::INT, (gt = 2)::INT, (gt = 3)::INT) AS one_hot, concat_ws(',', (gt IN (1, 2))::INT, (gt = 1)::INT) AS regions, count(*) AS n FROM vox GROUP BY 1, 2",
     "argmax_label": f"{_VEC} SELECT vec_id, (list_position(p, list_max(p)) - 1)::INTEGER AS top FROM e",
-    "softmax_sigmoid": f"{_VEC} SELECT vec_id, round(exp(p[1] - list_max(p)) / list_sum(list_transform(p, lambda x: exp(x - list_max(p)))), 6) AS softmax0, round(1 / (1 + exp(-p[1])), 6) AS sigmoid0 FROM e",
-    "region_decode": f"{_VEC} SELECT vec_id, CASE WHEN p[4] > 0.05 THEN 4 WHEN p[3] > 0.05 THEN 2 WHEN p[2] > 0.05 THEN 1 WHEN p[1] > 0.05 THEN 3 ELSE 0 END::INTEGER AS label FROM e",
-    "ensemble_mean": f"""{_VEC}, a AS (SELECT label, [avg(p[1]), avg(p[2]), avg(p[3]), avg(p[4])] AS p FROM e GROUP BY 1)
-SELECT label, (list_position(p, list_max(p)) - 1)::INTEGER AS top, round(p[1], 6) AS p0, round(p[4], 6) AS p3 FROM a""",
+    "softmax_sigmoid": f"""{_VEC}, s AS (SELECT vec_id, p, list_transform(p, lambda x: exp(x - list_max(p))) AS e FROM e)
+SELECT vec_id, array_to_string(list_transform(e, lambda x: printf('%.4f', x / list_sum(e))), ',') AS softmax, array_to_string(list_transform(p, lambda x: printf('%.4f', 1 / (1 + exp(-x)))), ',') AS sigmoid FROM s""",
+    "region_decode": f"{_VEC} SELECT vec_id, coalesce(list_extract(list_filter(list_transform(range(1, 65), lambda i: CASE WHEN p[i] > 0.2 THEN (7 * (i - 1)) % 64 + 1 END), lambda x: x IS NOT NULL), -1), 0)::INTEGER AS label FROM e",
+    "ensemble_mean": f"""{_VEC}, u AS (SELECT label, unnest(p) AS v, unnest(range(64)) AS axis FROM e), a AS (SELECT label, axis, avg(v) AS v FROM u GROUP BY 1, 2)
+SELECT label, (arg_max(axis, v) OVER (PARTITION BY label))::INTEGER AS top, axis::INTEGER AS axis, round(v, 6) AS mean FROM a""",
     "learning_rates": """
 SELECT e AS epoch, round(0.01::DOUBLE * pow(1 - e / 100.0::DOUBLE, 0.9::DOUBLE), 6) AS poly,
        round(CASE WHEN e % 20 < 5 THEN (0.1::DOUBLE - 0.001::DOUBLE) * (e % 20) / 5.0::DOUBLE + 0.001::DOUBLE ELSE 0.001::DOUBLE + 0.099::DOUBLE * (1 + cos(pi() * (e % 20 - 5) / 15.0::DOUBLE)) / 2 END, 6) AS cosine

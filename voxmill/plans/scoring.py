@@ -147,8 +147,7 @@ def best_config(spark, d):
 
 
 def model_pairs(spark, d):
-    nation = tables.read(spark, d, "nation").filter("n_regionkey = 1")
-    return selection.model_pairs(nation, "n_name", "n_nationkey")
+    return selection.model_pairs(tables.read(spark, d, "nation"), "n_name", "n_nationkey", ["n_regionkey"])
 
 
 _DICE = "CASE WHEN tp + fp + fn = 0 THEN {both} WHEN tp + fn = 0 THEN {gt} ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END"
@@ -253,5 +252,5 @@ WITH p AS (SELECT user_id, epoch_us(ts::TIMESTAMP) AS b, epoch_us(lag(ts) OVER (
 SELECT user_id, min(b - a)::DOUBLE AS fastest, round(avg(b - a), 1) AS mean FROM p WHERE a IS NOT NULL GROUP BY 1""",
     "best_config": """
 SELECT l_returnflag, l_linestatus, round(avg(l_discount), 6) AS score FROM lineitem GROUP BY 1, 2 ORDER BY score DESC, l_returnflag, l_linestatus LIMIT 1""",
-    "model_pairs": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE a.n_regionkey = 1 AND b.n_regionkey = 1",
+    "model_pairs": "SELECT a.n_regionkey, a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey",
 }

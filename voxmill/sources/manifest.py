@@ -69,6 +69,11 @@ def clicks_json(clicks: DataFrame, by: str) -> DataFrame:
     return rows.select(by, F.to_json(F.struct(version.alias("version"), F.lit("Multiple points").alias("type"), "points")).alias("json"))
 
 
+def case_reports(scores: DataFrame, case: str, metrics: list[str]) -> DataFrame:
+    """``(case, json)``: a line of JSON for each case's scores, which scales with the table; :func:`metrics_json` is the single report."""
+    return scores.select(case, F.to_json(F.struct(F.col(case).alias("case"), F.struct(*metrics).alias("scores"))).alias("json"))
+
+
 def metrics_json(scores: DataFrame, aggregates: DataFrame, case: str, metrics: list[str]) -> DataFrame:
     """One row ``json``: the scores of every case by metric, and the aggregates ``(column, stat, value)`` by column.
 
