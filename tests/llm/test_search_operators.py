@@ -185,6 +185,14 @@ def test_search_awkward_tables(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in knn.knn_join(one, two).collect()] == [(1, 1, 2)]
 
 
+def test_search_keeps_query_rows_apart(spark):
+    kind = "vec_id long, embedding array<float>"
+    data = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [5000.0, 1.0]), (3, [0.0, 2.0])], kind)
+    asked = spark.createDataFrame([(9, [1.0, 0.0]), (9, [0.0, 1.0])], kind)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in knn.knn_join(asked, data, k=2).collect())
+    assert got == [(1, 3, 131072), (1, 3, 327680000), (2, 1, 65536), (2, 2, 65536)]
+
+
 # -- url filter
 
 

@@ -23,22 +23,35 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(F.exists(vector, bad), F.lit(True))
 
 
+def packed(v: np.ndarray) -> bytes:
+    """A vector of integers held as doubles: 16-bit integers where they suffice, else the doubles; the first byte tells which."""
+    small = v.astype("<i2") if not len(v) or np.abs(v).max() < 2**15 else None
+    return b"s" + small.tobytes() if small is not None else b"d" + v.astype("<f8").tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    """The vector of :func:`packed`."""
+    return np.frombuffer(b, "<i2" if b[:1] == b"s" else "<f8", offset=1)
+
+
 def prepared(table: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """``(id, v)`` of usable vectors, each component ``floor(scale * x)`` in double precision."""
+    """``(id, v, width, norm2)`` of usable vectors, each component ``floor(scale * x)`` in double precision; ``v`` is :func:`packed`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "v": [np.floor(scale * np.asarray(v, np.float64)) for v in b["v"]]})
+            vectors = [np.floor(scale * np.asarray(v, np.float64)) for v in b["v"]]
+            yield pd.DataFrame({"id": b["id"], "v": [packed(v) for v in vectors], "width": np.array([len(v) for v in vectors], np.int32), "norm2": np.array([float(v @ v) for v in vectors])})
 
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(usable(F.col("v")))
-    return rows.mapInPandas(run, "id long, v array<double>")
+    return rows.mapInPandas(run, "id long, v binary, width int, norm2 double")
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     """Rows of vectors; shorter ones end in zeros."""
     out = np.zeros((len(vectors), width))
     for k, v in enumerate(vectors):
-        out[k, : len(v)] = v
+        x = unpacked(v)
+        out[k, : len(x)] = x
     return out
 
 
@@ -75,15 +88,14 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, id_col: str = "vec
     largest bound tells which data it can need. Only that is sent to it, in units of about ``query_rows`` by ``data_rows``; units are
     solved locally and their best merged. Pivots and summaries are of fixed size and reach every task; nothing else does.
 
-    Ties go to the smaller id. Rows of the query's own id are no candidates. Null vectors and those with null or non-finite components
+    Ties go to the smaller id. Rows of the query's own id are no candidates. Query rows of one id are queries of their own, each with a list of its own; data rows of
+    one id are candidates of their own. Ids are integers. Null vectors and those with null or non-finite components
     take no part; shorter vectors count as ending in zeros; empty ones score 0. With fewer than ``k`` candidates all are returned; without any,
     none. Scores must fit in 64 bits.
     """
     schema = "query_id long, rank int, vec_id long, score long"
     data, queries = prepared(data, id_col, vector_col, scale), prepared(queries, id_col, vector_col, scale)
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    facts = data.select(F.size("v").alias("width"), norm2.alias("norm2")).agg(F.max("width").alias("width"), F.max("norm2").alias("m2"), F.count(F.lit(1)).alias("n")).first()
-    asked = queries.select(F.size("v").alias("width"), norm2.alias("norm2")).agg(F.max("width").alias("width"), F.max("norm2").alias("m2"), F.count(F.lit(1)).alias("n")).first()
+    facts, asked = (t.agg(F.max("width").alias("width"), F.max("norm2").alias("m2"), F.count(F.lit(1)).alias("n")).first() for t in (data, queries))
     if not facts.n or not asked.n:
         return data.sparkSession.createDataFrame([], schema)
     space = Space(max(facts.width, asked.width), facts.m2)
@@ -99,7 +111,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, id_col: str = "vec
             near = d.argmin(1) if len(d) else np.zeros(0, int)
             yield b.assign(g=near, d=d[np.arange(len(d)), near])
 
-    placed = data.mapInPandas(lambda bs: place(bs, space.data), "id long, v array<double>, g int, d double")
+    placed = data.select("id", "v").mapInPandas(lambda bs: place(bs, space.data), "id long, v binary, g int, d double")
     # the summaries: k + 1 members nearest to each pivot (one may be the query itself), and each group's rows and radius
     nearest = placed.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy("d", "id"))).filter(F.col("r") <= k + 1)
     members = nearest.select("id", "v").toPandas()
@@ -115,7 +127,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, id_col: str = "vec
             theta = d[:, k - 1] if d.shape[1] >= k else np.full(len(d), np.inf)
             yield b.assign(theta=theta)
 
-    bounded = queries.mapInPandas(bound, "id long, v array<double>, g int, d double, theta double")
+    bounded = queries.select("id", "v", F.monotonically_increasing_id().alias("q")).mapInPandas(bound, "id long, v binary, q long, g int, d double, theta double")
     limits = bounded.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"), F.max("theta").alias("theta")).toPandas().set_index("g")
     active = limits.index.to_numpy()
     theta, radius = limits["theta"].to_numpy() + eps, limits["radius"].to_numpy()
@@ -136,7 +148,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, id_col: str = "vec
             times = salts[i]
             row = np.repeat(np.arange(len(b)), times)
             salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            yield b.iloc[row][["id", "v"]].assign(unit=units(i[row], _mix(b["id"].to_numpy()[row]) % chunks[i[row]], salt))
+            yield b.iloc[row][["id", "v", "q"]].assign(unit=units(i[row], _mix(b["id"].to_numpy()[row]) % chunks[i[row]], salt))
 
     def send_data(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _parts(batches):
@@ -149,22 +161,22 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, id_col: str = "vec
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if q.empty or x.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+            return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []}, dtype=np.int64)
         x = x.sort_values("id", kind="stable")
         ids, points, out = x["id"].to_numpy(), _matrix(x["v"], space.width), []
         for at in range(0, len(q), 256):
             part = q.iloc[at : at + 256]
             scores = products(_matrix(part["v"], space.width), points, exact)
-            for own, s in zip(part["id"].to_numpy(), scores, strict=True):
+            for own, number, s in zip(part["id"].to_numpy(), part["q"].to_numpy(), scores, strict=True):
                 other = np.flatnonzero(ids != own)
                 best = other[np.argsort(-s[other], kind="stable")[:k]]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "score": s[best]}))
+                out.append(pd.DataFrame({"query_id": own, "q": number, "vec_id": ids[best], "score": s[best]}))
         return pd.concat(out)
 
-    kind = "id long, v array<double>, unit long"
-    left, right = bounded.select("id", "v", "g").mapInPandas(send_queries, kind), placed.mapInPandas(send_data, kind)
-    solved = left.groupBy("unit").cogroup(right.groupBy("unit")).applyInPandas(solve, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    left = bounded.select("id", "v", "q", "g").mapInPandas(send_queries, "id long, v binary, q long, unit long")
+    right = placed.mapInPandas(send_data, "id long, v binary, unit long")
+    solved = left.groupBy("unit").cogroup(right.groupBy("unit")).applyInPandas(solve, "query_id long, q long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return solved.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
