@@ -50,11 +50,18 @@ def _joined(facts: DataFrame, more: DataFrame, by: Sequence[str]) -> DataFrame:
     return facts.join(other, same, "left").drop(*[f"_m_{c}" for c in by])
 
 
-def describe(table: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Long table ``(*by, column, count, mean, std, min, pc25, pc50, pc75, max)``: the sample deviation, linear percentiles."""
+def describe(table: DataFrame, columns: Sequence[str], by: Sequence[str] = (), spread: bool = False) -> DataFrame:
+    """Long table ``(*by, column, count, mean, std, min, pc25, pc50, pc75, max)``: the sample deviation, linear percentiles.
+
+    The percentiles of a group are taken in one pass whose state holds its distinct values, which suits a row for each case; for groups of
+    cells or events, ``spread`` takes :func:`percentiles`, of the same result, which no task holds whole.
+    """
     long = unpivot(table, columns, by)
-    facts = long.groupBy(*by, "column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    out = _joined(facts, _wide(long, [*by, "column"], "value", {"pc25": 0.25, "pc50": 0.5, "pc75": 0.75}), [*by, "column"])
+    facts = [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")]
+    if spread:
+        out = _joined(long.groupBy(*by, "column").agg(*facts), _wide(long, [*by, "column"], "value", {"pc25": 0.25, "pc50": 0.5, "pc75": 0.75}), [*by, "column"])
+    else:
+        out = long.groupBy(*by, "column").agg(*facts, F.percentile("value", F.lit([0.25, 0.5, 0.75])).alias("_pc")).withColumns({f"pc{q}": F.get("_pc", F.lit(k)) for k, q in enumerate((25, 50, 75))})
     return out.select(*by, "column", "count", "mean", "std", "min", "pc25", "pc50", "pc75", "max")
 
 

@@ -86,7 +86,7 @@ def consistency(spark, d):
 
 def describe_scores(spark, d):
     events = tables.read(spark, d, "events")
-    return rounded(summary.describe(events, ["value"], ["event_type"]))
+    return rounded(summary.describe(events, ["value"], ["event_type"], spread=True))
 
 
 def describe_text(spark, d):
