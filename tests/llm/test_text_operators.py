@@ -181,9 +181,9 @@ def test_fingerprints_follow_jaccard_similarity(spark):
 
 
 def test_densify_fills_every_bin(spark):
-    table = spark.createDataFrame([({5: 17},), ({0: 3, 1: 4},)], "m map<int,bigint>")
-    one, two = (r.d for r in table.select(fingerprint.densify(F.col("m")).alias("d")).collect())
-    assert set(one) == {17} and set(two) == {3, 4} and len(two) == fingerprint.BINS
+    arrays = [[17 if i == 5 else None for i in range(128)], [3 if i == 0 else 4 if i == 1 else None for i in range(128)], list(range(128))]
+    one, two, full = (r.d for r in spark.createDataFrame([(a,) for a in arrays], "m array<bigint>").select(fingerprint.densify(F.col("m")).alias("d")).collect())
+    assert set(one) == {17} and set(two) == {3, 4} and len(two) == fingerprint.BINS and full == arrays[2]
 
 
 def test_fingerprints_awkward_rows(spark):

@@ -75,10 +75,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder, in a folder for each value of the columns ``by``, and read again.
 
-    For tables that several later steps read: smaller than a checkpoint, and read by column.
+    For tables that several later steps read: smaller than a checkpoint, and read by column. The shuffle files of the steps before it are
+    removed once it is written, as nothing reads them again.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(path)
+    spark, tidy = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch_path(spark, name), spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
     return df.sparkSession.read.schema(T.StructType([f for f in df.schema if f.name not in by] + [f for f in df.schema if f.name in by])).parquet(path)
 
 

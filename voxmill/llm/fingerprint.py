@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from voxmill.llm import common
 
 #: Bins of the one permutation; hex digits kept of each bin's minimum (8 bits are two digits); words in a shingle.
 BINS, DIGITS, WIDTH = 128, 2, 5
+#: Bins that an empty bin asks before it looks for the nearest filled one by hash.
+ATTEMPTS = 8
 BITS = 4 * DIGITS
 
 
@@ -30,38 +34,53 @@ def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
     return _with(F.transform(words, lambda w: F.xxhash64(w)), lambda hs: F.when(F.size(hs) >= width, long(hs)).otherwise(short(hs)))
 
 
-def densify(filled: Column, bins: int = BINS, attempts: int = 8) -> Column:
-    """Array of ``bins`` values from ``filled``, a map of bin to minimum that isn't empty.
+def _asked(bins: int, attempts: int) -> list[list[int]]:
+    """The bins that an empty bin asks, in order: a fixed table of hashes of (bin, attempt)."""
+    digest = lambda i, t: hashlib.blake2b(f"{i}:{t}".encode(), digest_size=8).digest()
+    return [[int.from_bytes(digest(i, t), "little") % bins for t in range(attempts)] for i in range(bins)]
+
+
+def densify(known: Column, bins: int = BINS, attempts: int = ATTEMPTS) -> Column:
+    """``known``, an array of ``bins`` values of which some but not all are null, with the nulls filled.
 
     Optimal densification: an empty bin asks the bins that a universal hash of (bin, attempt) names until one is filled, so
     each empty bin draws on its own and two documents draw alike. Should all ``attempts`` fail, it takes the filled bin of
     the smallest hash with its own number, which ends the search for any document.
     """
-    known = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.try_element_at(filled, i))
-    ask = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(bins)).cast("int")
-    tried = lambda ks, i: F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(attempts)), lambda t: F.get(ks, ask(i, t))), lambda x: x.isNotNull()), F.lit(0))
-    last = lambda i: F.array_min(F.transform(F.map_entries(filled), lambda e: F.struct(F.xxhash64(i, F.lit("last"), e["key"]), e["value"].alias("v"))))["v"]
-    return _with(known, lambda ks: F.transform(ks, lambda k, i: F.coalesce(k, tried(ks, i), last(i))))
+    table = F.lit(_asked(bins, attempts))
+    held = lambda ks: F.filter(F.transform(ks, lambda k, i: F.struct(i.alias("i"), k.alias("v"))), lambda x: x["v"].isNotNull())
+    last = lambda fs, i: F.array_min(F.transform(fs, lambda f: F.struct(F.xxhash64(i, f["i"]), f["v"].alias("v"))))["v"]
+
+    def fill(ks: Column, fs: Column) -> Column:
+        asks = lambda i: [F.get(ks, F.get(F.get(table, i), F.lit(t))) for t in range(attempts)]
+        return F.transform(ks, lambda k, i: F.when(k.isNotNull(), k).otherwise(F.coalesce(*asks(i), last(fs, i))))
+
+    return _with(known, lambda ks: _with(held(ks), lambda fs: fill(ks, fs)))
 
 
 def fingerprint_bits(hashes: Column, bins: int = BINS) -> Column:
     """The fingerprint of an array of shingle hashes as ``bins`` small numbers; an empty array for no shingles.
 
     The bin is the hash modulo ``bins``; of the rest, the smallest in each bin is kept, and of that the ``BITS`` low-order bits. All of it
-    happens inside the row: sorted by (bin, rest), the first of each bin is its minimum.
+    happens inside the row: sorted by (bin, rest) together with the largest rest for each bin, the first of each bin is its minimum, and an empty bin has
+    that largest rest only.
     """
     power = bins.bit_length() - 1
     if bins != 1 << power:
         raise ValueError("the number of bins must be a power of two")
-    rest = 63 - power
-    placed = F.transform(hashes, lambda h: F.shiftleft(h.bitwiseAND(F.lit(bins - 1)), rest).bitwiseOR(F.shiftrightunsigned(h, power + 1)))
-    bin_of = lambda x: F.shiftright(x, rest)
-    firsts = _with(F.sort_array(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))))
-    value = lambda x: x.bitwiseAND(F.lit((1 << rest) - 1))
-    low = lambda vs: F.transform(vs, lambda v: v.bitwiseAND(F.lit((1 << BITS) - 1)).cast("smallint"))
-    sparse = lambda fs: densify(F.map_from_arrays(F.transform(fs, lambda x: bin_of(x).cast("int")), F.transform(fs, value)), bins)
-    full = lambda fs: F.when(F.size(fs) == bins, F.transform(fs, value)).when(F.size(fs) > 0, sparse(fs)).otherwise(F.array().cast("array<bigint>"))
-    return low(_with(firsts, full))
+    width = 63 - power
+    top = (1 << width) - 1
+    ends = F.lit([(i << width) | top for i in range(bins)]).cast("array<bigint>")
+    placed = F.transform(hashes, lambda h: F.shiftleft(h.bitwiseAND(F.lit(bins - 1)), width).bitwiseOR(F.least(F.shiftrightunsigned(h, power + 1), F.lit(top - 1))))
+    bin_of = lambda x: F.shiftright(x, width)
+    firsts = _with(F.sort_array(F.concat(placed, ends)), lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))))
+    known = F.transform(firsts, lambda x: F.when(x.bitwiseAND(F.lit(top)) != top, x.bitwiseAND(F.lit(top))))
+    low = F.transform(densify(known, bins), lambda v: v.bitwiseAND(F.lit((1 << BITS) - 1)).cast("smallint"))
+    return F.when(F.size(hashes) > 0, low).otherwise(F.array().cast("array<smallint>"))
+
+
+def _text_bits(text: Column) -> Column:
+    return _with(shingle_hashes(text), lambda hashes: fingerprint_bits(hashes))
 
 
 def packed(bits: Column) -> Column:
@@ -86,7 +105,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null and empty texts, and texts of white space, have the empty fingerprint. Nothing is shuffled; ids may repeat or be null.
     """
-    bits = fingerprint_bits(shingle_hashes(F.coalesce(F.col(text_col), F.lit(""))))
+    bits = _text_bits(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(id_col, bits.alias("bits")).select(id_col, packed(F.col("bits")).alias("fingerprint"), "bits")
 
 
@@ -123,8 +142,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lent = texts.withColumnsRenamed({"_k": "_next"}).join(cases, "_next").select("_k", "_next", "_id", "n", "_times", "_main", F.substring("_text", F.lit(1), half).alias("_lent"))
     both = texts.join(lent, "_k")
     edited = F.concat(F.substring("_text", F.lit(1), (F.col("n") - half).cast("int")), F.col("_lent"))
-    bits = lambda t: fingerprint_bits(shingle_hashes(t))
-    wide = both.select("_k", "_next", "_id", "n", "_times", "_main", F.sha2(edited, 256).alias("edited_sha256"), bits(F.col("_text")).alias("bits"), bits(edited).alias("edited"))
+    wide = both.select("_k", "_next", "_id", "n", "_times", "_main", F.sha2(edited, 256).alias("edited_sha256"), _text_bits(F.col("_text")).alias("bits"), _text_bits(edited).alias("edited"))
     wide = common.stored(wide, "edited")
     after = wide.filter("_main").select(F.col("_k").alias("_next"), F.col("bits").alias("after"))
     out = wide.join(after, "_next").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,10 @@ from voxmill.llm import common
 DEPTH, C_MIN = 4, 3
 #: Taken from the count of each stored transition for those that aren't; nats by which a context must improve its training text.
 DISCOUNT, DIVERGENCE = 0.75, 8.0
-#: The most counted tokens and runs that every task holds: so many at most, whatever the corpus. All others are joined by key.
-HOT_TOKENS, HOT_RUNS = 1 << 20, 1 << 21
+#: The most counted tokens, and states and transitions, that every task holds: so many of each at most, whatever the corpus. All others are joined by key.
+HOT_TOKENS, HOT_RUNS = 1 << 20, 1 << 20
 #: Bytes of text handled at once, runs of a length that a task sums before it sends them on, and bytes of training text for each slice of the counts.
-BLOCK, SUMMED, SLICE = 4 << 20, 2_500_000, 16 << 20
+BLOCK, SUMMED, SLICE = 2 << 20, 2_500_000, 16 << 20
 #: Most bits of a filter of stored runs, as a power of two, and the parts into which a task's bits are cut.
 FILTER_BITS, _PARTS = 26, 64
 _KEPT_WORDS = 100_000
@@ -212,27 +213,32 @@ def _counted(train: DataFrame, text_col: str, runs, name: str) -> DataFrame:
 
 def _short(h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """All tokens but the first, and all pairs of a stream."""
-    yield 1, h[1:], np.zeros(len(h) - 1, np.uint64)
+    yield 1, h[1:], np.broadcast_to(np.uint64(0), len(h) - 1)
     yield 2, h[:-1], h[1:]
 
 
-def _long(depth: int, pairs, states):
-    """Runs of 3 to ``depth + 1`` tokens whose pairs all are in ``pairs``, and whose last token but one is a state, or the last one if they can be contexts."""
+def _long(lengths: range, part: int, depth: int, parts, states):
+    """Runs of ``lengths`` tokens whose runs of ``part`` tokens all are in ``parts``, and that a state of ``part - 1`` tokens reaches, or may extend as contexts."""
 
     def runs(h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        key = run_key(h[:-1], h[1:])
-        fine = pairs.has(key)
-        may = fine.copy()  # of a run that starts here
-        for length in range(3, depth + 2):
+        keys = [h]
+        while len(keys) < part:
+            keys.append(run_key(keys[-1][:-1], keys[-1][1:]))
+        key, fine = keys[-1], parts.has(keys[-1])
+        may = fine  # of a run that starts here; the tokens in between don't end a text
+        for k in range(1, part - 1):
+            may = may & (h[k : k + len(may)] != END)
+        for length in range(part + 1, lengths.stop):
             if len(key) < 2:
                 return
-            may = may[:-1] & fine[length - 2 :] & (h[length - 2 : -1] != END)  # the tokens in between don't end a text
-            at = np.flatnonzero(may)
-            last = states.has(h[at + length - 2])
-            if length <= depth:  # its count is the size of a longer context
-                last |= states.has(h[at + length - 1])
-            at = at[last]
-            yield length, key[at], key[at + 1]
+            may = may[:-1] & fine[length - part :] & (h[length - 2 : -1] != END)
+            if length in lengths:
+                at = np.flatnonzero(may)
+                reached = states.has(keys[-2][at + length - part])
+                if length <= depth:  # its count is the size of a longer context
+                    reached |= states.has(keys[-2][at + length - part + 1])
+                at = at[reached]
+                yield length, key[at], key[at + 1]
             key = run_key(key[:-1], key[1:])
 
     return runs
@@ -240,9 +246,9 @@ def _long(depth: int, pairs, states):
 
 @dataclass
 class Tree:
-    """The hot part of the tree: the most counted tokens, and the most counted runs with what each adds to a score.
+    """The hot part of the tree: the most counted tokens, states and transitions, with what each adds to a score.
 
-    ``own`` is what a run adds to the score of its last token, ``after`` what it adds, as a state, to that of the next token.
+    ``own`` is what a transition (a state and the next token) adds to the score of its last token, ``after`` what a state adds to that of the next token.
     Everything else is in tables; ``stored`` tells which keys may be there.
     """
 
@@ -250,9 +256,10 @@ class Tree:
     count: np.ndarray
     tokens: int
     distinct: int
-    key: np.ndarray
-    own: np.ndarray
+    states: np.ndarray
     after: np.ndarray
+    moves: np.ndarray
+    own: np.ndarray
     stored: Filter
     depth: int
 
@@ -271,8 +278,8 @@ class Tree:
         made = base.copy()
         cold: tuple[list, list] = ([], [])
 
-        def look(keys: np.ndarray, at: np.ndarray, weights: np.ndarray, kind: int) -> None:
-            found = _find(self.key, keys)
+        def look(keys: np.ndarray, at: np.ndarray, there: np.ndarray, weights: np.ndarray, kind: int) -> None:
+            found = _find(there, keys)
             made[at] += _take(weights, found)
             cold[kind].append((keys[found < 0], at[found < 0]))
 
@@ -289,70 +296,69 @@ class Tree:
             longer = run_key(key[:-1], key[1:])
             run = longer[t - n]
             may = self.stored.has(run)
-            look(state, t - 1, self.after, 0)
-            look(run[may], t[may] - 1, self.own, 1)
+            look(state, t - 1, self.states, self.after, 0)
+            look(run[may], t[may] - 1, self.moves, self.own, 1)
             key = longer
         return symbol, base, made, *cold
 
 
-def grow(grams: DataFrame, longer: DataFrame | None, depth: int, lengths: list[int], below: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame]:
-    """Stored weights ``(key, c, own, after)`` of the states of ``lengths`` tokens less one and of their transitions.
+def grow(runs: DataFrame, sizes: DataFrame, below: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(key, c, after)`` of the states of a length, ``(key, c, own)`` of their transitions, and ``(key, v)`` of the transitions.
 
-    Starts from ``below(key, v)``, the runs of one token less that a state reaches, with ``v`` their count and log10 probability. A stored transition has
-    ``(count - DISCOUNT) / count of the context``; the rest of the mass goes to all other tokens in proportion to what the context without
-    its first token gives them, so every state's probabilities add up to one. A context becomes a state if the context without its first token is one (the empty
-    one always is) and its distribution improves the log likelihood of what followed it by ``DIVERGENCE`` nats over that shorter state. The log10 of it all is a
-    sum of weights of the runs that end with a token or before it (see :class:`Tree`).
+    ``runs(pre, suf, c)`` are the counts of runs of one token more, ``sizes(pre, size)`` those of the states-to-be, and ``below(key, v)`` the transitions of the
+    states of one token less, ``v`` being their count and log10 probability. A stored transition has ``(count - DISCOUNT) / count of the context``; the rest of the mass goes to all other
+    tokens in proportion to what the context without its first token gives them, so every state's probabilities add up to one. A context becomes a state if the
+    context without its first token is one (the empty one always is) and its distribution improves the log likelihood of what followed it by ``DIVERGENCE`` nats
+    over that shorter state. The log10 of it all is a sum of weights of the runs that end with a token or before it (see :class:`Tree`).
     """
-    made = []
-    for length in lengths:
-        runs = (grams if length <= 2 else longer).filter(F.col("length") == length).select("pre", "suf", "c")
-        # what the shorter state gives the last token; runs that no shorter state reaches go
-        found = runs.join(below.select(F.col("key").alias("suf"), F.col("v.logp").alias("given")), "suf").select("pre", "suf", "c", "given")
-        sizes = (grams if length - 1 <= 2 else longer).filter(F.col("length") == length - 1)
-        sizes = sizes.select((F.col("pre") if length == 2 else F.xxhash64("pre", "suf")).alias("pre"), F.col("c").alias("size"))
-        found = common.stored(found.join(sizes, "pre"), f"runs{length}")
-        own = F.col("c") - DISCOUNT
-        sums = found.groupBy("pre").agg(
-            F.sum(own).alias("mass"), F.sum(F.pow(F.lit(10.0), "given")).alias("given"), F.sum("c").alias("n"), F.first("size").alias("size"),
-            F.sum(F.col("c") * (F.ln(own) - F.col("given") * float(np.log(10)))).alias("gain"),
-        )
-        rest = F.greatest(1 - F.col("mass") / F.col("size"), F.lit(1e-12)) / F.greatest(1 - F.col("given"), F.lit(1e-12))
-        gain = F.col("gain") - F.col("n") * F.ln("size") + (F.col("size") - F.col("n")) * F.ln(rest)
-        states = common.stored(sums.select("pre", "size", F.log10(rest).alias("after"), gain.alias("gain")).filter(F.col("gain") >= DIVERGENCE).drop("gain"), f"states{length}")
-        logp = F.log10(own / F.col("size"))
-        moves = common.stored(
-            found.join(states.select("pre", "after"), "pre").select(F.xxhash64("pre", "suf").alias("key"), F.struct("c", logp.alias("logp")).alias("v"), (logp - F.col("given") - F.col("after")).alias("own")), f"moves{length}"
-        )
-        made.append(states.select(F.col("pre").alias("key"), F.col("size").alias("c"), F.lit(0.0).alias("own"), "after"))
-        made.append(moves.select("key", "v.c", "own", F.lit(0.0).alias("after")))
-        below = moves.select("key", "v")
-    return made, below
-
-
-def learn(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Stored tables of the tree of the training texts: ``(token, c)`` of all tokens, and ``(key, c, own, after)`` of states and transitions (:func:`grow`).
-
-    Texts are read twice: tokens and pairs are counted first; of the longer runs, only those whose pairs are all stored and that a state of
-    one token reaches are counted. No other can be in the tree.
+    # what the shorter state gives the last token; runs that no shorter state reaches go
+    found = runs.join(below.select(F.col("key").alias("suf"), F.col("v.logp").alias("given")), "suf").select("pre", "suf", "c", "given")
+    found = common.stored(found.join(sizes, "pre"), f"runs{name}")
+    own = F.col("c") - DISCOUNT
+    sums = found.groupBy("pre").agg(
+        F.sum(own).alias("mass"), F.sum(F.pow(F.lit(10.0), "given")).alias("given"), F.sum("c").alias("n"), F.first("size").alias("size"),
+        F.sum(F.col("c") * (F.ln(own) - F.col("given") * float(np.log(10)))).alias("gain"),
+    )
+    rest = F.greatest(1 - F.col("mass") / F.col("size"), F.lit(1e-12)) / F.greatest(1 - F.col("given"), F.lit(1e-12))
+    gain = F.col("gain") - F.col("n") * F.ln("size") + (F.col("size") - F.col("n")) * F.ln(rest)
+    states = common.stored(sums.select("pre", "size", F.log10(rest).alias("after"), gain.alias("gain")).filter(F.col("gain") >= DIVERGENCE).drop("gain"), f"states{name}")
+    logp = F.log10(own / F.col("size"))
+    moves = found.join(states.select("pre", "after"), "pre")
+    moves = moves.select(F.xxhash64("pre", "suf").alias("key"), F.struct("c", logp.alias("logp")).alias("v"), (logp - F.col("given") - F.col("after")).alias("own"))
+    moves = common.stored(moves, f"moves{name}")
+    return (
+        states.select(F.col("pre").alias("key"), F.col("size").alias("c"), "after"),
+        moves.select("key", "v.c", "own"),
+        moves.select("key", "v"),
+    )
+
+
+def learn(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables of the tree of the training texts: ``(token, c)`` of all tokens, and the states and transitions (:func:`grow`).
+
+    Texts are read three times at most: for tokens and pairs, for the runs of three tokens whose pairs are stored, and for all longer ones whose runs of three are. Only
+    runs that a state reaches are counted; no other can be in the tree.
     """
     grams = _counted(train, text_col, _short, "grams")
     tokens = grams.filter("length = 1").select(F.col("pre").alias("token"), "c")
     facts = tokens.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     root = F.log10((F.col("c") + 0.5) / F.lit((facts.n or 0) + 0.5 * (facts.v + 1)))
-    below = tokens.filter(F.col("c") >= C_MIN).select(F.col("token").alias("key"), F.struct("c", root.alias("logp")).alias("v"))
-    weights, below = grow(grams, None, depth, [2], below)
-    if depth > 1:
-        share = train.sparkSession.sparkContext.broadcast
-        pairs, states = share(_filter(grams.filter("length = 2").select(F.xxhash64("pre", "suf").alias("key")))), share(_filter(weights[0]))
-        longer = _counted(train, text_col, lambda h: _long(depth, pairs.value, states.value)(h), "longer")
-        more, _ = grow(grams, longer, depth, [*range(3, depth + 2)], below)
-        weights += more
-    every = weights[0]
-    for w in weights[1:]:
-        every = every.unionByName(w)
-    every = every.groupBy("key").agg(F.max("c").alias("c"), F.sum("own").alias("own"), F.sum("after").alias("after"))
-    return tokens, common.stored(every, "weights")
+    often = F.col("c") >= C_MIN
+    below = tokens.filter(often).select(F.col("token").alias("key"), F.struct("c", root.alias("logp")).alias("v"))
+    of_length = lambda n: tables[n].filter(F.col("length") == n)
+    key = F.xxhash64("pre", "suf")
+    tables, found = {1: grams, 2: grams}, ([], [])
+    for n in range(1, depth + 1):  # states of n tokens
+        if n in (2, 3):
+            share = train.sparkSession.sparkContext.broadcast
+            lengths = range(3, 4) if n == 2 else range(4, depth + 2)
+            parts, reached = share(_filter(of_length(n).select(key.alias("key")))), share(_filter(states))
+            tables |= dict.fromkeys(lengths, _counted(train, text_col, lambda h, a=(lengths, n, depth), b=parts, c=reached: _long(*a, b.value, c.value)(h), f"grams{n + 1}"))
+        sizes = of_length(n).filter(often).select((F.col("pre") if n == 1 else key).alias("pre"), F.col("c").alias("size"))
+        states, moves, below = grow(of_length(n + 1).select("pre", "suf", "c"), sizes, below, str(n))
+        found[0].append(states)
+        found[1].append(moves)
+    return tokens, *(reduce(DataFrame.unionByName, parts) for parts in found)
 
 
 def _most(table: DataFrame, rows: int) -> pd.DataFrame:
@@ -363,17 +369,19 @@ def _most(table: DataFrame, rows: int) -> pd.DataFrame:
     return table.filter(step >= (int(fits.min()) if len(fits) else 1 << 30)).toArrow().to_pandas()
 
 
-def hot(tokens: DataFrame, weights: DataFrame, depth: int = DEPTH, hot_tokens: int = HOT_TOKENS, hot_runs: int = HOT_RUNS) -> Tree:
-    """What of the tables of :func:`learn` every task holds: the most counted tokens and runs, of a fixed number at most."""
+def hot(tokens: DataFrame, states: DataFrame, moves: DataFrame, depth: int = DEPTH, hot_tokens: int = HOT_TOKENS, hot_runs: int = HOT_RUNS) -> Tree:
+    """What of the tables of :func:`learn` every task holds: the most counted rows of each, a fixed number at most."""
     facts = tokens.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
 
-    def by(table: pd.DataFrame, name: str) -> tuple[pd.DataFrame, np.ndarray]:
-        key = table[name].to_numpy(np.int64).view(np.uint64)
+    def most(table: DataFrame, name: str, rows: int, value: str) -> tuple[np.ndarray, np.ndarray]:
+        found = _most(table.select(name, "c", *({value} - {"c"})), rows)
+        key = found[name].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(key)
-        return table.iloc[order], key[order]
+        return key[order], found[value].to_numpy()[order]
 
-    (symbols, names), (runs, keys) = by(_most(tokens, hot_tokens), "token"), by(_most(weights, hot_runs), "key")
-    return Tree(names, symbols["c"].to_numpy(np.int64), int(facts.n or 0), int(facts.v), keys, runs["own"].to_numpy(float), runs["after"].to_numpy(float), _filter(weights), depth)
+    symbols, heads, tails = most(tokens, "token", hot_tokens, "c"), most(states, "key", hot_runs, "after"), most(moves, "key", hot_runs, "own")
+    stored = _filter(states.select("key").unionByName(moves.select("key")))
+    return Tree(*symbols, int(facts.n or 0), int(facts.v), *heads, *tails, stored, depth)
 
 
 def scores(
@@ -384,14 +392,14 @@ def scores(
     Tokens are the words of the text with A-Z lower-cased, and one end. ``base_score`` is the log10 probability under smoothed counts of single
     tokens, ``score`` that of the tree, whose states have 1 to ``depth`` tokens: each token is scored at the longest state that the tokens before it
     end with. All runs counted ``C_MIN`` times are tried, however large the corpus. Every task holds the most counted
-    tokens and runs, ``hot_tokens`` and ``hot_runs`` at most; all others are looked up by joins, so neither changes a score.
+    tokens, states and transitions, ``hot_tokens`` and ``hot_runs`` of each at most; all others are looked up by joins, so neither changes a score.
 
     Null text counts as empty: its only token is the end. Rows of equal id are scored each by itself. Rows whose
     condition is null are held out. Without training rows the model is uniform over the one unknown token. Tokens and runs are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(train_when, F.lit(False)).alias("_train"))
-    tokens, weights = learn(docs.filter("_train"), "_text", depth)
-    tree = hot(tokens, weights, depth, hot_tokens, hot_runs)
+    tokens, heads, tails = learn(docs.filter("_train"), "_text", depth)
+    tree = hot(tokens, heads, tails, depth, hot_tokens, hot_runs)
     shared = docs.sparkSession.sparkContext.broadcast(tree)
     lists = T.ArrayType(T.LongType())
     schema = T.StructType([docs.schema["_id"], docs.schema["_train"]]).add("n", "long").add("known", "long").add("base", "double").add("made", "double").add("rare", lists).add("states", lists).add("runs", lists)
@@ -422,8 +430,8 @@ def scores(
     none = float(tree.root(0))
     root = F.log10((F.col("c") + 0.5) / F.lit(tree.tokens + 0.5 * (tree.distinct + 1)))
     seen = rows.select("_row", F.explode("rare").alias("token")).join(tokens, "token").select("_row", F.lit(1).alias("seen"), (root - none).alias("root"), F.lit(0.0).alias("more"))
-    asked = lambda lists, weight: rows.select("_row", F.explode(lists).alias("key")).join(weights.select("key", weight), "key").select("_row", F.lit(0).alias("seen"), F.lit(0.0).alias("root"), F.col(weight).alias("more"))
-    rest = seen.unionByName(asked("states", "after")).unionByName(asked("runs", "own"))
+    asked = lambda lists, table, weight: rows.select("_row", F.explode(lists).alias("key")).join(table.select("key", weight), "key").select("_row", F.lit(0).alias("seen"), F.lit(0.0).alias("root"), F.col(weight).alias("more"))
+    rest = seen.unionByName(asked("states", heads, "after")).unionByName(asked("runs", tails, "own"))
     rest = rest.groupBy("_row").agg(F.sum("seen").alias("seen"), F.sum("root").alias("root"), F.sum("more").alias("more"))
     out = rows.withColumn("unseen", F.size("rare") * F.lit(none)).drop("rare", "states", "runs").join(rest, "_row", "left")
     base = F.col("unseen") + F.coalesce("root", F.lit(0.0))
