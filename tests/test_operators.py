@@ -322,3 +322,37 @@ def test_otsu_parts_two_heaps(spark):
     assert 0.11 < losses.otsu(table, ["case_id"], "p").first().threshold < 0.8
     assert workflows.thresholded(table, None, 50).count() == 60
     assert workflows.thresholded(table, 0.5, 61).count() == 0
+
+
+def test_nrrd_and_orientation(spark, tmp_path):
+    import gzip
+
+    array = np.arange(24, dtype="<i2").reshape((2, 3, 4), order="F")
+    head = b"NRRD0004\ntype: short\ndimension: 3\nsizes: 2 3 4\nencoding: gzip\nendian: little\nspace directions: (0,2,0) (-1,0,0) (0,0,3)\nspace origin: (5,0,1)\n\n"
+    (tmp_path / "a.nrrd").write_bytes(head + gzip.compress(array.tobytes(order="F")))
+    found, geometry = volumes.parse_nrrd((tmp_path / "a.nrrd").read_bytes())
+    assert (found == array).all() and geometry["spacing"] == [2, 1, 3] and geometry["origin"] == [5, 0, 1]
+    turned, new = volumes.to_ras(found, geometry)
+    assert turned.shape == (3, 2, 4) and new["spacing"] == [1, 2, 3] and new["origin"] == [3, 0, 1] and np.allclose(np.reshape(new["direction"], (3, 3)), np.eye(3))
+    assert (turned == np.flip(array.transpose(1, 0, 2), 0)).all()
+    rows = volumes.read_voxels(spark, str(tmp_path), pattern="*.nrrd", ras=True)
+    assert rows.filter("x = 2 AND y = 0 AND z = 1").first().value == array[0, 0, 1]
+
+
+def test_images_archives_and_case_processing(spark, tmp_path):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    pixels = b"".join(b"\0" + bytes(row) for row in ([10, 20, 30], [40, 50, 60]))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b"")
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "a.png").write_bytes(png)
+    assert {(r.x, r.y): r.value for r in volumes.read_images(spark, str(tmp_path / "images")).collect()} == {(0, 0): 10, (1, 0): 20, (2, 0): 30, (0, 1): 40, (1, 1): 50, (2, 1): 60}
+    (tmp_path / "npz").mkdir()
+    np.savez(tmp_path / "npz" / "c.npz", data=np.ones((2, 2, 2)))
+    first = volumes.unpack(spark, str(tmp_path / "npz"), str(tmp_path / "out"))
+    assert first.count() == volumes.unpack(spark, str(tmp_path / "npz"), str(tmp_path / "out")).count() == 8
+    np.save(tmp_path / "v.npy", np.arange(8.0).reshape(2, 2, 2))
+    (row,) = volumes.process_cases(spark, str(tmp_path), lambda a: a > 3, "v.npy").collect()
+    assert volumes.parse_meta(bytes(row.content))[0].sum() == 4

@@ -222,3 +222,20 @@ def training_patch(voxels: DataFrame, corners: DataFrame, size: Sequence[int], b
     cells = cells.select(*by, "pid", *[(F.col(f"{c}0") + F.col(f"_{c}")).alias(c) for c in "xyz"], "_x", "_y", "_z")
     found = cells.join(voxels.select(*by, "x", "y", "z", value, label), [*by, "x", "y", "z"], "left")
     return found.select(*by, "pid", *[F.col(f"_{c}").alias(c) for c in "xyz"], F.coalesce(value, F.lit(0)).alias(value), F.coalesce(label, F.lit(-1)).alias(label))
+
+
+def run_evaluation(voxels: DataFrame, wanted: DataFrame, shape: Sequence[int], case: str = "case_id", spacing: Sequence[float] = (1, 1, 1), connectivity: int = 26) -> DataFrame:
+    """``(case, dice, hd, hd95, components)`` of one mask (``gt`` and ``pred`` are 0 or 1) for the ``wanted`` cases; a case without a prediction has 0 components."""
+    kept = voxels.join(wanted.select(case), case, "left_semi")
+    scores = overlap.confusion(kept, [1], case).select(case, overlap.dice().alias("dice"))
+    far = surface.surface_distances(kept, [1], shape, case, spacing).select(case, "hd", "hd95")
+    counts = components.component_count(components.label_components(kept.filter("pred = 1").select(case, "x", "y", "z"), [case], connectivity), [case]).select(case, "components")
+    return scores.join(far, case).join(counts, case, "left").fillna(0, ["components"])
+
+
+def catalogue_of_cases(files: DataFrame, path: str = "path") -> DataFrame:
+    """``(case, image, sparse, dense)`` of files ``<case>/data.npy``, ``<case>/gt_sparse.npy`` and, where there is one, ``<case>/gt_alpha.npy``; cases without an image are left out."""
+    part = F.struct(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("case"), F.regexp_extract(path, r"([^/]+)[.][^./]+$", 1).alias("kind"), F.col(path).alias("path"))
+    rows = files.select(part.alias("_p")).select("_p.*")
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("path")))
+    return rows.groupBy("case").agg(pick("data").alias("image"), pick("gt_sparse").alias("sparse"), pick("gt_alpha").alias("dense")).filter("image IS NOT NULL")

@@ -258,6 +258,18 @@ def largest_kept_each(spark, d):
     return out.groupBy("case_id", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
+def case_evaluation(spark, d):
+    v = tables.voxels(spark, d).withColumns({c: (F.col(c) == 1).cast("int") for c in ("gt", "pred")})
+    wanted = tables.read(spark, d, "supplier").filter("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("case_id"))
+    return rounded(workflows.run_evaluation(v, wanted, SHAPE))
+
+
+def case_catalogue(spark, d):
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "data").when(F.col("l_linenumber") % 3 == 1, "gt_sparse").otherwise("gt_alpha")
+    path = F.concat(F.lit("set/P"), F.col("l_orderkey").cast("string"), F.lit("/"), kind, F.lit(".npy"))
+    return workflows.catalogue_of_cases(tables.read(spark, d, "lineitem").select(path.alias("path")).distinct())
+
+
 # -- samples and splits
 
 
@@ -311,7 +323,7 @@ QUERIES = {
     for f in (
         components_26, two_largest, cleaned_by_label, cleaned_up, component_table, betti, betti_errors, merged_channels, channel_components, cleaned_and_remapped, otsu_mask, dilated_three, closed, holes_filled,
         nonzero_crop, pasted_back, nearest_points, heat_map, tile_weights, mirror_mean, turned, resampled_linear, resampled_labels, resampled_coarse, smoothed, sampled_features, patches, score_table, score_summary,
-        soft_dice_losses, soft_dice_batch, thresholded_dice, cell_losses, mean_dice, folder_ensemble, crossvalidation_ensemble, best_of_ensembles, best_single_model, paired_folder_metrics, largest_kept_each,
+        soft_dice_losses, soft_dice_batch, thresholded_dice, cell_losses, mean_dice, folder_ensemble, crossvalidation_ensemble, best_of_ensembles, best_single_model, paired_folder_metrics, largest_kept_each, case_evaluation, case_catalogue,
         location_sample, stratified_split, shuffled_split, three_way_split, equal_folds, ordered_folds, whole_shard, sparsified, drawn_rows, foreground_sample,
     )
 }
@@ -516,6 +528,14 @@ SELECT case_id, round(avg(ce), 6) AS ce, round(avg(ce) FILTER (WHERE r <= greate
     "largest_kept_each": f"""WITH RECURSIVE {VOX}, {_components('SELECT case_id, pred AS label, x, y, z FROM vox WHERE pred IN (1, 2)', _N6, 'case_id, label')},
 b AS (SELECT case_id, label, root FROM (SELECT *, row_number() OVER (PARTITION BY case_id, label ORDER BY n DESC, root) AS k FROM s) WHERE k = 1), kept AS (SELECT case_id, id FROM c SEMI JOIN b USING (case_id, label, root))
 SELECT case_id, CASE WHEN pred IN (1, 2) AND kept.id IS NULL THEN 0 ELSE pred END AS pred, count(*) AS n FROM vox LEFT JOIN kept ON vox.case_id = kept.case_id AND kept.id = x * 64 + y * 8 + z GROUP BY ALL""".replace("SELECT case_id, CASE WHEN pred IN", "SELECT vox.case_id, CASE WHEN pred IN"),
+    "case_evaluation": f"""WITH RECURSIVE {VOX.replace("max(l_orderkey % 4) AS gt, min((l_orderkey + l_linenumber) % 4) AS pred", "(max(l_orderkey % 4) = 1)::INT AS gt, (min((l_orderkey + l_linenumber) % 4) = 1)::INT AS pred")},
+cm AS (SELECT case_id, 1 AS label, sum(gt * pred)::BIGINT AS tp, sum((1 - gt) * pred)::BIGINT AS fp, sum(gt * (1 - pred))::BIGINT AS fn FROM vox GROUP BY 1){_surfaces("(1)").replace("quantile_cont(d, 0.95) AS hd95", "quantile_cont(d, 0.95) AS hd95, max(d) AS hd").replace("coalesce(hd95, other) AS hd95", "coalesce(hd95, other) AS hd95, coalesce(hd, other) AS hd")},
+{_components("SELECT case_id, x, y, z FROM vox WHERE pred = 1", _N26)}, cc AS (SELECT case_id, count(*) AS components FROM s GROUP BY 1)
+SELECT case_id, round(dice, 6) AS dice, round(hd, 6) AS hd, round(hd95, 6) AS hd95, coalesce(components, 0) AS components FROM near JOIN far USING (case_id, label) LEFT JOIN cc USING (case_id) WHERE case_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 2 = 0)""",
+    "case_catalogue": """
+WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber % 3 AS k FROM lineitem)
+SELECT 'P' || l_orderkey AS "case", 'set/P' || l_orderkey || '/data.npy' AS image, CASE WHEN bool_or(k = 1) THEN 'set/P' || l_orderkey || '/gt_sparse.npy' END AS sparse, CASE WHEN bool_or(k = 2) THEN 'set/P' || l_orderkey || '/gt_alpha.npy' END AS dense
+FROM p GROUP BY l_orderkey HAVING bool_or(k = 0)""",
     "location_sample": f"""WITH {VOX}, q AS (SELECT *, row_number() OVER (PARTITION BY case_id, gt ORDER BY md5(concat_ws('|', '7', case_id, gt, x, y, z))) AS r, count(*) OVER (PARTITION BY case_id, gt) AS n FROM vox WHERE gt > 0)
 SELECT case_id, gt, {_COUNT} FROM q WHERE r <= greatest(least(n, 10), ceil(n * 0.3::DOUBLE)) GROUP BY ALL""",
     "stratified_split": f"WITH q AS ({_ranks('customer', 'c_custkey', 5, 'c_nationkey')}) SELECT c_nationkey, c_custkey, CASE WHEN r <= 3 THEN 'valid' ELSE 'train' END AS part FROM q",

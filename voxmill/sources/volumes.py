@@ -6,10 +6,11 @@ import gzip
 import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed values of the file formats: element types by their names and codes.
@@ -67,8 +68,57 @@ def parse_numpy(data: bytes, key: str = "probabilities") -> tuple[np.ndarray, di
     return array, {"spacing": [1.0] * n, "origin": [0.0] * n, "direction": np.eye(n).ravel().tolist()}
 
 
+NRRD_TYPES = {
+    "signed char": "i1", "int8": "i1", "uchar": "u1", "unsigned char": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "unsigned short": "u2", "uint16": "u2", "int": "i4", "int32": "i4",
+    "uint": "u4", "unsigned int": "u4", "uint32": "u4", "float": "f4", "double": "f8",
+}
+
+
+def parse_nrrd(data: bytes) -> tuple[np.ndarray, dict]:
+    """An NRRD file with its data inside, raw or compressed: the array as (x, y, z), and its geometry."""
+    end = data.index(b"\n\n")
+    head = {}
+    for line in data[:end].decode().splitlines()[1:]:
+        if not line.startswith("#") and ":" in line:
+            name, _, value = line.partition(":")
+            head[name.strip().lower()] = value.lstrip("=").strip()
+    if "data file" in head or "datafile" in head:
+        raise ValueError("only NRRD files that hold their own data can be read")
+    raw = data[end + 2 :]
+    if head.get("encoding", "raw") in ("gzip", "gz"):
+        raw = gzip.decompress(raw)
+    elif head.get("encoding", "raw") != "raw":
+        raise ValueError(f"unknown encoding {head['encoding']}")
+    shape = [int(n) for n in head["sizes"].split()]
+    kind = (">" if head.get("endian") == "big" else "<") + NRRD_TYPES[head["type"]]
+    array = np.frombuffer(raw, kind, count=int(np.prod(shape))).reshape(shape, order="F")
+    vector = lambda text: [float(v) for v in text.strip("()").split(",")]
+    n = len(shape)
+    steps = np.array([vector(v) for v in head["space directions"].split() if v != "none"]) if "space directions" in head else np.diag([float(v) for v in head["spacings"].split()] if "spacings" in head else [1.0] * n)
+    spacing = np.sqrt((steps**2).sum(1))
+    return array, {"spacing": spacing.tolist(), "origin": vector(head["space origin"]) if "space origin" in head else [0.0] * n, "direction": (steps / spacing[:, None]).T.ravel().tolist()}
+
+
+def to_ras(array: np.ndarray, geometry: dict) -> tuple[np.ndarray, dict]:
+    """A volume with its axes permuted and mirrored so that they run right, anterior and superior as nearly as they can."""
+    direction = np.array(geometry["direction"], float).reshape(3, 3)
+    spacing, origin = np.array(geometry["spacing"]), np.array(geometry["origin"], float)
+    axes, left = [], {0, 1, 2}
+    for world in np.argsort(-np.abs(direction).max(1), kind="stable"):  # the clearest axes first
+        best = max(left, key=lambda a: abs(direction[world, a]))
+        axes.append((int(world), best))
+        left.remove(best)
+    order = [a for _, a in sorted(axes)]
+    array, direction, spacing = array.transpose(order), direction[:, order], spacing[order]
+    for k in range(3):
+        if direction[k, k] < 0:
+            origin = origin + direction[:, k] * spacing[k] * (array.shape[k] - 1)
+            array, direction[:, k] = np.flip(array, k), -direction[:, k]
+    return array, {"spacing": spacing.tolist(), "origin": origin.tolist(), "direction": direction.ravel().tolist()}
+
+
 #: Readers by suffix; the first that fits is taken.
-READERS = {".mha": parse_meta, ".nii.gz": parse_nifti, ".nii": parse_nifti, ".npy": parse_numpy, ".npz": parse_numpy}
+READERS = {".mha": parse_meta, ".nrrd": parse_nrrd, ".nii.gz": parse_nifti, ".nii": parse_nifti, ".npy": parse_numpy, ".npz": parse_numpy}
 
 
 def reader_of(path: str, override: str | None = None):
@@ -91,16 +141,17 @@ def read_volumes(spark: SparkSession, path: str, override: str | None = None, pa
     return _files(spark, path, pattern).mapInPandas(run, "path string, shape array<int>, spacing array<double>, origin array<double>, direction array<double>")
 
 
-def read_voxels(spark: SparkSession, path: str, override: str | None = None, pattern: str = "*", background: float | None = 0.0) -> DataFrame:
+def read_voxels(spark: SparkSession, path: str, override: str | None = None, pattern: str = "*", background: float | None = 0.0, ras: bool = False) -> DataFrame:
     """``(path, x, y, z, value)``: the cells of the volumes below ``path`` that differ from ``background``; all if that is None.
 
-    A file is parsed in one task and sent on slice by slice.
+    A file is parsed in one task, turned by :func:`to_ras` if asked for, and sent on slice by slice.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p, content in zip(batch["path"], batch["content"], strict=True):
-                array, _ = reader_of(p, override)(content)
+                array, geometry = reader_of(p, override)(content)
+                array = to_ras(array, geometry)[0] if ras else array
                 array = array.reshape(array.shape + (1,) * (3 - array.ndim))
                 for x, part in enumerate(array):
                     y, z = np.nonzero(part != background) if background is not None else (a.ravel() for a in np.indices(part.shape))
@@ -114,6 +165,43 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, x, y, channel, value)`` of the PNG, BMP, GIF and JPEG images below ``path``; channels in the order blue, green, red, alpha, or one of grey."""
+    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, h, w, n, data in zip(batch["origin"], batch["height"], batch["width"], batch["nChannels"], batch["data"], strict=True):
+                y, x, c = (a.ravel() for a in np.indices((h, w, n)))
+                yield pd.DataFrame({"path": p, "x": x, "y": y, "channel": c, "value": np.frombuffer(data, np.uint8).astype(int)})
+
+    return images.mapInPandas(run, "path string, x int, y int, channel int, value int")
+
+
+def unpack(spark: SparkSession, path: str, out: str, pattern: str = "*.npz") -> DataFrame:
+    """The voxels of archives below ``path`` as a Parquet table at ``out``, written once: what is there already is read as it is."""
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    read_voxels(spark, path, pattern=pattern, background=None).write.parquet(out)
+    return spark.read.parquet(out)
+
+
+def process_cases(spark: SparkSession, path: str, predict: Callable[[np.ndarray], np.ndarray], pattern: str = "*") -> DataFrame:
+    """``(path, content)``: each volume below ``path`` through ``predict``, as a MetaImage file of labels with the volume's spacing. A model is loaded by ``predict`` itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, content in zip(batch["path"], batch["content"], strict=True):
+                array, geometry = reader_of(p)(content)
+                labels = predict(array).astype(np.uint8)
+                yield pd.DataFrame({"path": [p], "content": [meta_bytes(labels, tuple(geometry["spacing"]), tuple(geometry["origin"]))]})
+
+    return _files(spark, path, pattern).mapInPandas(run, "path string, content binary")
+
+
 def meta_bytes(array: np.ndarray, spacing: tuple[float, ...] = (1.0, 1.0, 1.0), origin: tuple[float, ...] = (0.0, 0.0, 0.0)) -> bytes:
     """A compressed MetaImage file of an array (x, y, z)."""
     kind = next(name for name, code in META_TYPES.items() if np.dtype(code) == array.dtype)
