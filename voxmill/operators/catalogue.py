@@ -27,7 +27,7 @@ def looked_up(rows: DataFrame, info: DataFrame, key: str, fields: Sequence[str])
 def phases(rows: DataFrame, info: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     """Two or more rows for each case, one for each named time point of ``info``: ``(..., phase, at)``."""
     found = looked_up(rows, info, key, names)
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("phase"), F.col(n).cast("long").alias("at")) for n in names]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("phase"), F.col(n).cast("int").alias("at")) for n in names]))
     return found.select(*rows.columns, pairs.alias("_p")).select(*rows.columns, "_p.*")
 
 

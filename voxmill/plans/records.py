@@ -135,7 +135,7 @@ def store_changes(spark, d):
 def store_lookups(spark, d):
     store = read(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("value"))
     asked = read(spark, d, "part").select((F.col("p_partkey") % 30).alias("key")).distinct()
-    return catalogue.stored_json(store, asked, "name string, region long").select("key", "value.name", "value.region")
+    return catalogue.stored_json(store, asked, "name string, region int").select("key", "value.name", "value.region")
 
 
 def _batches(spark, d):
