@@ -1,6 +1,7 @@
 """Similarity join, vector search, url filter, main text and the pipeline against brute force and on awkward rows."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm.data import DOCS, PROSE, docs, empty
-from voxmill.llm import common, html_text, knn, near_join, urlfilter
+from voxmill.llm import common, html_text, knn, near_join, secrets, urlfilter
 
 # -- n-gram Jaccard join
 
@@ -353,3 +354,45 @@ def test_pipeline_runs_all_stages(spark):
     for r in got:
         ends[r.sequence_id] = max(ends[r.sequence_id], r.offset + r.length)
     assert got and max(ends.values()) <= 4096 and sum(r.length for r in got) == sum(ends.values())
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Each stage on what its predecessor wrote: near duplicates, secrets, mixing and packing against plain Python."""
+    stages = dict(corpus_pipeline.STAGES)
+
+    def written(name, table):
+        table.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    good = written("quality", stages["quality"](spark, common.read(spark, SMALL, "documents"), SMALL))
+    rows = [(r.doc_id, r.text) for r in good.collect()]
+    one = written("near", stages["near_duplicates"](spark, good, SMALL))
+    want = {c for n, c, _ in _components(rows, 5, 80).values() if n} | {i for i, (n, _, _) in _components(rows, 5, 80).items() if not n}
+    assert Counter(r.doc_id for r in one.collect()) == Counter(want)
+
+    clean = written("secrets", stages["secrets"](spark, one, SMALL))
+
+    def redacted(text):
+        spans = []
+        for rule in secrets.ALL_RULES:
+            spans += [m.span() for m in re.finditer(rule.pattern, text) if len(m[rule.group]) >= rule.least]
+        out, at = [], 0
+        for a, b in sorted(spans):
+            if a >= at:
+                out += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        return "".join([*out, text[at:]])
+
+    assert {r.doc_id: r.text for r in clean.collect()} == {r.doc_id: None if r.text is None else redacted(r.text) for r in one.collect()}
+
+    mixed = written("mix", stages["mix"](spark, clean, SMALL))
+    size, taken = Counter(), Counter()
+    for r in clean.collect():
+        size[r.source] += len((r.text or "").encode().split())
+    for r in mixed.collect():
+        taken[r.source] += len(r.text.encode().split())
+    assert set(taken) <= set(size) and all(taken[k] <= 2 * size[k] for k in size) and abs(sum(taken.values()) - 1.5 * sum(size.values())) <= len(size) + 0.5 * sum(size.values())
+
+    packed = stages["packing"](spark, mixed, SMALL).collect()
+    whole = Counter((r.doc_id, r.doc_tokens) for r in packed for _ in range(r.start == 0))
+    assert sum(whole.values()) == mixed.count() and sum(r.length for r in packed) == sum(n * t for (_, t), n in whole.items())
