@@ -20,18 +20,27 @@ PIECES_PER_SHARD, CACHED_WORDS = 50_000, 300_000
 BLOCK = 4 << 20
 
 
+#: Texts that tell whether a tokenizer encodes words apart from one another, in either case, and commas and full stops apart from words.
+PROBES = ("The cat, the CAT and the hat.", "two  spaces\tand\nlines \r\n end", "A.B,C. x, 3.14, U.S.A.", "\u00c9t\u00e9 stra\u00dfe, \u4f60\u597d. na\u00efve", "<|end|> Mixed <b> it's 'quoted' \u2014 dash", " lead and trail ")
+
+
 class Encoder:
     """Token ids of whole texts, word by word: equal to encoding the text at once, as no token of the tokenizer spans white space.
 
     The normaliser lower-cases, so words that differ in ASCII case share their ids, except where the text of a special token
-    may be meant. A comma or full stop behind a letter is a token of its own.
+    may be meant. A comma or full stop behind a letter is a token of its own. A tokenizer for which that doesn't hold is refused.
     """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
-        self.encode_batch = Tokenizer.from_file(tokenizer).encode_batch_fast
+        whole = Tokenizer.from_file(tokenizer)
+        self.encode_batch = whole.encode_batch_fast
         self.kept: dict[bytes, bytes] = {}
+        for text, ids in zip(PROBES, self.ids([t.encode() for t in PROBES]), strict=True):
+            if np.frombuffer(ids, "<u4").tolist() != whole.encode(text, add_special_tokens=False).ids:
+                raise ValueError(f"{tokenizer} can't be used word by word: it encodes {text!r} otherwise")
+        self.kept.clear()
 
     def _fresh(self, words: list[bytes]) -> Iterable[bytes]:
         for e in self.encode_batch([w.decode() for w in words], add_special_tokens=False):
