@@ -20,12 +20,12 @@ from voxmill.llm import common
 DEPTH, C_MIN = 4, 3
 #: Taken from the count of each stored transition for those that aren't; nats by which a context must improve its training text.
 DISCOUNT, DIVERGENCE = 0.75, 8.0
-#: The most counted tokens, and states and transitions, that every task holds: so many of each at most, whatever the corpus. All others are joined by key.
-HOT_TOKENS, HOT_RUNS = 1 << 20, 1 << 20
+#: The most counted tokens and transitions (and a quarter as many states) that every task holds: so many at most, whatever the corpus. All others are joined by key.
+HOT_TOKENS, HOT_RUNS = 1 << 19, 1 << 20
 #: Bytes of text handled at once, runs of a length that a task sums before it sends them on, and bytes of training text for each slice of the counts.
-BLOCK, SUMMED, SLICE = 2 << 20, 2_500_000, 16 << 20
+BLOCK, SUMMED, SLICE = 1 << 20, 1_000_000, 8 << 20
 #: Most bits of a filter of stored runs, as a power of two, and the parts into which a task's bits are cut.
-FILTER_BITS, _PARTS = 26, 64
+FILTER_BITS, _PARTS = 25, 64
 _KEPT_WORDS = 100_000
 
 
@@ -84,17 +84,49 @@ def run_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return h
 
 
-def _find(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Where each value is in the sorted ``values``, or -1."""
-    if not len(values):
-        return np.full(len(asked), -1, np.int64)
-    at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
-    return np.where(values[at] == asked, at, -1)
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys together, and where each distinct key starts in it."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    return order, np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(keys) else np.zeros(0, np.int64)
 
 
-def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """``values[at]``, and 0 where ``at`` is -1."""
-    return np.where(at >= 0, values[at], 0) if len(values) else np.zeros(len(at))
+class Table:
+    """Values by key, held in two flat arrays: a key's place follows from its high bits, and 32 of its low bits tell it from others there.
+
+    Places are twice the keys at least, and a key goes to the first free one from its own on.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.power = max(4, (2 * len(keys) - 1).bit_length())
+        self.marks, self.values = np.zeros(1 << self.power, np.uint32), np.full(1 << self.power, np.nan, values.dtype)
+        marks, at, left = keys.astype(np.uint32), self._places(keys), np.arange(len(keys))
+        owner = np.full(1 << self.power, -1, np.int64)
+        while len(left):
+            free = owner[at[left]] < 0
+            owner[at[left[free]]] = left[free]  # of several the last one stays
+            left = left[owner[at[left]] != left]
+            at[left] = (at[left] + 1) & ((1 << self.power) - 1)
+        there = np.flatnonzero(owner >= 0)
+        self.marks[there], self.values[there] = marks[owner[there]], values[owner[there]]
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.power)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, NaN where there is none."""
+        at, marks = self._places(keys), keys.astype(np.uint32)
+        out, wrong = self.values[at], self.marks[at] != marks
+        left = np.flatnonzero(wrong & ~np.isnan(out))
+        out[wrong] = np.nan
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.power) - 1)
+            found = self.values[at[left]]
+            wrong = self.marks[at[left]] != marks[left]
+            out[left[~wrong]] = found[~wrong]
+            left = left[wrong & ~np.isnan(found)]
+        return out
 
 
 @dataclass
@@ -148,11 +180,12 @@ def _filter(keyed: DataFrame) -> Filter:
 def _blocks(length: int, before: np.ndarray, after: np.ndarray, slices: int) -> pa.RecordBatch:
     """(length, slice, block) of the counts of runs: a block has the distinct ``before``, how often each stands, then ``after`` and the counts."""
     key = run_key(before, after)
-    key, at, counts = np.unique(key, return_index=True, return_counts=True)
-    place = (key % np.uint64(slices)).astype(np.int64)
-    before, after = before[at], after[at]
-    order = np.lexsort((after, before, place))
-    place, before, after, counts = place[order], before[order], after[order], counts[order].astype("<u4")
+    order, first = _grouped(key)
+    counts, at = np.diff(np.append(first, len(key))), order[first]
+    place, before, after = (key[at] % np.uint64(slices)), before[at], after[at]
+    # by slice, and in it by ``before``
+    order = np.argsort((place << np.uint64(44)) | (before >> np.uint64(20))) if slices < 1 << 20 else np.lexsort((before, place))
+    place, before, after, counts = place[order].astype(np.int64), before[order], after[order], counts[order].astype("<u4")
     some, start = np.unique(place, return_index=True)
     blocks = []
     for lo, hi in zip(start, np.append(start[1:], len(place)), strict=True):
@@ -173,8 +206,8 @@ def _merged(rows: pd.DataFrame, least: int) -> Iterator[pd.DataFrame]:
             after.append(np.frombuffer(b, np.uint64, n, 8 + 12 * m))
             counts.append(np.frombuffer(b, "<u4", n, 8 + 12 * m + 8 * n))
         before, after = np.concatenate(before), np.concatenate(after)
-        _, at, back = np.unique(run_key(before, after), return_index=True, return_inverse=True)
-        total = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+        order, first = _grouped(run_key(before, after))
+        total, at = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first), order[first]
         kept = total >= (least if length > 1 else 1)
         yield pd.DataFrame({"length": np.int32(length), "pre": before[at][kept].view(np.int64), "suf": after[at][kept].view(np.int64), "c": total[kept]})
 
@@ -249,18 +282,16 @@ class Tree:
     """The hot part of the tree: the most counted tokens, states and transitions, with what each adds to a score.
 
     ``own`` is what a transition (a state and the next token) adds to the score of its last token, ``after`` what a state adds to that of the next token.
-    Everything else is in tables; ``stored`` tells which keys may be there.
+    Everything else is in tables; the filters tell which keys may be there.
     """
 
-    symbols: np.ndarray
-    count: np.ndarray
+    symbols: Table
+    states: Table
+    moves: Table
     tokens: int
     distinct: int
-    states: np.ndarray
-    after: np.ndarray
-    moves: np.ndarray
-    own: np.ndarray
-    stored: Filter
+    more_states: Filter
+    more_moves: Filter
     depth: int
 
     def root(self, c: np.ndarray | float) -> np.ndarray:
@@ -268,37 +299,38 @@ class Tree:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
     def score(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
-        """Of every token but the first: the symbol (or -1), its root log10 probability (0 if no symbol), and what the hot runs make of it.
+        """Of every token but the first: whether it is a hot symbol, its root log10 probability (0 if not), and what the hot runs make of it.
 
         Then the keys of states and of runs that may be stored but aren't hot, with the token that each counts at. From token to token the
         states of growing length are followed as far as there are any.
         """
-        symbol = _find(self.symbols, h[1:])
-        base = _take(self.root(self.count), symbol)
+        base = self.symbols.get(h[1:])
+        symbol = ~np.isnan(base)
+        base[~symbol] = 0
         made = base.copy()
         cold: tuple[list, list] = ([], [])
 
-        def look(keys: np.ndarray, at: np.ndarray, there: np.ndarray, weights: np.ndarray, kind: int) -> None:
-            found = _find(there, keys)
-            made[at] += _take(weights, found)
-            cold[kind].append((keys[found < 0], at[found < 0]))
+        def look(keys: np.ndarray, at: np.ndarray, there: Table, more: Filter, kind: int) -> np.ndarray:
+            """Adds the weights of hot keys, notes the others that may be stored, and tells which keys are either."""
+            found = there.get(keys)
+            hot = ~np.isnan(found)
+            made[at[hot]] += found[hot]
+            others = np.flatnonzero(~hot)
+            others = others[more.has(keys[others])]
+            cold[kind].append((keys[others], at[others]))
+            hot[others] = True
+            return hot
 
         key, t = h, np.arange(1, len(h))
         for n in range(1, self.depth + 1):
             if n > 1:
                 t = t[t >= n]
                 t = t[h[t - n + 1] != END]
-            state = key[t - n]
-            may = self.stored.has(state)
-            t, state = t[may], state[may]
+            t = t[look(key[t - n], t - 1, self.states, self.more_states, 0)]
             if not len(t):
                 break
-            longer = run_key(key[:-1], key[1:])
-            run = longer[t - n]
-            may = self.stored.has(run)
-            look(state, t - 1, self.states, self.after, 0)
-            look(run[may], t[may] - 1, self.moves, self.own, 1)
-            key = longer
+            key = run_key(key[:-1], key[1:])
+            look(key[t - n], t - 1, self.moves, self.more_moves, 1)
         return symbol, base, made, *cold
 
 
@@ -321,10 +353,10 @@ def grow(runs: DataFrame, sizes: DataFrame, below: DataFrame, name: str) -> tupl
     )
     rest = F.greatest(1 - F.col("mass") / F.col("size"), F.lit(1e-12)) / F.greatest(1 - F.col("given"), F.lit(1e-12))
     gain = F.col("gain") - F.col("n") * F.ln("size") + (F.col("size") - F.col("n")) * F.ln(rest)
-    states = common.stored(sums.select("pre", "size", F.log10(rest).alias("after"), gain.alias("gain")).filter(F.col("gain") >= DIVERGENCE).drop("gain"), f"states{name}")
+    states = common.stored(sums.select("pre", "size", F.log10(rest).cast("float").alias("after"), gain.alias("gain")).filter(F.col("gain") >= DIVERGENCE).drop("gain"), f"states{name}")
     logp = F.log10(own / F.col("size"))
     moves = found.join(states.select("pre", "after"), "pre")
-    moves = moves.select(F.xxhash64("pre", "suf").alias("key"), F.struct("c", logp.alias("logp")).alias("v"), (logp - F.col("given") - F.col("after")).alias("own"))
+    moves = moves.select(F.xxhash64("pre", "suf").alias("key"), F.struct("c", logp.alias("logp")).alias("v"), (logp - F.col("given") - F.col("after").cast("double")).cast("float").alias("own"))
     moves = common.stored(moves, f"moves{name}")
     return (
         states.select(F.col("pre").alias("key"), F.col("size").alias("c"), "after"),
@@ -354,6 +386,8 @@ def learn(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple
             lengths = range(3, 4) if n == 2 else range(4, depth + 2)
             parts, reached = share(_filter(of_length(n).select(key.alias("key")))), share(_filter(states))
             tables |= dict.fromkeys(lengths, _counted(train, text_col, lambda h, a=(lengths, n, depth), b=parts, c=reached: _long(*a, b.value, c.value)(h), f"grams{n + 1}"))
+            for filters in (parts, reached):  # the counts are written
+                filters.unpersist()
         sizes = of_length(n).filter(often).select((F.col("pre") if n == 1 else key).alias("pre"), F.col("c").alias("size"))
         states, moves, below = grow(of_length(n + 1).select("pre", "suf", "c"), sizes, below, str(n))
         found[0].append(states)
@@ -361,27 +395,29 @@ def learn(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple
     return tokens, *(reduce(DataFrame.unionByName, parts) for parts in found)
 
 
-def _most(table: DataFrame, rows: int) -> pd.DataFrame:
-    """The most counted rows of a table, ``rows`` at most: from the count on that no more reach (to an eighth of a power of two)."""
+def _most(table: DataFrame, rows: int) -> tuple[pd.DataFrame, DataFrame]:
+    """The most counted rows of a table, ``rows`` at most: from the count on that no more reach (to an eighth of a power of two). And the rest as a table."""
     step = F.floor(F.log2("c") * 8)
     found = table.groupBy(step.alias("step")).count().toPandas().sort_values("step", ascending=False)  # a few hundred rows
     fits = found.loc[found["count"].cumsum() <= rows, "step"]
-    return table.filter(step >= (int(fits.min()) if len(fits) else 1 << 30)).toArrow().to_pandas()
+    least = int(fits.min()) if len(fits) else 1 << 30
+    return table.filter(step >= least).toArrow().to_pandas(), table.filter(step < least)
 
 
 def hot(tokens: DataFrame, states: DataFrame, moves: DataFrame, depth: int = DEPTH, hot_tokens: int = HOT_TOKENS, hot_runs: int = HOT_RUNS) -> Tree:
     """What of the tables of :func:`learn` every task holds: the most counted rows of each, a fixed number at most."""
     facts = tokens.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
 
-    def most(table: DataFrame, name: str, rows: int, value: str) -> tuple[np.ndarray, np.ndarray]:
-        found = _most(table.select(name, "c", *({value} - {"c"})), rows)
-        key = found[name].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        return key[order], found[value].to_numpy()[order]
+    root = lambda c: np.log10((c + 0.5) / (int(facts.n or 0) + 0.5 * (int(facts.v) + 1)))
+
+    def most(table: DataFrame, name: str, rows: int, value: str) -> tuple[Table, DataFrame]:
+        found, rest = _most(table.select(name, "c", *({value} - {"c"})), rows)
+        values = root(found["c"].to_numpy(float)) if value == "c" else found[value].to_numpy(np.float32)
+        return Table(found[name].to_numpy(np.int64).view(np.uint64), values), rest
 
-    symbols, heads, tails = most(tokens, "token", hot_tokens, "c"), most(states, "key", hot_runs, "after"), most(moves, "key", hot_runs, "own")
-    stored = _filter(states.select("key").unionByName(moves.select("key")))
-    return Tree(*symbols, int(facts.n or 0), int(facts.v), *heads, *tails, stored, depth)
+    symbols, _ = most(tokens, "token", hot_tokens, "c")
+    (heads, more_heads), (tails, more_tails) = most(states, "key", hot_runs // 4, "after"), most(moves, "key", hot_runs, "own")
+    return Tree(symbols, heads, tails, int(facts.n or 0), int(facts.v), _filter(more_heads), _filter(more_tails), depth)
 
 
 def scores(
@@ -392,7 +428,7 @@ def scores(
     Tokens are the words of the text with A-Z lower-cased, and one end. ``base_score`` is the log10 probability under smoothed counts of single
     tokens, ``score`` that of the tree, whose states have 1 to ``depth`` tokens: each token is scored at the longest state that the tokens before it
     end with. All runs counted ``C_MIN`` times are tried, however large the corpus. Every task holds the most counted
-    tokens, states and transitions, ``hot_tokens`` and ``hot_runs`` of each at most; all others are looked up by joins, so neither changes a score.
+    tokens and transitions, ``hot_tokens`` and ``hot_runs`` at most, and a quarter as many states; all others are looked up by joins, so neither changes a score. Weights are kept in single precision.
 
     Null text counts as empty: its only token is the end. Rows of equal id are scored each by itself. Rows whose
     condition is null are held out. Without training rows the model is uniform over the one unknown token. Tokens and runs are told apart by 64-bit hashes.
@@ -417,9 +453,9 @@ def scores(
 
             none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             joined = [by_text(*map(np.concatenate, zip(*(found or [none]), strict=True))) for found in (states, runs)]
-            rare = np.flatnonzero(symbol < 0)
+            rare = np.flatnonzero(~symbol)
             part = batch.slice(first, len(lengths))
-            known = np.add.reduceat((symbol >= 0).astype(np.int64), start)
+            known = np.add.reduceat(symbol.astype(np.int64), start)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(lengths, pa.int64()), pa.array(known), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(made, start)), by_text(h[1:][rare], rare), *joined],
                 names=["_id", "_train", "n", "known", "base", "made", "rare", "states", "runs"],
@@ -427,6 +463,7 @@ def scores(
 
     # the rows' numbers are fixed once they are written
     rows = common.stored(docs.select("_id", "_text", "_train").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
+    shared.unpersist()
     none = float(tree.root(0))
     root = F.log10((F.col("c") + 0.5) / F.lit(tree.tokens + 0.5 * (tree.distinct + 1)))
     seen = rows.select("_row", F.explode("rare").alias("token")).join(tokens, "token").select("_row", F.lit(1).alias("seen"), (root - none).alias("root"), F.lit(0.0).alias("more"))
