@@ -16,6 +16,25 @@ def first_existing(names: DataFrame, files: DataFrame, name: str, candidates: Se
     return names.join(best, name, "left").withColumn(out, F.coalesce(out, default) if default is not None else F.col(out))
 
 
+def paired(predictions: DataFrame, references: DataFrame, file: str = "file") -> DataFrame:
+    """Each prediction with its reference of the same file name; an error, when it runs, for a prediction without one. References without a prediction are left out."""
+    found = predictions.join(references.withColumn("_there", F.lit(True)), file, "left")
+    lacks = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no reference for "), F.col(file)))).otherwise(F.lit(True))
+    return found.filter(lacks).drop("_there")
+
+
+def click_file(cases: DataFrame, files: DataFrame, case: str = "case", path: str = "path") -> DataFrame:
+    """``cases`` with the click file ``found``: ``<case>_clicks.json``, else ``<case>.json``, else the only file of the case's folder with clicks in its name.
+
+    ``files`` has the columns ``case`` (the folder) and ``path``.
+    """
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    rank = F.when(name == F.concat(F.col(case), F.lit("_clicks.json")), 0).when(name == F.concat(F.col(case), F.lit(".json")), 1).when(name.contains("clicks"), 2)
+    some = files.select(case, path, rank.alias("_rank")).filter("_rank IS NOT NULL").groupBy(case).agg(F.min(F.struct("_rank", path)).alias("_b"), F.count(F.when(F.col("_rank") == 2, 1)).alias("_n"))
+    best = some.filter("_b._rank < 2 OR _n = 1").select(case, F.col(f"_b.{path}").alias("found"))
+    return cases.join(best, case, "left")
+
+
 def missing(expected: DataFrame, there: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of ``expected`` whose key ``there`` lacks: absent predictions, cases still to do."""
     return expected.join(there.select(*key), list(key), "left_anti")

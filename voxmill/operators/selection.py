@@ -120,14 +120,17 @@ def fullest_slice(cells: DataFrame, axis: str, by: Sequence[str] = ("case_id",))
     return counts.groupBy(*by).agg(F.max(F.struct("n", (-F.col(axis)).alias("m"))).alias("b")).select(*by, (-F.col("b.m")).alias(axis), F.col("b.n").alias("n"))
 
 
-def even_clicks(cells: DataFrame, k: int, by: Sequence[str] = ("case_id",)) -> DataFrame:
+def even_clicks(cells: DataFrame, k: int, by: Sequence[str] = ("case_id",), jitter: int = 0, seed: int = 0) -> DataFrame:
     """``(*by, ord, x, y, z)``: a click in each of ``k`` slices spread evenly along x.
 
-    Each of the even places takes the nearest slice that has cells (the lower of equal ones) and clicks its middle: the median of y,
-    rounded down, and of z. Empty masks give no clicks.
+    Each of the even places, moved by up to ``jitter`` slices either way (a hash of the group and the click), takes the nearest slice that has cells (the lower of equal ones) and clicks
+    its middle: the median of y, rounded down, and of z. Empty masks give no clicks.
     """
     span = cells.groupBy(*by).agg(F.min("x").alias("_a"), F.max("x").alias("_b"))
     place = F.floor(F.col("_a") + F.col("ord") * (F.col("_b") - F.col("_a")) / F.lit(float(max(k - 1, 1))) + 0.5)
+    if jitter:
+        bits = F.conv(F.substring(hash_order(*by, "ord", seed=seed), 1, 8), 16, 10).cast("long")
+        place = F.least(F.greatest(place + F.pmod(bits, F.lit(2 * jitter + 1)) - jitter, F.col("_a")), F.col("_b"))
     places = span.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_at", place)
     slices = cells.groupBy(*by, "x").agg(F.floor(F.percentile("y", F.lit(0.5))).alias("y"), F.floor(F.percentile("z", F.lit(0.5))).alias("z"))
     near = places.join(slices, list(by)).groupBy(*by, "ord").agg(F.min(F.struct(F.abs(F.col("x") - F.col("_at")).alias("d"), "x", "y", "z")).alias("b"))

@@ -130,3 +130,17 @@ def target_spacing(spacings: DataFrame, sizes: str = "size", spacing: str = "spa
 def safe_mean(value: Column) -> Column:
     """Mean of a group, 0 when it is empty."""
     return F.coalesce(F.avg(value), F.lit(0.0))
+
+
+def median_shape(cases: DataFrame, size: str = "size") -> DataFrame:
+    """One row: the median of each axis over the cases' sizes, as text, and the number of cells of that shape."""
+    axes = vector_percentile(cases, size, 0.5).agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "value"))), lambda a: a["value"]).alias("shape"))  # a row an axis
+    return axes.select(F.array_join(F.transform("shape", lambda n: n.cast("string")), "x").alias("shape"), F.aggregate("shape", F.lit(1.0), lambda a, n: a * n).alias("cells"))
+
+
+def summary_json(scores: DataFrame, labels: str, metrics: Sequence[str]) -> DataFrame:
+    """One row ``json``: class means by label or region, whose keys (arrays of labels) become text. A row for each class goes in."""
+    from voxmill.operators.paths import label_key
+
+    rows = scores.select(label_key(F.col(labels)).alias("key"), F.struct(*metrics).alias("v"))
+    return rows.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "v"))))).alias("json"))

@@ -170,6 +170,18 @@ def patches(spark, d):
     return out.groupBy("case_id", "pid", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+def canal_clicks(spark, d):
+    """Clicks on two masks of a map, one with jitter."""
+    v = tables.voxels(spark, d).filter("gt IN (1, 2)").select("case_id", F.col("gt").cast("int").alias("canal"), "x", "y", "z")
+    return selection.even_clicks(v, 5, ["case_id", "canal"], jitter=2, seed=4).select("case_id", "canal", "ord", "x", F.col("y").cast("long").alias("y"), F.col("z").cast("long").alias("z"))
+
+
+def mask_steps(spark, d):
+    """A stored list of steps applied in order."""
+    steps = [(surface.dilate, {"shape": SHAPE}), (surface.erode, {}), (components.label_components, {"connectivity": 6}), (components.drop_small, {"threshold": 2})]
+    return _per_case(workflows.apply_all(_mask(spark, d), steps).select("case_id", "x", "y", "z"))
+
+
 # -- scores, losses, ensembles
 
 
@@ -323,7 +335,7 @@ QUERIES = {
     for f in (
         components_26, two_largest, cleaned_by_label, cleaned_up, component_table, betti, betti_errors, merged_channels, channel_components, cleaned_and_remapped, otsu_mask, dilated_three, closed, holes_filled,
         nonzero_crop, pasted_back, nearest_points, heat_map, tile_weights, mirror_mean, turned, resampled_linear, resampled_labels, resampled_coarse, smoothed, sampled_features, patches, score_table, score_summary,
-        soft_dice_losses, soft_dice_batch, thresholded_dice, cell_losses, mean_dice, folder_ensemble, crossvalidation_ensemble, best_of_ensembles, best_single_model, paired_folder_metrics, largest_kept_each, case_evaluation, case_catalogue,
+        soft_dice_losses, soft_dice_batch, thresholded_dice, cell_losses, mean_dice, folder_ensemble, crossvalidation_ensemble, best_of_ensembles, best_single_model, paired_folder_metrics, largest_kept_each, case_evaluation, case_catalogue, canal_clicks, mask_steps,
         location_sample, stratified_split, shuffled_split, three_way_split, equal_folds, ordered_folds, whole_shard, sparsified, drawn_rows, foreground_sample,
     )
 }
@@ -532,6 +544,14 @@ SELECT case_id, CASE WHEN pred IN (1, 2) AND kept.id IS NULL THEN 0 ELSE pred EN
 cm AS (SELECT case_id, 1 AS label, sum(gt * pred)::BIGINT AS tp, sum((1 - gt) * pred)::BIGINT AS fp, sum(gt * (1 - pred))::BIGINT AS fn FROM vox GROUP BY 1){_surfaces("(1)").replace("quantile_cont(d, 0.95) AS hd95", "quantile_cont(d, 0.95) AS hd95, max(d) AS hd").replace("coalesce(hd95, other) AS hd95", "coalesce(hd95, other) AS hd95, coalesce(hd, other) AS hd")},
 {_components("SELECT case_id, x, y, z FROM vox WHERE pred = 1", _N26)}, cc AS (SELECT case_id, count(*) AS components FROM s GROUP BY 1)
 SELECT case_id, round(dice, 6) AS dice, round(hd, 6) AS hd, round(hd95, 6) AS hd95, coalesce(components, 0) AS components FROM near JOIN far USING (case_id, label) LEFT JOIN cc USING (case_id) WHERE case_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 2 = 0)""",
+    "canal_clicks": f"""WITH {VOX}, m AS (SELECT case_id, gt::INTEGER AS canal, x, y, z FROM vox WHERE gt IN (1, 2)), s AS (SELECT case_id, canal, min(x) AS a, max(x) AS b FROM m GROUP BY ALL),
+p AS (SELECT case_id, canal, i AS ord, least(greatest(floor(a + i * (b - a) / 4.0::DOUBLE + 0.5)::BIGINT + ('0x' || substr(md5(concat_ws('|', '4', case_id, canal, i)), 1, 8))::BIGINT % 5 - 2, a), b) AS place FROM s, range(0, 5) t(i)),
+l AS (SELECT case_id, canal, x, floor(quantile_cont(y, 0.5))::BIGINT AS y, floor(quantile_cont(z, 0.5))::BIGINT AS z FROM m GROUP BY ALL),
+b AS (SELECT p.case_id, p.canal, ord::INTEGER AS ord, arg_min(l, abs(x - place) * 100 + x) AS l FROM p JOIN l ON p.case_id = l.case_id AND p.canal = l.canal GROUP BY ALL) SELECT case_id, canal, ord, l.x AS x, l.y AS y, l.z AS z FROM b""",
+    "mask_steps": f"""WITH RECURSIVE {VOX}, o AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)),
+dl AS (SELECT DISTINCT case_id, x + dx AS x, y + dy AS y, z + dz AS z FROM vox, o WHERE gt = 1), dc AS (SELECT * FROM dl WHERE x BETWEEN 0 AND 6 AND y BETWEEN 0 AND 7 AND z BETWEEN 0 AND 7),
+er AS (SELECT case_id, x + dx AS x, y + dy AS y, z + dz AS z FROM dc, o GROUP BY ALL HAVING count(*) = 27), {_components("SELECT * FROM er", _N6)}
+SELECT case_id, count(*) AS n, sum(id)::BIGINT AS places FROM c JOIN s USING (case_id, root) WHERE n > 2 GROUP BY 1""",
     "case_catalogue": """
 WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber % 3 AS k FROM lineitem)
 SELECT 'P' || l_orderkey AS "case", 'set/P' || l_orderkey || '/data.npy' AS image, CASE WHEN bool_or(k = 1) THEN 'set/P' || l_orderkey || '/gt_sparse.npy' END AS sparse, CASE WHEN bool_or(k = 2) THEN 'set/P' || l_orderkey || '/gt_alpha.npy' END AS dense

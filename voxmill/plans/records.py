@@ -271,13 +271,44 @@ def case_reports(spark, d):
     return manifest.case_reports(scores, "case", ["dice"])
 
 
+def paired_files(spark, d):
+    preds = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("file")).distinct()
+    refs = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("file"), F.col("c_nationkey").alias("fold"))
+    return pairing.paired(preds, refs)
+
+
+def click_files(spark, d):
+    case = F.concat(F.lit("P"), F.col("s_suppkey").cast("string"))
+    cases = read(spark, d, "supplier").select(case.alias("case"))
+    kinds = F.explode(F.when(F.col("s_suppkey") % 4 == 0, F.array(F.lit("_clicks.json"), F.lit(".json"))).when(F.col("s_suppkey") % 4 == 1, F.array(F.lit(".json"), F.lit("_my_clicks.json"))).when(F.col("s_suppkey") % 4 == 2, F.array(F.lit("_my_clicks.json"), F.lit(".txt"))).otherwise(F.array(F.lit("_a_clicks.json"), F.lit("_b_clicks.json"))))
+    files = read(spark, d, "supplier").select(case.alias("case"), kinds.alias("k")).select("case", F.concat("case", F.lit("/"), "case", "k").alias("path"))
+    return pairing.click_file(cases, files)
+
+
+def median_shapes(spark, d):
+    return summary.median_shape(read(spark, d, "part").select(F.array("p_size", (F.col("p_partkey") % 90).cast("int"), F.lit(64)).alias("size")))
+
+
+def class_summary(spark, d):
+    rows = read(spark, d, "lineitem").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    labels = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.col("l_linenumber").cast("int"))).otherwise(F.array(F.lit(1), F.col("l_linenumber").cast("int")))
+    return summary.summary_json(rows.select(labels.alias("labels"), "n"), "labels", ["n"])
+
+
+def files_of_folds(spark, d):
+    """Validation files of all folds and models, each once."""
+    rows = read(spark, d, "lineitem")
+    lists = [rows.filter(F.col("l_linenumber") == k).select(F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("line")) for k in range(1, 5)]
+    return pairing.merged_lines(lists)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         natural_sort, looked_up, time_phases, available_models, dataset_candidates, dataset_numbers, trained_folds, selected_cases, still_to_do, transpose_orders, inherited_settings, label_maps, crop_decisions,
         plans_renamed, upgraded_datasets, results_entries, inference_commands, dataset_description, store_changes, store_lookups, collated_outputs, buffer_means, epoch_log, log_upserts, augmented_rows, model_paths,
         experiment_grid, merged_lists, merged_tables, label_texts, normalisation_schemes, world_points, boxed_points, predicted_flags, target_spacings, safe_means, unique_names, folds_accumulated, clean_cases,
-        filtered_rows, zipped_tables, case_reports,
+        filtered_rows, zipped_tables, case_reports, paired_files, click_files, median_shapes, class_summary, files_of_folds,
     )
 }
 
@@ -343,5 +374,11 @@ SELECT axis, round(CASE WHEN s > 3 * top AND n * 3 < least THEN greatest(p10, to
     "clean_cases": "SELECT p_partkey, concat_ws(',', CASE WHEN p_size > 40 THEN 'size' END, CASE WHEN p_retailprice >= 1500 THEN 'price' END) AS violations FROM part",
     "filtered_rows": "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity > 25 AND l_returnflag = 'N' AND l_linestatus = 'O' GROUP BY 1",
     "zipped_tables": "SELECT c_custkey AS \"case\", round(c_acctbal::DOUBLE, 2) AS first, n AS second FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey",
+    "paired_files": "SELECT c_custkey::VARCHAR AS file, c_nationkey AS fold FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    "click_files": "SELECT 'P' || s_suppkey AS \"case\", 'P' || s_suppkey || '/P' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '_clicks.json' WHEN 1 THEN '.json' WHEN 2 THEN '_my_clicks.json' END AS found FROM supplier",
+    "median_shapes": "SELECT a::VARCHAR || 'x' || b::VARCHAR || 'x64.0' AS shape, a * b * 64 AS cells FROM (SELECT quantile_cont(p_size::DOUBLE, 0.5) AS a, quantile_cont((p_partkey % 90)::DOUBLE, 0.5) AS b FROM part)",
+    "class_summary": """WITH n AS (SELECT l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT CASE WHEN k % 2 = 0 THEN k::VARCHAR ELSE '(1, ' || k || ')' END AS key, n FROM n)
+SELECT '{' || string_agg('"' || key || '":{"n":' || n || '}', ',' ORDER BY key) || '}' AS json FROM t""",
+    "files_of_folds": "SELECT DISTINCT 'P' || l_suppkey AS line FROM lineitem WHERE l_linenumber <= 4",
     "case_reports": """SELECT c_custkey::VARCHAR AS "case", '{"case":"' || c_custkey || '","scores":{"dice":' || c_nationkey || '}}' AS json FROM customer""",
 }
