@@ -21,7 +21,7 @@ DEPTH, C_MIN = 4, 3
 #: Taken from the count of each stored transition for those that aren't; nats by which a context must improve its training text.
 DISCOUNT, DIVERGENCE = 0.75, 8.0
 #: The most counted tokens and transitions (and a quarter as many states) that every task holds: so many at most, whatever the corpus. All others are joined by key.
-HOT_TOKENS, HOT_RUNS = 1 << 19, 1 << 20
+HOT_TOKENS, HOT_RUNS = 1 << 19, 1 << 21
 #: Bytes of text handled at once, runs of a length that a task sums before it sends them on, and bytes of training text for each slice of the counts.
 BLOCK, SUMMED, SLICE = 1 << 20, 1_000_000, 8 << 20
 #: Most bits of a filter of stored runs, as a power of two, and the parts into which a task's bits are cut.
