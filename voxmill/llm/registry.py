@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import codes, fingerprint, html_text, knn, mixing, near_join, packing, quality, secrets, simhash, suffix_tree, urlfilter
+from voxmill.llm import codes, fingerprint, html_text, knn, mixing, near_join, packing, quality, secrets, simhash, suffix_tree, trie, urlfilter
 
-_MODULES = (codes, fingerprint, html_text, knn, mixing, near_join, packing, quality, secrets, simhash, suffix_tree, urlfilter)
+_MODULES = (codes, fingerprint, html_text, knn, mixing, near_join, packing, quality, secrets, simhash, suffix_tree, trie, urlfilter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,7 +16,7 @@ from voxmill.llm import common, near_join
 #: Bits of a fingerprint, seed of a shingle's hash, and shingles whose bits are counted at once.
 BITS, SEED, BLOCK = 64, 42, 1 << 16
 #: Fingerprints of a shard before it is dealt anew by more of their bits, how often that happens at most, and rows of shards for each task.
-SHARD, LEVELS, TASK_ROWS = 4_096, 4, 100_000
+SHARD, LEVELS, TASK_ROWS = 4_096, 5, 100_000
 #: Searches that go down the trees of a task side by side.
 _SEARCHES = 2_000
 
@@ -84,7 +84,7 @@ def shards(values: DataFrame, radius: int = 2, limit: int = SHARD, levels: int =
     """``(fp, fixed)`` for distinct ``values(fp)``: the shards (``fixed`` and the value's bits there) in which a value meets all that are within ``radius``.
 
     A shard holds the values that agree on some of the bits. One of more than ``limit`` values is dealt anew by more bits, which keeps every pair within ``radius``
-    together in one of the new shards; after four levels at radius 2 only 13 bits are free, so no shard can hold more than 8,192 values, however alike they are.
+    together in one of the new shards; after five levels at radius 2 only 10 bits are free, so no shard can hold more than 4,096 values, however alike they are.
     """
     found, left = None, _deal(values, 0, radius)
     for level in range(1, levels):
