@@ -35,14 +35,14 @@ def unpacked(b: bytes) -> np.ndarray:
 
 
 def prepared(table: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """``(id, v, width, norm2)`` of usable vectors, each component ``floor(scale * x)`` in double precision; ``v`` is :func:`packed`."""
+    """``(id, v, width, norm2)`` of usable vectors of rows with an id, so that ids stay integers in every batch; each component ``floor(scale * x)`` in double precision; ``v`` is :func:`packed`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             vectors = [np.floor(scale * np.asarray(v, np.float64)) for v in b["v"]]
             yield pd.DataFrame({"id": b["id"], "v": [packed(v) for v in vectors], "width": np.array([len(v) for v in vectors], np.int32), "norm2": np.array([float(v @ v) for v in vectors])})
 
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(usable(F.col("v")))
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     return rows.mapInPandas(run, "id long, v binary, width int, norm2 double")
 
 
@@ -89,7 +89,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, id_col: str = "vec
     solved locally and their best merged. Pivots and summaries are of fixed size and reach every task; nothing else does.
 
     Ties go to the smaller id. Rows of the query's own id are no candidates. Query rows of one id are queries of their own, each with a list of its own; data rows of
-    one id are candidates of their own. Ids are integers. Null vectors and those with null or non-finite components
+    one id are candidates of their own. Ids are integers of 64 bits; rows with a null id take no part, neither as queries nor as candidates. Null vectors and those with null or non-finite components
     take no part; shorter vectors count as ending in zeros; empty ones score 0. With fewer than ``k`` candidates all are returned; without any,
     none. Scores must fit in 64 bits.
     """
