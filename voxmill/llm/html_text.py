@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 #: Elements that stand around an article, and words that occur in the names (class, id, role) of such parts.
 CHROME_TAGS = frozenset("nav footer aside form menu button select dialog noscript template svg head object audio video header".split())
+#: Those of them in which no article is the page's own.
+APART_TAGS = CHROME_TAGS - {"form", "header", "object"}
 CHROME_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus foot footer gdpr header login masthead menu modal nav navbar navigation newsletter "
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus foot footer gdpr header login masthead menu modal nav navbar navigation newsletter "
     "notice notices pager pagination popup promo promoted related replies respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 #: Words that say nothing of a part, those that name an article, and those that deny what follows them.
@@ -49,6 +52,7 @@ class Place:
     content: int = 0
     hidden: bool = False
     inside: bool = False
+    apart: bool = False
     container: int = 0
 
 
@@ -80,22 +84,24 @@ def _names(value: str) -> tuple[int, int, int]:
 
 
 def _within(place: Place, tag: str, attributes: str, number: int) -> Place:
-    """The place of what an element holds. An article starts anew; its own header belongs to it."""
-    inside = tag in ("article", "main")
+    """The place of what an element holds. The outermost article starts anew, unless it lies in a part that stands apart by its tag or name (comments, asides, related pages);
+    an article's own header belongs to it, and its own names count."""
+    inside = tag in ("article", "main") and not place.inside and not place.apart
     if inside:
         place = Place(inside=True, container=number)
-    tags, names, mixed, content, hidden = place.tags, place.names, place.mixed, place.content, place.hidden
+    tags, names, mixed, content, hidden, apart = place.tags, place.names, place.mixed, place.content, place.hidden, place.apart
     tags += tag in CHROME_TAGS and not (tag == "header" and place.inside)
+    apart |= tag in APART_TAGS
     if tag not in ("html", "body"):
         for name, *values in _ATTRIBUTE.findall(attributes) if "=" in attributes or "hidden" in attributes.lower() else ():
             value, name = "".join(values), name.lower()
             hidden |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and bool(re.search(r"display\s*:\s*none", value, re.I))
-            if name in ("class", "id", "role") and not inside:
+            if name in ("class", "id", "role"):
                 if place.inside:
                     value = re.sub(r"(?i)\b(header|masthead|topbar)\b", "", value)
                 more = _names(value)
-                names, mixed, content = names + more[0], mixed + more[1], content + more[2]
-    return Place(tags, names, mixed, content, hidden, place.inside, number if tag in CONTAINERS else place.container)
+                names, mixed, content, apart = names + more[0], mixed + more[1], content + more[2] * (not inside), apart or more[0] > 0
+    return Place(tags, names, mixed, content, hidden, place.inside, apart, number if tag in CONTAINERS else place.container)
 
 
 def blocks(page: str) -> list[Block]:
@@ -198,10 +204,11 @@ _SENTENCE = "It had rained for most of the week, and the river stood higher than
 #: Parts of the labelled pages: how the parts of an article are written, what may stand within one that is not of it, and what stands around it.
 #: ``{n}`` stands for a number of words, ``{a}`` for linked words.
 _BODY = ("<p>{60}</p>", "<p>{25}</p>", "<p>{40} <a href=x>{2}</a> {20}</p>", "<p>{3}</p>", "<h2>{4}</h2>", "<ul><li>{6}</li><li>{12}</li></ul>", "<blockquote>{18}</blockquote>", "<p><a href=x>{9}</a></p>", "<p>{1}</p>", "<div class=related-work>{35}</div>", "<p class=notice-of-death>{30}</p>")
-_BETWEEN = ("<aside>{20}</aside>", "<div class=ad>{9}</div>", "<div class=\"share box\"><a>{1}</a> <a>{1}</a></div>", "<form>{5} <button>{1}</button></form>", "<div class=related><a>{6}</a> <a>{7}</a></div>", "<div id=comments><p>{30}</p><p>{8}</p></div>", "<section class=comments-list><h3>{2}</h3><p>{50}</p></section>", "<div class=newsletter-signup>{14}</div>")
+_BETWEEN = ("<aside>{20}</aside>", "<div class=ad>{9}</div>", "<div class=\"share box\"><a>{1}</a> <a>{1}</a></div>", "<form>{5} <button>{1}</button></form>", "<div class=related><a>{6}</a> <a>{7}</a></div>", "<div id=comments><p>{30}</p><p>{8}</p></div>", "<section class=comments-list><h3>{2}</h3><p>{50}</p></section>", "<div class=newsletter-signup>{14}</div>", "<section class=comments><h2>{1}</h2><article class=comment><header>{1}</header><p>{35}</p></article><article><p>{12}</p></article></section>", "<aside><article class=teaser><h3><a>{5}</a></h3><p>{22}</p></article></aside>")
 _BEFORE = ("<nav><ul><li><a>{1}</a></li><li><a>{2}</a></li></ul></nav>", "<header><h1>{3}</h1><p>{9}</p></header>", "<div id=menu><a>{1}</a> <a>{1}</a></div>", "<div class=cookie-notice>{25}</div>", "<div class=\"ad banner\">{11}</div>", "<ul><li><a>{1}</a></li><li><a>{2}</a></li><li><a>{1}</a></li></ul>", "<div><a>{2}</a> | <a>{1}</a> | <a>{2}</a></div>", "<div class=breadcrumbs>{2} <a>{1}</a></div>", "<div id=sidebar><p>{45}</p><p>{10}</p></div>", "<div class=topbar>{4}</div>", "<p><a>{1}</a> <a>{2}</a></p>", "<div hidden>{30}</div>", "<div class=ad>{16}</div>", "<header class=site-header>{5}</header>")
-_AFTER = ("<footer>{8}</footer>", "<div class=comments><p>{40}</p><p>{3}</p></div>", "<footer><p>{30}</p><a>{1}</a></footer>", "<div><a>{4}</a> <a>{5}</a></div>", "<div class=sidebar><h3>{2}</h3><ul><li><a>{4}</a></li></ul></div>", "<h3><a>{2}</a></h3><ul><li><a>{18}</a></li><li><a>{12}</a></li></ul>", "<form>{6}</form>", "<p><a>{1}</a> <a>{1}</a> <a>{1}</a></p>", "<div id=footer>{7}</div>", "<aside><p>{55}</p></aside>", "<div class=pagination><a>{1}</a> <a>{1}</a></div>")
-_FRAMES = ("<article><h1>{5}</h1>%s</article>", "<main><h1>{5}</h1>%s</main>", "<article>%s</article>", "<div class=\"content no-sidebar\"><h1>{6}</h1>%s</div>", "<div id=post-body>%s</div>", "<div><h1>{5}</h1>%s</div>", "<h1>{7}</h1>%s", "<article class=post><header><h1>{6}</h1></header>%s</article>", "<table><tr><td>%s</td></tr></table>", "<section>%s</section>")
+_AFTER = ("<footer>{8}</footer>", "<div class=comments><p>{40}</p><p>{3}</p></div>", "<footer><p>{30}</p><a>{1}</a></footer>", "<div><a>{4}</a> <a>{5}</a></div>", "<div class=sidebar><h3>{2}</h3><ul><li><a>{4}</a></li></ul></div>", "<h3><a>{2}</a></h3><ul><li><a>{18}</a></li><li><a>{12}</a></li></ul>", "<form>{6}</form>", "<p><a>{1}</a> <a>{1}</a> <a>{1}</a></p>", "<div id=footer>{7}</div>", "<aside><p>{55}</p></aside>", "<section id=comments><article class=comment><p>{45}</p></article><article class=comment><p>{6}</p></article></section>", "<article class=comment><p>{30}</p></article>", "<aside><article class=teaser><h3><a>{4}</a></h3><p>{30}</p></article></aside>", "<div role=contentinfo>{14}</div>", "<div role=complementary><p>{35}</p></div>", "<div class=pagination><a>{1}</a> <a>{1}</a></div>")
+#: The last parts of a page come before what follows ``|``.
+_FRAMES = ("<article><h1>{5}</h1>%s</article>", "<main><article><h1>{5}</h1>%s</article>|</main>", "<main class=site-main><article class=entry>%s</article>|</main>", "<main><article class=card><h2>{3}</h2>%s</article><article class=card><h2>{3}</h2><p>{30}</p></article></main>", "<main><h1>{5}</h1>%s</main>", "<article>%s</article>", "<div class=\"content no-sidebar\"><h1>{6}</h1>%s</div>", "<div id=post-body>%s</div>", "<div><h1>{5}</h1>%s</div>", "<h1>{7}</h1>%s", "<article class=post><header><h1>{6}</h1></header>%s</article>", "<table><tr><td>%s</td></tr></table>", "<section>%s</section>")
 
 
 def labelled(pages: int = 1500, seed: int = 5) -> list[tuple[str, np.ndarray]]:
@@ -236,7 +243,8 @@ def labelled(pages: int = 1500, seed: int = 5) -> list[tuple[str, np.ndarray]]:
         for _ in range(draw.randint(0, 1) * draw.randint(0, 2)):
             body.insert(draw.randint(1, len(body)), (write(draw.choice(_BETWEEN)), 0))
         body += [long() for _ in range(plain)]
-        pieces += [(write(head), 1), *body, (tail, 1), *[(write(p), 0) for p in draw.sample(_AFTER, draw.randint(0, 3))]]
+        tail, _, end = tail.partition("|")
+        pieces += [(write(head), 1), *body, (write(tail), 1), *[(write(p), 0) for p in draw.sample(_AFTER, draw.randint(0, 3))], (end, 1)]
         page, marks = "", []
         for piece, mark in pieces:
             page += piece
@@ -268,9 +276,14 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 4) -> tuple
     return (k, float(cut), grow(x[left], y[left], depth - 1, least), grow(x[~left], y[~left], depth - 1, least))
 
 
-def train(table: list[tuple[str, np.ndarray]] | None = None) -> tuple:
+@cache
+def default_tree() -> tuple:
+    """The tree of :func:`labelled`, grown once a session."""
+    return train(labelled())
+
+
+def train(table: list[tuple[str, np.ndarray]]) -> tuple:
     """The tree of a labelled table: pages, and a 0 or 1 for each of their blocks."""
-    table = labelled() if table is None else table
     found = [figures(blocks(page)) for page, _ in table]
     for x, (page, marks) in zip(found, table, strict=True):
         if len(x) != len(marks):
@@ -296,7 +309,7 @@ def extract(pages: DataFrame, tree: tuple | None = None, html_col: str = "html",
     Null and empty pages have empty text. Each page is handled by itself, so nothing is shuffled. A column named as
     ``text_col`` in the input is replaced.
     """
-    tree = train() if tree is None else tree
+    tree = default_tree() if tree is None else tree
     kept = [c for c in pages.columns if c not in (html_col, text_col)]
     schema = T.StructType([*pages.select(*kept).schema, T.StructField(text_col, T.StringType())])
 
