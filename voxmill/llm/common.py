@@ -88,9 +88,10 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(T.StructType([f for f in df.schema if f.name not in by] + [f for f in df.schema if f.name in by])).parquet(path)
 
 
-def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """``df`` joined with a table that is usually small: a broadcast after its rows were counted, else a shuffle join.
 
-    ``small`` must be cheap to count (checkpointed or a few rows).
+    ``small`` must be cheap to count (checkpointed or a few rows), or ``rows`` tells how many it has.
     """
-    return df.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
+    known = small.limit(limit + 1).count() if rows is None else rows
+    return df.join(F.broadcast(small) if known <= limit else small, on, how)

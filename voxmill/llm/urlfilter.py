@@ -15,7 +15,8 @@ BLOCK_WORDS, KEY_BITS, KEYS_PER_BLOCK = 8, 4, 32
 MAX_BLOCKS = 1 << 17
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Pages that the query's list holds, whatever their spelling: those of two hosts known for junk, and one withdrawn page.
+#: Hosts known for junk, all of whose pages the query's list holds, and single pages of it, whatever their spelling.
+JUNK_HOSTS = r"(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\."
 LISTED = ("http://spam-farm.example.org/", "http://cheap-pills.example.com/", "http://www.cheap-pills.example.com/en/474", "http://spam-farm.example.org/en/728?utm_source=feed")
 
 
@@ -29,10 +30,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domains(host: Column) -> Column:
-    """The host and every domain above it."""
+def domains(host: Column, counts: Sequence[int]) -> Column:
+    """Of the host and the domains above it those with one of these ``counts`` of labels; so a host of very many labels isn't written out once for each."""
     labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fitting = F.filter(F.lit(list(counts)).cast("array<int>"), lambda n: n <= F.size(labels))
+    return F.transform(fitting, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
 
 
 def _authority(url: Column) -> Column:
@@ -82,13 +84,13 @@ def _bits(key: Column) -> list[tuple[Column, Column]]:
     return [(F.pmod(F.shiftright(h, 9 * k), F.lit(BLOCK_WORDS)), F.pmod(F.shiftright(h, 9 * k + 3), F.lit(64)).cast("int")) for k in range(KEY_BITS)]
 
 
-def bloom(keys: DataFrame, key: str = "key") -> tuple[DataFrame, int]:
-    """The filter of ``keys``, and its number of blocks: a table with one row, the array ``words`` of its 64-bit words.
+def bloom(keys: DataFrame, key: str = "key", rows: int | None = None) -> tuple[DataFrame, int]:
+    """The filter of ``keys`` (``rows`` of them, counted if not told), and its number of blocks: a table with one row, the array ``words`` of its 64-bit words.
 
     It has ``BLOCK_WORDS`` words a block, and as many blocks as the keys need up to ``MAX_BLOCKS``. Built by a grouped bit_or; what meets in one task is the filter, of
     bounded size, not the keys. Nothing of it is in the plan.
     """
-    blocks = min(MAX_BLOCKS, max(1, -(-keys.count() // KEYS_PER_BLOCK)))
+    blocks = min(MAX_BLOCKS, max(1, -(-(keys.count() if rows is None else rows) // KEYS_PER_BLOCK)))
     block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks))
     masks = F.array(*[F.struct((block * BLOCK_WORDS + w).alias("word"), b.alias("bit")) for w, b in _bits(F.col(key))])
     words = keys.select(F.explode(masks).alias("m")).select("m.word", "m.bit")
@@ -116,8 +118,9 @@ def listed_pages(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> D
     The blocked Bloom filter of the listed ones passes possible hits, which an exact join then checks.
     """
     keys = common.cut(listed.select(canonical(F.col("url")).alias("canonical")).dropna().distinct())
-    asked = pages.select(canonical(F.col(url_col)).alias("canonical")).filter(F.col("canonical").isNotNull() & might_contain(bloom(keys, "canonical"), F.col("canonical")))
-    return common.lookup(asked.distinct(), keys, ["canonical"], "left_semi")
+    rows = keys.count()
+    asked = pages.select(canonical(F.col(url_col)).alias("canonical")).filter(F.col("canonical").isNotNull() & might_contain(bloom(keys, "canonical", rows), F.col("canonical")))
+    return common.lookup(asked.distinct(), keys, ["canonical"], "left_semi", rows=rows)
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -127,7 +130,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = N
     path together) holds, of equally long ones a block, then the smaller text. A url that no rule covers has a null rule. Urls name the same page if their
     canonical addresses are equal (:func:`canonical`).
 
-    Each url stands for the keys (a domain of its host, a prefix of its path), the prefixes cut only at lengths that rules have. Rules and listed pages alike are
+    Each url stands for the keys (a domain of its host, a prefix of its path), cut only at the label counts and path lengths that rules have, so that very long hosts and
+    paths take time in proportion to their length. Rules and listed pages alike are
     looked up by a blocked Bloom filter and then an exact join.
     Null, empty and malformed urls have an empty host and path, are covered by no rule and aren't listed. Rows of equal url and id share the
     verdict; rules and listed urls that are repeated, or hold a null, count once or not at all. Input columns of the four names are replaced.
@@ -135,14 +139,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = N
     rules = rules.select("host", "path", "verdict").dropna().filter("host <> ''").distinct()
     rules = rules.select(F.concat("host", F.lit("\u0000"), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict")
     rules = common.cut(rules.groupBy("key", "rule").agg(F.max("verdict").alias("verdict")))  # of one key, block before allow
-    lengths = sorted(r[0] for r in rules.select(F.length(F.substring_index("key", "\u0000", -1)).alias("n")).distinct().collect())  # a few path lengths
+    # a few path lengths and label counts
+    lengths, labels, rows = rules.agg(
+        F.collect_set(F.length(F.substring_index("key", "\u0000", -1))), F.collect_set(F.size(F.split(F.substring_index("key", "\u0000", 1), r"\.", -1))), F.count(F.lit(1))
+    ).first()
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     urls = pages.select(*kept, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    cuts = F.filter(F.lit(lengths or [0]).cast("array<int>"), lambda n: n <= F.length("path"))
-    keys = F.flatten(F.transform(domains(F.col("host")), lambda d: F.transform(cuts, lambda n: F.concat(d, F.lit("\u0000"), F.substring(F.col("path"), F.lit(1), n)))))
+    cuts = F.filter(F.lit(sorted(lengths) or [0]).cast("array<int>"), lambda n: n <= F.length("path"))
+    keys = F.flatten(F.transform(domains(F.col("host"), sorted(labels) or [0]), lambda d: F.transform(cuts, lambda n: F.concat(d, F.lit("\u0000"), F.substring(F.col("path"), F.lit(1), n)))))
     # each (host, path) is asked about once, however often it occurs
-    asked = urls.select("host", "path", F.explode(keys).alias("key")).filter(might_contain(bloom(rules), F.col("key"))).distinct()
-    hits = common.lookup(asked, rules, ["key"], "inner")
+    asked = urls.select("host", "path", F.explode(keys).alias("key")).filter(might_contain(bloom(rules, rows=rows), F.col("key"))).distinct()
+    hits = common.lookup(asked, rules, ["key"], "inner", rows=rows)
     best = hits.groupBy("host", "path").agg(
         F.min(F.struct((-F.length("rule")).alias("n"), F.when(F.col("verdict") == "block", 0).otherwise(1).alias("mild"), "rule", "verdict")).alias("_best")
     )
@@ -160,9 +167,9 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULE
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on every page's url."""
+    """The verdict on every page's url: by the rules, else by a list of the pages that were found at hosts known for junk."""
     pages = common.read(spark, sf_dir, "pages").select("page_id", "url")
-    listed = spark.createDataFrame([(u,) for u in LISTED], "url string")
+    listed = pages.filter(host_of(F.col("url")).rlike(JUNK_HOSTS)).select("url").unionByName(spark.createDataFrame([(u,) for u in LISTED], "url string"))
     return filter_urls(pages, rule_table(spark), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -190,7 +197,11 @@ _CANONICAL = r"""
   WHERE a.host <> ''"""
 SQL = {
     "op5_url_filter": r"""
-WITH listed(url) AS (VALUES """
+WITH listed(url) AS (
+  SELECT url FROM pages WHERE regexp_matches(translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '"""
+    + JUNK_HOSTS
+    + """')
+  UNION ALL VALUES """
     + _FIXED
     + "),\nl AS ("
     + _CANONICAL.format(id="url", table="listed")
