@@ -101,6 +101,35 @@ def test_join_is_linear_in_a_large_group(spark, monkeypatch):
     assert made[0].count() < 38 * len(rows) / 4
 
 
+#: Texts of one template: a word of its own at the end, after nine words or after three, and in the middle; and with a second one from a few.
+_TEMPLATES = ("dear customer thanks x{k}", "dear customer your order has been sent to you x{k}", "dear customer your order x{k} has been sent to you", "dear customer {c} your order has been sent to you x{k}")
+
+
+@pytest.mark.parametrize("template", _TEMPLATES)
+def test_join_is_linear_on_templates(spark, monkeypatch, template):
+    made = []
+    before = near_join._visits
+    monkeypatch.setattr(near_join, "_visits", lambda *a: made.append(before(*a)) or made[-1])
+    rows = [(k, template.format(k=k, c=f"c{k % 7}")) for k in range(1500)]
+    got = near_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, group_sets=32).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: x[1] for i, x in _components(rows, 3, 90).items()}
+    assert made[0].count() <= len(rows)
+
+
+def test_join_of_sets_whose_shared_tokens_are_frequent_in_others(spark):
+    """Two sets that link by tokens each of which is most frequent among sets connected to one of them, and short sets of all sizes near the threshold."""
+    draw = random.Random(12)
+    rows = []
+    for k in range(500):
+        words = "a b c d e f g h i j k l m n".split()[draw.randint(0, 3) : draw.randint(5, 14)]
+        for _ in range(draw.choice((0, 0, 1, 1, 2))):
+            words[draw.randrange(len(words))] = draw.choice(("p", "q", "r", f"u{k}"))
+        rows.append((k, " ".join(words)))
+    for width, percent in ((1, 80), (2, 70), (1, 90)):
+        got = near_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width, percent, group_sets=4, visitors=5).collect()
+        assert {r.doc_id: r.component_id for r in got} == {i: x[1] for i, x in _components(rows, width, percent).items()}
+
+
 def test_join_counts_links_of_rows_without_an_id(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(1, text), (None, text + " one"), (3, text + " two")]
@@ -194,6 +223,16 @@ def test_search_keeps_query_rows_apart(spark):
     assert got == [(1, 3, 131072), (1, 3, 327680000), (2, 1, 65536), (2, 2, 65536)]
 
 
+def test_search_keeps_large_ids_beside_null_ones(spark):
+    big = 2**60
+    rows = [(big, [1.0, 0.0]), (big + 1, [0.5, 0.0]), (big + 2, [0.25, 0.0]), (None, [9.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = knn.knn_join(table.filter(f"vec_id = {big} OR vec_id IS NULL"), table, k=3).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(big, 1, big + 1, 32768), (big, 2, big + 2, 16384)]
+    none = spark.createDataFrame([(None, [1.0])], "vec_id long, embedding array<float>")
+    assert knn.knn_join(none, table).count() == 0 and knn.knn_join(table, none).count() == 0
+
+
 # -- url filter
 
 
@@ -255,6 +294,18 @@ def test_listed_pages_are_blocked_in_any_spelling(spark):
     assert got == {k: (v, "own") for k, v in enumerate(["block", "block", "block", "allow", "allow", "allow", "allow", "block"])}
 
 
+def test_hosts_and_paths_of_very_many_parts(spark):
+    host, path = "a." * 60_000 + "example.org", "/es/" + "x/" * 60_000
+    pages = spark.createDataFrame([(1, f"http://{host}{path}"), (2, f"http://{host}/en/1"), (3, "http://" + "b." * 60_000 + "net/")], "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(pages, urlfilter.rule_table(spark)).collect()}
+    assert got == {1: (host, path, "example.org/es/", "block"), 2: (host, "/en/1", "example.org/en/1", "block"), 3: ("b." * 60_000 + "net", "/", None, "allow")}
+
+
+def test_the_list_decides_verdicts_of_the_query(spark):
+    got = urlfilter.op5_url_filter(spark, SMALL)
+    assert got.filter("rule IS NULL AND verdict = 'block'").count() and not got.filter("rule IS NULL AND verdict = 'block'").filter(~F.col("host").rlike(urlfilter.JUNK_HOSTS)).count()
+
+
 def test_a_long_list_is_not_in_the_plan(spark):
     listed = spark.range(1_000_000).select(F.concat(F.lit("http://listed.net/"), "id").alias("url"))
     pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://listed.net:80/"), F.col("id") * 1000).alias("url"))
@@ -285,7 +336,7 @@ _HAND = (
 
 
 def test_main_text_of_pages_written_by_hand():
-    tree = html_text.train()
+    tree = html_text.default_tree()
     hit = made = wanted = 0
     for page, lines in _HAND:
         got, want = Counter(html_text.main_text(page, tree).split()), Counter(" ".join(lines).split())
@@ -295,7 +346,7 @@ def test_main_text_of_pages_written_by_hand():
 
 
 def test_tree_holds_on_pages_it_has_not_seen():
-    tree, right, total, used = html_text.train(), 0, 0, set()
+    tree, right, total, used = html_text.default_tree(), 0, 0, set()
     for page, marks in html_text.labelled(200, seed=77):
         rows = html_text.figures(html_text.blocks(page))
         right += sum(html_text._is_text(tree, row) == bool(m) for row, m in zip(rows, marks, strict=True))
@@ -313,7 +364,7 @@ def test_tree_holds_on_pages_it_has_not_seen():
 
 
 def test_main_text_leaves_out_what_surrounds_it():
-    tree = html_text.train()
+    tree = html_text.default_tree()
     page = f"""<html><head><title>T</title><style>p {{}}</style></head><body><nav><a href='/'>Home</a></nav><div class="ad-banner">Buy</div>
     <article><h1>Fish &amp; chips</h1><p>{PROSE}.\n  Second&nbsp;line</p><script>var x = '<p>no</p>'</script><p>{PROSE}</p></article>
     <div class=comments><p>{PROSE}</p></div><footer>All rights reserved</footer></body></html>"""
@@ -322,6 +373,21 @@ def test_main_text_leaves_out_what_surrounds_it():
         assert isinstance(html_text.main_text(odd, tree), str)
 
 
+#: Articles that belong to other parts of a page, and the main text around them.
+_NESTED = (
+    (f"<main><article><h1>Ferry stays</h1><p>{_ONE}</p></article><div id=comments><article class=comment><p>{_TWO}</p></article></div></main>", f"Ferry stays\n{_ONE}"),
+    (f"<article><h1>Ferry stays</h1><p>{_ONE}</p></article><aside><article class=teaser><h3><a href=x>Bridge closed again</a></h3><p>{_TWO}</p></article></aside>", f"Ferry stays\n{_ONE}"),
+    (f"<article class=post><p>{_ONE}</p><section class=comments><h2>Comments</h2><article><header>Anna</header><p>{_TWO}</p></article></section></article><article class=comment><p>{_TWO}</p></article>", _ONE),
+    (f"<article><p>{_ONE}</p></article><div role=contentinfo>{_TWO}</div><div role=complementary><p>{_TWO}</p></div>", _ONE),
+    (f"<form id=all><div class='page has-sidebar'><main><article class=card><h2>One</h2><p>{_ONE}</p></article><article class=card><h2>Two</h2><p>{_TWO}</p></article></main></div></form>", f"One\n{_ONE}\nTwo\n{_TWO}"),
+)
+
+
+@pytest.mark.parametrize("page", range(len(_NESTED)))
+def test_articles_of_comments_and_asides_are_not_the_pages(page):
+    assert html_text.main_text(_NESTED[page][0], html_text.default_tree()) == _NESTED[page][1]
+
+
 def test_extraction_awkward_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", f"<p>{PROSE}</p>"), (3, "u", f"<article><p>{PROSE}</p></article>" + "<p>x</p>" * 20_000), (3, "u", f"<article><p>{PROSE}</p></article>")]
     pages = spark.createDataFrame([(*r, "own") for r in rows], "page_id long, url string, html string, text string")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +18,10 @@ from voxmill.llm import common
 SKETCH_BITS, GROUP_SETS, VISITORS = 20, 128, 2_000
 #: Rare shingles that a set must share with a group's union before the group is opened to it, and sets that every part of a large group is compared with.
 SHARED, LEADERS = 2, 16
-#: Rows into which a task's sketch is cut, so that several tasks add them up; tasks that make a sketch, at most; rows of units for each task.
-_SLICES, _SKETCHES, _UNIT_ROWS = 64, 4_096, 4_000
+#: Shingles of a set up to which the matrix keeps its size and a token's place in it as they are; larger sets are of one kind.
+EXACT = 64
+#: Rows into which a task's sketch is cut, so that several tasks add them up; rows of units for each task.
+_SLICES, _UNIT_ROWS = 64, 4_000
 #: Word hashes that a Python worker keeps.
 _KEPT_WORDS = 100_000
 
@@ -74,12 +76,13 @@ def frequency_sketch(docs: DataFrame, text_col: str, width: int, bits: int = SKE
         total = np.zeros(part, np.uint64)
         for c in rows["counts"]:
             total += np.frombuffer(c, "<u4")
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "_some": rows["_some"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
 
-    kind = "slice int, counts binary"
-    tasks = docs.select(text_col).coalesce(_SKETCHES).mapInArrow(count, kind).withColumn("_some", F.pmod(F.spark_partition_id(), F.lit(64)))
-    some = tasks.groupBy("slice", "_some").applyInPandas(lambda rows: add(rows), kind)
-    found = some.groupBy("slice").applyInPandas(add, kind).toPandas().sort_values("slice")
+    # a tree: slices of 64 tasks are added up, then those of 64 such sums, then all
+    found = docs.select(text_col).mapInArrow(count, "slice int, counts binary").withColumn("_some", F.spark_partition_id().cast("long"))
+    for _ in range(2):
+        found = found.withColumn("_some", F.expr("_some div 64")).groupBy("slice", "_some").applyInPandas(lambda rows: add(rows), "slice int, _some long, counts binary")
+    found = found.withColumn("_some", F.lit(0).cast("long")).groupBy("slice").applyInPandas(add, "slice int, _some long, counts binary").toPandas().sort_values("slice")
     return np.frombuffer(b"".join(found["counts"]) or bytes(4 << bits), "<u4")
 
 
@@ -311,34 +314,58 @@ def _solved(docs: DataFrame, classes: DataFrame, units: DataFrame, width: int, p
     return common.cut(sent.groupBy("group", "chunk").applyInPandas(lambda rows: solve_unit(rows, percent, inside), "class long, other long, links long"))
 
 
+def _least(n: Column, percent: int) -> Column:
+    """How many shingles at least of a set of ``n`` are in any set that links with it."""
+    return F.ceil(F.lit(percent) * n / 100)
+
+
+def _shared(n: Column, percent: int) -> Column:
+    """:func:`needed` of a set of ``n``, as a function of Columns."""
+    return F.greatest(F.lit(1), F.least(F.lit(SHARED), _least(n, percent)))
+
+
+def _may_link(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles may link if their rarest common one is the ``i``-th rarest of one and the ``j``-th of the other: all other common ones come after it. Zero sizes stand for all above ``EXACT``."""
+    fit = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * (1 + F.least(n - i, m - j)) >= percent * (n + m))
+    return F.when((n == 0) | (m == 0), (n + m == 0) | (100 * (n + m) > percent * EXACT)).otherwise(fit)
+
+
 def _visits(hits: DataFrame, groups: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """``(class, group)``: the groups of others that a set must be compared with.
 
-    The matrix holds, for each token of a group's union, the sizes of the group's sets that have it. A set is led to the groups where
-    it finds a token of its own, with a set of a fitting size; the tokens found there bound what it can share with any member, and only
-    where they are as many as a link takes is the group opened.
+    The matrix holds, for each token of a group's union, the sizes of the group's sets that have it and how many tokens of a set are rarer. Of two sets that link, the rarest common token
+    leaves both enough shingles behind it, so a set is led from a token only to groups where that token stands in a fitting set at a fitting place; where texts are one template
+    with a word of their own each, that is none, however many share the template's tokens. The tokens that a set finds in the whole union of such a group bound what it can
+    share with any member, and only where they are as many as a link takes is the group opened.
 
     ``labels(class, label)`` names sets that are already known to be connected. Those need no comparison: of each token, the sets of its most
     frequent label stay where they are, and all others go to the groups that have it under another label. Without labels, each pair of groups that meet is opened once.
     """
-    least = lambda n: F.greatest(F.lit(1), F.least(F.lit(SHARED), F.ceil(F.lit(percent) * n / 100)))
-    grouped = hits.select("token", "class", "n").join(groups, "class")
+    place = lambda c: F.when(F.col("n") <= EXACT, F.col(c)).otherwise(0).cast("long")
+    matrix = common.cut(hits.select("token", "class", "n", place("n").alias("pn"), place("i").alias("pi")).join(groups, "class"))
     if labels is None:
-        grouped = grouped.withColumn("label", F.col("class")).withColumn("out", F.lit(True))
+        grouped = matrix.withColumn("label", F.col("class")).withColumn("out", F.lit(True))
     else:
-        grouped = grouped.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        grouped = matrix.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
         counted = grouped.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
         most = counted.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("several")).filter("several > 1")
         grouped = grouped.join(most.drop("several"), "token").withColumn("out", F.col("label") != F.col("most")).drop("most")
     grouped = common.cut(grouped)
-    there = grouped.groupBy("token", F.col("group").alias("to")).agg(
+    there = grouped.groupBy("token", F.col("group").alias("to"), F.col("pn").alias("qn"), F.col("pi").alias("qi")).agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last"), F.bool_or(~F.col("out")).alias("home")
     )
+    kinds = common.cut(grouped.groupBy("token", "pn", "pi").agg(F.count(F.lit(1)).alias("sets")))
+    others = kinds.select("token", F.col("pn").alias("qn"), F.col("pi").alias("qi"))
+    alone = (F.col("sets") == 1) & (F.col("pn") == F.col("qn")) & (F.col("pi") == F.col("qi"))
+    fitting = kinds.join(others, "token").filter(_may_link(F.col("pn"), F.col("pi"), F.col("qn"), F.col("qi"), percent) & ~alone).select("token", "pn", "pi", "qn", "qi")
     fits = (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
     other = (F.col("to") != F.col("group")) & (F.col("home") | (F.col("to") > F.col("group"))) & ((F.col("first") != F.col("label")) | (F.col("last") != F.col("label")))
-    met = grouped.filter("out").join(there, "token").filter(other & fits)
-    met = met.groupBy("class", "to").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("low").alias("low"))
-    return common.cut(met.filter(F.col("shared") >= F.least(least(F.col("n")), least(F.col("low")))).select("class", F.col("to").alias("group")))
+    led = grouped.filter("out").join(fitting, ["token", "pn", "pi"]).join(there, ["token", "qn", "qi"]).filter(other & fits)
+    led = common.cut(led.groupBy("class", "to").agg(F.first("n").alias("n"), F.min("low").alias("low")))
+    union = matrix.select("token", F.col("group").alias("to")).distinct()
+    met = led.join(matrix.select("class", "token"), "class").join(union, ["token", "to"])
+    met = met.groupBy("class", "to").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("low").alias("low"))
+    return common.cut(met.filter(F.col("shared") >= F.least(_shared(F.col("n"), percent), _shared(F.col("low"), percent))).select("class", F.col("to").alias("group")))
 
 
 def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, group_sets: int, visitors: int, links: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -349,10 +376,14 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     rows = common.cut(signatures(docs, id_col, text_col, width, percent))
     classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     classes = common.cut(classes)
-    tokens = classes.select("class", "n", F.explode("prefix").alias("token"))
+    tokens = classes.select("class", "n", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     hits = common.cut(tokens.join(shared, "token"))
-    best = hits.groupBy("class").agg(F.max(F.struct("m", "token")).alias("best")).select("class", F.col("best.token").alias("seed"))
+    # a set that has fewer shared tokens than any link of it takes is linked with none
+    takes = F.least(_shared(F.col("n"), percent), _shared(_least(F.col("n"), percent), percent))
+    best = hits.groupBy("class").agg(F.max(F.struct("m", "token")).alias("best"), F.count(F.lit(1)).alias("found"), F.first("n").alias("n"))
+    best = common.cut(best.filter(F.col("found") >= takes).select("class", F.col("best.token").alias("seed")))
+    hits = hits.join(best.select("class"), "class", "left_semi")
     sizes = best.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_sets)).alias("parts"))
     dealt = common.cut(best.join(sizes, "seed").withColumn("part", F.pmod(F.xxhash64("class"), "parts")).withColumn("group", F.xxhash64("seed", "part")))
     groups = dealt.select("class", "group")
