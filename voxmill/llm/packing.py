@@ -165,8 +165,9 @@ def best_fit(lengths: Iterable[int], window: int = WINDOW) -> list[tuple[int, in
 def assign(cut: DataFrame, id_col: str = "doc_id", window: int = WINDOW, per_shard: int = PIECES_PER_SHARD) -> DataFrame:
     """``cut`` (see :func:`pieces`) with ``sequence_id`` and ``offset``.
 
-    Pieces are dealt by a hash to shards of about ``per_shard``; each shard is packed by best-fit decreasing, ties by id and
-    start. Only a shard's last windows can stay half empty, so shards of any fixed size waste the same small share.
+    Pieces are dealt to shards of about ``per_shard`` by a hash of their rows' numbers, so that rows of one id, or repeated ones, don't fall to one shard. Each shard is packed
+    by best-fit decreasing, ties by id and start. Only a shard's last windows can stay half empty, so shards of any fixed size waste the same small share. ``cut`` must
+    be a checkpoint or a written table, which has the same row numbers whenever it is read.
     """
     shards = max(1, -(-cut.count() // per_shard))
     schema = cut.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint"
@@ -176,7 +177,7 @@ def assign(cut: DataFrame, id_col: str = "doc_id", window: int = WINDOW, per_sha
         placed = np.array(best_fit(rows["length"].tolist(), window), np.int64).reshape(-1, 2)
         return rows.drop(columns="_shard").assign(sequence_id=placed[:, 0] + (int(key[0]) << 32), offset=placed[:, 1])
 
-    dealt = cut.withColumn("_shard", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(shards)))
+    dealt = cut.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("_shard").applyInPandas(run, schema)
 
 
