@@ -1,7 +1,7 @@
 """Connected components and topology of label maps.
 
-Labelling is iterative within a volume, so it runs in Arrow-fed tasks, one for each (case, label); everything
-after it is joins, aggregates and windows.
+Blocks of a volume are labelled by themselves, in Arrow-fed tasks of many blocks; what touches across their borders is joined, and the pieces that belong together are found by
+star rounds. So no task holds a volume. Everything after it is joins, aggregates and windows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxmill.operators import shared
+
 
 def offsets(connectivity: int) -> list[tuple[int, int, int]]:
     """Half of the neighbourhood of 6 or 26 cells: each pair of neighbours once."""
@@ -53,26 +55,64 @@ def label_cells(cells: np.ndarray, connectivity: int) -> np.ndarray:
     return out
 
 
-def label_components(voxels: DataFrame, by: Sequence[str] = ("case_id",), connectivity: int = 26) -> DataFrame:
+_FACTS = ("component", "size", "place", "components")
+#: Cells along an edge of a block; coordinates must be smaller than REACH in size, so that three of them fit in a long that keeps their order.
+BLOCK, REACH = 64, 1 << 20
+
+
+def _code(x: Column, y: Column, z: Column) -> Column:
+    """A cell's coordinates in one long, in coordinate order."""
+    place = lambda c: F.when(F.abs(c) < REACH, c + REACH).otherwise(F.raise_error(F.lit(f"coordinates must be smaller than {REACH}"))).cast("long")
+    return F.shiftleft(place(x), 42) + F.shiftleft(place(y), 21) + place(z)
+
+
+def _pieces(cells: pd.DataFrame, connectivity: int, block: int) -> pd.DataFrame:
+    """``cells`` with ``piece``: the code of the first cell of their piece within their block; ``cells`` hold whole blocks, told apart by ``_group`` and ``_b``."""
+    at = cells[["x", "y", "z"]].to_numpy(np.int64)
+    number = np.unique(cells[["_group", "_b"]].to_numpy(np.int64), axis=0, return_inverse=True)[1]
+    # blocks side by side along x, with a gap between them
+    inside = at - np.floor_divide(at, block) * block
+    inside[:, 0] += number.ravel() * (block + 1)
+    root = label_cells(inside, connectivity)
+    first = at[root] + REACH
+    return cells.assign(piece=(first[:, 0] << 42) + (first[:, 1] << 21) + first[:, 2])
+
+
+def label_components(voxels: DataFrame, by: Sequence[str] = ("case_id",), connectivity: int = 26, block: int = BLOCK) -> DataFrame:
     """``voxels(*by, x, y, z)`` of foreground cells with ``component, size, place, components``.
 
     ``component`` numbers a group's components from 0 by their first cells in coordinate order, ``size`` is its cells, ``place`` its rank from 1 by size (ties by
     number), and ``components`` how many the group has. All rules on components are filters over these, so a volume is labelled once.
-    """
-    rows = voxels.select(*by, "x", "y", "z")
-
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        root = label_cells(cells[["x", "y", "z"]].to_numpy(np.int64), connectivity)
-        firsts, number, size = np.unique(root, return_inverse=True, return_counts=True)
-        at = cells[["x", "y", "z"]].to_numpy(np.int64)[firsts]
-        order = np.lexsort(at.T[::-1])
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        place = np.empty(len(order), np.int64)
-        place[np.lexsort((rank, -size))] = np.arange(1, len(order) + 1)
-        return cells.assign(component=rank[number], size=size[number], place=place[number], components=len(order))
 
-    return rows.groupBy(*by).applyInPandas(run, rows.schema.simpleString()[7:-1] + ",component:bigint,size:bigint,place:bigint,components:bigint")
+    A group is cut into blocks of ``block`` cells along each edge. Each task labels some blocks; cells on the borders of blocks look for neighbours in the next one, which joins pieces
+    (:func:`voxmill.operators.shared.connected`). Pieces, not cells, are summed and ranked. Groups of null keys are groups as well. Cells must be distinct.
+    """
+    code, corner = _code(F.col("x"), F.col("y"), F.col("z")), [F.floor(F.col(c) / block).cast("long") for c in "xyz"]
+    rows = voxels.select(*by, "x", "y", "z", F.xxhash64(*by).alias("_group"), _code(*corner).alias("_b"))
+    tasks = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = rows.withColumn("_bin", F.pmod(F.xxhash64("_group", "_b"), F.lit(8 * tasks)))
+    kind = bins.drop("_bin").schema.simpleString()[7:-1] + ",piece:bigint"
+    labelled = shared.cut(bins.groupBy("_bin").applyInPandas(lambda cells: _pieces(cells.drop(columns="_bin"), connectivity, block), kind))
+    # cells that have a neighbour in another block: they tell those neighbours of themselves
+    step = F.explode(F.array(*[F.struct(*[F.lit(d).alias(f"_d{c}") for c, d in zip("xyz", o, strict=True)]) for o in offsets(connectivity)])).alias("_o")
+    edge = F.lit(False)
+    for c in "xyz":
+        edge = edge | (F.pmod(F.col(c), F.lit(block)) == 0) | (F.pmod(F.col(c), F.lit(block)) == block - 1)
+    rim = labelled.filter(edge)
+    moved = rim.select("_group", "_b", F.col("piece").alias("a"), *[F.col(c) for c in "xyz"], step).select("_group", "_b", "a", *[(F.col(c) + F.col(f"_o._d{c}")).alias(c) for c in "xyz"])
+    told = moved.filter(F.col("_b") != _code(*corner)).select("_group", "a", code.alias("_at"))
+    touching = told.join(rim.select("_group", F.col("piece").alias("b"), code.alias("_at")), ["_group", "_at"]).select("_group", "a", "b").distinct()
+    pieces = labelled.groupBy("_group", "piece").agg(F.count(F.lit(1)).alias("_n"))
+    edges = shared.cut(touching)
+    if edges.limit(1).count():
+        top = shared.connected(edges, ["_group"]).withColumnRenamed("node", "piece")
+        pieces = pieces.join(top, ["_group", "piece"], "left").withColumn("top", F.coalesce("top", "piece"))
+    else:
+        pieces = pieces.withColumn("top", F.col("piece"))
+    whole, every = pieces.groupBy("_group", "top").agg(F.sum("_n").alias("size")), W.partitionBy("_group")
+    whole = whole.withColumns({"component": F.row_number().over(every.orderBy("top")).cast("long") - 1, "place": F.row_number().over(every.orderBy(F.desc("size"), "top")).cast("long"), "components": F.count(F.lit(1)).over(every)})
+    facts = pieces.select("_group", "piece", "top").join(whole, ["_group", "top"]).select("_group", "piece", *_FACTS)
+    return labelled.join(facts, ["_group", "piece"]).select(*by, "x", "y", "z", *_FACTS)
 
 
 def component_sizes(labelled: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
@@ -85,9 +125,6 @@ def component_count(labelled: DataFrame, by: Sequence[str] = ("case_id",)) -> Da
     return labelled.groupBy(*by).agg(F.max("components").alias("components"), F.max("size").alias("largest"))
 
 
-_FACTS = ("component", "size", "place", "components")
-
-
 def keep_largest(labelled: DataFrame, k: int = 1, larger_than: int = 0, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """Voxels of the ``k`` largest components of more than ``larger_than`` voxels; ties go to the first cell."""
     return labelled.filter((F.col("place") <= k) & (F.col("size") > larger_than))
