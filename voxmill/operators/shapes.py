@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from voxmill.operators import surface
 from voxmill.operators.components import label_cells
 
-_AROUND = [o for o in itertools.product((-1, 0, 1), repeat=3)]
+#: The 26 neighbours of a cell.
+_RING = [o for o in itertools.product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
 
 
 def _grid(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -59,62 +60,82 @@ def crop_to_nonzero(voxels: DataFrame, value: str, label: str, by: Sequence[str]
     return kept.withColumn(label, F.when(F.col("_in").isNull() & (F.col(label) == 0), F.lit(outside)).otherwise(F.col(label))).drop("_in")
 
 
-def _bits(near: np.ndarray) -> int:
-    return int.from_bytes(np.packbits(near.ravel(), bitorder="little").tobytes(), "little")
-
-
-def _euler(cube: np.ndarray) -> int:
-    """Euler number of a block of cells as a union of closed cubes."""
-    total = 0
+def _euler(cubes: np.ndarray) -> np.ndarray:
+    """Euler numbers of blocks of cells ``cubes[k]``, each as a union of closed cubes."""
+    total = np.zeros(len(cubes), np.int64)
     for axes in itertools.product((0, 1), repeat=3):
-        face = cube
-        for axis, whole in enumerate(axes):
+        face = cubes
+        for axis, whole in enumerate(axes, 1):
             if not whole:
-                wide = np.pad(face, [(1, 1) if k == axis else (0, 0) for k in range(3)])
+                wide = np.pad(face, [(1, 1) if k == axis else (0, 0) for k in range(4)])
                 face = np.delete(wide, 0, axis) | np.delete(wide, -1, axis)
-        total += (-1) ** sum(axes) * int(face.sum())
+        total += (-1) ** sum(axes) * face.sum((1, 2, 3))
     return total
 
 
-class _Simple(dict):
-    """Whether a cell with this neighbourhood of 27 can go without changing the topology: the rest is one piece, with the Euler number kept."""
+#: For each of the 26 neighbours of a cell, in the order of their bits, the mask of those of them that touch it.
+_TOUCH = np.array([sum(1 << j for j, p in enumerate(_RING) if p != o and max(abs(a - b) for a, b in zip(o, p, strict=True)) == 1) for o in _RING], np.int32)
+
+
+def simple(codes: np.ndarray) -> np.ndarray:
+    """Whether cells whose neighbours are the bits of ``codes`` can go without changing the topology: the neighbours are one piece, and the Euler number is kept."""
+    reached = codes & -codes
+    while True:  # the piece of the lowest neighbour grows until it stays as it is
+        more = reached.copy()
+        for j in range(26):
+            more |= np.where(reached >> j & 1 == 1, _TOUCH[j], 0)
+        more &= codes
+        if (more == reached).all():
+            break
+        reached = more
+    cubes = np.zeros((len(codes), 27), bool)
+    cubes[:, [9 * (a + 1) + 3 * (b + 1) + c + 1 for a, b, c in _RING]] = codes[:, None] >> np.arange(26) & 1
+    cubes = cubes.reshape(-1, 3, 3, 3)
+    full = cubes.copy()
+    full[:, 1, 1, 1] = True
+    return (codes != 0) & (reached == codes) & (_euler(full) == _euler(cubes))
+
+
+class _Known:
+    """What :func:`simple` found for the neighbourhoods met so far, as a sorted table."""
+
+    def __init__(self):
+        self.codes, self.answers = np.zeros(0, np.int32), np.zeros(0, bool)
 
-    def __missing__(self, bits: int) -> bool:
-        cube = np.unpackbits(np.frombuffer(bits.to_bytes(4, "little"), np.uint8), bitorder="little")[:27].reshape(3, 3, 3).astype(bool)
-        without = cube.copy()
-        without[1, 1, 1] = False
-        self[bits] = bool(without.any()) and len(np.unique(label_cells(np.argwhere(without), 26))) == 1 and _euler(cube) == _euler(without)
-        return self[bits]
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        asked, which = np.unique(codes, return_inverse=True)
+        new = np.setdiff1d(asked, self.codes, assume_unique=True)
+        if len(new):
+            every = np.concatenate([self.codes, new])
+            order = np.argsort(every)
+            self.codes, self.answers = every[order], np.concatenate([self.answers, simple(new)])[order]
+        return self.answers[np.searchsorted(self.codes, asked)][which]
 
 
-_SIMPLE = _Simple()
+_KNOWN = _Known()
 
 
 def thinned(grid: np.ndarray) -> np.ndarray:
-    """The skeleton of a mask: border cells are peeled off, direction by direction, unless that changes the topology or they end a line.
+    """The skeleton of a mask whose rim is empty: border cells are peeled off, layer by layer, unless that changes the topology or they end a line.
 
-    Candidates of a direction are found together and checked again one by one as they go.
+    A layer's cells go in eight subfields, those of even and odd coordinates: no two cells of one touch, so all simple ones of a subfield go at once. Neighbourhoods are looked up in a table.
     """
-    grid = grid.copy()
-    changed = True
-    while changed:
-        changed = False
-        for axis, step in ((1, -1), (1, 1), (0, 1), (0, -1), (2, 1), (2, -1)):
-            shifted = np.zeros_like(grid)
-            to, source = [slice(None)] * 3, [slice(None)] * 3
-            to[axis], source[axis] = (slice(1, None), slice(None, -1)) if step == 1 else (slice(None, -1), slice(1, None))
-            shifted[tuple(to)] = grid[tuple(source)]
-            found = []
-            for x, y, z in np.argwhere(grid & ~shifted):
-                near = grid[x - 1 : x + 2, y - 1 : y + 2, z - 1 : z + 2]
-                if near.sum() != 2 and _SIMPLE[_bits(near)]:
-                    found.append((x, y, z))
-            for x, y, z in found:
-                near = grid[x - 1 : x + 2, y - 1 : y + 2, z - 1 : z + 2]
-                if _SIMPLE[_bits(near)]:
-                    grid[x, y, z] = False
-                    changed = True
-    return grid
+    flat = np.ascontiguousarray(grid).ravel().copy()
+    strides = np.array([grid.shape[1] * grid.shape[2], grid.shape[2], 1])
+    ring, faces = np.array(_RING) @ strides, np.array([o for o in _RING if sum(map(abs, o)) == 1]) @ strides
+    while True:
+        cells = np.flatnonzero(flat)
+        layer = cells[~flat[cells[:, None] + faces].all(1)]
+        field = sum((layer // s) % n % 2 << k for k, (s, n) in enumerate(zip(strides, grid.shape, strict=True)))
+        gone = 0
+        for k in range(8):
+            here = layer[field == k]
+            codes = (flat[here[:, None] + ring].astype(np.int32) << np.arange(26, dtype=np.int32)).sum(1, dtype=np.int32)
+            goes = here[(np.bitwise_count(codes) > 1) & _KNOWN(codes)]
+            flat[goes] = False
+            gone += len(goes)
+        if not gone:
+            return flat.reshape(grid.shape)
 
 
 def skeleton(cells: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
@@ -125,7 +146,7 @@ def skeleton(cells: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
 def centre_line_dice(gt: DataFrame, pred: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """``(*by, precision, recall, cldice)``: the share of the predicted skeleton inside the true mask, of the true one inside the predicted mask, and their harmonic mean.
 
-    Both masks empty score 1; if one is, 0.
+    A mask without a skeleton has a share of 1; if one mask is empty the mean is 0. Groups that are empty on both sides have no row.
     """
     key = [*by, "x", "y", "z"]
     gt, pred = gt.select(*key).distinct(), pred.select(*key).distinct()
@@ -134,6 +155,5 @@ def centre_line_dice(gt: DataFrame, pred: DataFrame, by: Sequence[str] = ("case_
         return lines.join(mask.withColumn("_hit", F.lit(1)), key, "left").groupBy(*by).agg((F.sum(F.coalesce("_hit", F.lit(0))) / F.count(F.lit(1))).alias(name))
 
     both = share(skeleton(pred, by), gt, "precision").join(share(skeleton(gt, by), pred, "recall"), list(by), "full_outer")
-    none = F.lit(0.0)
-    p, r = F.coalesce("precision", none), F.coalesce("recall", none)
-    return both.select(*by, p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(none).alias("cldice"))
+    p, r = F.coalesce("precision", F.lit(1.0)), F.coalesce("recall", F.lit(1.0))
+    return both.select(*by, p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias("cldice"))

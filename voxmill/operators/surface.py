@@ -6,10 +6,11 @@ import itertools
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.operators import distance, shared
+
 _SIX = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
@@ -83,59 +84,21 @@ def paste_back(voxels: DataFrame, boxes: DataFrame, by: Sequence[str] = ("case_i
     return voxels.join(boxes, list(by)).withColumns({c: F.col(c) + F.col(f"low_{c}") for c in "xyz"}).select(*voxels.columns)
 
 
-def squared_distance_map(mask: np.ndarray, spacing: Sequence[float] = (1, 1, 1)) -> np.ndarray:
-    """Squared distance of every cell to the nearest cell of the mask: exact, one axis after another."""
-    out = np.where(mask, 0.0, np.inf)
-    for axis, s in enumerate(spacing):
-        line, best = np.moveaxis(out, axis, 0), np.moveaxis(out.copy(), axis, 0)
-        for d in range(1, len(line)):
-            cost = (d * s) ** 2
-            if cost >= best.max():
-                break
-            np.minimum(best[d:], line[:-d] + cost, out=best[d:])
-            np.minimum(best[:-d], line[d:] + cost, out=best[:-d])
-        out = np.moveaxis(best, 0, axis)
-    return out
-
-
 def surface_distances(voxels: DataFrame, labels: Sequence[int], shape: Sequence[int], case: str = "case_id", spacing: Sequence[float] = (1, 1, 1)) -> DataFrame:
     """``(case, label, hd, hd95, msd)`` for every case and label of ``voxels(case, x, y, z, gt, pred)``.
 
     ``hd`` is the largest distance from a border cell of either mask to the other's border, ``hd95`` the 95th percentile
     of all of them (linear), ``msd`` their mean. Both masks empty: 0; one empty: the length of the grid's diagonal ``shape``.
-    A (case, label) is one task, whose memory is about 20 bytes for each cell of the box around both masks.
+    Distances are those of :func:`voxmill.operators.distance.squared_distances`, so no task holds a volume.
     """
     table = F.explode(F.array(*[F.lit(int(x)) for x in labels])).alias("label")
-    rows = voxels.select(case, "x", "y", "z", table, F.col("gt").alias("_g"), F.col("pred").alias("_p"))
-    rows = rows.select(case, "label", "x", "y", "z", (F.col("_g") == F.col("label")).alias("g"), (F.col("_p") == F.col("label")).alias("p")).filter("g OR p")
-    diagonal = float(np.linalg.norm(shape))
-
-    def edge(grid: np.ndarray) -> np.ndarray:
-        wide = np.pad(grid, 1)
-        inner = grid.copy()
-        for axis in range(3):
-            for step in (-1, 1):
-                inner &= np.roll(wide, step, axis)[1:-1, 1:-1, 1:-1]
-        return grid & ~inner
-
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        at = cells[["x", "y", "z"]].to_numpy(np.int64)
-        low = at.min(0)
-        grids = []
-        for c in ("g", "p"):
-            grid = np.zeros(at.max(0) - low + 1, bool)
-            grid[tuple((at - low)[cells[c].to_numpy()].T)] = True
-            grids.append(edge(grid))
-        a, b = grids
-        if a.any() and b.any():
-            d = np.sqrt(np.concatenate([squared_distance_map(b, spacing)[a], squared_distance_map(a, spacing)[b]]))
-            hd, hd95, msd = d.max(), np.percentile(d, 95), d.mean()
-        else:
-            hd = hd95 = msd = diagonal
-        return cells[[case, "label"]].iloc[:1].assign(hd=hd, hd95=hd95, msd=msd)
-
-    kind = f"{case}:{dict(voxels.dtypes)[case]},label:int,hd:double,hd95:double,msd:double"
-    found = rows.groupBy(case, "label").applyInPandas(run, kind)
+    sides = voxels.select(case, "x", "y", "z", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("gt").alias("label")), F.struct(F.lit(1).alias("side"), F.col("pred").alias("label")))).alias("_s"))
+    sides = sides.select(case, F.col("_s.label").cast("int").alias("label"), F.col("_s.side").alias("side"), "x", "y", "z").filter(F.col("label").isin(*[int(x) for x in labels]))
+    edge = shared.cut(border(sides, [case, "label", "side"]))
+    far = distance.squared_distances(edge, edge.withColumn("side", 1 - F.col("side")), [case, "label", "side"], spacing)
+    d, diagonal = F.sqrt("d2"), F.lit(float(np.linalg.norm(shape)))
+    one = F.max(F.col("d2").isNull())
+    found = far.groupBy(case, "label").agg(*[F.when(one, diagonal).otherwise(x).alias(c) for c, x in (("hd", F.max(d)), ("hd95", F.percentile(d, F.lit(0.95))), ("msd", F.avg(d)))])
     every = voxels.select(case).distinct().select(case, table)
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return every.join(found, [case, "label"], "left").select(case, "label", zero("hd"), zero("hd95"), zero("msd"))
@@ -160,11 +123,11 @@ def nearest_point(points: DataFrame, targets: DataFrame, by: Sequence[str], cell
         right = targets.select(*by, "tid", *[F.col(c).alias(f"t{c}") for c in "xyz"], around.alias("_o")).select(*by, "tid", "tx", "ty", "tz", "_o.*")
         dist = F.sqrt(sum(F.pow(F.col(c) - F.col(f"t{c}"), F.lit(2.0)) for c in "xyz"))
         pairs = left.withColumns({f"_{c}": cube(c) for c in "xyz"}).join(right, [*by, "_x", "_y", "_z"]).withColumn("dist", dist).filter(F.col("dist") <= size)
-        best = pairs.groupBy(*by, "pid").agg(F.min(F.struct("dist", "tid")).alias("b")).select(*by, "pid", F.col("b.tid").alias("tid"), F.col("b.dist").alias("dist"))
+        best = shared.cut(pairs.groupBy(*by, "pid").agg(F.min(F.struct("dist", "tid")).alias("b")).select(*by, "pid", F.col("b.tid").alias("tid"), F.col("b.dist").alias("dist")))
         found = best if found is None else found.unionByName(best)
         if size >= widest:
             return points.join(found, [*by, "pid"], "left")
-        left = left.join(best.select(*by, "pid"), [*by, "pid"], "left_anti")
+        left = shared.cut(left.join(best.select(*by, "pid"), [*by, "pid"], "left_anti"))
         if not left.limit(1).count():
             return points.join(found, [*by, "pid"], "left")
         size *= 2
