@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxmill.operators import distance
+
 
 def soft_counts(cells: DataFrame, by: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
     """``(*by, tp, fp, fn, tn)`` as sums of probabilities against 0/1 truths."""
@@ -47,6 +51,100 @@ def top_k_loss(cells: DataFrame, case: str, order: Sequence[str], percent: float
     return kept.groupBy(case).agg(F.avg("_ce").alias("loss"))
 
 
+def _pooled(v: np.ndarray, least: bool) -> list[np.ndarray]:
+    """The least or largest of each cell and its two neighbours along x, of y, and of z; absent cells (nan) don't count."""
+    pick, out = (np.fmin, []) if least else (np.fmax, [])
+    for axis in range(3):
+        wide = np.pad(v, [(1, 1) if k == axis else (0, 0) for k in range(3)], constant_values=np.nan)
+        side = lambda a, b, k=axis, w=wide: np.take(w, range(a, w.shape[k] + b), k)
+        out.append(pick(pick(side(0, -2), side(1, -1)), side(2, 0)))
+        if not least:
+            v = out[-1]
+    return out
+
+
+def soft_skeleton_of(v: np.ndarray, iterations: int) -> np.ndarray:
+    """The soft skeleton of a block: what an opening takes away, summed over more and more eroded images."""
+    absent = np.isnan(v)
+
+    def eroded(a: np.ndarray) -> np.ndarray:
+        return np.where(absent, np.nan, np.fmin.reduce(_pooled(a, True)))
+
+    def left(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        small = eroded(a)
+        return np.maximum(a - _pooled(small, False)[-1], 0), small
+
+    skeleton, small = left(v)
+    for _ in range(iterations):
+        more, small = left(small)
+        skeleton = skeleton + np.maximum(more - skeleton * more, 0)
+    return skeleton
+
+
+def soft_skeleton(cells: DataFrame, by: Sequence[str], value: str = "value", iterations: int = 10, block: int = 32) -> DataFrame:
+    """``cells(*by, x, y, z, value)`` with ``skeleton``: iterated minima along the axes and maxima of 3 x 3 x 3 neighbours. Cells that are absent take no part.
+
+    A cell's skeleton depends on cells up to ``iterations + 2`` away, so every block of the grid is sent with a rim that wide and solved by itself: one shuffle, whatever the number of iterations.
+    """
+    rim = iterations + 2
+    rows = cells.select(F.xxhash64(*by).alias("_group"), *[F.col(c).cast("long").alias(c) for c in "xyz"], F.col(value).cast("double").alias("_v"))
+    for c in "xyz":
+        rows = rows.withColumn(f"_{c}", F.explode(F.sequence(F.floor((F.col(c) - rim) / block), F.floor((F.col(c) + rim) / block))))
+    tasks = 8 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("_bin", F.pmod(F.xxhash64("_group", "_x", "_y", "_z"), F.lit(tasks)))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, *corner), some in part.groupby(["_group", "_x", "_y", "_z"], sort=False):
+            at, own = some[["x", "y", "z"]].to_numpy(), np.array(corner) * block
+            inside = ((at >= own) & (at < own + block)).all(1)
+            if inside.any():
+                low = at.min(0)
+                grid = np.full(at.max(0) - low + 1, np.nan)
+                grid[tuple((at - low).T)] = some["_v"]
+                skeleton = soft_skeleton_of(grid, iterations)[tuple((at[inside] - low).T)]
+                out.append(some.loc[inside, ["_group", "x", "y", "z"]].assign(skeleton=skeleton))
+        return pd.concat(out) if out else pd.DataFrame({"_group": [], "x": [], "y": [], "z": [], "skeleton": []})
+
+    found = rows.groupBy("_bin").applyInPandas(run, "_group long, x long, y long, z long, skeleton double")
+    return cells.withColumn("_group", F.xxhash64(*by)).join(found, ["_group", "x", "y", "z"]).select(*cells.columns, "skeleton")
+
+
+def soft_centre_line_loss(cells: DataFrame, case: str, label: str, p: str = "p", y: str = "y01", iterations: int = 10, smooth: float = 1.0, batch: bool = False, clip: float = 1e-8) -> DataFrame:
+    """``(case, loss)``: minus the mean over the classes of each case of ``precision * recall / (precision + recall)`` of soft skeletons; with ``batch`` sums are taken over all cases first, in one row.
+
+    ``cells(case, label, x, y, z, p, y)`` have a probability and a 0/1 truth for each class but the background.
+    """
+    key = [case, label, "x", "y", "z"]
+    kept = [case, label, "x", "y", "z", F.col(p).alias("_p"), F.col(y).alias("_y")]
+    both = cells.select(*kept, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(p).cast("double").alias("v")), F.struct(F.lit(1).alias("side"), F.col(y).cast("double").alias("v")))).alias("_s"))
+    lines = soft_skeleton(both.select(*key, "_p", "_y", F.col("_s.side").alias("_side"), F.col("_s.v").alias("_v")), [case, label, "_side"], "_v", iterations)
+    of = lambda side, x: F.sum(F.when(F.col("_side") == side, x))
+    s, hit, found = F.col("skeleton"), F.col("skeleton") * F.col("_y"), F.col("skeleton") * F.col("_p")
+    sums = lines.groupBy(*([label] if batch else [case, label])).agg(of(0, hit).alias("_hit"), of(0, s).alias("_lines"), of(1, found).alias("_found"), of(1, s).alias("_true"))
+    share = lambda a, b: (F.col(a) + smooth) / F.greatest(F.col(b) + smooth, F.lit(clip))
+    precision, recall = share("_hit", "_lines"), share("_found", "_true")
+    return sums.groupBy(*([] if batch else [case])).agg((-F.avg(precision * recall / F.greatest(precision + recall, F.lit(clip)))).alias("loss"))
+
+
+def hausdorff_loss(cells: DataFrame, case: str, label: str, p: str = "p", y: str = "y01", alpha: float = 2.0, most: float | None = None, spacing: Sequence[float] = (1, 1, 1)) -> DataFrame:
+    """``(case, loss)``: squared errors of the probabilities weighted by distances to the borders of both masks, over the classes of ``cells(case, label, x, y, z, p, y)``.
+
+    Cells inside of one mask and outside of the other weigh by their distances to the other side, to the power ``alpha`` and ``most`` at most: half of the mean over cells that are inside of the
+    prediction or outside of the truth, plus half of that over cells outside of the prediction or inside of the truth. A mask that is empty or fills all cells has distances of zero.
+    """
+    maps = F.array(F.struct(F.lit("p").alias("map"), (F.col(p) > 0.5).alias("on")), F.struct(F.lit("y").alias("map"), (F.col(y) > 0.5).alias("on")))
+    rows = cells.select(case, label, "x", "y", "z", F.col(p).alias("_p"), F.col(y).cast("double").alias("_y"), F.explode(maps).alias("_m")).select(case, label, "x", "y", "z", "_p", "_y", "_m.*")
+    far = distance.squared_distances(rows, rows.withColumn("on", ~F.col("on")), [case, label, "map", "on"], spacing)
+    d = F.sqrt(F.coalesce("d2", F.lit(0.0)))
+    weight = F.pow(d if most is None else F.least(d, F.lit(most)), F.lit(alpha))
+    of = lambda m, on: F.sum(F.when((F.col("map") == m) & (F.col("on") == on), F.col("_w")).otherwise(0.0))
+    each = far.withColumn("_w", weight).groupBy(case, label, "x", "y", "z", "_p", "_y").agg((of("p", True) + of("y", False)).alias("_fg"), (of("p", False) + of("y", True)).alias("_bg"))
+    error = F.pow(F.col("_p") - F.col("_y"), F.lit(2.0))
+    mean = lambda w: F.avg(F.when(F.col(w) != 0, error * F.col(w)))
+    return each.groupBy(case).agg(F.coalesce(0.5 * (mean("_fg") + mean("_bg")), F.lit(0.0)).alias("loss"))
+
+
 def focal(p: Column, gamma: float = 2.0, alpha: float = 0.25) -> Column:
     """Focal loss of the probability given to the true class."""
     return alpha * F.pow(1 - p, F.lit(gamma)) * cross_entropy(p)

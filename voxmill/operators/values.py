@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -180,3 +181,35 @@ def cosine_rate(step: Column, first: int, warmup: int, high: float, low: float)
     rise = (high - low) * at / F.lit(float(max(warmup, 1))) + low
     fall = low + (high - low) * (1 + F.cos(F.lit(3.141592653589793) * (at - warmup) / F.lit(float(first - warmup)))) / 2
     return F.when(at < warmup, rise).otherwise(fall)
+
+
+def equalize_locally(cells: DataFrame, by: Sequence[str], shape: Sequence[int], tiles: Sequence[int] = (8, 8), bins: int = 256, clip: float = 0.01, across: Sequence[str] = ("y", "z"), value: str = "value") -> DataFrame:
+    """``cells(*by, a, b, value)`` with ``value`` equalised within each slice: contrast-limited local histograms, values from 0 to 1.
+
+    A slice's values are scaled by their least and largest. Each of its ``tiles`` has a histogram of ``bins`` parts, of which no part counts for more than ``clip`` of the tile (one cell at least); what is above is
+    shared out among all parts. A cell's value is the mean of what the sums of the four tiles around it say of its part, weighed by how near their middles are. Slices of one value stay as they are.
+
+    Tiles are groups of an aggregate and their maps a table of ``tiles * bins`` rows a slice, joined by key; a cell asks for four of them.
+    """
+    a, b = across
+    facts = with_facts(cells, by, _low=F.min(value), _high=F.max(value))
+    scaled = facts.filter("_high > _low").withColumn("_v", (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    scaled = scaled.withColumn("_bin", F.least(F.floor(F.col("_v") * bins), F.lit(bins - 1)))
+    tile = lambda c, k: F.floor(F.col(c) * tiles[k] / shape[k])
+    hist = scaled.groupBy(*by, tile(a, 0).alias("_ta"), tile(b, 1).alias("_tb"), "_bin").agg(F.count(F.lit(1)).alias("_h"))
+    whole = hist.groupBy(*by, "_ta", "_tb").agg(F.sum("_h").alias("_n"))
+    key = [*by, "_ta", "_tb"]
+    limit = F.greatest(F.lit(1.0), clip * F.col("_n"))
+    every = whole.withColumn("_bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")))).join(hist, [*key, "_bin"], "left").fillna(0, ["_h"])
+    w = W.partitionBy(*key)  # the parts of a tile
+    kept, spare = F.least(F.col("_h").cast("double"), limit), F.sum(F.greatest(F.col("_h") - limit, F.lit(0.0))).over(w)
+    upto = F.sum(kept).over(w.orderBy("_bin"))
+    maps = every.select(*key, "_bin", ((upto + (F.col("_bin") + 1) * spare / bins) / F.col("_n")).alias("_map"))
+    # the two tiles before and behind a cell along each axis, and how near it is to the second
+    place = lambda c, k: (F.col(c) + 0.5) * tiles[k] / shape[k] - 0.5
+    near = lambda c, k: F.array(*[F.struct(F.greatest(F.lit(0).cast("long"), F.least(F.floor(place(c, k)) + s, F.lit(tiles[k] - 1).cast("long"))).alias("t"), (1 - F.abs(place(c, k) - (F.floor(place(c, k)) + s))).alias("w")) for s in (0, 1)])
+    asked = scaled.select(*by, a, b, "_bin", F.explode(near(a, 0)).alias("_p"), near(b, 1).alias("_qs")).select(*by, a, b, "_bin", "_p", F.explode("_qs").alias("_q"))
+    asked = asked.select(*by, a, b, "_bin", F.col("_p.t").alias("_ta"), F.col("_q.t").alias("_tb"), (F.col("_p.w") * F.col("_q.w")).alias("_w"))
+    # tiles at a corner of sparse slices may have no cells of their own: their weight falls to the others
+    found = asked.join(maps, [*key, "_bin"]).groupBy(*by, a, b).agg((F.sum(F.col("_w") * F.col("_map")) / F.sum("_w")).alias("_new"))
+    return cells.join(found, [*by, a, b], "left").withColumn(value, F.coalesce("_new", F.col(value))).drop("_new")

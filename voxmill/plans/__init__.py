@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.plans import cases, geometry, records, scoring
+from voxmill.plans import cases, fields, geometry, records, scoring
 
-_MODULES = (cases, geometry, records, scoring)
+_MODULES = (cases, fields, geometry, records, scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
