@@ -7,6 +7,7 @@ import io
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,28 @@ META_TYPES = {
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 
 
-def parse_meta(data: bytes) -> tuple[np.ndarray, dict]:
-    """A MetaImage file with its data inside: the array as (x, y, z), and its geometry."""
+@dataclass(frozen=True)
+class Layout:
+    """Where and how a file holds its cells: ``kind`` is a NumPy type; cells run along x first unless ``last_first``."""
+
+    shape: tuple[int, ...]
+    kind: str
+    start: int
+    geometry: dict
+    packed: bool = False
+    last_first: bool = False
+    slope: float = 1.0
+    intercept: float = 0.0
+
+    def array(self, raw: bytes, shape: tuple[int, ...] | None = None) -> np.ndarray:
+        """Cells of the whole volume, or of a slab of this shape, as (x, y, z)."""
+        shape = shape or self.shape
+        array = np.frombuffer(raw, self.kind, count=int(np.prod(shape))).reshape(shape, order="C" if self.last_first else "F")
+        return array if (self.slope, self.intercept) == (1.0, 0.0) else array * self.slope + self.intercept
+
+
+def meta_layout(data: bytes) -> Layout:
+    """The header of a MetaImage file with its data inside."""
     head: dict[str, str] = {}
     at = 0
     while "ElementDataFile" not in head:
@@ -31,33 +52,49 @@ def parse_meta(data: bytes) -> tuple[np.ndarray, dict]:
         at = end + 1
     if head["ElementDataFile"] != "LOCAL":
         raise ValueError("only MetaImage files that hold their own data can be read")
-    raw = zlib.decompress(data[at:]) if head.get("CompressedData", "False") == "True" else data[at:]
     order = ">" if head.get("BinaryDataByteOrderMSB", head.get("ElementByteOrderMSB", "False")) == "True" else "<"
-    shape = [int(n) for n in head["DimSize"].split()]
+    shape = tuple(int(n) for n in head["DimSize"].split())
     numbers = lambda key, default: [float(v) for v in head[key].split()] if key in head else default
-    array = np.frombuffer(raw, order + META_TYPES[head["ElementType"]], count=int(np.prod(shape))).reshape(shape, order="F")
     n = len(shape)
-    return array, {"spacing": numbers("ElementSpacing", [1.0] * n), "origin": numbers("Offset", numbers("Position", [0.0] * n)), "direction": numbers("TransformMatrix", np.eye(n).ravel().tolist())}
+    geometry = {"spacing": numbers("ElementSpacing", [1.0] * n), "origin": numbers("Offset", numbers("Position", [0.0] * n)), "direction": numbers("TransformMatrix", np.eye(n).ravel().tolist())}
+    return Layout(shape, order + META_TYPES[head["ElementType"]], at, geometry, head.get("CompressedData", "False") == "True")
 
 
-def parse_nifti(data: bytes) -> tuple[np.ndarray, dict]:
-    """A NIfTI-1 file in one part, compressed or not: the array as (x, y, z), and its geometry."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def parse_meta(data: bytes) -> tuple[np.ndarray, dict]:
+    """A MetaImage file with its data inside: the array as (x, y, z), and its geometry."""
+    found = meta_layout(data)
+    return found.array(zlib.decompress(data[found.start :]) if found.packed else data[found.start :]), found.geometry
+
+
+def nifti_layout(data: bytes) -> Layout:
+    """The header of a NIfTI-1 file in one part."""
     order = "<" if struct.unpack("<i", data[:4])[0] == 348 else ">"
     dims = struct.unpack(f"{order}8h", data[40:56])
     kind, = struct.unpack(f"{order}h", data[70:72])
     steps = struct.unpack(f"{order}8f", data[76:108])
     start, slope, inter = struct.unpack(f"{order}3f", data[108:120])
-    shape = dims[1 : dims[0] + 1]
-    array = np.frombuffer(data, order + NIFTI_TYPES[kind], count=int(np.prod(shape)), offset=int(start)).reshape(shape, order="F")
-    if slope not in (0.0, 1.0) or inter:
-        array = array * (slope or 1.0) + inter
     sform = np.array(struct.unpack(f"{order}12f", data[280:328]), float).reshape(3, 4)
     spacing = [float(s) for s in steps[1 : min(dims[0], 3) + 1]]
     with np.errstate(divide="ignore", invalid="ignore"):
         direction = np.nan_to_num(sform[:, :3] / np.array(spacing)[None, :]) if len(spacing) == 3 else np.eye(3)
-    return array, {"spacing": spacing, "origin": sform[:, 3].tolist(), "direction": direction.ravel().tolist()}
+    geometry = {"spacing": spacing, "origin": sform[:, 3].tolist(), "direction": direction.ravel().tolist()}
+    return Layout(dims[1 : dims[0] + 1], order + NIFTI_TYPES[kind], int(start), geometry, slope=slope or 1.0, intercept=inter)
+
+
+def parse_nifti(data: bytes) -> tuple[np.ndarray, dict]:
+    """A NIfTI-1 file in one part, compressed or not: the array as (x, y, z), and its geometry."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    found = nifti_layout(data)
+    return found.array(data[found.start :]), found.geometry
+
+
+def numpy_layout(data: bytes) -> Layout:
+    """The header of a NumPy array."""
+    head = io.BytesIO(data)
+    shape, fortran, kind = (np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(head) == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    n = len(shape)
+    return Layout(shape, kind.str, head.tell(), {"spacing": [1.0] * n, "origin": [0.0] * n, "direction": np.eye(n).ravel().tolist()}, last_first=not fortran)
 
 
 def parse_numpy(data: bytes, key: str = "probabilities") -> tuple[np.ndarray, dict]:
@@ -117,6 +154,8 @@ def to_ras(array: np.ndarray, geometry: dict) -> tuple[np.ndarray, dict]:
     return array, {"spacing": spacing.tolist(), "origin": origin.tolist(), "direction": direction.ravel().tolist()}
 
 
+#: Headers of files whose cells lie in the file as they are, so that a part of them can be read alone.
+LAYOUTS = {".mha": meta_layout, ".nii": nifti_layout, ".npy": numpy_layout}
 #: Readers by suffix; the first that fits is taken.
 READERS = {".mha": parse_meta, ".nrrd": parse_nrrd, ".nii.gz": parse_nifti, ".nii": parse_nifti, ".npy": parse_numpy, ".npz": parse_numpy}
 
