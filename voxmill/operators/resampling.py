@@ -1,15 +1,18 @@
-"""Resampling and smoothing of dense grids, one axis after another: each is a weighted sum, planned as explode and aggregate."""
+"""Resampling and smoothing of dense grids, one axis after another: lines along the axis meet in tasks that multiply many of them at once by a matrix of weights."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Weights below this share are left out of a cubic axis; cells by which its ends are continued.
 SMALLEST, PADDED = 1e-9, 12
+#: Lines that a task multiplies at a time.
+LINES = 4_096
 
 
 def _hat(t: np.ndarray, order: int) -> np.ndarray:
@@ -58,12 +61,37 @@ def smoothing_weights(size: int, sigma: float, truncate: float = 4.0) -> np.ndar
 
 
 def along(cells: DataFrame, axis: str, weights: np.ndarray, by: Sequence[str], value: str) -> DataFrame:
-    """``cells(*by, x, y, z, value)`` with one axis multiplied by a matrix: every cell gives its share to the cells it reaches. Absent cells are zeros."""
-    table = F.lit([[[float(i), float(w[i])] for i in np.flatnonzero(w)] for w in weights.T])
+    """``cells(*by, x, y, z, value)`` with one axis multiplied by a matrix. Absent cells are zeros; new cells that no cell reaches are absent.
+
+    Cells are sent once, to where their line along the axis meets; a task multiplies many lines at a time. Repeated cells add up.
+    """
     rest = [c for c in "xyz" if c != axis]
-    told = cells.select(*by, *rest, value, F.explode(F.get(table, F.col(axis).cast("int"))).alias("_w"))
-    summed = told.groupBy(*by, *rest, F.col("_w")[0].cast("long").alias(axis)).agg(F.sum(F.col(value) * F.col("_w")[1]).alias(value))
-    return summed.select(*by, "x", "y", "z", value)
+    keys = [*by, *rest]
+    tasks = 8 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cells.select(*keys, F.col(axis).cast("long").alias("_at"), F.col(value).cast("double").alias("_v"), F.xxhash64(*keys).alias("_line")).withColumn("_bin", F.pmod("_line", F.lit(tasks)))
+    new, old = weights.shape
+    reached = (weights != 0).astype(np.float32)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part[(part["_at"] >= 0) & (part["_at"] < old)]
+        _, lead, line = np.unique(part["_line"].to_numpy(), return_index=True, return_inverse=True)
+        at, v, out = part["_at"].to_numpy(), part["_v"].to_numpy(), []
+        order = np.argsort(line, kind="stable")
+        ends = np.searchsorted(line[order], np.arange(0, len(lead) + LINES, LINES))
+        for k, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+            some = order[lo:hi]
+            own, n = line[some] - k * LINES, min(LINES, len(lead) - k * LINES)
+            dense, there = np.zeros((n, old)), np.zeros((n, old), np.float32)
+            np.add.at(dense, (own, at[some]), v[some])
+            there[own, at[some]] = 1
+            i, j = np.nonzero(there @ reached.T)
+            made = part[keys].iloc[lead[k * LINES + i]].reset_index(drop=True)
+            made[axis], made[value] = j, (dense @ weights.T)[i, j]
+            out.append(made)
+        return pd.concat(out) if out else part[keys].assign(**{axis: [], value: []})
+
+    kinds = dict(cells.dtypes)
+    return rows.groupBy("_bin").applyInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"{axis} long, `{value}` double"])).select(*by, "x", "y", "z", value)
 
 
 def resample(cells: DataFrame, old: Sequence[int], new: Sequence[int], orders: Sequence[int] = (3, 3, 3), by: Sequence[str] = ("case_id",), value: str = "value") -> DataFrame:

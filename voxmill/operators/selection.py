@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxmill.operators import shared
+
 
 def hash_order(*columns: str, seed: int) -> Column:
     """A pseudo-random order that every run repeats."""
@@ -25,24 +27,46 @@ def model_pairs(models: DataFrame, name: str, order: str, by: Sequence[str] = ()
     return (a.join(b, list(by)).filter(F.col("_a") < F.col("_b")) if by else a.join(b, F.col("_a") < F.col("_b"))).select(*by, "a", "b")
 
 
-def numbered(rows: DataFrame, order: Sequence[Column], by: Sequence[str] = (), ranges: int = 200) -> DataFrame:
+def numbered(rows: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
     """``rows`` with ``_rank``, counted from 1 in ``order`` within each group of ``by``, and ``_total``, the group's rows.
 
-    Some rows, chosen by a hash, split the order into ``ranges``; each range is ordered by itself, and the rows in the ranges before it are added. So no task
-    holds all rows. Rows of equal order are numbered arbitrarily.
+    Rows are dealt to ranges of (group, order), as many as there are shuffle partitions, and sorted within; a row's number is its place in its range and the rows of the ranges before it,
+    so no task holds a group. The sorted rows are checkpointed once. Rows of equal order are numbered arbitrarily.
     """
-    key = F.struct(*[c.alias(f"_o{k}") for k, c in enumerate(order)])
-    some = rows.select(key.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(ranges).agg(F.sort_array(F.collect_list("k")).alias("bounds"))
-    # a table of one row, whose array has a fixed bound
-    placed = rows.withColumn("_key", key).join(F.broadcast(some)).withColumn("_range", F.size(F.filter("bounds", lambda b: b <= F.col("_key")))).drop("bounds")
-    within, before = W.partitionBy(*by, "_range").orderBy("_key"), W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    counts = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_m"))
-    counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_in"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"), F.sum("_m").over(W.partitionBy(*by)).alias("_total"))
-    same = F.col("_range") == F.col("_in")
+    parts, keys = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*[F.col(c) for c in by], *order]
+    ranged = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    ranged = shared.cut(ranged).withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_m"))
+    before = counts.select("_range", (F.sum("_m").over(W.orderBy("_range")) - F.col("_m")).alias("_before"))  # a row for each range
+    placed = ranged.join(F.broadcast(before), "_range").withColumn("_at", F.col("_at") + F.col("_before"))
+    facts = placed.groupBy(*by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_total"))
+    if not by:  # one row
+        return placed.join(F.broadcast(facts)).select(*rows.columns, (F.col("_at") - F.col("_first") + 1).alias("_rank"), "_total")
+    return _joined(placed, facts, by).select(*rows.columns, (F.col("_at") - F.col("_first") + 1).alias("_rank"), "_total")
+
+
+def _joined(rows: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` with the facts of their groups, null keys included."""
+    same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    ranked = placed.withColumn("_at", F.row_number().over(within)).join(counts, same)
-    return ranked.select(*rows.columns, (F.col("_before") + F.col("_at")).alias("_rank"), "_total")
+    return rows.join(facts.withColumnsRenamed({c: f"_by_{c}" for c in by}), same).drop(*[f"_by_{c}" for c in by])
+
+
+def first_of_each(rows: DataFrame, by: Sequence[str], order: Column, ties: Sequence[Column], keep: Column) -> DataFrame:
+    """``rows`` with ``_kept``: whether a row is among the first ``keep`` of its group by ``order``, a text of hexadecimal digits that are spread evenly; ``keep`` may use the group's size ``_total``.
+
+    A histogram of the first digits tells for each group which bin the cut falls into: what comes before it stays, what comes behind goes, and only the rows of that bin, one of 4,096, are ranked.
+    """
+    binned = rows.withColumn("_order", order).withColumn("_bin", F.substring("_order", 1, 3))
+    counts = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_m"))
+    w = W.partitionBy(*by)  # a row for each bin
+    counts = counts.withColumns({"_upto": F.sum("_m").over(w.orderBy("_bin")), "_total": F.sum("_m").over(w)}).withColumn("_left", keep - (F.col("_upto") - F.col("_m")))
+    placed = _joined(binned, counts, [*by, "_bin"])
+    cut = (F.col("_left") > 0) & (F.col("_left") < F.col("_m"))
+    rank = F.row_number().over(W.partitionBy(*by, "_bin").orderBy("_order", *ties))
+    ranked = placed.filter(cut).withColumn("_kept", rank <= F.col("_left"))
+    return placed.filter(~cut).withColumn("_kept", F.col("_left") > 0).unionByName(ranked).select(*rows.columns, "_kept")
 
 
 def reliable(scores: DataFrame, case: str, score: str, components: str, at_least: float, expected: int, most: int) -> DataFrame:
@@ -102,16 +126,14 @@ def hash_folds(rows: DataFrame, key: Sequence[str], k: int, seed: int) -> DataFr
 
 def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
     """``rows`` with ``part``: ``valid`` for ``n`` rows of each stratum in hash order, else ``train``."""
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy(hash_order(key, seed=seed), key))
-    return rows.withColumn("part", F.when(rank <= n, "valid").otherwise("train"))
+    chosen = first_of_each(rows, [stratum], hash_order(key, seed=seed), [F.col(key)], F.lit(n))
+    return chosen.withColumn("part", F.when(F.col("_kept"), "valid").otherwise("train")).drop("_kept")
 
 
 def class_locations(voxels: DataFrame, by: Sequence[str], least: int, share: float, seed: int) -> DataFrame:
     """Of each group ``min(n, least)`` voxels, but at least ``share`` of them, in hash order."""
-    w = W.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(hash_order(*by, "x", "y", "z", seed=seed)))
-    n = F.count(F.lit(1)).over(w)
-    return voxels.withColumns({"_r": rank, "_n": n}).filter(F.col("_r") <= F.greatest(F.least("_n", F.lit(least)), F.ceil(F.col("_n") * share))).drop("_r", "_n")
+    keep = F.greatest(F.least("_total", F.lit(least)), F.ceil(F.col("_total") * share))
+    return first_of_each(voxels, by, hash_order(*by, "x", "y", "z", seed=seed), [F.col(c) for c in "xyz"], keep).filter("_kept").drop("_kept")
 
 
 def fullest_slice(cells: DataFrame, axis: str, by: Sequence[str] = ("case_id",)) -> DataFrame:

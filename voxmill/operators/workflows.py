@@ -161,7 +161,9 @@ def find_best_configuration(candidates: DataFrame, truth: DataFrame, order: Data
     mean = F.zip_with("_p", "_q", lambda a, b: (a + b) / 2)
     each = pairs.select(*key, F.when(F.col("_i") == F.col("_j"), F.col("_a")).otherwise(F.concat_ws("+", "_a", "_b")).alias("model"), F.struct((F.col("_i") != F.col("_j")).alias("pair"), "_i", "_j").alias("ord"), values.argmax(mean).alias("pred"))
     scored = each.join(truth.select(*key, "gt"), key)
-    places = each.select("model", "ord").distinct()
+    one, two = order.select(F.col("model").alias("_a"), F.col("ord").alias("_i")), order.select(F.col("model").alias("_b"), F.col("ord").alias("_j"))
+    places = one.join(two, F.col("_i") <= F.col("_j"))  # a few models
+    places = places.select(F.when(F.col("_i") == F.col("_j"), F.col("_a")).otherwise(F.concat_ws("+", "_a", "_b")).alias("model"), F.struct((F.col("_i") != F.col("_j")).alias("pair"), "_i", "_j").alias("ord"))
     return best_model(scored, places, labels, case=case)
 
 
