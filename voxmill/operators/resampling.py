@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights below this share are left out of a cubic axis; cells by which its ends are continued.
@@ -60,38 +60,60 @@ def smoothing_weights(size: int, sigma: float, truncate: float = 4.0) -> np.ndar
     return out
 
 
-def along(cells: DataFrame, axis: str, weights: np.ndarray, by: Sequence[str], value: str) -> DataFrame:
-    """``cells(*by, x, y, z, value)`` with one axis multiplied by a matrix. Absent cells are zeros; new cells that no cell reaches are absent.
+def _multiplied(cells: DataFrame, axis: str, keys: Sequence[str], value: str, old: Column, new: Column, matrix: Callable[[int, int], np.ndarray]) -> DataFrame:
+    """``(*keys, axis, value)``: every line along an axis multiplied by the matrix of its lengths ``old`` and ``new``.
 
-    Cells are sent once, to where their line along the axis meets; a task multiplies many lines at a time. Repeated cells add up.
+    Cells are sent once, to where their line meets; a task multiplies many lines at a time.
     """
-    rest = [c for c in "xyz" if c != axis]
-    keys = [*by, *rest]
     tasks = 8 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cells.select(*keys, F.col(axis).cast("long").alias("_at"), F.col(value).cast("double").alias("_v"), F.xxhash64(*keys).alias("_line")).withColumn("_bin", F.pmod("_line", F.lit(tasks)))
-    new, old = weights.shape
-    reached = (weights != 0).astype(np.float32)
+    rows = cells.select(*keys, F.col(axis).cast("long").alias("_at"), F.col(value).cast("double").alias("_v"), old.cast("long").alias("_old"), new.cast("long").alias("_new"), F.xxhash64(*keys).alias("_line"))
+    rows = rows.filter("_at >= 0 AND _at < _old").withColumn("_bin", F.pmod("_line", F.lit(tasks)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part[(part["_at"] >= 0) & (part["_at"] < old)]
-        _, lead, line = np.unique(part["_line"].to_numpy(), return_index=True, return_inverse=True)
-        at, v, out = part["_at"].to_numpy(), part["_v"].to_numpy(), []
-        order = np.argsort(line, kind="stable")
-        ends = np.searchsorted(line[order], np.arange(0, len(lead) + LINES, LINES))
-        for k, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
-            some = order[lo:hi]
-            own, n = line[some] - k * LINES, min(LINES, len(lead) - k * LINES)
-            dense, there = np.zeros((n, old)), np.zeros((n, old), np.float32)
-            np.add.at(dense, (own, at[some]), v[some])
-            there[own, at[some]] = 1
-            i, j = np.nonzero(there @ reached.T)
-            made = part[keys].iloc[lead[k * LINES + i]].reset_index(drop=True)
-            made[axis], made[value] = j, (dense @ weights.T)[i, j]
-            out.append(made)
-        return pd.concat(out) if out else part[keys].assign(**{axis: [], value: []})
+        out = []
+        for (a, b), some in part.groupby(["_old", "_new"]):
+            weights = matrix(int(a), int(b))
+            reached = (weights != 0).astype(np.float32)
+            _, lead, line = np.unique(some["_line"].to_numpy(), return_index=True, return_inverse=True)
+            at, v = some["_at"].to_numpy(), some["_v"].to_numpy()
+            order = np.argsort(line, kind="stable")
+            ends = np.searchsorted(line[order], np.arange(0, len(lead) + LINES, LINES))
+            for k, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+                few = order[lo:hi]
+                own, n = line[few] - k * LINES, min(LINES, len(lead) - k * LINES)
+                dense, there = np.zeros((n, a)), np.zeros((n, a), np.float32)
+                np.add.at(dense, (own, at[few]), v[few])
+                there[own, at[few]] = 1
+                i, j = np.nonzero(there @ reached.T)
+                made = some[list(keys)].iloc[lead[k * LINES + i]].reset_index(drop=True)
+                made[axis], made[value] = j, (dense @ weights.T)[i, j]
+                out.append(made)
+        return pd.concat(out)
 
     kinds = dict(cells.dtypes)
-    return rows.groupBy("_bin").applyInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"{axis} long, `{value}` double"])).select(*by, "x", "y", "z", value)
+    return rows.groupBy("_bin").applyInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"{axis} long, `{value}` double"]))
+
+
+def along(cells: DataFrame, axis: str, weights: np.ndarray, by: Sequence[str], value: str) -> DataFrame:
+    """``cells(*by, x, y, z, value)`` with one axis multiplied by a matrix. Absent cells are zeros; new cells that no cell reaches are absent. Repeated cells add up."""
+    keys = [*by, *[c for c in "xyz" if c != axis]]
+    new, old = weights.shape
+    return _multiplied(cells, axis, keys, value, F.lit(old), F.lit(new), lambda a, b: weights).select(*by, "x", "y", "z", value)
+
+
+def resample_each(cells: DataFrame, shapes: DataFrame, orders: Sequence[int] = (3, 3, 3), by: Sequence[str] = ("case_id",), value: str = "value", case: str = "case_id") -> DataFrame:
+    """As :func:`resample`, every case from its own shape to its own: ``shapes(case, old, new)`` are arrays of three."""
+    for k, (axis, order) in enumerate(zip("xyz", orders, strict=True)):
+        keys = [*by, *[c for c in "xyz" if c != axis]]
+        told = cells.join(shapes.select(F.col(case), F.col("old")[k].alias("_o"), F.col("new")[k].alias("_n")), case)
+        cells = _multiplied(told, axis, keys, value, F.col("_o"), F.col("_n"), lambda a, b, order=order: np.eye(a) if a == b else axis_weights(a, b, order)).select(*by, "x", "y", "z", value)
+    return cells
+
+
+def winning_labels(shares: DataFrame, by: Sequence[str], label: str = "label", share: str = "_share") -> DataFrame:
+    """``(*by, x, y, z, label)`` of ``shares(*by, label, x, y, z, share)``: the highest label with half of a cell or more, else 0."""
+    won = F.max(F.when(F.col(share) >= 0.5 - 1e-9, F.col(label)))
+    return shares.groupBy(*by, "x", "y", "z").agg(F.coalesce(won, F.lit(0)).alias(label))
 
 
 def resample(cells: DataFrame, old: Sequence[int], new: Sequence[int], orders: Sequence[int] = (3, 3, 3), by: Sequence[str] = ("case_id",), value: str = "value") -> DataFrame:
@@ -112,8 +134,7 @@ def coarse_axis_orders(spacing: Sequence[float], order: int, limit: float = 3.0)
 def resample_labels(cells: DataFrame, old: Sequence[int], new: Sequence[int], orders: Sequence[int] = (1, 1, 1), by: Sequence[str] = ("case_id",), label: str = "label") -> DataFrame:
     """A dense label map on another grid: each label's share of a new cell is interpolated, and the highest label with half of it or more wins, else 0."""
     shares = resample(cells.select(*by, label, "x", "y", "z", F.lit(1.0).alias("_share")), old, new, orders, [*by, label], "_share")
-    won = F.max(F.when(F.col("_share") >= 0.5 - 1e-9, F.col(label)))
-    return shares.groupBy(*by, "x", "y", "z").agg(F.coalesce(won, F.lit(0)).alias(label))
+    return winning_labels(shares, by, label)
 
 
 def smooth(cells: DataFrame, shape: Sequence[int], sigma: float, by: Sequence[str] = ("case_id",), value: str = "value") -> DataFrame:

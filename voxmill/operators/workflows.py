@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.operators import components, losses, overlap, resampling, summary, surface, tiling, values
+from voxmill.operators import components, losses, overlap, resampling, shared, summary, surface, tiling, values
 
 
 def evaluate(voxels: DataFrame, labels: Sequence[int], case: str = "case_id", policy: str = "challenge") -> tuple[DataFrame, DataFrame]:
@@ -208,6 +209,65 @@ def preprocess(voxels: DataFrame, shape: Sequence[int], spacing: Sequence[float]
     return image, resampling.resample_labels(dense.drop("value"), old, new, tuple(min(o, 1) for o in orders), [case])
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """Cases prepared for training: the plan (``target`` spacing and the old ``axes`` in their new order), the cases' new ``shapes(case, old, new)``, and cells of ``image`` and ``labels``."""
+
+    target: tuple[float, ...]
+    axes: str
+    shapes: DataFrame
+    image: DataFrame
+    labels: DataFrame
+
+
+def plan_and_preprocess(voxels: DataFrame, geometry: DataFrame, case: str = "case_id", order: int = 3, target: Sequence[float] | None = None) -> Prepared:
+    """From dense ``voxels(case, x, y, z, value, label)`` and ``geometry(case, spacing)`` of differing cases to cases of one spacing.
+
+    Every case is cropped to the box of its nonzero values; the spacings and sizes of all of them give the target spacing (:func:`voxmill.operators.summary.target_spacing`), whose coarsest axis comes first.
+    Values are z-scored within the case and resampled from its own shape to its own new one, labels by their shares. The three numbers of the target are all that reaches the driver.
+    """
+    box = shared.cut(surface.bounding_box(voxels.filter("value <> 0"), [case]))
+    sizes = box.join(geometry, case).select(case, F.array(*[(F.col(f"high_{c}") - F.col(f"low_{c}")).cast("int") for c in "xyz"]).alias("size"), "spacing")
+    if target is None:
+        target = [r["value"] for r in summary.target_spacing(sizes).orderBy("axis").collect()]
+    worst = max(range(3), key=lambda a: target[a])
+    places = [worst, *[a for a in range(3) if a != worst]]
+    turned = lambda c: F.array(*[F.col(c)[a] for a in places])
+    new = F.array(*[F.greatest(F.bround(F.col("size")[a] * F.col("spacing")[a] / F.lit(float(target[a])), 0), F.lit(1.0)).cast("int") for a in places])
+    shapes = shared.cut(sizes.select(case, turned("size").alias("old"), new.alias("new")))
+    inside = surface.crop_to_box(voxels.select(case, "x", "y", "z", "value", "label"), box, [case])
+    inside = inside.withColumns({n: F.col("xyz"[a]).cast("long") for n, a in zip("xyz", places, strict=True)})
+    scored = shared.cut(values.z_score(inside, "value", [case], "value"))
+    image = resampling.resample_each(scored.select(case, "x", "y", "z", "value"), shapes, (order,) * 3, [case], "value", case)
+    shares = resampling.resample_each(scored.select(case, "label", "x", "y", "z", F.lit(1.0).alias("_share")), shapes, (min(order, 1),) * 3, [case, "label"], "_share", case)
+    return Prepared(tuple(target), "".join("xyz"[a] for a in places), shapes, image, resampling.winning_labels(shares, [case]))
+
+
+def parse_cases(volume: DataFrame, sparse: DataFrame, dense: DataFrame, old: Sequence[int], new: Sequence[int], case: str = "case_id", steps: int = 3) -> DataFrame:
+    """``(case, x, y, z, value, sparse, dense)`` of raw cases on another grid: ``volume(case, x, y, z, value)`` is dense, the masks ``sparse`` and ``dense`` have their cells only.
+
+    Sparse masks are dilated by ``steps`` first. All are resampled linearly; a mask holds where its share exceeds a half. ``dense`` is null in cases that have no dense mask.
+    """
+    key, one = [case, "x", "y", "z"], F.lit(1.0)
+    out = resampling.resample(volume, old, new, (1, 1, 1), [case])
+    for name, mask in (("sparse", surface.dilate(sparse, old, steps, [case])), ("dense", dense)):
+        share = resampling.resample(mask.select(*key, one.alias("_m")), old, new, (1, 1, 1), [case], "_m")
+        out = out.join(share.filter("_m > 0.5 + 1e-9").select(*key, F.lit(1).alias(name)), key, "left")
+    known = dense.select(case).distinct().withColumn("_known", F.lit(True))
+    return out.join(known, case, "left").select(*key, "value", F.coalesce("sparse", F.lit(0)).alias("sparse"), F.when(F.col("_known"), F.coalesce("dense", F.lit(0))).alias("dense"))
+
+
+def training_sample(cells: DataFrame, low: float, high: float, case: str = "case_id", value: str = "value") -> DataFrame:
+    """``cells`` with ``value`` clipped to a window, mapped to it and then to [0, 1] within each case."""
+    return values.min_max(cells.withColumn(value, values.rescale(F.col(value), low, high)), value, [case], value)
+
+
+def with_previous_stage(cells: DataFrame, stage: DataFrame, old: Sequence[int], new: Sequence[int], case: str = "case_id", label: str = "label") -> DataFrame:
+    """``cells(case, x, y, z, ...)`` with ``previous``, the label that a coarser stage ``stage(case, x, y, z, label)`` (dense, of shape ``old``) gave to the cell, 0 where it has none."""
+    finer = resampling.resample_labels(stage.select(case, "x", "y", "z", label), old, new, (1, 1, 1), [case], label).withColumnRenamed(label, "previous")
+    return cells.join(finer, [case, "x", "y", "z"], "left").fillna(0, ["previous"])
+
+
 def export_prediction(logits: DataFrame, old: Sequence[int], new: Sequence[int], box: Sequence[int], classes: int, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """``(*by, x, y, z, label)``: logits ``(*by, x, y, z, channel, value)`` resampled linearly from ``old`` to ``new``, softmax, argmax, and moved to ``box``'s corner."""
     back = resampling.resample(logits, old, new, (1, 1, 1), [*by, "channel"])

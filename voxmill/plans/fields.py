@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from voxmill.operators import losses, resampling, shapes, values
+from voxmill.operators import losses, resampling, settings, shapes, shared, store, values, workflows
 from voxmill.plans.base import VOX, rounded
-from voxmill.plans.geometry import _DENSE, SHAPE, _mask, dense
-from voxmill.sources import tables
+from voxmill.plans.geometry import _DENSE, SHAPE, _axis, _mask, dense
+from voxmill.sources import datasource, tables
 
 
 def centre_line_dice(spark, d):
@@ -56,7 +58,79 @@ def resampled_cubic(spark, d):
     return rounded(out.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("x") * (F.col("z") + 1)).alias("moment")), 3)
 
 
-QUERIES = {f.__name__: f for f in (centre_line_dice, soft_centre_lines, soft_centre_lines_batch, hausdorff_losses, local_contrast, window_scores, resampled_cubic)}
+def prepared_cases(spark, d):
+    """Cases of two spacings planned and prepared as one dataset."""
+    cells = dense(spark, d)
+    spacing = F.array(F.lit(1.0), F.lit(1.0), F.when(F.col("case_id") % 3 == 0, 2.0).otherwise(2.5))
+    made = workflows.plan_and_preprocess(cells, cells.select("case_id").distinct().select("case_id", spacing.alias("spacing")), order=1)
+    image = made.image.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value") * (F.col("x") + 1) * (F.col("y") + 1)).alias("moment"))
+    return rounded(image.join(made.labels.groupBy("case_id").agg(F.sum(F.col("label") * (F.col("x") + 1)).alias("labels")), "case_id"), 4)
+
+
+def parsed_cases(spark, d):
+    """Raw cases on another grid; every second one has a dense mask."""
+    grid = dense(spark, d).drop("label")
+    out = workflows.parse_cases(grid, _mask(spark, d, "gt = 1 AND (x + y + z) % 7 = 0"), _mask(spark, d, "gt > 0 AND case_id % 2 = 0"), SHAPE, (10, 8, 5), steps=1)
+    return rounded(out.groupBy("case_id").agg(F.sum("value").alias("total"), F.sum("sparse").alias("sparse"), F.sum("dense").alias("dense")), 4)
+
+
+def training_samples(spark, d):
+    out = workflows.training_sample(dense(spark, d), 3.0, 25.0)
+    return rounded(out.groupBy("case_id").agg(F.sum("value").alias("total"), F.max("value").alias("top")))
+
+
+def previous_stage(spark, d):
+    """Labels of a coarse stage as a channel of the cells."""
+    coarse = resampling.resample_labels(dense(spark, d).drop("value"), SHAPE, (7, 8, 4), (0, 0, 0))
+    out = workflows.with_previous_stage(dense(spark, d), coarse, (7, 8, 4), SHAPE)
+    return out.groupBy("case_id", "label", "previous").agg(F.count(F.lit(1)).alias("n"))
+
+
+def instance_files(spark, d):
+    """What the metadata files of cases hold, read back from their JSON."""
+    v = tables.voxels(spark, d).select("case_id", F.col("gt").cast("int").alias("label"), "x", "y", "z")
+    made = settings.instance_metadata(v, names={1: "left", 2: "right"})
+    leaves = settings.flattened(made.select("name", "document"), ["name"])
+    return leaves.select("name", F.array_join("path", "/").alias("path"), "value")
+
+
+def merged_plans(spark, d):
+    """Two layers of nested settings for every customer, merged by path."""
+    c = tables.read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    text = lambda *parts: F.concat(*[F.col(p[1:]).cast("string") if p.startswith("$") else F.lit(p) for p in parts])
+    first = c.select("c_custkey", text('{"plan": {"batch": ', "$c_nationkey", ', "net": {"depth": 5, "act": "relu"}}, "segment": "', "$c_mktsegment", '", "fold": {"k": 5}}').alias("document"))
+    net = F.when(F.col("c_custkey") % 2 == 0, F.lit('{"act": "gelu", "width": [1, 2]}')).otherwise(F.lit("null"))
+    second = c.filter("c_custkey % 3 <> 0").select("c_custkey", F.concat(F.lit('{"plan": {"net": '), net, F.lit('}, "fold": "all"}')).alias("document"))
+    return settings.merge_documents([first, second], ["c_custkey"])
+
+
+def volume_boxes(spark, d):
+    """Label maps written as volumes and read back from a box of them."""
+    v = tables.voxels(spark, d).filter("gt > 0").select("case_id", "x", "y", "z", F.col("gt").cast("int").alias("label"))
+    path = f"{shared.folder(spark)}/volumes/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    datasource.write_volumes(v, path, "case_id", SHAPE)
+    box = spark.read.format("volume").option("path", path).load().filter("z >= 2 AND z < 6 AND y > 1")
+    case = F.regexp_extract("path", r"([^/]+)\.mha$", 1).cast("long")
+    return box.groupBy(case.alias("case_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value") * (F.col("x") + 1)).cast("long").alias("moment"))
+
+
+def upserted_store(spark, d):
+    """A store on disk after two changes: orders by key, some replaced and some deleted."""
+    o = tables.read(spark, d, "orders")
+    rows = lambda where, value, gone: o.filter(where).select(F.col("o_orderkey").cast("string").alias("key"), value.alias("value"), F.lit(1).cast("long").alias("ord"), gone.alias("deleted"))
+    kept = store.Store(spark, f"{shared.folder(spark)}/stores/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}", 16)
+    kept.upsert(rows("o_orderkey % 5 <> 0", F.col("o_orderstatus"), F.lit(False)))
+    kept.upsert(rows("o_orderkey % 4 = 0", F.concat(F.lit("new "), F.col("o_orderpriority")), F.col("o_orderkey") % 3 == 0))
+    return kept.read()
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        centre_line_dice, soft_centre_lines, soft_centre_lines_batch, hausdorff_losses, local_contrast, window_scores, resampled_cubic, prepared_cases, parsed_cases, training_samples, previous_stage,
+        instance_files, merged_plans, volume_boxes, upserted_store,
+    )
+}
 
 
 def _soft_lines(iterations: int) -> str:
@@ -130,3 +204,44 @@ def _spline(table: str, axis: str, old: int, new: int) -> str:
 SQL["resampled_cubic"] = (
     f"WITH {_DENSE}, a AS ({_spline('dense', 'x', 7, 10)}), b AS ({_spline('a', 'z', 8, 5)}) SELECT case_id, count(*) AS n, round(sum(value), 3) AS total, round(sum(value * x * (z + 1)), 3) AS moment FROM b GROUP BY 1"
 )
+SQL |= {
+    "prepared_cases": f"""
+WITH {_DENSE}, b AS (SELECT case_id, min(x) AS x0, min(y) AS y0, min(z) AS z0, max(x) AS x1, max(y) AS y1, max(z) AS z1 FROM dense WHERE value <> 0 GROUP BY 1),
+s AS (SELECT *, z1 - z0 + 1 AS o, CASE WHEN case_id % 3 = 0 THEN 2.0::DOUBLE ELSE 2.5::DOUBLE END AS sp FROM b), t AS (SELECT quantile_cont(sp, 0.5) AS t FROM s),
+q AS (SELECT case_id, x0, y0, z0, x1, y1, z1, o, greatest(round_even(o * sp / t, 0), 1)::BIGINT AS n FROM s, t),
+c AS (SELECT case_id, x - x0 AS x, y - y0 AS y, z - z0 AS z, value, label, o, n FROM dense JOIN q USING (case_id) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1),
+f AS (SELECT case_id, avg(value) AS m, greatest(stddev_pop(value), 1e-8) AS d FROM c GROUP BY 1),
+w AS (SELECT case_id, i, z, greatest(0, 1 - abs(least(greatest((i + 0.5::DOUBLE) * o / n - 0.5, 0), o - 1) - z)) AS w FROM q, range(20) a(i), range(8) k(z) WHERE i < n AND z < o),
+r AS (SELECT case_id, i, x, y, sum(w * (value - m) / d) AS v FROM c JOIN f USING (case_id) JOIN w USING (case_id, z) GROUP BY ALL),
+h AS (SELECT case_id, i, x, y, label, sum(w) AS w FROM c JOIN w USING (case_id, z) GROUP BY ALL),
+l AS (SELECT case_id, i, x, y, coalesce(max(label) FILTER (w >= 0.5 - 1e-9), 0) AS label FROM h GROUP BY ALL)
+SELECT case_id, a.n, a.moment, b.labels FROM (SELECT case_id, count(*) AS n, round(sum(v * (i + 1) * (x + 1)), 4) AS moment FROM r GROUP BY 1) a
+JOIN (SELECT case_id, sum(label * (i + 1))::BIGINT AS labels FROM l GROUP BY 1) b USING (case_id)""",
+    "parsed_cases": f"""
+WITH {_DENSE}, o AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)),
+s AS (SELECT DISTINCT case_id, x + dx AS x, y + dy AS y, z + dz AS z, 1.0::DOUBLE AS value FROM vox, o WHERE gt = 1 AND (x + y + z) % 7 = 0 AND x + dx BETWEEN 0 AND 6 AND y + dy BETWEEN 0 AND 7 AND z + dz BETWEEN 0 AND 7),
+q AS (SELECT case_id, x, y, z, 1.0::DOUBLE AS value FROM vox WHERE gt > 0 AND case_id % 2 = 0),
+a1 AS ({_axis('dense', 'x', 7, 10)}), a2 AS ({_axis('a1', 'z', 8, 5)}), s1 AS ({_axis('s', 'x', 7, 10)}), s2 AS ({_axis('s1', 'z', 8, 5)}), q1 AS ({_axis('q', 'x', 7, 10)}), q2 AS ({_axis('q1', 'z', 8, 5)})
+SELECT a2.case_id, round(sum(a2.value), 4) AS total, count(*) FILTER (s2.value > 0.5 + 1e-9) AS sparse, CASE WHEN a2.case_id IN (SELECT case_id FROM q) THEN count(*) FILTER (q2.value > 0.5 + 1e-9) END AS dense
+FROM a2 LEFT JOIN s2 USING (case_id, x, y, z) LEFT JOIN q2 USING (case_id, x, y, z) GROUP BY a2.case_id""",
+    "training_samples": f"""
+WITH {_DENSE}, v AS (SELECT case_id, (least(greatest(value, 3), 25) - 3) / 22 AS v FROM dense), f AS (SELECT case_id, min(v) AS lo, max(v) AS hi FROM v GROUP BY 1)
+SELECT case_id, round(sum(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END), 6) AS total, round(max(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END), 6) AS top FROM v JOIN f USING (case_id) GROUP BY 1""",
+    "previous_stage": f"""
+WITH {_DENSE}, c AS (SELECT case_id, label, x, y, i AS z, 1.0::DOUBLE AS share FROM dense JOIN range(4) a(i) ON z = least(floor((i + 0.5::DOUBLE) * 8 / 4 - 0.5 + 0.5), 7)), f AS ({_axis('c', 'z', 4, 8, value='share', by='case_id, label')}),
+l AS (SELECT case_id, x, y, z, coalesce(max(label) FILTER (share >= 0.5 - 1e-9), 0) AS previous FROM f GROUP BY ALL)
+SELECT case_id, label, previous, count(*) AS n FROM dense JOIN l USING (case_id, x, y, z) GROUP BY ALL""",
+    "instance_files": f"""
+WITH {VOX}, g AS (SELECT case_id, CASE gt WHEN 1 THEN 'left' WHEN 2 THEN 'right' ELSE 'label_' || gt END AS k, count(*) AS n, min(x) AS a, min(y) AS b, min(z) AS c, max(x) + 1 AS d, max(y) + 1 AS e, max(z) + 1 AS f,
+  round(avg(x), 4) AS u, round(avg(y), 4) AS v, round(avg(z), 4) AS w FROM vox WHERE gt <> 0 GROUP BY case_id, gt)
+SELECT case_id || '_instances.json' AS name, 'instances/' || k || '/' || m.p AS path, m.v AS value FROM (SELECT case_id, k, unnest([
+  struct_pack(p := 'voxels', v := n::VARCHAR), struct_pack(p := 'low', v := '[' || a || ',' || b || ',' || c || ']'), struct_pack(p := 'high', v := '[' || d || ',' || e || ',' || f || ']'),
+  struct_pack(p := 'centroid', v := '[' || regexp_replace(u::VARCHAR, '\\.0$', '') || ',' || regexp_replace(v::VARCHAR, '\\.0$', '') || ',' || regexp_replace(w::VARCHAR, '\\.0$', '') || ']')]) AS m FROM g)""",
+    "merged_plans": """
+SELECT c_custkey, '{"fold":' || CASE WHEN c_custkey % 3 <> 0 THEN '"all"' ELSE '{"k":5}' END || ',"plan":{"batch":' || c_nationkey || ',"net":'
+  || CASE WHEN c_custkey % 3 = 0 THEN '{"act":"relu","depth":5}' WHEN c_custkey % 2 = 0 THEN '{"act":"gelu","depth":5,"width":[1,2]}' ELSE 'null' END || '},"segment":"' || c_mktsegment || '"}' AS document FROM customer""",
+    "volume_boxes": f"WITH {VOX} SELECT case_id, count(*) AS n, sum(gt * (x + 1))::BIGINT AS moment FROM vox WHERE gt > 0 AND z BETWEEN 2 AND 5 AND y > 1 GROUP BY 1",
+    "upserted_store": """
+SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderkey % 4 = 0 THEN 'new ' || o_orderpriority ELSE o_orderstatus END AS value FROM orders
+WHERE CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 3 <> 0 ELSE o_orderkey % 5 <> 0 END""",
+}
