@@ -251,7 +251,7 @@ def test_exact_percentiles(spark):
 
 def test_ranks_over_ranges(spark):
     rows = spark.range(5000).selectExpr("id * 7919 % 5003 AS k", "id % 3 AS g")
-    got = selection.numbered(rows, [F.col("k")], ["g"], ranges=17).toPandas()
+    got = selection.numbered(rows, [F.col("k")], ["g"]).toPandas()
     for _, part in got.groupby("g"):
         part = part.sort_values("k")
         assert part["_rank"].tolist() == list(range(1, len(part) + 1)) and set(part["_total"]) == {len(part)}

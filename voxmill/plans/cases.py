@@ -85,8 +85,9 @@ def ensemble_mean(spark, d):
 
 
 def learning_rates(spark, d):
-    epochs = spark.range(0, 101).select(F.col("id").alias("epoch"))
-    return rounded(epochs.select("epoch", values.poly_rate(F.col("epoch"), 100).alias("poly"), values.cosine_rate(F.col("epoch"), 20, 5, 0.1, 0.001).alias("cosine")))
+    """Rates at the epochs that a log of steps names, and its steps."""
+    epochs = read(spark, d, "orders").groupBy((F.col("o_orderkey") % 101).alias("epoch")).agg(F.count(F.lit(1)).alias("steps"))
+    return rounded(epochs.select("epoch", "steps", values.poly_rate(F.col("epoch"), 100).alias("poly"), values.cosine_rate(F.col("epoch"), 20, 5, 0.1, 0.001).alias("cosine")))
 
 
 def new_shapes(spark, d):
@@ -248,7 +249,9 @@ def resampled(spark, d):
 
 
 def tile_grid(spark, d):
-    shapes = spark.createDataFrame([(1, 100, 64, 33), (2, 10, 96, 64)], "case_id int, nx int, ny int, nz int")
+    """Tiles of a grid for every part, whose shape follows from its size and key."""
+    part = read(spark, d, "part")
+    shapes = part.select(F.col("p_partkey").alias("case_id"), (F.col("p_size") + 20).cast("int").alias("nx"), (F.col("p_partkey") % 60 + 40).cast("int").alias("ny"), F.lit(33).alias("nz"))
     return tiling.tiles(shapes, (32, 64, 32), 0.5)
 
 
@@ -331,9 +334,9 @@ SELECT vec_id, array_to_string(list_transform(e, lambda x: printf('%.4f', x / li
     "ensemble_mean": f"""{_VEC}, u AS (SELECT label, unnest(p) AS v, unnest(range(64)) AS axis FROM e), a AS (SELECT label, axis, avg(v) AS v FROM u GROUP BY 1, 2)
 SELECT label, (arg_max(axis, v) OVER (PARTITION BY label))::INTEGER AS top, axis::INTEGER AS axis, round(v, 6) AS mean FROM a""",
     "learning_rates": """
-SELECT e AS epoch, round(0.01::DOUBLE * pow(1 - e / 100.0::DOUBLE, 0.9::DOUBLE), 6) AS poly,
+SELECT e AS epoch, steps, round(0.01::DOUBLE * pow(1 - e / 100.0::DOUBLE, 0.9::DOUBLE), 6) AS poly,
        round(CASE WHEN e % 20 < 5 THEN (0.1::DOUBLE - 0.001::DOUBLE) * (e % 20) / 5.0::DOUBLE + 0.001::DOUBLE ELSE 0.001::DOUBLE + 0.099::DOUBLE * (1 + cos(pi() * (e % 20 - 5) / 15.0::DOUBLE)) / 2 END, 6) AS cosine
-FROM range(0, 101) t(e)""",
+FROM (SELECT o_orderkey % 101 AS e, count(*) AS steps FROM orders GROUP BY 1)""",
     "new_shapes": """
 SELECT p_partkey, round_even((p_size / 2.0::DOUBLE) * (p_partkey % 90 + 10), 0)::INTEGER AS nx, round_even((4.0::DOUBLE / 3.0::DOUBLE) * 64, 0)::INTEGER AS ny,
        greatest(p_size, 4) / least(p_size, 4)::DOUBLE > 3 AS anisotropic, CASE WHEN p_size > 4 THEN '0' WHEN p_size < 4 THEN '1' ELSE '0,1' END AS coarse FROM part""",
@@ -384,7 +387,7 @@ SELECT case_id, label, round(coalesce(hd, other), 6) AS hd, round(coalesce(hd95,
 SELECT case_id, count(*) AS n, max(x - a) AS x FROM vox JOIN b USING (case_id) WHERE x BETWEEN a AND b.b AND y BETWEEN c AND d AND z BETWEEN e AND f GROUP BY 1""",
     "resampled": f"WITH {VOX} SELECT case_id, gt, count(*) * 4 AS n FROM vox WHERE z % 2 = 1 GROUP BY 1, 2",
     "tile_grid": """
-WITH g(case_id, n, t, ax) AS (VALUES (1, 100, 32, 'x'), (1, 64, 64, 'y'), (1, 33, 32, 'z'), (2, 10, 32, 'x'), (2, 96, 64, 'y'), (2, 64, 32, 'z')),
+WITH g AS (SELECT p_partkey AS case_id, unnest([p_size + 20, p_partkey % 60 + 40, 33]) AS n, unnest([32, 64, 32]) AS t, unnest(['x', 'y', 'z']) AS ax FROM part),
 k AS (SELECT *, greatest(ceil((n - t) / (t * 0.5)) + 1, 1)::BIGINT AS c FROM g),
 s AS (SELECT case_id, ax, round_even(CASE WHEN c > 1 THEN (n - t)::DOUBLE / (c - 1) ELSE 0 END * i, 0)::INTEGER AS p FROM k, range(0, 10) r(i) WHERE i < c)
 SELECT x.case_id, x.p AS x0, y.p AS y0, z.p AS z0 FROM s x JOIN s y ON x.case_id = y.case_id JOIN s z ON x.case_id = z.case_id WHERE x.ax = 'x' AND y.ax = 'y' AND z.ax = 'z'""",

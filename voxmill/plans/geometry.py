@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxmill.operators import components, losses, overlap, resampling, selection, shapes, surface, tiling, values, workflows
+from voxmill.operators import components, losses, overlap, pairing, resampling, selection, shapes, surface, tiling, values, workflows
 from voxmill.plans.base import VOX, confusion_sql, rounded
 from voxmill.sources import tables
 
@@ -225,9 +225,9 @@ def cell_losses(spark, d):
 
 
 def mean_dice(spark, d):
-    """Mean Dice of each class without the background, over cases."""
+    """Mean Dice of each case over its classes without the background; classes that neither map has don't count."""
     counts = overlap.with_metrics(overlap.confusion(tables.voxels(spark, d), (0, 1, 2, 3)))
-    return rounded(overlap.class_means(counts.filter("label <> 0"), metrics=["dice"]))
+    return rounded(counts.filter("label <> 0").groupBy("case_id").agg(F.avg("dice").alias("dice")))
 
 
 def _probabilities(spark, d, models=3):
@@ -260,9 +260,12 @@ def best_single_model(spark, d):
 
 
 def paired_folder_metrics(spark, d):
-    """Predictions drive the pairing: each must have a reference, as the join by file name checks."""
-    scores, _, mean = workflows.folder_metrics(tables.voxels(spark, d), (1, 2, 3))
-    return rounded(mean)
+    """Predictions drive the pairing by file name: each must have a reference, and references without one are left out."""
+    v = tables.voxels(spark, d).withColumn("file", F.concat(F.lit("P"), F.col("case_id").cast("string"), F.lit(".mha")))
+    made = v.filter("case_id % 3 <> 0").select("file", "x", "y", "z", "pred")
+    pairs = pairing.paired(made.select("file").distinct(), v.select("file", "case_id").distinct())
+    both = made.join(v.select("file", "x", "y", "z", "gt"), ["file", "x", "y", "z"]).join(pairs, "file")
+    return rounded(workflows.folder_metrics(both, (1, 2, 3))[2])
 
 
 def largest_kept_each(spark, d):
@@ -531,12 +534,12 @@ SELECT "column", {_STATS} FROM l GROUP BY 1""",
     "cell_losses": _SOFT
     + """, e AS (SELECT *, -ln(p) AS ce, row_number() OVER (PARTITION BY case_id ORDER BY -ln(p) DESC, x, y, z) AS r, count(*) OVER (PARTITION BY case_id) AS n FROM c WHERE t = 1)
 SELECT case_id, round(avg(ce), 6) AS ce, round(avg(ce) FILTER (WHERE r <= greatest(floor(n / 10.0), 1)), 6) AS top_k, round(avg(0.25::DOUBLE * (1 - p) ** 2 * ce), 6) AS focal FROM e GROUP BY 1""",
-    "mean_dice": confusion_sql((1, 2, 3)) + f"SELECT label, round(avg({_SKIP}), 6) AS dice FROM cm GROUP BY 1",
+    "mean_dice": confusion_sql((1, 2, 3)) + f"SELECT case_id, round(avg({_SKIP}), 6) AS dice FROM cm GROUP BY 1",
     "folder_ensemble": _ENSEMBLE,
     "crossvalidation_ensemble": _ENSEMBLE,
     "best_of_ensembles": _models(True),
     "best_single_model": _models(False),
-    "paired_folder_metrics": confusion_sql() + f", m AS (SELECT label, avg({_SKIP}) AS dice, avg(CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn)::DOUBLE END) AS iou FROM cm GROUP BY 1) SELECT round(avg(dice), 6) AS dice, round(avg(iou), 6) AS iou FROM m",
+    "paired_folder_metrics": confusion_sql(where="case_id % 3 <> 0") + f", m AS (SELECT label, avg({_SKIP}) AS dice, avg(CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn)::DOUBLE END) AS iou FROM cm GROUP BY 1) SELECT round(avg(dice), 6) AS dice, round(avg(iou), 6) AS iou FROM m",
     "largest_kept_each": f"""WITH RECURSIVE {VOX}, {_components('SELECT case_id, pred AS label, x, y, z FROM vox WHERE pred IN (1, 2)', _N6, 'case_id, label')},
 b AS (SELECT case_id, label, root FROM (SELECT *, row_number() OVER (PARTITION BY case_id, label ORDER BY n DESC, root) AS k FROM s) WHERE k = 1), kept AS (SELECT case_id, id FROM c SEMI JOIN b USING (case_id, label, root))
 SELECT case_id, CASE WHEN pred IN (1, 2) AND kept.id IS NULL THEN 0 ELSE pred END AS pred, count(*) AS n FROM vox LEFT JOIN kept ON vox.case_id = kept.case_id AND kept.id = x * 64 + y * 8 + z GROUP BY ALL""".replace("SELECT case_id, CASE WHEN pred IN", "SELECT vox.case_id, CASE WHEN pred IN"),
