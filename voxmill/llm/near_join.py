@@ -22,6 +22,8 @@ SHARED, LEADERS = 2, 16
 EXACT = 64
 #: Rows into which a task's sketch is cut, so that several tasks add them up; rows of units for each task.
 _SLICES, _UNIT_ROWS = 64, 4_000
+#: Rows of texts that a task holds the sets of at once.
+_SLICE_ROWS = 500
 #: Word hashes that a Python worker keeps.
 _KEPT_WORDS = 100_000
 
@@ -120,7 +122,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text_col, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, _SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, _SLICE_ROWS)):
             n, classes, prefixes, parities = [], [], [], []
             for text in _texts(batch, 1):
                 s = shingles(text, width)
@@ -294,7 +296,7 @@ def _solved(docs: DataFrame, classes: DataFrame, units: DataFrame, width: int, p
     stops = common.cut(stops.join(classes.select("class", F.col("rep").alias("_rep"), "copies"), "class"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, _SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, _SLICE_ROWS)):
             out: list[tuple] = []
             for text, cls, copies, places in zip(_texts(batch, 0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 s = shingles(text, width)
