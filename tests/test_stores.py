@@ -78,16 +78,19 @@ def test_a_killed_writer_leaves_the_store(spark, tmp_path, monkeypatch):
 
 def test_runs_are_given_out_once_over_restarts(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    kind = "key string, epoch long, ord long, value double, epochs long"
+    kind = "key string, epoch long, ord long, value double, epochs long, minute long"
     parts = [
-        [("a", 0, 0, 1.0, 3), ("b", 1, 0, 4.0, 2), ("a", 2, 0, 9.0, None)],
-        [("a", 2, 1, 3.0, None), ("b", 1, 1, 6.0, None), ("c", 0, 0, 1.0, 5)],
-        [("b", 0, 0, 2.0, None), ("a", 1, 0, 2.0, None), ("a", 0, -1, 50.0, None)],
+        [("a", 0, 0, 1.0, 3, 0), ("b", 1, 0, 4.0, 2, 0), ("a", 2, 0, 9.0, None, 0)],
+        [("a", 2, 1, 3.0, None, 1), ("b", 1, 1, 6.0, None, 1), ("c", 0, 0, 1.0, 5, 1)],
+        [("b", 0, 0, 2.0, None, 1), ("a", 1, 0, 2.0, None, 1), ("a", 0, -1, 50.0, None, 1)],
+        [("d", 0, 0, 1.0, 2, 90)],
+        [("d", 1, 0, 2.0, 2, 91)],
     ]
+    a, b, c, d = {"a": (3, 2.0, 0)}, {"b": (2, 4.0, 0)}, {"c": (5, 1.0, 4)}, {"d": (2, 1.5, 0)}
     source = tmp_path / "in"
-    for k, rows in enumerate(parts):
-        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(source))
-        query = buffers.whole_runs(spark.readStream.schema(kind).parquet(str(source)), 3_600_000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-        got = {r.key: (r.epochs, r.mean, r.missing) for r in spark.read.schema(buffers._OUT).parquet(str(tmp_path / "out")).collect()}
-        assert got == ({"a": (3, 2.0, 0), "b": (2, 4.0, 0)} if k == 2 else {})
+    for rows, want in zip(parts, ({}, {}, a | b, a | b | c, a | b | c | d), strict=True):
+        spark.createDataFrame(rows, kind).selectExpr("*", "timestamp_seconds(1700000000 + 60 * minute) AS time").coalesce(1).write.mode("append").parquet(str(source))
+        log = spark.readStream.schema(kind + ", time timestamp").parquet(str(source))
+        query = buffers.whole_runs(log, 3_600_000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        assert {r.key: (r.epochs, r.mean, r.missing) for r in spark.read.schema(buffers._OUT).parquet(str(tmp_path / "out")).collect()} == want

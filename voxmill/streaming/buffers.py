@@ -22,8 +22,10 @@ class _Run(StatefulProcessor):
         self.values = handle.getMapState("values", "epoch long", "ord long, value double")
         self.size = handle.getValueState("size", "epochs long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = 0
         for batch in rows:
+            latest = max(latest, int(batch["time"].max().timestamp() * 1000))
             for epoch, ord_, value, total in zip(batch["epoch"], batch["ord"], batch["value"], batch["epochs"], strict=True):
                 at = (int(epoch),)
                 if not self.values.containsKey(at) or self.values.getValue(at)[0] <= ord_:
@@ -35,9 +37,9 @@ class _Run(StatefulProcessor):
         else:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.wait_ms)
+            self.handle.registerTimer(latest + self.wait_ms)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.size.exists() or self.values.exists():
             yield self._given(key)
 
@@ -54,10 +56,11 @@ class _Run(StatefulProcessor):
         pass
 
 
-def whole_runs(log: DataFrame, wait_ms: int = 60_000) -> DataFrame:
-    """``(key, epochs, mean, missing)``, a row for each run of the stream ``log(key, epoch, ord, value, epochs)`` once all its epochs are there: the mean of each epoch's last value.
+def whole_runs(log: DataFrame, wait_ms: int = 60_000, late: str = "1 minute") -> DataFrame:
+    """``(key, epochs, mean, missing)``, a row for each run of the stream ``log(key, epoch, ord, value, epochs, time)`` once all its epochs are there: the mean of each epoch's last value.
 
-    ``epochs`` tells how many a run has and may be null but in one row. Epochs may come in any order and more than once. A run that gets nothing for ``wait_ms`` is given out with the number of
-    those that are ``missing``. A run's state is gone with its row; the state store and the checkpoint make it survive restarts. Needs the RocksDB state store.
+    ``epochs`` tells how many a run has and may be null but in one row. Epochs may come in any order and more than once. A run that gets nothing for ``wait_ms`` of the log's own ``time`` is given out with
+    the number of those that are ``missing``; rows that are later than ``late`` are left out. A run's state is gone with its row; the state store and the checkpoint make it survive
+    restarts. Needs the RocksDB state store.
     """
-    return log.groupBy("key").transformWithStateInPandas(_Run(wait_ms), _OUT, "append", "processingTime")
+    return log.withWatermark("time", late).groupBy("key").transformWithStateInPandas(_Run(wait_ms), _OUT, "append", "eventTime")
