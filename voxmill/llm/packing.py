@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +33,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; Spark's tasks fill the others
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(tokenizer)
