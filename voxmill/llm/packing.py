@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,18 +19,22 @@ WINDOW, END = 4096, 2
 #: Pieces that one task packs by itself, and words whose ids a Python worker keeps between batches.
 PIECES_PER_SHARD, CACHED_WORDS = 50_000, 300_000
 #: Bytes of text that a task looks up at once.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 
 
-#: Texts that tell whether a tokenizer encodes words apart from one another, in either case, and commas and full stops apart from words.
-PROBES = ("The cat, the CAT and the hat.", "two  spaces\tand\nlines \r\n end", "A.B,C. x, 3.14, U.S.A.", "\u00c9t\u00e9 stra\u00dfe, \u4f60\u597d. na\u00efve", "<|end|> Mixed <b> it's 'quoted' \u2014 dash", " lead and trail ")
+#: Texts that tell whether a tokenizer encodes words apart from one another, in either case, and marks behind a letter apart from words.
+PROBES = ("The cat, the CAT and the hat.", "two  spaces\tand\nlines \r\n end", "A.B,C. x, 3.14, U.S.A.", "\u00c9t\u00e9 stra\u00dfe, \u4f60\u597d. na\u00efve", "<|end|> Mixed <b> it's 'quoted' \u2014 dash", " lead and trail ", "wow!!! what?! this; that: a*** b.$& c,,")
+#: Marks that are cut off the ends of words, and words that the tokenizer gets at once.
+MARKS, TOGETHER = b",.;:!?$&*", 256
 
 
 class Encoder:
     """Token ids of whole texts, word by word: equal to encoding the text at once, as no token of the tokenizer spans white space.
 
     The normaliser lower-cases, so words that differ in ASCII case share their ids, except where the text of a special token
-    may be meant. A comma or full stop behind a letter is a token of its own. A tokenizer for which that doesn't hold is refused.
+    may be meant. Marks behind a letter are tokens of their own. A tokenizer for which that doesn't hold is refused.
+
+    Arrow splits a block of texts and numbers its distinct words; Python sees each of these once, and Arrow puts their ids in the order of the texts.
     """
 
     def __init__(self, tokenizer: str):
@@ -39,37 +44,61 @@ class Encoder:
         whole = Tokenizer.from_file(tokenizer)
         self.encode_batch = whole.encode_batch_fast
         self.kept: dict[bytes, bytes] = {}
+        suffix, vocabulary = getattr(whole.model, "end_of_word_suffix", None), whole.get_vocab()
+        #: whether a token ends a word; None if tokens don't tell
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         for text, ids in zip(PROBES, self.ids([t.encode() for t in PROBES]), strict=True):
             if np.frombuffer(ids, "<u4").tolist() != whole.encode(text, add_special_tokens=False).ids:
                 raise ValueError(f"{tokenizer} can't be used word by word: it encodes {text!r} otherwise")
         self.kept.clear()
 
-    def _fresh(self, words: list[bytes]) -> Iterable[bytes]:
-        for e in self.encode_batch([w.decode() for w in words], add_special_tokens=False):
+    def _alone(self, words: list[str]) -> Iterator[bytes]:
+        for e in self.encode_batch(words, add_special_tokens=False):
             yield np.array(e.ids, "<u4").tobytes()
 
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word. Words of letters alone are encoded many at a time and cut where tokens end words; if there are more or fewer ends than words, each by itself."""
+        found, lone, letters = {}, [], []
+        for w in words:
+            (letters if self.ends is not None and w.decode().isalpha() else lone).append(w)
+        groups = [letters[i : i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        for group, e in zip(groups, self.encode_batch([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) == len(group) and ends[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                found |= {w: raw[a:b] for w, a, b in zip(group, [0, *ends], ends, strict=False)}
+            else:
+                lone += group
+        found |= zip(lone, self._alone([w.decode() for w in lone]), strict=True)
+        return found
+
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each of the texts, without an end."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        found = {}
-        stems: dict[bytes, bytes] = {}
-        for w in set().union(*split):
-            if (known := self.kept.get(w)) is not None:
+        split = pc.ascii_split_whitespace(pa.array([t if b"<|" in t else t.lower() for t in texts], pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        kept, found, stems = self.kept, {b"": b""}, {}
+        for w in distinct:
+            if (known := kept.get(w)) is not None:
                 found[w] = known
-            elif w[-1] in b",." and w[-2:-1].isalpha():
-                stems[w] = w[:-1]
-            else:
-                stems[w] = w
-        marks = dict(zip((b",", b"."), self._fresh([b",", b"."]), strict=True))
-        new = sorted({s for s in stems.values() if s not in found and s not in self.kept})
-        fresh = dict(zip(new, self._fresh(new), strict=True))
+            elif w:
+                s = w.rstrip(MARKS)
+                stems[w] = s if s[-1:].isalpha() else w
+        parts = {*stems.values(), *(w[len(s) :] for w, s in stems.items())}
+        fresh = self._fresh([p for p in parts if p not in found and p not in kept])
+        part = lambda p: ids if (ids := fresh.get(p)) is not None else ids if (ids := found.get(p)) is not None else kept[p]
         for w, s in stems.items():
-            ids = fresh.get(s) or found.get(s) or self.kept.get(s) or b""
-            found[w] = ids + marks[w[-1:]] if len(w) > len(s) else ids
-        if (room := CACHED_WORDS - len(self.kept)) > 0:
-            self.kept.update(list((w, found[w]) for w in stems)[:room])
-        for words in split:
-            yield b"".join(map(found.__getitem__, words))
+            found[w] = part(s) + part(w[len(s) :]) if len(w) > len(s) else part(s)
+        if (room := CACHED_WORDS - len(kept)) > 0:
+            kept.update([(w, found[w]) for w in stems][:room])
+        joined = pa.array([found[w] for w in distinct], pa.large_binary()).take(words.indices)
+        at = np.frombuffer(joined.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist() if len(joined) else [0] * (len(texts) + 1)
+        data = memoryview(joined.buffers()[2] or b"")
+        for a, b in zip(at, at[1:], strict=False):
+            yield bytes(data[a:b])
 
 
 _ENCODERS: dict[str, Encoder] = {}
