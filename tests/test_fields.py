@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import topology
 from voxmill.operators import components, distance, losses, resampling, selection, shapes, surface, values
 
 _CELLS = "case_id long, x long, y long, z long"
@@ -90,7 +91,7 @@ def test_thinning_keeps_the_topology():
         grid = np.zeros((12, 13, 11), bool)
         grid[1:-1, 1:-1, 1:-1] = rng.random((10, 11, 9)) < density
         thin = shapes.thinned(grid)
-        assert components._betti(np.argwhere(thin)) == components._betti(np.argwhere(grid)) and not (thin & ~grid).any()
+        assert topology.betti(np.argwhere(thin)) == topology.betti(np.argwhere(grid)) and not (thin & ~grid).any()
 
 
 def test_centre_lines_of_empty_masks(spark):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import topology
 from voxmill.operators import catalogue, components, curves, losses, overlap, pairing, paths, resampling, selection, shapes, summary, surface, tiling, values, workflows
 from voxmill.sources import manifest, volumes
 from voxmill.streaming import scores
@@ -209,7 +210,7 @@ def test_skeleton_keeps_topology():
     ring[1:8, 1:8, 1:4] = True
     ring[3:6, 3:6, :] = False
     thin = shapes.thinned(ring)
-    assert thin.sum() < 40 and components._betti(np.argwhere(thin))[:2] == (1, 1)
+    assert thin.sum() < 40 and topology.betti(np.argwhere(thin))[:2] == (1, 1)
 
 
 def test_centre_line_dice(spark):
@@ -231,6 +232,22 @@ def test_holes_are_filled(spark):
     assert shapes.fill_holes(rows).count() == 122
 
 
+def test_topology_over_block_borders(spark):
+    """Many random masks, a null group among them, in blocks much smaller than they are."""
+    rng = np.random.default_rng(7)
+    masks = {g: {tuple(map(int, c)) for c in np.argwhere(rng.random((11, 9, 10)) < share) - 5} for g, share in (("a", 0.15), ("b", 0.5), ("c", 0.8), (None, 0.9))}
+    masks["shell"] = cube(9) - {(x, y, z) for x in range(1, 8) for y in range(1, 8) for z in range(1, 8)}
+    masks["lone"] = {(700, -700, 3)}
+    rows = spark.createDataFrame([(g, *c, "extra") for g, cells in masks.items() for c in cells], "g string, x int, y int, z int, size string")
+    got = {r.g: (r.b0, r.b1, r.b2) for r in components.betti_numbers(rows, ["g"], block=4).collect()}
+    assert got == {g: topology.betti(cells) for g, cells in masks.items()}
+    filled = {}
+    for r in shapes.fill_holes(rows, ["g"]).collect():
+        filled.setdefault(r.g, []).append((r.x, r.y, r.z))
+    assert {g: sorted(c) for g, c in filled.items()} == {g: sorted(cells.union(*topology.holes(cells))) for g, cells in masks.items()}
+    assert components.betti_numbers(rows.limit(0), ["g"]).count() == 0 and shapes.fill_holes(rows.limit(0), ["g"]).count() == 0
+
+
 def test_every_point_finds_its_nearest(spark):
     points = spark.createDataFrame([("a", 1, 0, 0, 0), ("a", 2, 100, 0, 0), ("b", 3, 0, 0, 0), ("a", 4, None, 0, 0)], "case_id string, pid int, x int, y int, z int")
     targets = spark.createDataFrame([("a", 7, 1, 0, 0), ("a", 8, 5, 0, 0)], "case_id string, tid int, x int, y int, z int")

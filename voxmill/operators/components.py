@@ -171,36 +171,73 @@ def threshold_search(sizes: DataFrame, grid: Sequence[int], present: str = "pres
     return best.agg(F.min(F.struct("n", "first", "last")).alias("b")).select("b.first", "b.last", F.col("b.n").alias("mismatches"))
 
 
-def _betti(cells: np.ndarray) -> tuple[int, int, int]:
-    """b0, b1 and b2 of the union of closed unit cubes: 26-connected foreground, 6-connected background."""
-    if not len(cells):
-        return 0, 0, 0
-    low = cells.min(0) - 1
-    grid = np.zeros(cells.max(0) - low + 2, bool)
-    grid[tuple((cells - low).T)] = True
-    b0 = len(np.unique(label_cells(cells, 26)))
-    b2 = len(np.unique(label_cells(np.argwhere(~grid), 6))) - 1
-    euler = 0
-    for axes in itertools.product((0, 1), repeat=3):  # faces of each kind: spans both sides of the axes that are 0
-        face = grid
-        for axis, whole in enumerate(axes):
-            if not whole:
-                pad = [(1, 1) if k == axis else (0, 0) for k in range(3)]
-                wide = np.pad(face, pad)
-                face = np.delete(wide, 0, axis) | np.delete(wide, -1, axis)
-        euler += (-1) ** sum(axes) * int(face.sum())
-    return b0, b0 + b2 - euler, b2
-
-
-def betti_numbers(voxels: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
-    """``(*by, b0, b1, b2)`` of the foreground cells of each group."""
-    rows = voxels.select(*by, "x", "y", "z")
-
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        b0, b1, b2 = _betti(cells[["x", "y", "z"]].to_numpy(np.int64))
-        return cells[list(by)].iloc[:1].assign(b0=b0, b1=b1, b2=b2)
-
-    return rows.groupBy(*by).applyInPandas(run, rows.select(*by).schema.simpleString()[7:-1] + ",b0:bigint,b1:bigint,b2:bigint")
+def background(cells: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
+    """``(*by, x, y, z)`` of the cells of each group's box, widened by a cell, that aren't in ``cells``. Groups of null keys are groups as well.
+
+    Boxes are written out plane by plane and line by line, so no task holds one.
+    """
+    ends = cells.groupBy(*by).agg(*[f(c).cast("long").alias(f"{n}_{c}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))])
+    box = ends
+    for c in "xyz":
+        box = box.withColumn(c, F.explode(F.sequence(F.col(f"low_{c}") - 1, F.col(f"high_{c}") + 1)))
+        if c == "x":  # few groups must not mean few tasks
+            box = box.repartition(*by, "x")
+    same = F.lit(True)
+    for c in (*by, "x", "y", "z"):
+        same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"f.{c}"))
+    return box.select(*by, "x", "y", "z").alias("b").join(cells.select(*by, "x", "y", "z").alias("f"), same, "left_anti")
+
+
+def label_background(cells: DataFrame, by: Sequence[str] = ("case_id",), block: int = BLOCK) -> DataFrame:
+    """:func:`label_components` of :func:`background` by faces: component 0 is the outside, as the first cell of the widened box is in it; all others are holes."""
+    return label_components(background(cells, by), by, 6, block)
+
+
+def _euler_of_blocks(cells: pd.DataFrame, block: int) -> pd.DataFrame:
+    """Rows ``(_group, _euler)``: corners less edges plus faces less cells that the blocks own; ``cells`` hold whole blocks with what touches them from below."""
+    out = []
+    for (group, *corner), part in cells.groupby(["_group", "_bx", "_by", "_bz"], sort=False):
+        at = part[["x", "y", "z"]].to_numpy(np.int64) - np.array(corner) * block + 1
+        grid = np.zeros((block + 1,) * 3, bool)
+        grid[tuple(at.T)] = True
+        euler = 0
+        for axes in itertools.product((0, 1), repeat=3):  # faces of each kind lie between two cells along the axes that are 0
+            face = grid
+            for axis, whole in enumerate(axes):
+                line = np.moveaxis(face, axis, 0)
+                face = np.moveaxis(line[1:] if whole else line[1:] | line[:-1], 0, axis)
+            euler += (-1) ** sum(axes) * int(face.sum())
+        out.append((group, euler))
+    return pd.DataFrame(out, columns=["_group", "_euler"])
+
+
+def euler_numbers(cells: DataFrame, by: Sequence[str] = ("case_id",), block: int = BLOCK) -> DataFrame:
+    """``(_group, euler)`` of each group's cells as a union of closed cubes; ``_group`` is ``xxhash64(*by)``.
+
+    Every corner, edge and face has one owner, the block of its place. A cell goes to its own block and, from a block's upper rim, to the blocks above, so only rims travel twice;
+    a task counts some blocks, and the counts are summed.
+    """
+    rows = cells.select(F.xxhash64(*by).alias("_group"), *[F.col(c).cast("long").alias(c) for c in "xyz"])
+    for c in "xyz":
+        own, rim = F.floor(F.col(c) / block).cast("long"), F.pmod(F.col(c), F.lit(block)) == block - 1
+        rows = rows.withColumn(f"_b{c}", F.explode(F.when(rim, F.array(own, own + 1)).otherwise(F.array(own))))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = rows.withColumn("_bin", F.pmod(F.xxhash64("_group", "_bx", "_by", "_bz"), F.lit(8 * tasks)))
+    counted = bins.groupBy("_bin").applyInPandas(lambda part: _euler_of_blocks(part, block), "_group bigint, _euler bigint")
+    return counted.groupBy("_group").agg(F.sum("_euler").alias("euler"))
+
+
+def betti_numbers(voxels: DataFrame, by: Sequence[str] = ("case_id",), block: int = BLOCK) -> DataFrame:
+    """``(*by, b0, b1, b2)`` of the foreground cells of each group, as a union of closed unit cubes: 26-connected foreground, 6-connected background.
+
+    Components and cavities are labelled in blocks, and ``b1 = b0 + b2 - euler``. Cells must be distinct; groups without cells have no row, null keys are a group.
+    """
+    cells = shared.cut(voxels.select(*by, "x", "y", "z"))
+    group = F.xxhash64(*by).alias("_group")
+    pieces = label_components(cells, by, 26, block).groupBy(group, *by).agg(F.max("components").alias("b0"))
+    holes = label_background(cells, by, block).groupBy(group).agg((F.max("components") - 1).alias("b2"))
+    both = pieces.join(holes, "_group").join(euler_numbers(cells, by, block), "_group")
+    return both.select(*by, "b0", (F.col("b0") + F.col("b2") - F.col("euler")).alias("b1"), "b2")
 
 
 def betti_errors(gt: DataFrame, pred: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:

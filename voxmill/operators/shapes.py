@@ -1,4 +1,4 @@
-"""Holes, skeletons and centre lines of masks. Both are iterative within a volume, so a group is one task; what follows is joins and aggregates."""
+"""Holes, skeletons and centre lines of masks. Holes are background labelled in blocks; thinning is iterative within a volume, so there a group is one task. What follows is joins and aggregates."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.operators import surface
-from voxmill.operators.components import label_cells
+from voxmill.operators.components import label_background
 
 #: The 26 neighbours of a cell.
 _RING = [o for o in itertools.product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
@@ -38,19 +38,10 @@ def _per_group(cells: DataFrame, by: Sequence[str], make) -> DataFrame:
     return rows.groupBy(*by).applyInPandas(run, rows.schema)
 
 
-def filled(grid: np.ndarray) -> np.ndarray:
-    """A mask with its holes: background that no path of faces connects with the outside."""
-    outside = np.argwhere(~grid)
-    root = label_cells(outside, 6)
-    first = int(np.flatnonzero((outside == 0).all(1))[0])
-    out = np.ones_like(grid)
-    out[tuple(outside[root == root[first]].T)] = False
-    return out
-
-
 def fill_holes(cells: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
-    """Cells of each mask and of the holes inside it."""
-    return _per_group(cells, by, filled)
+    """Cells of each mask and of the holes inside it: background that no path of faces connects with the outside, labelled in blocks. Cells must be distinct."""
+    whole = cells.select(*by, *[F.col(c).cast("long").alias(c) for c in "xyz"])
+    return whole.unionByName(label_background(whole, by).filter("component > 0").select(*by, "x", "y", "z"))
 
 
 def crop_to_nonzero(voxels: DataFrame, value: str, label: str, by: Sequence[str] = ("case_id",), outside: int = -1) -> DataFrame:
