@@ -198,8 +198,9 @@ def _euler_of_blocks(cells: pd.DataFrame, block: int) -> pd.DataFrame:
     out = []
     for (group, *corner), part in cells.groupby(["_group", "_bx", "_by", "_bz"], sort=False):
         at = part[["x", "y", "z"]].to_numpy(np.int64) - np.array(corner) * block + 1
-        grid = np.zeros((block + 1,) * 3, bool)
-        grid[tuple(at.T)] = True
+        low, high = np.maximum(at.min(0) - 1, 0), np.minimum(at.max(0) + 1, block)
+        grid = np.zeros(high - low + 1, bool)
+        grid[tuple((at - low).T)] = True
         euler = 0
         for axes in itertools.product((0, 1), repeat=3):  # faces of each kind lie between two cells along the axes that are 0
             face = grid
