@@ -373,3 +373,17 @@ def test_images_archives_and_case_processing(spark, tmp_path):
     np.save(tmp_path / "v.npy", np.arange(8.0).reshape(2, 2, 2))
     (row,) = volumes.process_cases(spark, str(tmp_path), lambda a: a > 3, "v.npy").collect()
     assert volumes.parse_meta(bytes(row.content))[0].sum() == 4
+
+
+# -- ties, and the layout of the voxel view
+
+
+def test_voxels_are_dealt_by_case_and_stay_there(spark, monkeypatch):
+    from tests.conftest import SMALL
+    from voxmill.sources import tables
+
+    monkeypatch.setattr(tables, "LINES", 500)
+    cells = tables.voxels(spark, SMALL)
+    assert cells.rdd.getNumPartitions() >= tables.read(spark, SMALL, "lineitem").count() / 500
+    grown = surface.close(cells.filter("gt > 0").select("case_id", "x", "y", "z"), (7, 8, 8)).groupBy("case_id").count()
+    assert grown._jdf.queryExecution().simpleString().count("Exchange") == 1
