@@ -378,6 +378,29 @@ def test_images_archives_and_case_processing(spark, tmp_path):
 # -- ties, and the layout of the voxel view
 
 
+def test_equal_scores_tie_whatever_the_order_of_sums(spark, monkeypatch):
+    noisy = spark.createDataFrame([("a", 0.6), ("b", 0.6000000000000001)], "model string, score double")
+    monkeypatch.setattr(workflows, "model_scores", lambda *_: noisy)
+    order = spark.createDataFrame([("a", 0), ("b", 1)], "model string, ord int")
+    assert workflows.best_model(None, order, (1,)).first().model == "a"
+
+
+def test_equal_means_of_a_pair_go_to_the_first_class(spark):
+    # 0.1 + 0.7 is less than 0.8 in doubles, 0.4 + 0.4 is not
+    one, two = [0.2, 0.1, 0.4], [0.0, 0.7, 0.4]
+    assert sum(x for x in (one[1], two[1])) < one[2] + two[2]
+    made = spark.createDataFrame([(m, 1, 0, 0, 0, p) for m, p in (("a", one), ("b", two))], "model string, case_id int, x int, y int, z int, p array<double>")
+    truth = spark.createDataFrame([(1, 0, 0, 0, 1)], "case_id int, x int, y int, z int, gt int")
+    order = spark.createDataFrame([("b", 1), ("a", 0)], "model string, ord int")
+    seen = []
+    real, workflows.best_model = workflows.best_model, lambda c, *_, **__: seen.append(c)
+    try:
+        workflows.find_best_configuration(made, truth, order, (1, 2))
+    finally:
+        workflows.best_model = real
+    assert {r.model: r.pred for r in seen[0].collect()}["a+b"] == 1
+
+
 def test_voxels_are_dealt_by_case_and_stay_there(spark, monkeypatch):
     from tests.conftest import SMALL
     from voxmill.sources import tables

@@ -57,9 +57,9 @@ def model_scores(candidates: DataFrame, labels: Sequence[int], model: str = "mod
 
 
 def best_model(candidates: DataFrame, order: DataFrame, labels: Sequence[int], model: str = "model", case: str = "case_id") -> DataFrame:
-    """The best model and its score; of equal ones the first of ``order(model, ord)``."""
+    """The best model and its score; of equal ones the first of ``order(model, ord)``. Scores are equal if they differ only by the order in which a mean was summed: 12 digits count."""
     scores = model_scores(candidates, labels, model, case).join(order, model)
-    return scores.orderBy(F.desc_nulls_last("score"), "ord").limit(1).select(model, "score")
+    return scores.orderBy(F.desc_nulls_last(F.round("score", 12)), "ord").limit(1).select(model, "score")
 
 
 def determine_postprocessing(voxels: DataFrame, labels: Sequence[int], case: str = "case_id", connectivity: int = 26) -> list[tuple[int, ...]]:
@@ -159,7 +159,7 @@ def find_best_configuration(candidates: DataFrame, truth: DataFrame, order: Data
     left = named.select(*key, F.col("model").alias("_a"), F.col("ord").alias("_i"), F.col(value).alias("_p"))
     right = named.select(*key, F.col("model").alias("_b"), F.col("ord").alias("_j"), F.col(value).alias("_q"))
     pairs = left.join(right, key).filter("_i <= _j")  # a few models for each cell
-    mean = F.zip_with("_p", "_q", lambda a, b: (a + b) / 2)
+    mean = F.zip_with("_p", "_q", lambda a, b: F.round((a + b) / 2, 9))  # equal means stay equal
     each = pairs.select(*key, F.when(F.col("_i") == F.col("_j"), F.col("_a")).otherwise(F.concat_ws("+", "_a", "_b")).alias("model"), F.struct((F.col("_i") != F.col("_j")).alias("pair"), "_i", "_j").alias("ord"), values.argmax(mean).alias("pred"))
     scored = each.join(truth.select(*key, "gt"), key)
     one, two = order.select(F.col("model").alias("_a"), F.col("ord").alias("_i")), order.select(F.col("model").alias("_b"), F.col("ord").alias("_j"))
