@@ -154,3 +154,20 @@ def test_cases_of_their_own_shapes(spark):
     for c, v in volumes.items():
         axes = [np.eye(a) if a == b else resampling.axis_weights(a, b, order) for a, b, order in zip(v.shape, shapes_[c], (3, 1, 0), strict=True)]
         assert np.allclose(got[c], np.einsum("ax,by,cz,xyz->abc", *axes, v))
+
+
+def test_small_masks_are_thinned_side_by_side(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    grids = {k: draw.random(tuple(draw.integers(3, 9, 3))) < 0.7 for k in range(12)}
+    rows = [(k, *map(int, at)) for k, g in grids.items() for at in np.argwhere(g)]
+    real = shapes.thinned
+    acc = spark.sparkContext.accumulator(0)
+
+    def counted(grid):
+        acc.add(1)
+        return real(grid)
+
+    cells = spark.createDataFrame(rows, _CELLS)
+    got = shapes._per_group(cells.coalesce(1), ["case_id"], counted).collect()
+    want = {(k, *map(int, at + g0 - 1)) for k, g in grids.items() for g0 in [np.argwhere(g).min(0)] for at in np.argwhere(real(np.pad(g[tuple(slice(a, b + 1) for a, b in zip(np.argwhere(g).min(0), np.argwhere(g).max(0), strict=True))], 1)))}
+    assert {tuple(r) for r in got} == want and acc.value < len(grids)

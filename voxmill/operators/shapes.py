@@ -1,13 +1,14 @@
-"""Holes, skeletons and centre lines of masks. Holes are background labelled in blocks; thinning is iterative within a volume, so there a group is one task. What follows is joins and aggregates."""
+"""Holes, skeletons and centre lines of masks. Holes are background labelled in blocks; thinning is iterative within a volume, so there a volume is in one task, small ones many at a time. What follows is joins and aggregates."""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxmill.operators import surface
@@ -17,25 +18,61 @@ from voxmill.operators.components import label_background
 _RING = [o for o in itertools.product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
 
 
-def _grid(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The mask of a group's cells on their box widened by a cell, and the coordinates of its corner."""
-    at = cells[["x", "y", "z"]].to_numpy(np.int64)
-    low = at.min(0) - 1
-    grid = np.zeros(at.max(0) - low + 2, bool)
-    grid[tuple((at - low).T)] = True
-    return grid, low
+#: Cells up to which a mask is thinned side by side with others, and cells of the grid that holds them.
+SMALL, SIDE_BY_SIDE = 1 << 15, 1 << 22
 
 
-def _per_group(cells: DataFrame, by: Sequence[str], make) -> DataFrame:
-    """``(*by, x, y, z)`` of the mask that ``make`` makes of each group's mask."""
-    rows = cells.select(*by, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("z").cast("long").alias("z"))
+def _batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of boxes of ``sizes[k]`` that are held at once: as many as fit, one at least."""
+    order, lo = np.lexsort(sizes.T), 0
+    while lo < len(order):
+        wide, total, hi = np.zeros(3, np.int64), 0, lo
+        while hi < len(order):
+            wide, total = np.maximum(wide, sizes[order[hi]]), total + int(sizes[order[hi]][0])
+            if hi > lo and total * wide[1] * wide[2] > SIDE_BY_SIDE:
+                break
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        grid, low = _grid(group)
-        at = np.argwhere(make(grid)) + low
-        return pd.DataFrame({**{c: [group[c].iloc[0]] * len(at) for c in by}, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]})
+def _per_group(cells: DataFrame, by: Sequence[str], make) -> DataFrame:
+    """``(*by, x, y, z)`` of the mask that ``make`` makes of each group's mask.
 
-    return rows.groupBy(*by).applyInPandas(run, rows.schema)
+    ``make`` gets masks on their boxes widened by a cell, many small ones side by side in one grid: each begins at an even place, so that what goes by the parity of places finds them as
+    it finds a mask alone. Masks of more than ``SMALL`` cells are a group of their own.
+    """
+    rows = cells.select(*by, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("z").cast("long").alias("z"))
+    tasks = 8 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = rows.withColumns({"_group": F.xxhash64(*by), "_n": F.count(F.lit(1)).over(W.partitionBy(*by))})
+    named = named.withColumn("_bin", F.when(F.col("_n") <= SMALL, F.pmod("_group", F.lit(tasks))).otherwise(F.col("_group"))).drop("_n")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_group", kind="stable")
+        group, at = part["_group"].to_numpy(), part[["x", "y", "z"]].to_numpy(np.int64)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(part))))
+        low = np.minimum.reduceat(at, first) - 1
+        sizes = np.maximum.reduceat(at, first) - low + 2
+        sizes[:, 0] += sizes[:, 0] % 2
+        out = []
+        for some in _batches(sizes):
+            start = np.cumsum(sizes[some, 0]) - sizes[some, 0]
+            shift = np.full(len(first), -1)
+            shift[some] = start
+            here = shift[number] >= 0
+            grid = np.zeros((sizes[some, 0].sum(), *sizes[some, 1:].max(0)), bool)
+            own = at[here] - low[number[here]]
+            grid[own[:, 0] + shift[number[here]], own[:, 1], own[:, 2]] = True
+            kept = np.argwhere(make(grid))
+            which = np.searchsorted(start, kept[:, 0], "right") - 1
+            kept[:, 0] -= start[which]
+            kept += low[some[which]]
+            found = part[list(by)].iloc[first[some[which]]].reset_index(drop=True)
+            out.append(found.assign(x=kept[:, 0], y=kept[:, 1], z=kept[:, 2]))
+        return pd.concat(out)
+
+    return named.groupBy("_bin").applyInPandas(run, rows.schema)
 
 
 def fill_holes(cells: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
