@@ -171,3 +171,12 @@ def test_small_masks_are_thinned_side_by_side(spark, monkeypatch):
     got = shapes._per_group(cells.coalesce(1), ["case_id"], counted).collect()
     want = {(k, *map(int, at + g0 - 1)) for k, g in grids.items() for g0 in [np.argwhere(g).min(0)] for at in np.argwhere(real(np.pad(g[tuple(slice(a, b + 1) for a, b in zip(np.argwhere(g).min(0), np.argwhere(g).max(0), strict=True))], 1)))}
     assert {tuple(r) for r in got} == want and acc.value < len(grids)
+
+
+def test_soft_skeletons_send_nothing_beyond_the_cells(spark):
+    rows = [(1, x, y, z, 0.5, 1.0) for x in range(3) for y in range(3) for z in range(3)]
+    cells = spark.createDataFrame(rows, "case_id long, x long, y long, z long, p double, y01 double")
+    sent = losses.soft_skeletons(cells, ["case_id"], ["p", "y01"], 2)
+    assert sent.count() == 27 and "FlatMapGroupsInPandas" in sent._jdf.queryExecution().simpleString()
+    both = {(r.x, r.y, r.z): r.skeleton for r in losses.soft_skeleton(cells, ["case_id"], "p", 2).collect()}
+    assert both == {(r.x, r.y, r.z): r.skeleton_p for r in sent.collect()}

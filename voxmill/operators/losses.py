@@ -52,19 +52,21 @@ def top_k_loss(cells: DataFrame, case: str, order: Sequence[str], percent: float
 
 
 def _pooled(v: np.ndarray, least: bool) -> list[np.ndarray]:
-    """The least or largest of each cell and its two neighbours along x, of y, and of z; absent cells (nan) don't count."""
+    """The least or largest of each cell and its two neighbours along x, of y, and of z, the first three axes; absent cells (nan) don't count."""
     pick, out = (np.fmin, []) if least else (np.fmax, [])
     for axis in range(3):
-        wide = np.pad(v, [(1, 1) if k == axis else (0, 0) for k in range(3)], constant_values=np.nan)
-        side = lambda a, b, k=axis, w=wide: np.take(w, range(a, w.shape[k] + b), k)
-        out.append(pick(pick(side(0, -2), side(1, -1)), side(2, 0)))
+        line, near = np.moveaxis(v, axis, 0), v.copy()
+        to = np.moveaxis(near, axis, 0)
+        pick(to[1:], line[:-1], out=to[1:])
+        pick(to[:-1], line[1:], out=to[:-1])
+        out.append(near)
         if not least:
             v = out[-1]
     return out
 
 
 def soft_skeleton_of(v: np.ndarray, iterations: int) -> np.ndarray:
-    """The soft skeleton of a block: what an opening takes away, summed over more and more eroded images."""
+    """The soft skeleton of a block, or of blocks side by side along a fourth axis: what an opening takes away, summed over more and more eroded images."""
     absent = np.isnan(v)
 
     def eroded(a: np.ndarray) -> np.ndarray:
@@ -81,32 +83,58 @@ def soft_skeleton_of(v: np.ndarray, iterations: int) -> np.ndarray:
     return skeleton
 
 
-def soft_skeleton(cells: DataFrame, by: Sequence[str], value: str = "value", iterations: int = 10, block: int = 32) -> DataFrame:
-    """``cells(*by, x, y, z, value)`` with ``skeleton``: iterated minima along the axes and maxima of 3 x 3 x 3 neighbours. Cells that are absent take no part.
-
-    A cell's skeleton depends on cells up to ``iterations + 2`` away, so every block of the grid is sent with a rim that wide and solved by itself: one shuffle, whatever the number of iterations.
+#: Numbers in the arrays of the blocks that are solved side by side.
+NUMBERS = 1 << 17
+
+
+def _skeletons_of_blocks(part: pd.DataFrame, values: Sequence[str], iterations: int, block: int) -> pd.DataFrame:
+    """``part``'s cells that lie in their row's own block, with their skeletons; ``part`` holds whole blocks with their rims, told apart by ``_group, _x, _y, _z``."""
+    part = part.sort_values(["_group", "_x", "_y", "_z"], kind="stable")
+    name, at = part[["_group", "_x", "_y", "_z"]].to_numpy(np.int64), part[["x", "y", "z"]].to_numpy(np.int64)
+    own = name[:, 1:] * block
+    inside = ((at >= own) & (at < own + block)).all(1)
+    first = np.flatnonzero(np.append(True, (name[1:] != name[:-1]).any(1)))
+    until = np.append(first[1:], len(part))
+    low = np.minimum.reduceat(at, first)
+    sizes = np.maximum.reduceat(at, first) - low + 1
+    number = np.repeat(np.arange(len(first)), until - first)
+    local = at - low[number]
+    out, lo = {f"skeleton_{v}": np.full(len(part), np.nan) for v in values}, 0
+    while lo < len(first):
+        hi, wide = lo + 1, sizes[lo]
+        while hi < len(first) and (hi + 1 - lo) * np.prod(np.maximum(wide, sizes[hi])) <= NUMBERS:
+            wide, hi = np.maximum(wide, sizes[hi]), hi + 1
+        here = slice(first[lo], until[hi - 1])
+        place = (*local[here].T, number[here] - lo)
+        for v in values:
+            grid = np.full((*wide, hi - lo), np.nan)
+            grid[place] = part[v].to_numpy()[here]
+            out[f"skeleton_{v}"][here] = soft_skeleton_of(grid, iterations)[place]
+        lo = hi
+    return part.assign(**out)[inside][["_group", "x", "y", "z", *values, *out]]
+
+
+def soft_skeletons(cells: DataFrame, by: Sequence[str], values: Sequence[str], iterations: int = 10, block: int = 32) -> DataFrame:
+    """``(_group, x, y, z, *values)`` of ``cells(*by, x, y, z, *values)`` with ``skeleton_<value>`` of each: iterated minima along the axes and maxima of 3 x 3 x 3 neighbours. Absent cells take no part.
+
+    ``_group`` is ``xxhash64(*by)``. A cell's skeleton depends on cells up to ``iterations + 2`` away, so every block of the grid is sent with a rim that wide and solved by itself, small ones
+    side by side: one shuffle, whatever the number of iterations. Blocks beyond the cells' ends get nothing.
     """
     rim = iterations + 2
-    rows = cells.select(F.xxhash64(*by).alias("_group"), *[F.col(c).cast("long").alias(c) for c in "xyz"], F.col(value).cast("double").alias("_v"))
+    rows = cells.select(F.xxhash64(*by).alias("_group"), *[F.col(c).cast("long").alias(c) for c in "xyz"], *[F.col(v).cast("double").alias(v) for v in values])
+    ends = rows.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("a", F.min), ("b", F.max))]).first()
     for c in "xyz":
-        rows = rows.withColumn(f"_{c}", F.explode(F.sequence(F.floor((F.col(c) - rim) / block), F.floor((F.col(c) + rim) / block))))
+        least, most = (ends[f"{n}{c}"] // block if ends[f"{n}{c}"] is not None else 0 for n in "ab")
+        rows = rows.withColumn(f"_{c}", F.explode(F.sequence(F.greatest(F.floor((F.col(c) - rim) / block), F.lit(least)), F.least(F.floor((F.col(c) + rim) / block), F.lit(most)))))
     tasks = 8 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("_bin", F.pmod(F.xxhash64("_group", "_x", "_y", "_z"), F.lit(tasks)))
+    kinds = ", ".join(f"{n} double" for n in (*values, *[f"skeleton_{v}" for v in values]))
+    return rows.groupBy("_bin").applyInPandas(lambda part: _skeletons_of_blocks(part, values, iterations, block), f"_group long, x long, y long, z long, {kinds}")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (_, *corner), some in part.groupby(["_group", "_x", "_y", "_z"], sort=False):
-            at, own = some[["x", "y", "z"]].to_numpy(), np.array(corner) * block
-            inside = ((at >= own) & (at < own + block)).all(1)
-            if inside.any():
-                low = at.min(0)
-                grid = np.full(at.max(0) - low + 1, np.nan)
-                grid[tuple((at - low).T)] = some["_v"]
-                skeleton = soft_skeleton_of(grid, iterations)[tuple((at[inside] - low).T)]
-                out.append(some.loc[inside, ["_group", "x", "y", "z"]].assign(skeleton=skeleton))
-        return pd.concat(out) if out else pd.DataFrame({"_group": [], "x": [], "y": [], "z": [], "skeleton": []})
-
-    found = rows.groupBy("_bin").applyInPandas(run, "_group long, x long, y long, z long, skeleton double")
+
+def soft_skeleton(cells: DataFrame, by: Sequence[str], value: str = "value", iterations: int = 10, block: int = 32) -> DataFrame:
+    """``cells(*by, x, y, z, value)`` with ``skeleton``; see :func:`soft_skeletons`."""
+    found = soft_skeletons(cells.select(*by, "x", "y", "z", F.col(value).alias("v")), by, ["v"], iterations, block).select("_group", "x", "y", "z", F.col("skeleton_v").alias("skeleton"))
     return cells.withColumn("_group", F.xxhash64(*by)).join(found, ["_group", "x", "y", "z"]).select(*cells.columns, "skeleton")
 
 
@@ -115,13 +143,13 @@ def soft_centre_line_loss(cells: DataFrame, case: str, label: str, p: str = "p",
 
     ``cells(case, label, x, y, z, p, y)`` have a probability and a 0/1 truth for each class but the background.
     """
-    key = [case, label, "x", "y", "z"]
-    kept = [case, label, "x", "y", "z", F.col(p).alias("_p"), F.col(y).alias("_y")]
-    both = cells.select(*kept, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(p).cast("double").alias("v")), F.struct(F.lit(1).alias("side"), F.col(y).cast("double").alias("v")))).alias("_s"))
-    lines = soft_skeleton(both.select(*key, "_p", "_y", F.col("_s.side").alias("_side"), F.col("_s.v").alias("_v")), [case, label, "_side"], "_v", iterations)
-    of = lambda side, x: F.sum(F.when(F.col("_side") == side, x))
-    s, hit, found = F.col("skeleton"), F.col("skeleton") * F.col("_y"), F.col("skeleton") * F.col("_p")
-    sums = lines.groupBy(*([label] if batch else [case, label])).agg(of(0, hit).alias("_hit"), of(0, s).alias("_lines"), of(1, found).alias("_found"), of(1, s).alias("_true"))
+    cells = cells.select(case, label, "x", "y", "z", F.col(p).alias("p"), F.col(y).alias("y01"))
+    lines = soft_skeletons(cells, [case, label], ["p", "y01"], iterations)
+    hit, found = F.col("skeleton_p") * F.col("y01"), F.col("skeleton_y01") * F.col("p")
+    sums = lines.groupBy("_group").agg(F.sum(hit).alias("_hit"), F.sum("skeleton_p").alias("_lines"), F.sum(found).alias("_found"), F.sum("skeleton_y01").alias("_true"))
+    sums = sums.join(cells.select(case, label, F.xxhash64(case, label).alias("_group")).distinct(), "_group")
+    if batch:
+        sums = sums.groupBy(label).agg(*[F.sum(c).alias(c) for c in ("_hit", "_lines", "_found", "_true")])
     share = lambda a, b: (F.col(a) + smooth) / F.greatest(F.col(b) + smooth, F.lit(clip))
     precision, recall = share("_hit", "_lines"), share("_found", "_true")
     return sums.groupBy(*([] if batch else [case])).agg((-F.avg(precision * recall / F.greatest(precision + recall, F.lit(clip)))).alias("loss"))
