@@ -180,3 +180,19 @@ def test_soft_skeletons_send_nothing_beyond_the_cells(spark):
     assert sent.count() == 27 and "FlatMapGroupsInPandas" in sent._jdf.queryExecution().simpleString()
     both = {(r.x, r.y, r.z): r.skeleton for r in losses.soft_skeleton(cells, ["case_id"], "p", 2).collect()}
     assert both == {(r.x, r.y, r.z): r.skeleton_p for r in sent.collect()}
+
+
+def test_small_boxes_are_solved_whole_and_agree_with_planes(spark, monkeypatch):
+    draw = random.Random(8)
+    far = {1: 9, 2: 7, 3: 90}
+    cells = lambda n: [(g, *(draw.randrange(w) - 3 for _ in "xyz")) for g, w in far.items() for _ in range(n)]
+    asked, sites = cells(30) + [(4, 0, 0, 0)], cells(12)
+    asked, sites = asked + asked[:3], sites
+    frames = [spark.createDataFrame(rows, _CELLS) for rows in (asked, sites)]
+    real, planes = distance._of_planes, []
+    monkeypatch.setattr(distance, "_of_planes", lambda *a: planes.append(a[2]) or real(*a))
+    got = distance.squared_distances(*frames, ["case_id"], (1, 2, 3)).collect()
+    assert len(got) == len(asked) and planes[0].count() == 1
+    for r in got:
+        near = [(r.x - x) ** 2 + 4 * (r.y - y) ** 2 + 9 * (r.z - z) ** 2 for g, x, y, z in sites if g == r.case_id]
+        assert r.d2 == (min(near) if near else None)

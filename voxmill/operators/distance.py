@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.operators import shared
+
+#: Cells along an edge and in all, up to which the box of a group is solved side by side with others, and numbers in the arrays of those.
+EDGE, SMALL, SIDE_BY_SIDE = 32, 1 << 13, 1 << 17
 #: Cells along an edge of the tiles into which planes are cut, and numbers in the arrays that a task holds at once.
 TILE, NUMBERS = 32, 1 << 21
 #: Pairs of a plane and a query up to which a tile's few pairs are compared outright.
@@ -105,12 +109,51 @@ def _columns(rows: pd.DataFrame, step: float, tile: int) -> pd.DataFrame:
     return rows.assign(d2=d2)[asks][["_group", "x", "y", "z", "d2"]]
 
 
+def _least(grid: np.ndarray, axis: int, step: float) -> np.ndarray:
+    """``out[i]``: the least of ``grid[j] + (step * (i - j))**2`` over the places ``j`` of a short axis, tried one after another."""
+    lines = np.moveaxis(grid, axis, 0)
+    out, at = np.full_like(lines, np.inf), np.arange(len(lines))
+    for j in range(len(lines)):
+        np.minimum(out, lines[j] + ((at - j) * step)[(...,) + (None,) * (lines.ndim - 1)] ** 2, out=out)
+    return np.moveaxis(out, 0, axis)
+
+
+def _boxes(rows: pd.DataFrame, spacing: Sequence[float]) -> pd.DataFrame:
+    """``d2`` of the queries in ``rows``, which hold whole groups of small boxes; each query once."""
+    rows = rows.sort_values("_group", kind="stable")
+    group, at, site = rows["_group"].to_numpy(np.int64), rows[["x", "y", "z"]].to_numpy(np.int64), rows["_site"].to_numpy(bool)
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    until = np.append(first[1:], len(rows))
+    low = np.minimum.reduceat(at, first)
+    sizes = np.maximum.reduceat(at, first) - low + 1
+    number = np.repeat(np.arange(len(first)), until - first)
+    local, out, lo = at - low[number], [], 0
+    while lo < len(first):
+        hi, wide = lo + 1, sizes[lo]
+        while hi < len(first) and (hi + 1 - lo) * np.prod(np.maximum(wide, sizes[hi])) <= SIDE_BY_SIDE:
+            wide, hi = np.maximum(wide, sizes[hi]), hi + 1
+        here = slice(first[lo], until[hi - 1])
+        place, on = np.column_stack([local[here], number[here] - lo]), site[here]
+        grid = np.full((*wide, hi - lo), np.inf)
+        grid[tuple(place[on].T)] = 0.0
+        for axis in range(3):
+            grid = _least(grid, axis, spacing[axis])
+        asked = np.zeros(grid.shape, bool)
+        asked[tuple(place[~on].T)] = True
+        found = np.argwhere(asked)
+        which = found[:, 3] + lo
+        cell, d2 = found[:, :3] + low[which], grid[asked]
+        out.append(pd.DataFrame({"_group": group[first[which]], "x": cell[:, 0], "y": cell[:, 1], "z": cell[:, 2], "d2": np.where(np.isinf(d2), np.nan, d2)}))
+        lo = hi
+    return pd.concat(out)
+
+
 def squared_distances(queries: DataFrame, sites: DataFrame, by: Sequence[str] = ("case_id",), spacing: Sequence[float] = (1, 1, 1), tile: int = TILE) -> DataFrame:
     """``queries(*by, x, y, z)`` with ``d2``, the exact squared distance to the nearest of ``sites(*by, x, y, z)`` of its group; null for groups without any. Both hold whole-numbered cells.
 
     The planes ``z`` of a group are maps of their own: distances along x, then y, by lower envelopes of parabolas. Planes are cut into tiles, those with queries sent to where all tiles of a
     place meet, and distances along z found there, a column at a time. What a task holds at once is a plane of the group's box or a tile of all its planes, never the volume; the work is in
-    proportion to the cells of the box. Repeated queries are answered once each.
+    proportion to the cells of the box. Groups whose box has ``SMALL`` cells at most are solved whole, many side by side. Repeated queries are answered once each.
     """
     key = ["_group", "x", "y", "z"]
     queries = queries.withColumn("_group", F.xxhash64(*by))
@@ -118,12 +161,28 @@ def squared_distances(queries: DataFrame, sites: DataFrame, by: Sequence[str] =
     sites = sites.select(F.xxhash64(*by).alias("_group"), *[F.col(c).cast("long").alias(c) for c in "xyz"])
     ends = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))]
     box = asked.unionByName(sites).groupBy("_group").agg(*ends)
-    box = box.select("_group", "lowx", "lowy", (F.col("highx") - F.col("lowx") + 1).alias("nx"), (F.col("highy") - F.col("lowy") + 1).alias("ny"))
+    size = {c: F.col(f"high{c}") - F.col(f"low{c}") + 1 for c in "xyz"}
+    little = (F.greatest(*size.values()) <= EDGE) & (size["x"] * size["y"] * size["z"] <= SMALL)
+    box = shared.cut(box.select("_group", "lowx", "lowy", size["x"].alias("nx"), size["y"].alias("ny"), little.alias("_little")))
+    tasks = 8 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = {r[0] for r in box.select("_little").distinct().collect()}
+    rows = asked.withColumn("_site", F.lit(False)).unionByName(sites.withColumn("_site", F.lit(True))).dropna(subset=["x", "y", "z"])
+    if False in kinds:
+        rows = rows.join(box.filter("_little").select("_group"), "_group", "left_semi")
+    solved = rows.withColumn("_bin", F.pmod("_group", F.lit(tasks))).groupBy("_bin").applyInPandas(lambda part: _boxes(part, spacing), "_group long, x long, y long, z long, d2 double")
+    solved = solved.withColumn("d2", F.when(~F.isnan("d2"), F.col("d2")))
+    if False in kinds:
+        large = _of_planes(asked, sites, box.filter("NOT _little").drop("_little"), spacing, tile, tasks)
+        solved = solved.unionByName(large) if True in kinds else large
+    return queries.join(solved, key, "left").drop("_group").select(*[c for c in queries.columns if c != "_group"], "d2")
+
+
+def _of_planes(asked: DataFrame, sites: DataFrame, box: DataFrame, spacing: Sequence[float], tile: int, tasks: int) -> DataFrame:
+    """``asked`` with ``d2``, once each, in the groups of ``box``: plane by plane and column by column."""
     placed = asked.join(box, "_group").select("_group", (F.col("x") - F.col("lowx")).alias("x"), (F.col("y") - F.col("lowy")).alias("y"), "z", "lowx", "lowy")
     # a tile's name holds its place along x and along y
     name = F.shiftleft(F.expr(f"x div {tile}"), 20) + F.expr(f"y div {tile}")
     wanted = placed.select("_group", name.alias("tile")).distinct()
-    tasks = 8 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = sites.join(box, "_group").select("_group", (F.col("x") - F.col("lowx")).alias("x"), (F.col("y") - F.col("lowy")).alias("y"), "z", "nx", "ny", F.pmod(F.xxhash64("_group", "z"), F.lit(tasks)).alias("_bin"))
 
     def planes(rows: pd.DataFrame) -> pd.DataFrame:
@@ -135,5 +194,4 @@ def squared_distances(queries: DataFrame, sites: DataFrame, by: Sequence[str] =
         placed.select("_group", name.alias("tile"), "x", "y", "z", none.cast("long").alias("width"), none.cast("binary").alias("heights")).distinct()
     )
     solved = both.withColumn("_bin", F.pmod(F.xxhash64("_group", "tile"), F.lit(tasks))).groupBy("_bin").applyInPandas(lambda rows: _columns(rows, spacing[2], tile), "_group long, x long, y long, z long, d2 double")
-    solved = solved.join(box, "_group").select("_group", (F.col("x") + F.col("lowx")).alias("x"), (F.col("y") + F.col("lowy")).alias("y"), "z", F.when(~F.isnan("d2"), F.col("d2")).alias("d2"))
-    return queries.join(solved, key, "left").drop("_group").select(*[c for c in queries.columns if c != "_group"], "d2")
+    return solved.join(box, "_group").select("_group", (F.col("x") + F.col("lowx")).alias("x"), (F.col("y") + F.col("lowy")).alias("y"), "z", F.when(~F.isnan("d2"), F.col("d2")).alias("d2"))
