@@ -60,6 +60,16 @@ def test_only_slices_of_the_box_are_read(tmp_path, volume):
     assert len(parts) > 4 and sum(n > 0 for n in read) <= 2 and sum(read) == len(_cells(volume, (slice(None), slice(None), slice(5, 7))))
 
 
+def test_small_volumes_are_read_many_at_a_time(tmp_path, volume):
+    for k in range(50):
+        (tmp_path / f"{k:02}.mha").write_bytes(_plain_meta(volume))
+    reader = datasource.VolumeReader(volumes_schema(), {"path": str(tmp_path)})
+    (part,) = reader.partitions()
+    assert sum(len(b) for b in reader.read(part)) == 50 * len(_cells(volume))
+    reader.slab = 10 * (datasource.OPEN_BYTES + len(_plain_meta(volume)))
+    assert [len(p.slabs) for p in reader.partitions()] == [10] * 5
+
+
 def volumes_schema():
     from pyspark.sql import types as T
 

@@ -24,6 +24,8 @@ from voxmill.sources import volumes
 SCHEMA = "path string, x int, y int, z int, value double"
 #: Bytes of a file that go to one task, and of a header that is read at once.
 SLAB_BYTES, HEAD_BYTES = 64 << 20, 1 << 16
+#: What opening a file counts for when small files are put together for a task.
+OPEN_BYTES = 1 << 16
 _ARROW = {"path": pa.string(), "x": pa.int32(), "y": pa.int32(), "z": pa.int32(), "value": pa.float64()}
 
 
@@ -43,8 +45,18 @@ class Slab(InputPartition):
         super().__init__(None)
 
 
+@dataclass
+class Slabs(InputPartition):
+    """Slabs that one task reads one after another."""
+
+    slabs: list[Slab]
+
+    def __post_init__(self):
+        super().__init__(None)
+
+
 class VolumeReader(DataSourceReader):
-    """Cells of volumes, a partition for each slab of a file.
+    """Cells of volumes, a partition for each slab of a large file or for many small files, which are put together up to the size of a slab.
 
     Comparisons of x, y and z with numbers narrow the box that is read: a slab outside of it isn't touched but for the file's header, and of others only the slices inside are read.
     Only the columns of the schema that was asked for are made.
@@ -78,15 +90,25 @@ class VolumeReader(DataSourceReader):
         store, root = _opened(self.path)
         info = store.get_file_info(root)
         files = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
-        found = []
+        found, held = [], 0
         for f in sorted(files, key=lambda f: f.path):
             if f.is_file and not f.base_name.startswith(("_", ".")) and "/_" not in f.path[len(root) :] and fnmatch.fnmatch(f.base_name, self.pattern):
                 parts = max(1, -(-f.size // self.slab)) if any(f.path.endswith(s) for s in volumes.LAYOUTS) else 1
-                found += [Slab(f.path, k, parts) for k in range(parts)]
+                cost = OPEN_BYTES + f.size // parts
+                for k in range(parts):
+                    if not found or held + cost > self.slab:
+                        found.append(Slabs([]))
+                        held = 0
+                    found[-1].slabs.append(Slab(f.path, k, parts))
+                    held += cost
         return found
 
-    def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Slabs) -> Iterator[pa.RecordBatch]:
         store, _ = _opened(self.path)
+        for slab in partition.slabs:
+            yield from self._read(store, slab)
+
+    def _read(self, store: fs.FileSystem, partition: Slab) -> Iterator[pa.RecordBatch]:
         with store.open_input_file(partition.path) as f:
             layout = next((head for suffix, head in volumes.LAYOUTS.items() if partition.path.endswith(suffix)), None)
             head = layout(f.read_at(min(HEAD_BYTES, f.size()), 0)) if layout else None
