@@ -255,6 +255,21 @@ def test_every_point_finds_its_nearest(spark):
     assert got == {1: (7, 1.0), 2: (8, 95.0), 3: (None, None), 4: (None, None)}
 
 
+def test_small_groups_find_their_nearest_in_one_join(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    rows = lambda sizes: [(g, k, *map(int, draw.integers(0, 40, 3))) for g, n in sizes.items() for k in range(n)]
+    asked, there = rows({"a": 9, "b": 9, "c": 2}), rows({"a": 5, "b": 30})
+    points, targets = (spark.createDataFrame(r, f"case_id string, {i} int, x int, y int, z int") for r, i in ((asked, "pid"), (there, "tid")))
+    near = lambda p: min(((sum((u - v) ** 2 for u, v in zip(p[2:], t[2:], strict=True)) ** 0.5, t[1]) for t in there if t[0] == p[0]), default=(None, None))
+    want, cuts, real = {p[:2]: near(p) for p in asked}, [], surface.shared.cut
+    monkeypatch.setattr(surface.shared, "cut", lambda df: cuts.append(1) or real(df))
+    for limit in (256, 10):
+        monkeypatch.setattr(surface, "FEW_TARGETS", limit)
+        cuts.clear()
+        assert {(r.case_id, r.pid): (r.dist, r.tid) for r in surface.nearest_point(points, targets, ["case_id"], 2).collect()} == want
+        assert (len(cuts) == 1) == (limit == 256)
+
+
 def test_exact_percentiles(spark):
     draw = np.random.default_rng(3)
     rows = [("a", float(v)) for v in np.append(draw.normal(size=500), [5.0] * 300)] + [("b", 2.0)] * 7 + [("c", None), (None, 1.0), (None, 4.0)]

@@ -104,27 +104,40 @@ def surface_distances(voxels: DataFrame, labels: Sequence[int], shape: Sequence[
     return every.join(found, [case, "label"], "left").select(case, "label", zero("hd"), zero("hd95"), zero("msd"))
 
 
+#: Targets up to which all of a group's are compared with each of its points.
+FEW_TARGETS = 256
+
+
 def nearest_point(points: DataFrame, targets: DataFrame, by: Sequence[str], cell: float) -> DataFrame:
     """Each of ``points(*by, pid, x, y, z)`` with its nearest target ``(tid, dist)``; ties go to the smaller tid.
 
-    Points and targets meet in cubes of edge ``cell``: a target goes to its cube and the 26 around it, so the join is by
+    In groups of up to :data:`FEW_TARGETS` targets every point meets all of them, in one join by group. In larger ones points and targets meet in cubes of edge ``cell``: a target goes to its cube and the 26 around it, so the join is by
     key. Points that find none within ``cell`` try again with cubes twice as wide, until all have one. Those whose group has no target, or that
     have a null coordinate, have nulls.
     """
     targets = targets.dropna(subset=["x", "y", "z"])
-    left = points.join(targets.select(*by).distinct(), list(by), "left_semi").dropna(subset=["x", "y", "z"])
+    counts = targets.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    dist = F.sqrt(sum(F.pow(F.col(c) - F.col(f"t{c}"), F.lit(2.0)) for c in "xyz"))
+    nearest = lambda pairs: pairs.groupBy(*by, "pid").agg(F.min(F.struct("dist", "tid")).alias("b")).select(*by, "pid", F.col("b.tid").alias("tid"), F.col("b.dist").alias("dist"))
+    few = counts.filter(F.col("_n") <= FEW_TARGETS).select(*by)
+    told = targets.join(few, list(by), "left_semi").select(*by, "tid", *[F.col(c).alias(f"t{c}") for c in "xyz"])
+    found = nearest(points.dropna(subset=["x", "y", "z"]).join(told, list(by)).withColumn("dist", dist).filter(~F.isnan("dist")))
+    many = shared.cut(counts.filter(F.col("_n") > FEW_TARGETS).select(*by))
+    if not many.limit(1).count():
+        return points.join(found, [*by, "pid"], "left")
+    targets = targets.join(many, list(by), "left_semi")
+    left = points.join(many, list(by), "left_semi").dropna(subset=["x", "y", "z"])
     span = lambda t: [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("a", F.min), ("b", F.max))]
     ends = left.select("x", "y", "z").unionByName(targets.select("x", "y", "z")).agg(*span(left)).first()
     widest = max([0.0, *(float(ends[f"b{c}"]) - float(ends[f"a{c}"]) for c in "xyz" if ends[f"a{c}"] is not None)]) * 3**0.5
-    found, size = None, float(cell)
+    size = float(cell)
     while True:
         cube = lambda c, shift=0, edge=size: F.floor(F.col(c) / edge) + shift
         around = F.explode(F.array(*[F.struct(*[cube(c, s).alias(f"_{c}") for c, s in zip("xyz", o, strict=True)]) for o in itertools.product((-1, 0, 1), repeat=3)]))
         right = targets.select(*by, "tid", *[F.col(c).alias(f"t{c}") for c in "xyz"], around.alias("_o")).select(*by, "tid", "tx", "ty", "tz", "_o.*")
-        dist = F.sqrt(sum(F.pow(F.col(c) - F.col(f"t{c}"), F.lit(2.0)) for c in "xyz"))
         pairs = left.withColumns({f"_{c}": cube(c) for c in "xyz"}).join(right, [*by, "_x", "_y", "_z"]).withColumn("dist", dist).filter(F.col("dist") <= size)
-        best = shared.cut(pairs.groupBy(*by, "pid").agg(F.min(F.struct("dist", "tid")).alias("b")).select(*by, "pid", F.col("b.tid").alias("tid"), F.col("b.dist").alias("dist")))
-        found = best if found is None else found.unionByName(best)
+        best = shared.cut(nearest(pairs))
+        found = found.unionByName(best)
         if size >= widest:
             return points.join(found, [*by, "pid"], "left")
         left = shared.cut(left.join(best.select(*by, "pid"), [*by, "pid"], "left_anti"))
