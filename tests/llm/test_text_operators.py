@@ -116,6 +116,28 @@ def test_run_keys_are_those_of_sql(spark):
     assert [r[0] for r in rows.select(F.xxhash64("a", "b")).collect()] == suffix_tree.run_key(a, b).view(np.int64).tolist()
 
 
+def test_suffix_tree_blocks_name_runs_seldom_in_many_slices():
+    draw = np.random.default_rng(4)
+    before, after = np.repeat(draw.integers(1, 1 << 63, 500, dtype=np.uint64), 200), draw.integers(1, 1 << 63, 100_000, dtype=np.uint64)
+    few, many = (suffix_tree._blocks(2, before, after, k) for k in (1, 1024))
+    assert len(set(many.column(1).to_pylist())) == 1024
+    size = lambda made: sum(len(b) for b in made.column(2).to_pylist())
+    assert size(many) < 1.25 * size(few)
+    back = lambda made: suffix_tree.pd.concat(x for _, rows in made.to_pandas().groupby("slice") for x in suffix_tree._merged(rows, 1))
+    assert sorted(back(few).itertuples(index=False)) == sorted(back(many).itertuples(index=False))
+
+
+def test_suffix_tree_leaves_no_counts_behind(spark):
+    removed, real = [], common.removed
+    common.removed = lambda session, path: removed.append(path) or real(session, path)
+    try:
+        rows = [(k, "a b c d e f " * 3) for k in range(40)]
+        suffix_tree.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    finally:
+        common.removed = real
+    assert [p.rsplit("/", 1)[-1] for p in removed if "length=" in p] == [f"length={n}" for n in (2, 3, 4, 5)] and len(removed) == 8
+
+
 def test_suffix_tree_awkward_rows(spark):
     got = suffix_tree.scores(docs(spark), F.col("doc_id") % 2 == 1).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in DOCS)

@@ -73,13 +73,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder, in a folder for each value of the columns ``by``, and read again.
+    """``df`` written as a Parquet table in the shared folder, in a folder for each value of the columns ``by``, and read again; ``name`` may be a path of :func:`scratch_path`.
 
     For tables that several later steps read: smaller than a checkpoint, and read by column. The shuffle files of the steps before it are
     removed once it is written, as nothing reads them again.
     """
     spark, tidy = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = scratch_path(spark, name), spark.conf.get(tidy, "false")
+    path, before = name if "/" in name else scratch_path(spark, name), spark.conf.get(tidy, "false")
     spark.conf.set(tidy, "true")
     try:
         df.write.partitionBy(*by).parquet(path)
@@ -88,6 +88,12 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(T.StructType([f for f in df.schema if f.name not in by] + [f for f in df.schema if f.name in by])).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a table of :func:`stored`, or a part of it, that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """``df`` joined with a table that is usually small: a broadcast after its rows were counted, else a shuffle join.
 

@@ -23,7 +23,7 @@ DISCOUNT, DIVERGENCE = 0.75, 8.0
 #: The most counted tokens and transitions (and a quarter as many states) that every task holds: so many at most, whatever the corpus. All others are joined by key.
 HOT_TOKENS, HOT_RUNS = 1 << 19, 1 << 21
 #: Bytes of text handled at once, runs of a length that a task sums before it sends them on, and bytes of training text for each slice of the counts.
-BLOCK, SUMMED, SLICE = 1 << 20, 1_000_000, 8 << 20
+BLOCK, SUMMED, SLICE = 1 << 20, 1_000_000, 2 << 20
 #: Most bits of a filter of stored runs, as a power of two, and the parts into which a task's bits are cut.
 FILTER_BITS, _PARTS = 25, 64
 _KEPT_WORDS = 100_000
@@ -177,14 +177,21 @@ def _filter(keyed: DataFrame) -> Filter:
 # -- counts: each task sends its sums as one compact block for each slice of the keys
 
 
+def _slice(before: np.ndarray, key: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each run, ``slices`` of them or a few more. Runs of one ``before`` are spread over about the square root of them, so that
+    blocks name it seldom, however many slices there are, and one that very many runs begin with isn't in one slice."""
+    spread = 1 << (slices.bit_length() // 2)
+    return before % np.uint64(-(-slices // spread)) * np.uint64(spread) + key % np.uint64(spread)
+
+
 def _blocks(length: int, before: np.ndarray, after: np.ndarray, slices: int) -> pa.RecordBatch:
     """(length, slice, block) of the counts of runs: a block has the distinct ``before``, how often each stands, then ``after`` and the counts."""
     key = run_key(before, after)
     order, first = _grouped(key)
     counts, at = np.diff(np.append(first, len(key))), order[first]
-    place, before, after = (key[at] % np.uint64(slices)), before[at], after[at]
+    place, before, after = _slice(before[at], key[at], slices), before[at], after[at]
     # by slice, and in it by ``before``
-    order = np.argsort((place << np.uint64(44)) | (before >> np.uint64(20))) if slices < 1 << 20 else np.lexsort((before, place))
+    order = np.argsort((place << np.uint64(44)) | (before >> np.uint64(20))) if slices < 1 << 19 else np.lexsort((before, place))
     place, before, after, counts = place[order].astype(np.int64), before[order], after[order], counts[order].astype("<u4")
     some, start = np.unique(place, return_index=True)
     blocks = []
@@ -212,7 +219,7 @@ def _merged(rows: pd.DataFrame, least: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"length": np.int32(length), "pre": before[at][kept].view(np.int64), "suf": after[at][kept].view(np.int64), "c": total[kept]})
 
 
-def _counted(train: DataFrame, text_col: str, runs, name: str) -> DataFrame:
+def _counted(train: DataFrame, text_col: str, runs, path: str) -> DataFrame:
     """A stored table ``(length, pre, suf, c)`` of what ``runs`` finds in a stream of tokens: (length, runs without their last, without their first token).
 
     A token has a ``suf`` of 0. Slices follow the size of the texts, so what a task merges at once has a bound.
@@ -241,7 +248,7 @@ def _counted(train: DataFrame, text_col: str, runs, name: str) -> DataFrame:
 
     sent = train.select(text_col).mapInArrow(count, "length int, slice long, block binary")
     merged = sent.groupBy("slice").applyInPandas(lambda rows: pd.concat([*_merged(rows, C_MIN)]), "length int, pre long, suf long, c long")
-    return common.stored(merged, name, "length")
+    return common.stored(merged, path, "length")
 
 
 def _short(h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -345,7 +352,8 @@ def grow(runs: DataFrame, sizes: DataFrame, below: DataFrame, name: str) -> tupl
     """
     # what the shorter state gives the last token; runs that no shorter state reaches go
     found = runs.join(below.select(F.col("key").alias("suf"), F.col("v.logp").alias("given")), "suf").select("pre", "suf", "c", "given")
-    found = common.stored(found.join(sizes, "pre"), f"runs{name}")
+    passing = common.scratch_path(runs.sparkSession, f"runs{name}")
+    found = common.stored(found.join(sizes, "pre"), passing)
     own = F.col("c") - DISCOUNT
     sums = found.groupBy("pre").agg(
         F.sum(own).alias("mass"), F.sum(F.pow(F.lit(10.0), "given")).alias("given"), F.sum("c").alias("n"), F.first("size").alias("size"),
@@ -358,6 +366,7 @@ def grow(runs: DataFrame, sizes: DataFrame, below: DataFrame, name: str) -> tupl
     moves = found.join(states.select("pre", "after"), "pre")
     moves = moves.select(F.xxhash64("pre", "suf").alias("key"), F.struct("c", logp.alias("logp")).alias("v"), (logp - F.col("given") - F.col("after").cast("double")).cast("float").alias("own"))
     moves = common.stored(moves, f"moves{name}")
+    common.removed(runs.sparkSession, passing)
     return (
         states.select(F.col("pre").alias("key"), F.col("size").alias("c"), "after"),
         moves.select("key", "v.c", "own"),
@@ -369,9 +378,11 @@ def learn(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple
     """Stored tables of the tree of the training texts: ``(token, c)`` of all tokens, and the states and transitions (:func:`grow`).
 
     Texts are read three times at most: for tokens and pairs, for the runs of three tokens whose pairs are stored, and for all longer ones whose runs of three are. Only
-    runs that a state reaches are counted; no other can be in the tree.
+    runs that a state reaches are counted; no other can be in the tree. Counts that no later step reads are removed.
     """
-    grams = _counted(train, text_col, _short, "grams")
+    spark = train.sparkSession
+    path = common.scratch_path(spark, "grams")
+    grams, paths = _counted(train, text_col, _short, path), {2: path}
     tokens = grams.filter("length = 1").select(F.col("pre").alias("token"), "c")
     facts = tokens.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     root = F.log10((F.col("c") + 0.5) / F.lit((facts.n or 0) + 0.5 * (facts.v + 1)))
@@ -382,16 +393,19 @@ def learn(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple
     tables, found = {1: grams, 2: grams}, ([], [])
     for n in range(1, depth + 1):  # states of n tokens
         if n in (2, 3):
-            share = train.sparkSession.sparkContext.broadcast
+            share, path = spark.sparkContext.broadcast, common.scratch_path(spark, f"grams{n + 1}")
             lengths = range(3, 4) if n == 2 else range(4, depth + 2)
             parts, reached = share(_filter(of_length(n).select(key.alias("key")))), share(_filter(states))
-            tables |= dict.fromkeys(lengths, _counted(train, text_col, lambda h, a=(lengths, n, depth), b=parts, c=reached: _long(*a, b.value, c.value)(h), f"grams{n + 1}"))
+            tables |= dict.fromkeys(lengths, _counted(train, text_col, lambda h, a=(lengths, n, depth), b=parts, c=reached: _long(*a, b.value, c.value)(h), path))
+            paths |= dict.fromkeys(lengths, path)
             for filters in (parts, reached):  # the counts are written
                 filters.unpersist()
         sizes = of_length(n).filter(often).select((F.col("pre") if n == 1 else key).alias("pre"), F.col("c").alias("size"))
         states, moves, below = grow(of_length(n + 1).select("pre", "suf", "c"), sizes, below, str(n))
         found[0].append(states)
         found[1].append(moves)
+        for done in {n, n + 1 if n == depth else n} & paths.keys():  # tokens are kept
+            common.removed(spark, f"{paths[done]}/length={done}")
     return tokens, *(reduce(DataFrame.unionByName, parts) for parts in found)
 
 
