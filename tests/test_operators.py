@@ -248,6 +248,22 @@ def test_topology_over_block_borders(spark):
     assert components.betti_numbers(rows.limit(0), ["g"]).count() == 0 and shapes.fill_holes(rows.limit(0), ["g"]).count() == 0
 
 
+def test_small_boxes_have_the_betti_numbers_of_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    masks = {k: draw.random(tuple(draw.integers(2, 9, 3))) < draw.choice([0.3, 0.6, 0.9]) for k in range(40)}
+    masks[40] = np.ones((5, 5, 5), bool)
+    masks[40][2, 2, 2] = False
+    rows = spark.createDataFrame([(k, *(int(c) - 4 for c in at)) for k, m in masks.items() for at in np.argwhere(m)] + [(None, 0, 0, 0)], "g long, x int, y int, z int")
+    blocks, real = [], components.label_components
+    monkeypatch.setattr(components, "label_components", lambda *a: blocks.append(1) or real(*a))
+    made = []
+    for small in (1 << 15, 400, 0):
+        blocks.clear()
+        made.append({r.g: (r.b0, r.b1, r.b2) for r in components.betti_numbers(rows, ["g"], 4, small).collect()})
+        assert bool(blocks) == (small < 1 << 15)
+    assert made[0] == made[1] == made[2] and len(made[0]) == 42 and made[0][40] == (1, 0, 1) and made[0][None] == (1, 0, 0)
+
+
 def test_every_point_finds_its_nearest(spark):
     points = spark.createDataFrame([("a", 1, 0, 0, 0), ("a", 2, 100, 0, 0), ("b", 3, 0, 0, 0), ("a", 4, None, 0, 0)], "case_id string, pid int, x int, y int, z int")
     targets = spark.createDataFrame([("a", 7, 1, 0, 0), ("a", 8, 5, 0, 0)], "case_id string, tid int, x int, y int, z int")

@@ -228,17 +228,97 @@ def euler_numbers(cells: DataFrame, by: Sequence[str] = ("case_id",), block: int
     return counted.groupBy("_group").agg(F.sum("_euler").alias("euler"))
 
 
-def betti_numbers(voxels: DataFrame, by: Sequence[str] = ("case_id",), block: int = BLOCK) -> DataFrame:
+#: Cells of a widened box up to which a group is solved whole, of boxes that are solved at once, and rows that a bin of groups gets on average.
+SMALL_BOX, AT_ONCE, BIN_ROWS = 1 << 15, 1 << 20, 1 << 17
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The root of each of ``n`` cells of which the pairs ``a, b`` are connected."""
+    root = np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(new := root[root], root):
+            root = new
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return root
+
+
+def _parts(grids: np.ndarray, steps: Sequence[tuple[int, int, int]]) -> np.ndarray:
+    """The components of each of ``grids(n, x, y, z)``."""
+    at, pairs = np.arange(grids.size).reshape(grids.shape), []
+    for o in steps:
+        here = (slice(None), *(slice(max(-d, 0), n - max(d, 0)) for d, n in zip(o, grids.shape[1:], strict=True)))
+        there = (slice(None), *(slice(max(d, 0), n - max(-d, 0)) for d, n in zip(o, grids.shape[1:], strict=True)))
+        both = grids[here] & grids[there]
+        pairs.append((at[here][both], at[there][both]))
+    root = _joined(grids.size, *map(np.concatenate, zip(*pairs, strict=True)))
+    return ((root == at.ravel()) & grids.ravel()).reshape(len(grids), -1).sum(1)
+
+
+def _betti_of_boxes(grids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``b0, b2`` and the Euler number of each of ``grids(n, x, y, z)``, whose rims are empty."""
+    euler = np.zeros(len(grids), np.int64)
+    for axes in itertools.product((0, 1), repeat=3):  # as in :func:`_euler_of_blocks`
+        face = grids
+        for axis, whole in enumerate(axes, 1):
+            line = np.moveaxis(face, axis, 0)
+            face = np.moveaxis(line[1:] if whole else line[1:] | line[:-1], 0, axis)
+        euler += (-1) ** sum(axes) * face.sum((1, 2, 3))
+    return _parts(grids, offsets(26)), _parts(~grids, offsets(6)) - 1, euler
+
+
+def _betti_of_bin(cells: pd.DataFrame) -> pd.DataFrame:
+    """Rows ``(_group, b0, b2, euler)`` of whole groups of small boxes: those of about the same shape side by side."""
+    cells = cells.sort_values("_group", kind="stable")
+    groups, first = np.unique(cells["_group"].to_numpy(), return_index=True)
+    at, number = cells[["x", "y", "z"]].to_numpy(np.int64), np.repeat(np.arange(len(groups)), np.diff(np.append(first, len(cells))))
+    low, high = np.minimum.reduceat(at, first), np.maximum.reduceat(at, first)
+    sizes = -(-(high - low + 3) // 4) * 4
+    at = at - low[number] + 1
+    out = []
+    for size in np.unique(sizes, axis=0):
+        same = np.flatnonzero((sizes == size).all(1))
+        some = max(1, AT_ONCE // int(size.prod()))
+        for k in range(0, len(same), some):
+            few = same[k : k + some]
+            place = np.full(len(groups), -1)
+            place[few] = np.arange(len(few))
+            hit = place[number] >= 0
+            grids = np.zeros((len(few), *size), bool)
+            grids[(place[number[hit]], *at[hit].T)] = True
+            out.append(pd.DataFrame(dict(zip(("_group", "b0", "b2", "euler"), (groups[few], *_betti_of_boxes(grids)), strict=True))))
+    return pd.concat(out)
+
+
+def betti_numbers(voxels: DataFrame, by: Sequence[str] = ("case_id",), block: int = BLOCK, small: int = SMALL_BOX) -> DataFrame:
     """``(*by, b0, b1, b2)`` of the foreground cells of each group, as a union of closed unit cubes: 26-connected foreground, 6-connected background.
 
-    Components and cavities are labelled in blocks, and ``b1 = b0 + b2 - euler``. Cells must be distinct; groups without cells have no row, null keys are a group.
+    Groups whose widened box has up to ``small`` cells are solved whole, many of them at once in a task. Components and cavities of all others are labelled in blocks. ``b1 = b0 + b2 - euler``.
+    Cells must be distinct; groups without cells have no row, null keys are a group.
     """
     cells = shared.cut(voxels.select(*by, "x", "y", "z"))
     group = F.xxhash64(*by).alias("_group")
+    box = F.lit(1.0)
+    for c in "xyz":
+        box = box * (F.max(c) - F.min(c) + 3)
+    boxes = shared.cut(cells.groupBy(*by).agg(box.alias("_box"), F.count(F.lit(1)).alias("_n")).select(*by, group, "_box", "_n"))
+    large = boxes.filter(F.col("_box") > small)
+    facts = boxes.agg(F.sum("_n").alias("n"), F.max("_box").alias("box")).first()
+    rows = cells.select(group, *[F.col(c).cast("long").alias(c) for c in "xyz"])
+    if (facts.box or 0) > small:
+        rows = rows.join(large.select("_group"), "_group", "left_anti")
+    bins = max(8 * int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(facts.n or 0) // BIN_ROWS))
+    solved = rows.groupBy(F.pmod("_group", F.lit(bins)).alias("_bin")).applyInPandas(_betti_of_bin, "_group long, b0 long, b2 long, euler long")
+    solved = boxes.join(solved, "_group").select(*by, "b0", (F.col("b0") + F.col("b2") - F.col("euler")).alias("b1"), "b2")
+    if (facts.box or 0) <= small:
+        return solved
+    cells = shared.cut(cells.withColumn("_group", group).join(large.select("_group"), "_group", "left_semi").select(*by, "x", "y", "z"))
     pieces = label_components(cells, by, 26, block).groupBy(group, *by).agg(F.max("components").alias("b0"))
     holes = label_background(cells, by, block).groupBy(group).agg((F.max("components") - 1).alias("b2"))
     both = pieces.join(holes, "_group").join(euler_numbers(cells, by, block), "_group")
-    return both.select(*by, "b0", (F.col("b0") + F.col("b2") - F.col("euler")).alias("b1"), "b2")
+    return solved.unionByName(both.select(*by, "b0", (F.col("b0") + F.col("b2") - F.col("euler")).alias("b1"), "b2"))
 
 
 def betti_errors(gt: DataFrame, pred: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
