@@ -156,6 +156,23 @@ def test_cases_of_their_own_shapes(spark):
         assert np.allclose(got[c], np.einsum("ax,by,cz,xyz->abc", *axes, v))
 
 
+def test_small_cases_are_resampled_whole_as_by_axes(spark, monkeypatch):
+    draw = np.random.default_rng(7)
+    sizes = {2**60 + k: (tuple(map(int, draw.integers(2, 7, 3))), tuple(map(int, draw.integers(1, 9, 3)))) for k in range(12)}
+    rows = [(c, *map(int, at), float(draw.random())) for c, (old, _) in sizes.items() for at in np.ndindex(*old) if draw.random() < 0.4] + [(None, 0, 0, 0, 1.0)]
+    rows += [rows[0], (2**60, 50, 0, 0, 1.0)]
+    table = spark.createDataFrame(rows, _CELLS + ", value double")
+    known = spark.createDataFrame([(c, list(a), list(b)) for c, (a, b) in sizes.items()], "case_id long, old array<int>, new array<int>")
+    sent, real = [], resampling._multiplied
+    monkeypatch.setattr(resampling, "_multiplied", lambda *a: sent.append(1) or real(*a))
+    made = []
+    for small in (1 << 15, 120, 0):
+        sent.clear()
+        made.append({(r.case_id, r.x, r.y, r.z): r.value for r in resampling.resample_each(table, known, (3, 1, 0), small=small).collect()})
+        assert bool(sent) == (small < 1 << 15)
+    assert made[0].keys() == made[1].keys() == made[2].keys() and all(made[k][c] == pytest.approx(v, abs=1e-9) for k in (1, 2) for c, v in made[0].items())
+
+
 def test_small_masks_are_thinned_side_by_side(spark, monkeypatch):
     draw = np.random.default_rng(5)
     grids = {k: draw.random(tuple(draw.integers(3, 9, 3))) < 0.7 for k in range(12)}

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 SMALLEST, PADDED = 1e-9, 12
 #: Lines that a task multiplies at a time.
 LINES = 4_096
+#: Cells of a box, old or new along each axis, up to which a case is resampled whole; cells of boxes that are resampled at once, and that a bin of cases gets on average.
+SMALL_BOX, AT_ONCE, BIN_CELLS = 1 << 15, 1 << 20, 1 << 18
 
 
 def _hat(t: np.ndarray, order: int) -> np.ndarray:
@@ -101,13 +104,74 @@ def along(cells: DataFrame, axis: str, weights: np.ndarray, by: Sequence[str], v
     return _multiplied(cells, axis, keys, value, F.lit(old), F.lit(new), lambda a, b: weights).select(*by, "x", "y", "z", value)
 
 
-def resample_each(cells: DataFrame, shapes: DataFrame, orders: Sequence[int] = (3, 3, 3), by: Sequence[str] = ("case_id",), value: str = "value", case: str = "case_id") -> DataFrame:
-    """As :func:`resample`, every case from its own shape to its own: ``shapes(case, old, new)`` are arrays of three."""
+def _whole(cells: DataFrame, shapes: DataFrame, orders: Sequence[int], by: Sequence[str], value: str, case: str, size: float) -> DataFrame:
+    """:func:`resample_each` of small boxes: cells meet the shapes of their cases in bins of cases; ``size`` is about the number of all cells."""
+    bins = max(8 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size) // BIN_CELLS)
+    told = F.xxhash64(case)
+    binned = F.pmod(told, F.lit(bins)).alias("_bin")
+    rows = cells.filter(F.col(case).isNotNull()).select(*by, *[F.col(c).cast("long").alias(f"_{c}") for c in "xyz"], F.col(value).cast("double").alias("_v"), told.alias("_case"), F.xxhash64(*by).alias("_group"), binned)
+    known = shapes.filter(F.col(case).isNotNull()).select(told.alias("_case"), *[F.col(c)[k].cast("long").alias(f"{c}{k}") for c in ("old", "new") for k in range(3)], binned)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([*[left.schema.field(c) for c in by], *[pa.field(c, pa.int64()) for c in "xyz"], pa.field(value, pa.float64())])
+        out = [schema.empty_table()]
+        if not left.num_rows or not right.num_rows:
+            return out[0]
+        key, asked = right["_case"].to_numpy(), left["_case"].to_numpy()
+        order = np.argsort(key)
+        found = order[np.minimum(np.searchsorted(key[order], asked), len(key) - 1)]
+        sizes = np.stack([right[f"{c}{k}"].to_numpy() for c in ("old", "new") for k in range(3)], 1)
+        at, v = np.stack([left[f"_{c}"].to_numpy() for c in "xyz"], 1), left["_v"].to_numpy()
+        inside = np.flatnonzero((key[found] == asked) & ((at >= 0) & (at < sizes[found][:, :3])).all(1))
+        groups, at, v, found = left["_group"].to_numpy()[inside], at[inside], v[inside], found[inside]
+        _, lead, group = np.unique(groups, return_index=True, return_inverse=True)
+        own = sizes[found[lead]]  # of each group
+        for shape in np.unique(own, axis=0):
+            same = np.flatnonzero((own == shape).all(1))
+            some = max(1, AT_ONCE // int(np.maximum(shape[:3], shape[3:]).prod()))
+            for lo in range(0, len(same), some):
+                few = same[lo : lo + some]
+                place = np.full(len(lead), -1)
+                place[few] = np.arange(len(few))
+                hit = np.flatnonzero(place[group] >= 0)
+                cell = (place[group[hit]], *at[hit].T)
+                dense, there = np.zeros((len(few), *shape[:3])), np.zeros((len(few), *shape[:3]), np.float32)
+                np.add.at(dense, cell, v[hit])
+                there[cell] = 1
+                for k, (a, b, order) in enumerate(zip(shape[:3].tolist(), shape[3:].tolist(), orders, strict=True)):
+                    if a != b:
+                        weights = axis_weights(a, b, order)
+                        dense = np.moveaxis(np.tensordot(dense, weights, (k + 1, 1)), -1, k + 1)
+                        there = (np.moveaxis(np.tensordot(there, (weights != 0).astype(np.float32), (k + 1, 1)), -1, k + 1) > 0).astype(np.float32)
+                made = np.nonzero(there)
+                names = left.select(list(by)).take(pa.array(inside[lead[few[made[0]]]]))
+                out.append(pa.Table.from_arrays([*names.columns, *[pa.array(i) for i in made[1:]], pa.array(dense[made])], schema=schema))
+        return pa.concat_tables(out)
+
+    kinds = dict(cells.dtypes)
+    done = rows.groupBy("_bin").cogroup(known.groupBy("_bin")).applyInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "x long, y long, z long", f"`{value}` double"]))
+    return done.select(*by, "x", "y", "z", value)
+
+
+def resample_each(cells: DataFrame, shapes: DataFrame, orders: Sequence[int] = (3, 3, 3), by: Sequence[str] = ("case_id",), value: str = "value", case: str = "case_id", small: int = SMALL_BOX) -> DataFrame:
+    """As :func:`resample`, every case from its own shape to its own: ``shapes(case, old, new)`` are arrays of three.
+
+    Cases whose box has up to ``small`` cells are resampled along all axes at once, many of them in a task, so that their cells are sent once; all others axis by axis.
+    """
+    box = F.lit(1.0)
+    for k in range(3):
+        box = box * F.greatest(F.col("old")[k], F.col("new")[k])
+    facts = shapes.agg(F.max(box).alias("box"), F.sum(box).alias("cells")).first()
+    if (facts.box or 0) <= small:
+        return _whole(cells, shapes, orders, by, value, case, facts.cells or 0)
+    few, many = shapes.filter(box <= small), shapes.filter(box > small)
+    whole = _whole(cells, few, orders, by, value, case, facts.cells)
+    shapes = many
     for k, (axis, order) in enumerate(zip("xyz", orders, strict=True)):
         keys = [*by, *[c for c in "xyz" if c != axis]]
         told = cells.join(shapes.select(F.col(case), F.col("old")[k].alias("_o"), F.col("new")[k].alias("_n")), case)
         cells = _multiplied(told, axis, keys, value, F.col("_o"), F.col("_n"), lambda a, b, order=order: np.eye(a) if a == b else axis_weights(a, b, order)).select(*by, "x", "y", "z", value)
-    return cells
+    return whole.unionByName(cells)
 
 
 def winning_labels(shares: DataFrame, by: Sequence[str], label: str = "label", share: str = "_share") -> DataFrame:
