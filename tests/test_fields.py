@@ -128,6 +128,19 @@ def test_local_contrast_of_flat_slices(spark):
     assert ramp[0, 0] < ramp[0, 1] == ramp[1, 0] < ramp[1, 1]
 
 
+def test_local_contrast_of_small_slices_is_that_of_tables(spark):
+    draw = np.random.default_rng(12)
+    rows = [(c, x, y, z, None if draw.random() < 0.03 else float(draw.integers(0, 30)), f"{y}") for c in (2**60 + 1, None) for x in range(3) for y in range(9) for z in range(7) if draw.random() < 0.5 and (x or y < 5)]
+    table = spark.createDataFrame(rows, _CELLS + ", value double, note string").na.fill(0, ["case_id"])
+    made = []
+    for small in (1 << 15, 0):
+        out = values.equalize_locally(table, ["case_id", "x"], (9, 7), (3, 2), 8, 0.2, small=small)
+        assert ("FlatMapGroupsInArrow" in out._jdf.queryExecution().simpleString()) == (small > 0)
+        made.append({(r.case_id, r.x, r.y, r.z, r.note): r.value for r in out.collect()})
+    assert made[0].keys() == made[1].keys() and len(made[0]) == len(rows)
+    assert all(made[0][k] == (v if v is None else pytest.approx(v, abs=1e-9)) for k, v in made[1].items())
+
+
 def test_first_rows_of_groups_are_those_of_the_order(spark):
     rows = [(k % 3 if k % 10 else None, k) for k in range(20_000)]
     table = spark.createDataFrame(rows, "g int, k long")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -183,15 +186,78 @@ def cosine_rate(step: Column, first: int, warmup: int, high: float, low: float)
     return F.when(at < warmup, rise).otherwise(fall)
 
 
-def equalize_locally(cells: DataFrame, by: Sequence[str], shape: Sequence[int], tiles: Sequence[int] = (8, 8), bins: int = 256, clip: float = 0.01, across: Sequence[str] = ("y", "z"), value: str = "value") -> DataFrame:
+#: Cells of a slice, and entries of its histograms, up to which slices are equalised whole.
+SMALL_SLICE = 1 << 15
+
+
+def _equalized_slices(cells: DataFrame, by: Sequence[str], shape: Sequence[int], tiles: Sequence[int], bins: int, clip: float, across: Sequence[str], value: str) -> DataFrame:
+    """:func:`equalize_locally` of small slices, which meet in bins of slices."""
+    names, count = cells.columns, int(np.prod(tiles))
+    rows = cells.withColumns({"_slice": F.xxhash64(*by), "_v": F.col(value).cast("double")})
+    tasks = 8 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def solve(slices: np.ndarray, at: np.ndarray, v: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """New values of whole slices; NaN where the old one stays."""
+        order = np.argsort(slices, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(slices[order]) != 0))
+        own = np.empty(len(slices), np.int64)
+        own[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(slices))))
+        low = np.fmin.reduceat(v[order], first)[own]
+        high = np.maximum.reduceat(np.where(there, v, -np.inf)[order], first)[own]
+        varied = (high > low) | (np.isnan(high) & ~np.isnan(low))
+        with np.errstate(all="ignore"):
+            part = np.floor((v - low) / (high - low) * bins)
+        part = np.where(there, np.minimum(np.nan_to_num(part, nan=0.0), bins - 1), bins - 1).astype(np.int64)
+        tile = np.stack([at[:, k] * tiles[k] // shape[k] for k in (0, 1)], 1)
+        counted = varied & ((tile >= 0) & (tile < np.array(tiles))).all(1)
+        place = (own * tiles[0] + tile[:, 0]) * tiles[1] + tile[:, 1]
+        hist = np.bincount((place * bins + part)[counted], minlength=len(first) * count * bins).reshape(-1, bins).astype(float)
+        n = hist.sum(1, keepdims=True)
+        limit = np.maximum(1.0, clip * n)
+        spare = np.maximum(hist - limit, 0).sum(1, keepdims=True)
+        with np.errstate(all="ignore"):
+            maps = (np.cumsum(np.minimum(hist, limit), 1) + np.arange(1, bins + 1) * spare / bins) / n
+        total, weight = np.zeros(len(v)), np.zeros(len(v))
+        near = [(at[:, k] + 0.5) * tiles[k] / shape[k] - 0.5 for k in (0, 1)]
+        for s in (0, 1):
+            for t in (0, 1):
+                to = [np.clip(np.floor(p) + step, 0, tiles[k] - 1).astype(np.int64) for k, (p, step) in enumerate(zip(near, (s, t), strict=True))]
+                w = np.prod([1 - np.abs(p - (np.floor(p) + step)) for p, step in zip(near, (s, t), strict=True)], axis=0)
+                place = (own * tiles[0] + to[0]) * tiles[1] + to[1]
+                known = n[place, 0] > 0
+                total += np.where(known, w * np.nan_to_num(maps[place, part]), 0)
+                weight += np.where(known, w, 0)
+        with np.errstate(all="ignore"):
+            return np.where(varied & (weight > 0), total / weight, np.nan)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        v, slices = table["_v"].to_numpy().astype(float), table["_slice"].to_numpy()
+        at, there = np.stack([table[c].to_numpy() for c in across], 1).astype(np.int64), ~table["_v"].is_null().to_numpy()
+        # whole slices, about a million entries of their histograms at once
+        few = np.unique(slices, return_inverse=True)[1] // max(1, (1 << 20) // (count * bins))
+        new = np.full(len(v), np.nan)
+        for k in range(int(few.max()) + 1):
+            some = np.flatnonzero(few == k)
+            new[some] = solve(slices[some], at[some], v[some], there[some])
+        made = pc.if_else(pa.array(np.isnan(new)), table["_v"], pa.array(new))
+        return table.set_column(table.schema.get_field_index(value), value, made).select(names)
+
+    kinds = ", ".join(f"`{c}` double" if c == value else f"`{c}` {kind}" for c, kind in cells.dtypes)
+    return rows.groupBy(F.pmod("_slice", F.lit(tasks)).alias("_bin")).applyInArrow(run, kinds)
+
+
+def equalize_locally(cells: DataFrame, by: Sequence[str], shape: Sequence[int], tiles: Sequence[int] = (8, 8), bins: int = 256, clip: float = 0.01, across: Sequence[str] = ("y", "z"), value: str = "value", small: int = SMALL_SLICE) -> DataFrame:
     """``cells(*by, a, b, value)`` with ``value`` equalised within each slice: contrast-limited local histograms, values from 0 to 1.
 
     A slice's values are scaled by their least and largest. Each of its ``tiles`` has a histogram of ``bins`` parts, of which no part counts for more than ``clip`` of the tile (one cell at least); what is above is
     shared out among all parts. A cell's value is the mean of what the sums of the four tiles around it say of its part, weighed by how near their middles are. Slices of one value stay as they are.
 
-    Tiles are groups of an aggregate and their maps a table of ``tiles * bins`` rows a slice, joined by key; a cell asks for four of them.
+    Slices of shapes, and histograms, of up to ``small`` entries are solved whole, many of them in a task. Of others, tiles are groups of an aggregate and their maps a table of ``tiles * bins`` rows a slice, joined by key; a cell asks for four of them.
     """
     a, b = across
+    if max(shape[0] * shape[1], tiles[0] * tiles[1] * bins) <= small:
+        return _equalized_slices(cells, by, shape, tiles, bins, clip, across, value)
     facts = with_facts(cells, by, _low=F.min(value), _high=F.max(value))
     scaled = facts.filter("_high > _low").withColumn("_v", (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")))
     scaled = scaled.withColumn("_bin", F.least(F.floor(F.col("_v") * bins), F.lit(bins - 1)))
