@@ -138,6 +138,50 @@ def test_suffix_tree_leaves_no_counts_behind(spark):
     assert [p.rsplit("/", 1)[-1] for p in removed if "length=" in p] == [f"length={n}" for n in (2, 3, 4, 5)] and len(removed) == 8
 
 
+def test_suffix_tree_hashes_words_in_arrays(monkeypatch):
+    """No call for each word; texts are cut as ``bytes.split`` cuts them, and equal words alone have equal hashes."""
+    draw = random.Random(7)
+    parts = ["a", "B", "b", "\0", " ", "\n", "\x0b", "\x1c", "\xa0", "é", "abcdefgh", "abcdefghi"]
+    texts = [draw.choice([None, "", " ", "".join(draw.choice(parts) for _ in range(draw.randint(0, 12)))]) for _ in range(400)] + [f"w{k}" for k in range(3000)]
+
+    def hashed(texts):
+        batch, found, size = suffix_tree.pa.RecordBatch.from_pydict({"t": suffix_tree.pa.array(["left out", *texts])}).slice(1), {}, 0
+        for _, first, h, lengths in suffix_tree._streams(iter([batch]), 0):
+            assert first == size
+            size += len(lengths)
+            own = [(t or "").encode().lower().split() for t in texts[first:size]]
+            assert lengths.tolist() == [len(w) + 1 for w in own]
+            for word, key in zip([b"", *(x for w in own for x in [*w, b""])], h.tolist(), strict=True):
+                assert found.setdefault(word, key) == key
+        assert size == len(texts) and len(set(found.values())) == len(found) and found[b""] == int(suffix_tree.END)
+        return found
+
+    monkeypatch.setattr(suffix_tree, "BLOCK", 300)
+    long = hashed(["x" * 64, "x" * 65, "x" * 64 + "y", "x" * 5000, "x" * 65])
+    assert len(long) == 5
+    monkeypatch.delattr(suffix_tree.xxhash, "xxh3_64_intdigest")
+    assert len(hashed(texts)) > 3000
+
+
+def test_suffix_tree_filter_lets_little_through():
+    keys = np.random.default_rng(3).integers(0, 2**64 - 1, 200_000, np.uint64)
+    bits = np.zeros(1 << 20, bool)  # five for each of the keys marked
+    for at in suffix_tree.Filter.places(keys[:190_000], 20):
+        bits[at.astype(np.int64)] = True
+    found = suffix_tree.Filter(np.packbits(bits, bitorder="little"), 20).has(keys)
+    assert found[:190_000].all() and found[190_000:].mean() < 0.09
+
+
+def test_suffix_tree_joins_with_what_is_not_hot(spark):
+    rows = [(k, f"a b c d e f g{k % 7} h{k % 7} i " * 3) for k in range(60)]
+    tables = suffix_tree.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    tree, *more = suffix_tree.hot(*tables, hot_tokens=9, hot_runs=12)
+    for there, rest, name in zip((tree.symbols, tree.states, tree.moves), more, ("token", "key", "key"), strict=True):
+        keys = np.array([r[0] for r in rest.select(name).collect()], np.int64).view(np.uint64)
+        assert len(keys) and np.isnan(there.get(keys)).all()
+    assert not np.isnan(tree.moves.cells["value"]).all()
+
+
 def test_suffix_tree_awkward_rows(spark):
     got = suffix_tree.scores(docs(spark), F.col("doc_id") % 2 == 1).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in DOCS)

@@ -21,42 +21,13 @@ DEPTH, C_MIN = 4, 3
 #: Taken from the count of each stored transition for those that aren't; nats by which a context must improve its training text.
 DISCOUNT, DIVERGENCE = 0.75, 8.0
 #: The most counted tokens and transitions (and a quarter as many states) that every task holds: so many at most, whatever the corpus. All others are joined by key.
-HOT_TOKENS, HOT_RUNS = 1 << 19, 1 << 21
+HOT_TOKENS, HOT_RUNS = 1 << 19, 5 << 20
 #: Bytes of text handled at once, runs of a length that a task sums before it sends them on, and bytes of training text for each slice of the counts.
 BLOCK, SUMMED, SLICE = 1 << 20, 1_000_000, 2 << 20
 #: Most bits of a filter of stored runs, as a power of two, and the parts into which a task's bits are cut.
 FILTER_BITS, _PARTS = 25, 64
-_KEPT_WORDS = 100_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < _KEPT_WORDS:
-            self[word] = h
-        return h
-
-
-_HASHES = _WordHashes()
-#: The end of a text; no word is empty. Before the first word it stands as the context.
-END = np.uint64(xxhash.xxh3_64_intdigest(b""))
-
-
-def _streams(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
-    """(batch, first row, token hashes, tokens of each text) of runs of whole texts: ``END``, the words of a text, ``END``, the next text's, ..."""
-    for batch in batches:
-        texts = batch.column(column).cast(pa.large_binary())
-        words, lengths, size, first = [b""], [], 0, 0
-        for row, text in enumerate(texts):
-            own = (text.as_py() or b"").lower().split()
-            words += own
-            words.append(b"")
-            lengths.append(len(own) + 1)
-            size += 8 * len(own)
-            if size >= BLOCK or row == len(texts) - 1:
-                yield batch, first, np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)), np.array(lengths)
-                words, lengths, size, first = [b""], [], 0, row + 1
-
+#: Longer words, in bytes, are hashed one by one.
+_LONG_WORD = 64
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -84,6 +55,54 @@ def run_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return h
 
 
+#: The bytes that separate words, and what is left of eight bytes of which so many belong to a word.
+_BREAKS = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words ``text[start:end]``, eight bytes of all of them at a time."""
+    eights = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    h, left, at = run_key(size.astype(np.uint64), eights[start] & _KEEP[np.minimum(size, 8)]), np.flatnonzero((size > 8) & (size <= _LONG_WORD)), 8
+    while len(left):
+        h[left] = run_key(h[left], eights[start[left] + at] & _KEEP[np.minimum(size[left] - at, 8)])
+        at += 8
+        left = left[size[left] > at]
+    for k in np.flatnonzero(size > _LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(text[start[k] : end[k]])
+    return h
+
+
+#: The end of a text; no word is empty. Before the first word it stands as the context.
+END = word_hashes(b"", np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
+
+
+def _streams(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """(batch, first row, token hashes, tokens of each text) of runs of whole texts: ``END``, the words of a text, ``END``, the next text's, ..."""
+    for batch in batches:
+        texts = batch.column(column).cast(pa.large_binary()).fill_null(b"")
+        _, places, data = texts.buffers()
+        bounds = np.frombuffer(places, np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        first = 0
+        while first < len(texts):
+            last = min(int(np.searchsorted(bounds, bounds[first] + BLOCK)), len(texts))  # the first text that ends there or later, or all
+            own = bounds[first : last + 1] - bounds[first]
+            text = data.slice(bounds[first], own[-1]).to_pybytes().lower() if own[-1] else b""
+            # a word begins and ends where words and breaks meet, or texts
+            inside = np.concatenate([[False], ~_BREAKS[np.frombuffer(text, np.uint8)], [False]])
+            turns = inside[1:] != inside[:-1]
+            cuts = own[inside[own] & inside[own + 1]]  # one word ends and the next one begins
+            turns[cuts] = False
+            turns = np.flatnonzero(turns)
+            start, end = np.sort(np.concatenate([turns[::2], np.unique(cuts)])), np.sort(np.concatenate([turns[1::2], np.unique(cuts)]))
+            words = np.diff(np.searchsorted(start, own))
+            h = np.full(len(start) + len(words) + 1, END)
+            h[np.arange(1, len(start) + 1) + np.repeat(np.arange(len(words)), words)] = word_hashes(text, start, end)
+            yield batch, first, h, words + 1
+            first = last
+
+
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that puts equal keys together, and where each distinct key starts in it."""
     order = np.argsort(keys)
@@ -92,65 +111,71 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Table:
-    """Values by key, held in two flat arrays: a key's place follows from its high bits, and 32 of its low bits tell it from others there.
+    """Values by key, held in one flat array: a key's place follows from its high bits, and 32 of its low bits tell it from others there.
 
-    Places are twice the keys at least, and a key goes to the first free one from its own on.
+    Places are one and a half times the keys at least, and a key goes to the first free one from its own on.
     """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.power = max(4, (2 * len(keys) - 1).bit_length())
-        self.marks, self.values = np.zeros(1 << self.power, np.uint32), np.full(1 << self.power, np.nan, values.dtype)
-        marks, at, left = keys.astype(np.uint32), self._places(keys), np.arange(len(keys))
-        owner = np.full(1 << self.power, -1, np.int64)
+        self.power = max(4, (3 * len(keys) // 2).bit_length())
+        self.cells = np.zeros(1 << self.power, np.dtype([("value", values.dtype), ("mark", np.uint32)], align=True))
+        self.cells["value"] = np.nan
+        marks, at, left = keys.astype(np.uint32), self._places(keys).astype(np.int32), np.arange(len(keys), dtype=np.int32)
+        owner = np.full(1 << self.power, -1, np.int32)
         while len(left):
             free = owner[at[left]] < 0
             owner[at[left[free]]] = left[free]  # of several the last one stays
             left = left[owner[at[left]] != left]
             at[left] = (at[left] + 1) & ((1 << self.power) - 1)
         there = np.flatnonzero(owner >= 0)
-        self.marks[there], self.values[there] = marks[owner[there]], values[owner[there]]
+        self.cells["mark"][there], self.cells["value"][there] = marks[owner[there]], values[owner[there]]
 
     def _places(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.power)).astype(np.int64)
+            return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.power)).view(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key, NaN where there is none."""
         at, marks = self._places(keys), keys.astype(np.uint32)
-        out, wrong = self.values[at], self.marks[at] != marks
+        found = self.cells.take(at)
+        out, wrong = found["value"].copy(), found["mark"] != marks
         left = np.flatnonzero(wrong & ~np.isnan(out))
         out[wrong] = np.nan
         while len(left):
             at[left] = (at[left] + 1) & ((1 << self.power) - 1)
-            found = self.values[at[left]]
-            wrong = self.marks[at[left]] != marks[left]
-            out[left[~wrong]] = found[~wrong]
-            left = left[wrong & ~np.isnan(found)]
+            found = self.cells.take(at[left])
+            wrong = found["mark"] != marks[left]
+            out[left[~wrong]] = found["value"][~wrong]
+            left = left[wrong & ~np.isnan(found["value"])]
         return out
 
 
 @dataclass
 class Filter:
-    """Two bits for each of a set of keys: what isn't in it for certain. Its size has a bound; beyond that it lets more through."""
+    """Four bits for each of a set of keys: what isn't in it for certain. Its size has a bound; beyond that it lets more through."""
 
     bits: np.ndarray
     power: int
 
     @staticmethod
-    def places(keys: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
-        shift = np.uint64(64 - power)
+    def places(keys: np.ndarray, power: int) -> Iterator[np.ndarray]:
         with np.errstate(over="ignore"):
-            return (keys * np.uint64(0xD6E8FEB86659FD93)) >> shift, ((keys ^ (keys >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)) >> shift
+            place, step = keys * np.uint64(0xD6E8FEB86659FD93), (keys ^ (keys >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
+            for _ in range(4):
+                yield place >> np.uint64(64 - power)
+                place = place + step
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        one, two = self.places(keys, self.power)
-        bit = lambda at: self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-        return (bit(one) & bit(two)) > 0
+        found = np.ones(len(keys), np.uint8)
+        for at in self.places(keys, self.power):
+            found &= self.bits.take((at >> np.uint64(3)).view(np.int64)) >> (at.astype(np.uint8) & np.uint8(7))
+        return (found & 1).view(bool)
 
 
 def _filter(keyed: DataFrame) -> Filter:
     """The filter of the column ``key`` of a stored table."""
-    power = min(FILTER_BITS, max(16, (12 * keyed.count()).bit_length()))
+    rows = keyed.count()
+    power, tasks = min(FILTER_BITS, max(16, (12 * rows).bit_length())), min(256, 1 + rows // 1_000_000)
     part = (1 << power) // 8 // _PARTS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +193,11 @@ def _filter(keyed: DataFrame) -> Filter:
         return pd.DataFrame({"part": rows["part"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
 
     kind = "part int, bits binary"
-    tasks = keyed.select("key").coalesce(256).mapInArrow(mark, kind).withColumn("_some", F.pmod(F.spark_partition_id(), F.lit(16)))
-    some = tasks.groupBy("part", "_some").applyInPandas(lambda rows: unite(rows), kind)
-    found = some.groupBy("part").applyInPandas(unite, kind).toPandas().sort_values("part")
+    made = keyed.select("key").coalesce(tasks).mapInArrow(mark, kind)
+    if tasks > 16:
+        some = made.withColumn("_some", F.pmod(F.spark_partition_id(), F.lit(16)))
+        made = some.groupBy("part", "_some").applyInPandas(lambda rows: unite(rows), kind)
+    found = made.groupBy("part").applyInPandas(unite, kind).toPandas().sort_values("part")
     return Filter(np.frombuffer(b"".join(found["bits"]) or bytes((1 << power) // 8), np.uint8), power)
 
 
@@ -186,10 +213,16 @@ def _slice(before: np.ndarray, key: np.ndarray, slices: int) -> np.ndarray:
 
 def _blocks(length: int, before: np.ndarray, after: np.ndarray, slices: int) -> pa.RecordBatch:
     """(length, slice, block) of the counts of runs: a block has the distinct ``before``, how often each stands, then ``after`` and the counts."""
-    key = run_key(before, after)
-    order, first = _grouped(key)
-    counts, at = np.diff(np.append(first, len(key))), order[first]
-    place, before, after = _slice(before[at], key[at], slices), before[at], after[at]
+    if length == 1:  # all have one ``after``
+        before, counts = np.unique(before, return_counts=True)
+        after = np.zeros_like(before)
+        key = run_key(before, after)
+    else:
+        key = run_key(before, after)
+        order, first = _grouped(key)
+        counts, at = np.diff(np.append(first, len(key))), order[first]
+        key, before, after = key[at], before[at], after[at]
+    place = _slice(before, key, slices)
     # by slice, and in it by ``before``
     order = np.argsort((place << np.uint64(44)) | (before >> np.uint64(20))) if slices < 1 << 19 else np.lexsort((before, place))
     place, before, after, counts = place[order].astype(np.int64), before[order], after[order], counts[order].astype("<u4")
@@ -219,13 +252,11 @@ def _merged(rows: pd.DataFrame, least: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"length": np.int32(length), "pre": before[at][kept].view(np.int64), "suf": after[at][kept].view(np.int64), "c": total[kept]})
 
 
-def _counted(train: DataFrame, text_col: str, runs, path: str) -> DataFrame:
+def _counted(train: DataFrame, text_col: str, runs, path: str, slices: int) -> DataFrame:
     """A stored table ``(length, pre, suf, c)`` of what ``runs`` finds in a stream of tokens: (length, runs without their last, without their first token).
 
-    A token has a ``suf`` of 0. Slices follow the size of the texts, so what a task merges at once has a bound.
+    A token has a ``suf`` of 0. ``slices`` follows the size of the texts, so what a task merges at once has a bound.
     """
-    size = train.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    slices = max(1, -(-size // SLICE))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -382,7 +413,9 @@ def learn(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple
     """
     spark = train.sparkSession
     path = common.scratch_path(spark, "grams")
-    grams, paths = _counted(train, text_col, _short, path), {2: path}
+    size = train.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    slices = max(1, -(-size // SLICE))
+    grams, paths = _counted(train, text_col, _short, path, slices), {2: path}
     tokens = grams.filter("length = 1").select(F.col("pre").alias("token"), "c")
     facts = tokens.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     root = F.log10((F.col("c") + 0.5) / F.lit((facts.n or 0) + 0.5 * (facts.v + 1)))
@@ -396,7 +429,7 @@ def learn(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple
             share, path = spark.sparkContext.broadcast, common.scratch_path(spark, f"grams{n + 1}")
             lengths = range(3, 4) if n == 2 else range(4, depth + 2)
             parts, reached = share(_filter(of_length(n).select(key.alias("key")))), share(_filter(states))
-            tables |= dict.fromkeys(lengths, _counted(train, text_col, lambda h, a=(lengths, n, depth), b=parts, c=reached: _long(*a, b.value, c.value)(h), path))
+            tables |= dict.fromkeys(lengths, _counted(train, text_col, lambda h, a=(lengths, n, depth), b=parts, c=reached: _long(*a, b.value, c.value)(h), path, slices))
             paths |= dict.fromkeys(lengths, path)
             for filters in (parts, reached):  # the counts are written
                 filters.unpersist()
@@ -409,29 +442,30 @@ def learn(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple
     return tokens, *(reduce(DataFrame.unionByName, parts) for parts in found)
 
 
-def _most(table: DataFrame, rows: int) -> tuple[pd.DataFrame, DataFrame]:
-    """The most counted rows of a table, ``rows`` at most: from the count on that no more reach (to an eighth of a power of two). And the rest as a table."""
+def _most(table: DataFrame, rows: int, *names: str) -> tuple[pd.DataFrame, DataFrame]:
+    """The columns ``names`` of the most counted rows of a table, ``rows`` at most: from the count on that no more reach (to an eighth of a power of two). And the rest as a table."""
     step = F.floor(F.log2("c") * 8)
     found = table.groupBy(step.alias("step")).count().toPandas().sort_values("step", ascending=False)  # a few hundred rows
     fits = found.loc[found["count"].cumsum() <= rows, "step"]
     least = int(fits.min()) if len(fits) else 1 << 30
-    return table.filter(step >= least).toArrow().to_pandas(), table.filter(step < least)
+    return table.filter(step >= least).select(*names).toArrow().to_pandas(), table.filter(step < least)
 
 
-def hot(tokens: DataFrame, states: DataFrame, moves: DataFrame, depth: int = DEPTH, hot_tokens: int = HOT_TOKENS, hot_runs: int = HOT_RUNS) -> Tree:
-    """What of the tables of :func:`learn` every task holds: the most counted rows of each, a fixed number at most."""
+def hot(tokens: DataFrame, states: DataFrame, moves: DataFrame, depth: int = DEPTH, hot_tokens: int = HOT_TOKENS, hot_runs: int = HOT_RUNS) -> tuple[Tree, DataFrame, DataFrame, DataFrame]:
+    """What of the tables of :func:`learn` every task holds: the most counted rows of each, a fixed number at most. Then the other rows of the three tables."""
     facts = tokens.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
 
     root = lambda c: np.log10((c + 0.5) / (int(facts.n or 0) + 0.5 * (int(facts.v) + 1)))
 
     def most(table: DataFrame, name: str, rows: int, value: str) -> tuple[Table, DataFrame]:
-        found, rest = _most(table.select(name, "c", *({value} - {"c"})), rows)
+        found, rest = _most(table.select(name, "c", *({value} - {"c"})), rows, name, value)
         values = root(found["c"].to_numpy(float)) if value == "c" else found[value].to_numpy(np.float32)
         return Table(found[name].to_numpy(np.int64).view(np.uint64), values), rest
 
-    symbols, _ = most(tokens, "token", hot_tokens, "c")
+    symbols, more_tokens = most(tokens, "token", hot_tokens, "c")
     (heads, more_heads), (tails, more_tails) = most(states, "key", hot_runs // 4, "after"), most(moves, "key", hot_runs, "own")
-    return Tree(symbols, heads, tails, int(facts.n or 0), int(facts.v), _filter(more_heads), _filter(more_tails), depth)
+    tree = Tree(symbols, heads, tails, int(facts.n or 0), int(facts.v), _filter(more_heads), _filter(more_tails), depth)
+    return tree, more_tokens, more_heads, more_tails
 
 
 def scores(
@@ -449,7 +483,7 @@ def scores(
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(train_when, F.lit(False)).alias("_train"))
     tokens, heads, tails = learn(docs.filter("_train"), "_text", depth)
-    tree = hot(tokens, heads, tails, depth, hot_tokens, hot_runs)
+    tree, tokens, heads, tails = hot(tokens, heads, tails, depth, hot_tokens, hot_runs)  # the tables without what is hot
     shared = docs.sparkSession.sparkContext.broadcast(tree)
     lists = T.ArrayType(T.LongType())
     schema = T.StructType([docs.schema["_id"], docs.schema["_train"]]).add("n", "long").add("known", "long").add("base", "double").add("made", "double").add("rare", lists).add("states", lists).add("runs", lists)
