@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,11 +25,26 @@ DISCOUNT, DIVERGENCE = 0.75, 8.0
 HOT_TOKENS, HOT_RUNS = 1 << 19, 5 << 20
 #: Bytes of text handled at once, runs of a length that a task sums before it sends them on, and bytes of training text for each slice of the counts.
 BLOCK, SUMMED, SLICE = 1 << 20, 1_000_000, 2 << 20
+#: Texts that are sent to a Python worker at once: JVM and worker each hold one such batch for a task.
+ROWS = 1000
 #: Most bits of a filter of stored runs, as a power of two, and the parts into which a task's bits are cut.
 FILTER_BITS, _PARTS = 25, 64
 #: Longer words, in bytes, are hashed one by one.
 _LONG_WORD = 64
 
+
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Batches of ``ROWS`` rows for what is run within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -279,7 +295,8 @@ def _counted(train: DataFrame, text_col: str, runs, path: str, slices: int) -> D
 
     sent = train.select(text_col).mapInArrow(count, "length int, slice long, block binary")
     merged = sent.groupBy("slice").applyInPandas(lambda rows: pd.concat([*_merged(rows, C_MIN)]), "length int, pre long, suf long, c long")
-    return common.stored(merged, path, "length")
+    with _few_rows(train.sparkSession):
+        return common.stored(merged, path, "length")
 
 
 def _short(h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -510,7 +527,8 @@ def scores(
             )
 
     # the rows' numbers are fixed once they are written
-    rows = common.stored(docs.select("_id", "_text", "_train").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
+    with _few_rows(docs.sparkSession):
+        rows = common.stored(docs.select("_id", "_text", "_train").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
     shared.unpersist()
     none = float(tree.root(0))
     root = F.log10((F.col("c") + 0.5) / F.lit(tree.tokens + 0.5 * (tree.distinct + 1)))
