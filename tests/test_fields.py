@@ -226,3 +226,60 @@ def test_small_boxes_are_solved_whole_and_agree_with_planes(spark, monkeypatch):
     for r in got:
         near = [(r.x - x) ** 2 + 4 * (r.y - y) ** 2 + 9 * (r.z - z) ** 2 for g, x, y, z in sites if g == r.case_id]
         assert r.d2 == (min(near) if near else None)
+
+
+def _hausdorff_by_hand(cells, spacing, alpha, most):
+    """The loss of each case of ``(case, label, x, y, z, p, y)``, a pair of cells at a time."""
+    near = lambda a, others: min((sum(((s - t) * w) ** 2 for s, t, w in zip(a[2:5], b[2:5], spacing, strict=True)) for b in others), default=0) ** 0.5
+    weights = {}
+    for a in cells:
+        same = [b for b in cells if b[:2] == a[:2] and None not in b[2:5]]
+        fg = bg = 0.0
+        for m, on in ((5, True), (6, False)):
+            if None in a[2:5] or a[m] is None:
+                continue
+            inside = a[m] > 0.5
+            w = min(near(a, [b for b in same if b[m] is not None and (b[m] > 0.5) != inside]), most) ** alpha
+            fg, bg = (fg + w, bg) if inside == on else (fg, bg + w)
+        weights.setdefault(a[0], []).append((None if a[5] is None or a[6] is None else (a[5] - a[6]) ** 2, fg, bg))
+    out = {}
+    for case, rows in weights.items():
+        means = [sum(e * r[k] for e, *r in rows if e is not None and r[k]) / n if (n := sum(e is not None and r[k] != 0 for e, *r in rows)) else None for k in (0, 1)]
+        out[case] = 0.0 if None in means else 0.5 * sum(means)
+    return out
+
+
+@pytest.mark.parametrize(("edge", "batch"), [(32, 7), (6, 7), (6, 10_000), (2, 10_000)])
+def test_hausdorff_losses_of_small_and_large_boxes(spark, monkeypatch, edge, batch):
+    monkeypatch.setattr(distance, "EDGE", edge)
+    draw = random.Random(4)
+    cells = []
+    for case in ("a", "b", None, "c"):
+        for label, wide in ((1, 4), (2, 7), (3, 5)):
+            at = {tuple(draw.randrange(wide) - 2 for _ in "xyz") for _ in range(25)} | ({(-40, 30, 9)} if (case, label) == ("c", 3) else set())
+            cells += [(case, label, *c, draw.choice([0.1, 0.3, 0.7, 0.9, None]), draw.choice([0, 1, 1, None] if label == 1 else [0, 1])) for c in sorted(at)]
+    cells += [("d", 1, None, 0, 0, 0.5, 1), ("e", 1, 0, 0, 0, 0.9, 1)]
+    table = spark.createDataFrame(cells, "case_id string, label int, x long, y long, z long, p double, y01 int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {r.case_id: r.loss for r in losses.hausdorff_loss(table, "case_id", "label", most=3.0, spacing=(1, 2, 0.5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = _hausdorff_by_hand(cells, (1, 2, 0.5), 2.0, 3.0)
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
+
+
+def test_hausdorff_losses_send_each_line_once(spark):
+    from tests.conftest import SMALL
+    from voxmill.plans import fields
+
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = sent()
+    assert fields.hausdorff_losses(spark, SMALL).collect()
+    assert 0 < sent() - before < 25 * spark.read.parquet(f"{SMALL}/lineitem.parquet").count()

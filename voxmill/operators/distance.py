@@ -109,7 +109,7 @@ def _columns(rows: pd.DataFrame, step: float, tile: int) -> pd.DataFrame:
     return rows.assign(d2=d2)[asks][["_group", "x", "y", "z", "d2"]]
 
 
-def _least(grid: np.ndarray, axis: int, step: float) -> np.ndarray:
+def least(grid: np.ndarray, axis: int, step: float) -> np.ndarray:
     """``out[i]``: the least of ``grid[j] + (step * (i - j))**2`` over the places ``j`` of a short axis, tried one after another."""
     lines = np.moveaxis(grid, axis, 0)
     out, at = np.full_like(lines, np.inf), np.arange(len(lines))
@@ -137,7 +137,7 @@ def _boxes(rows: pd.DataFrame, spacing: Sequence[float]) -> pd.DataFrame:
         grid = np.full((*wide, hi - lo), np.inf)
         grid[tuple(place[on].T)] = 0.0
         for axis in range(3):
-            grid = _least(grid, axis, spacing[axis])
+            grid = least(grid, axis, spacing[axis])
         asked = np.zeros(grid.shape, bool)
         asked[tuple(place[~on].T)] = True
         found = np.argwhere(asked)

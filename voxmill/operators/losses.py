@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voxmill.operators import distance
+from voxmill.operators import distance, shared
 
 
 def soft_counts(cells: DataFrame, by: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
@@ -155,22 +157,122 @@ def soft_centre_line_loss(cells: DataFrame, case: str, label: str, p: str = "p",
     return sums.groupBy(*([] if batch else [case])).agg((-F.avg(precision * recall / F.greatest(precision + recall, F.lit(clip)))).alias("loss"))
 
 
+def _weighed(at: np.ndarray, number: np.ndarray, sides: np.ndarray, alpha: float, most: float | None, spacing: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """The two weights of :func:`hausdorff_loss` of each cell in small boxes that are numbered from 0 on; ``sides`` tells of each whether it is inside and outside of the prediction and of the truth."""
+    first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    local = at - np.minimum.reduceat(at, first)[number]
+    grid = np.full((*(local.max(0) + 1), len(first), 4), np.inf)
+    place = (*local.T, number)
+    for side in range(4):  # the distance to a cell of the other side
+        grid[(*(c[sides[:, side ^ 1]] for c in place), side)] = 0.0
+    for axis in range(3):
+        grid = distance.least(grid, axis, spacing[axis])
+    d = np.sqrt(grid[place])
+    d = np.where(sides & np.isfinite(d), d, 0.0)
+    w = (d if most is None else np.minimum(d, most)) ** alpha
+    return w[:, 0] + w[:, 3], w[:, 1] + w[:, 2]
+
+
+#: What :func:`_sums_of_boxes` reads of each cell besides its case.
+_CELL = ("_group", "_little", "x", "y", "z", "_inside", "_outside", "_true", "_false", "_error")
+
+
+def _sums_of_boxes(batches: Iterator[pa.RecordBatch], alpha: float, most: float | None, spacing: Sequence[float]) -> Iterator[pa.RecordBatch]:
+    """For each small group its case, the sums and numbers of weighted errors; for a large one its case and ``_large``. The rows of a group follow one another."""
+
+    def solved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, little = (rows.column(c).to_numpy() for c in ("_group", "_little"))
+        sides = np.column_stack([rows.column(c).to_numpy() for c in ("_inside", "_outside", "_true", "_false")])
+        known, error = rows.column("_error").is_valid().to_numpy(), rows.column("_error").fill_null(0.0).to_numpy()
+        at = np.column_stack([rows.column(c).fill_null(0).to_numpy() for c in "xyz"])
+        placed = np.logical_and.reduce([little, *(rows.column(c).is_valid().to_numpy() for c in "xyz")])
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        number = np.cumsum(np.isin(np.arange(len(group)), first)) - 1
+        fg, bg = np.zeros(len(group)), np.zeros(len(group))
+        own = np.flatnonzero(placed)
+        if len(own):
+            starts = np.flatnonzero(np.append(True, number[own][1:] != number[own][:-1]))
+            until = np.append(starts[1:], len(own))
+            sizes = np.maximum.reduceat(at[own], starts) - np.minimum.reduceat(at[own], starts) + 1
+            lo = 0
+            while lo < len(starts):
+                hi, wide = lo + 1, sizes[lo]
+                while hi < len(starts) and 4 * (hi + 1 - lo) * np.prod(np.maximum(wide, sizes[hi])) <= distance.SIDE_BY_SIDE:
+                    wide, hi = np.maximum(wide, sizes[hi]), hi + 1
+                here = own[starts[lo] : until[hi - 1]]
+                fg[here], bg[here] = _weighed(at[here], np.repeat(np.arange(hi - lo), (until - starts)[lo:hi]), sides[here], alpha, most, spacing)
+                lo = hi
+        sums = []
+        for w in (fg, bg):
+            counts = known & (w != 0)
+            sums += [np.add.reduceat(np.where(counts, error * w, 0.0), first), np.add.reduceat(counts.astype(np.int64), first)]
+        out = pa.table([rows.column("_case").take(pa.array(first)), *map(pa.array, sums), pa.array(~little[first])], names=["_case", *_SUMS, "_large"])
+        yield from out.combine_chunks().to_batches()
+
+    held: list[pa.RecordBatch] = []  # the rows of the last group so far, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group, little = batch.column("_group").to_numpy(), batch.column("_little").to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(group[1:] != group[:-1]) + 1
+        if held and held[-1].column("_group")[-1].as_py() != group[0]:
+            yield from solved(pa.Table.from_batches(held))
+            held = []
+        if len(begins):
+            yield from solved(pa.Table.from_batches([*held, batch.slice(0, begins[-1])]))
+            held = []
+        rest = batch.slice(begins[-1] if len(begins) else 0)
+        if little[-1] or not held:
+            held.append(rest if little[-1] else rest.slice(0, 1))  # one row stands for a large group
+    if held:
+        yield from solved(pa.Table.from_batches(held))
+
+
+#: The sum and number of errors weighted one way and the other.
+_SUMS = ("_fg", "_nfg", "_bg", "_nbg")
+
+
 def hausdorff_loss(cells: DataFrame, case: str, label: str, p: str = "p", y: str = "y01", alpha: float = 2.0, most: float | None = None, spacing: Sequence[float] = (1, 1, 1)) -> DataFrame:
-    """``(case, loss)``: squared errors of the probabilities weighted by distances to the borders of both masks, over the classes of ``cells(case, label, x, y, z, p, y)``.
+    """``(case, loss)``: squared errors of the probabilities weighted by distances to the borders of both masks, over the classes of ``cells(case, label, x, y, z, p, y)``, which has a cell of a class once.
 
     Cells inside of one mask and outside of the other weigh by their distances to the other side, to the power ``alpha`` and ``most`` at most: half of the mean over cells that are inside of the
     prediction or outside of the truth, plus half of that over cells outside of the prediction or inside of the truth. A mask that is empty or fills all cells has distances of zero.
+
+    Classes of a case are put together once, by no shuffle if cases are together already; those whose box is small (:data:`distance.SMALL`) are summed where they stand, many side by side. Only
+    the cells of larger ones are sent on (:func:`distance.squared_distances`).
     """
-    maps = F.array(F.struct(F.lit("p").alias("map"), (F.col(p) > 0.5).alias("on")), F.struct(F.lit("y").alias("map"), (F.col(y) > 0.5).alias("on")))
-    rows = cells.select(case, label, "x", "y", "z", F.col(p).alias("_p"), F.col(y).cast("double").alias("_y"), F.explode(maps).alias("_m")).select(case, label, "x", "y", "z", "_p", "_y", "_m.*")
-    far = distance.squared_distances(rows, rows.withColumn("on", ~F.col("on")), [case, label, "map", "on"], spacing)
+    error = F.pow(F.col(p) - F.col(y).cast("double"), F.lit(2.0))
+    rows = cells.select(
+        F.col(case).alias("_case"), F.col(label).alias("_label"), F.xxhash64(case, label).alias("_group"), *[F.col(c).cast("long").alias(c) for c in "xyz"], error.alias("_error"),
+        *[F.coalesce(m, F.lit(False)).alias(n) for n, m in (("_inside", F.col(p) > 0.5), ("_outside", F.col(p) <= 0.5), ("_true", F.col(y) > 0.5), ("_false", F.col(y) <= 0.5))],
+    )
+    each = W.partitionBy("_case", "_label")
+    size = [F.max(c).over(each) - F.min(c).over(each) + 1 for c in "xyz"]
+    rows = rows.withColumns({f"_n{c}": n for c, n in zip("xyz", size, strict=True)})
+    little = (F.greatest("_nx", "_ny", "_nz") <= distance.EDGE) & (F.col("_nx") * F.col("_ny") * F.col("_nz") <= distance.SMALL)
+    rows = rows.withColumn("_little", F.coalesce(little, F.lit(True))).select("_case", "_label", *_CELL)
+    schema = T.StructType([rows.schema["_case"]]).add("_fg", "double").add("_nfg", "long").add("_bg", "double").add("_nbg", "long").add("_large", "boolean")
+    found = rows.drop("_label").mapInArrow(lambda batches: _sums_of_boxes(batches, alpha, most, spacing), schema)
+    sums = [F.sum(n).alias(n) for n in _SUMS]
+    found = shared.cut(found.groupBy("_case").agg(*sums, F.max("_large").alias("_large")))
+    if found.filter("_large").limit(1).count():
+        found = found.unionByName(_sums_of_planes(rows.filter("NOT _little"), alpha, most, spacing).withColumn("_large", F.lit(True))).groupBy("_case").agg(*sums)
+    mean = lambda n: F.when(F.col(f"_n{n}") > 0, F.col(f"_{n}") / F.col(f"_n{n}"))
+    return found.select(F.col("_case").alias(case), F.coalesce(0.5 * (mean("fg") + mean("bg")), F.lit(0.0)).alias("loss"))
+
+
+def _sums_of_planes(cells: DataFrame, alpha: float, most: float | None, spacing: Sequence[float]) -> DataFrame:
+    """``(_case, *_SUMS)`` of the classes in ``cells``, by the distances of all cells to the other side of either mask."""
+    side = lambda name, fg, on, off: F.struct(F.lit(name).alias("map"), F.when(F.col(on), True).when(F.col(off), False).alias("on"), F.lit(fg).alias("fg"))
+    maps = F.array(side("p", True, "_inside", "_outside"), side("y", False, "_true", "_false"))
+    rows = cells.select("_case", "_label", "x", "y", "z", "_error", F.explode(maps).alias("_m")).select("_case", "_label", "x", "y", "z", "_error", "_m.*").filter("on IS NOT NULL")
+    far = distance.squared_distances(rows, rows.withColumn("on", ~F.col("on")), ["_case", "_label", "map", "on"], spacing)
     d = F.sqrt(F.coalesce("d2", F.lit(0.0)))
     weight = F.pow(d if most is None else F.least(d, F.lit(most)), F.lit(alpha))
-    of = lambda m, on: F.sum(F.when((F.col("map") == m) & (F.col("on") == on), F.col("_w")).otherwise(0.0))
-    each = far.withColumn("_w", weight).groupBy(case, label, "x", "y", "z", "_p", "_y").agg((of("p", True) + of("y", False)).alias("_fg"), (of("p", False) + of("y", True)).alias("_bg"))
-    error = F.pow(F.col("_p") - F.col("_y"), F.lit(2.0))
-    mean = lambda w: F.avg(F.when(F.col(w) != 0, error * F.col(w)))
-    return each.groupBy(case).agg(F.coalesce(0.5 * (mean("_fg") + mean("_bg")), F.lit(0.0)).alias("loss"))
+    of = lambda fg: F.sum(F.when((F.col("fg") == F.col("on")) == fg, F.col("_w")).otherwise(0.0))
+    each = far.withColumn("_w", weight).groupBy("_case", "_label", "x", "y", "z", "_error").agg(of(True).alias("_wfg"), of(False).alias("_wbg"))
+    sums = [f for n in ("fg", "bg") for m in [F.when(F.col(f"_w{n}") != 0, F.col("_error") * F.col(f"_w{n}"))] for f in (F.coalesce(F.sum(m), F.lit(0.0)).alias(f"_{n}"), F.count(m).alias(f"_n{n}"))]
+    return each.groupBy("_case").agg(*sums)
 
 
 def focal(p: Column, gamma: float = 2.0, alpha: float = 0.25) -> Column:
