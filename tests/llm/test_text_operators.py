@@ -1,6 +1,7 @@
 """Suffix tree, quality, fingerprints, packing, secrets and mixing against brute force and on awkward rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -138,6 +139,29 @@ def test_suffix_tree_leaves_no_counts_behind(spark):
     assert [p.rsplit("/", 1)[-1] for p in removed if "length=" in p] == [f"length={n}" for n in (2, 3, 4, 5)] and len(removed) == 8
 
 
+def test_suffix_tree_keeps_little_at_once_of_texts_that_recur(spark, monkeypatch):
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(700)}" for _ in range(60)) for _ in range(120)]
+    rows = [(k, t) for k, t in enumerate(texts * 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id")
+    options = {"train_when": F.col("doc_id") % 5 != 1, "hot_tokens": 0, "hot_runs": 0}
+    want = {r.doc_id: r for r in suffix_tree.scores(table, **options).collect()}
+    monkeypatch.setattr(suffix_tree, "AT_ONCE", 2000, raising=False)
+    real, sizes = common.stored, defaultdict(list)
+
+    def stored(df, name, *by):
+        found = real(df, name, *by)
+        sizes[name.rsplit("/", 1)[-1].split("-")[0]].append(sum(os.path.getsize(f.removeprefix("file://")) for f in found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(common, "stored", stored)
+    got = {r.doc_id: r for r in suffix_tree.scores(table, **options).collect()}
+    assert {i: (r.n_tokens, r.n_known) for i, r in got.items()} == {i: (r.n_tokens, r.n_known) for i, r in want.items()}
+    assert {i: r.score for i, r in got.items()} == pytest.approx({i: r.score for i, r in want.items()}, rel=1e-9)
+    text = sum(len(t) for _, t in rows)
+    assert max(sizes["scored"]) < text and len(sizes["grams3"]) > 1 and len(sizes["grams4"]) > 1
+
+
 def test_suffix_tree_hashes_words_in_arrays(monkeypatch):
     """No call for each word; texts are cut as ``bytes.split`` cuts them, and equal words alone have equal hashes."""
     draw = random.Random(7)

@@ -27,6 +27,9 @@ HOT_TOKENS, HOT_RUNS = 1 << 19, 5 << 20
 BLOCK, SUMMED, SLICE = 1 << 20, 1_000_000, 2 << 20
 #: Texts that are sent to a Python worker at once: JVM and worker each hold one such batch for a task.
 ROWS = 1000
+#: Runs of three tokens and what is looked up in the tables that are sent at once, in shares of the training tokens, and so many of either at least: more of them go in rounds, one part of the
+#: keys, or of the texts, after another. Longer runs have smaller shares, as more is stored by then; lookups have one of their own, as each round sends the tables too.
+SHARE, LOOKUPS, AT_ONCE = 0.9, 0.3, 1 << 22
 #: Most bits of a filter of stored runs, as a power of two, and the parts into which a task's bits are cut.
 FILTER_BITS, _PARTS = 25, 64
 #: Longer words, in bytes, are hashed one by one.
@@ -143,6 +146,7 @@ class Table:
             owner[at[left[free]]] = left[free]  # of several the last one stays
             left = left[owner[at[left]] != left]
             at[left] = (at[left] + 1) & ((1 << self.power) - 1)
+        del at, left
         there = np.flatnonzero(owner >= 0)
         self.cells["mark"][there], self.cells["value"][there] = marks[owner[there]], values[owner[there]]
 
@@ -181,6 +185,10 @@ class Filter:
                 yield place >> np.uint64(64 - power)
                 place = place + step
 
+    def passes(self) -> float:
+        """The share of keys that pass by chance."""
+        return float(np.bitwise_count(self.bits).sum(dtype=np.int64) / (8 * len(self.bits))) ** 4
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), np.uint8)
         for at in self.places(keys, self.power):
@@ -227,6 +235,16 @@ def _slice(before: np.ndarray, key: np.ndarray, slices: int) -> np.ndarray:
     return before % np.uint64(-(-slices // spread)) * np.uint64(spread) + key % np.uint64(spread)
 
 
+def rounds_for(runs: float, tokens: int, share: float) -> int:
+    """Rounds in which so many runs are sent, so that a round's are a fixed share of the tokens."""
+    return max(1, min(-(-int(runs) // AT_ONCE), int(np.ceil(runs / (share * max(tokens, 1))))))
+
+
+def _round_of(key: Column, rounds: int) -> Column:
+    """The round of each key; that of a run is its ``before``'s, so that a context's transitions meet in one round. Other bits than those of slices."""
+    return F.shiftrightunsigned(key, 33) % rounds
+
+
 def _blocks(length: int, before: np.ndarray, after: np.ndarray, slices: int) -> pa.RecordBatch:
     """(length, slice, block) of the counts of runs: a block has the distinct ``before``, how often each stands, then ``after`` and the counts."""
     if length == 1:  # all have one ``after``
@@ -268,11 +286,12 @@ def _merged(rows: pd.DataFrame, least: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"length": np.int32(length), "pre": before[at][kept].view(np.int64), "suf": after[at][kept].view(np.int64), "c": total[kept]})
 
 
-def _counted(train: DataFrame, text_col: str, runs, path: str, slices: int) -> DataFrame:
+def _counted(train: DataFrame, text_col: str, runs, path: str, slices: int, turn: int = 0, rounds: int = 1) -> DataFrame:
     """A stored table ``(length, pre, suf, c)`` of what ``runs`` finds in a stream of tokens: (length, runs without their last, without their first token).
 
-    A token has a ``suf`` of 0. ``slices`` follows the size of the texts, so what a task merges at once has a bound.
+    A token has a ``suf`` of 0. ``slices`` follows the size of the texts, so what a task merges at once has a bound. Only runs of one of the ``rounds`` are sent.
     """
+    slices = -(-slices // rounds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -284,6 +303,9 @@ def _counted(train: DataFrame, text_col: str, runs, path: str, slices: int) -> D
 
         for _, _, h, _ in _streams(batches, 0):
             for length, before, after in runs(h):
+                if rounds > 1:
+                    own = (before >> np.uint64(33)) % np.uint64(rounds) == turn
+                    before, after = before[own], after[own]
                 if not len(before):
                     continue
                 held.setdefault(length, []).append((before, after))
@@ -337,7 +359,7 @@ class Tree:
     """The hot part of the tree: the most counted tokens, states and transitions, with what each adds to a score.
 
     ``own`` is what a transition (a state and the next token) adds to the score of its last token, ``after`` what a state adds to that of the next token.
-    Everything else is in tables; the filters tell which keys may be there.
+    Everything else is in tables; the filters tell which keys may be there. ``asked`` is how often texts like those of training look there, for each of their tokens (no less, by and large).
     """
 
     symbols: Table
@@ -348,45 +370,55 @@ class Tree:
     more_states: Filter
     more_moves: Filter
     depth: int
+    asked: float = 0.0
 
     def root(self, c: np.ndarray | float) -> np.ndarray:
         """log10 probability, at the root, of a token counted ``c`` times."""
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def score(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
+    def score(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[tuple[np.ndarray, np.ndarray]]]]:
         """Of every token but the first: whether it is a hot symbol, its root log10 probability (0 if not), and what the hot runs make of it.
 
-        Then the keys of states and of runs that may be stored but aren't hot, with the token that each counts at. From token to token the
-        states of growing length are followed as far as there are any.
+        Then the keys of runs that may be stored but aren't hot, with a token of the text that asks: by 1 for those asked for as a state, 2 as a transition, 3 as both, which happens where a
+        run ends at a token and goes on to the next. From token to token the states of growing length are followed as far as there are any.
         """
         base = self.symbols.get(h[1:])
         symbol = ~np.isnan(base)
         base[~symbol] = 0
         made = base.copy()
-        cold: tuple[list, list] = ([], [])
+        cold: dict[int, list] = {1: [], 2: [], 3: []}
 
-        def look(keys: np.ndarray, at: np.ndarray, there: Table, more: Filter, kind: int) -> np.ndarray:
-            """Adds the weights of hot keys, notes the others that may be stored, and tells which keys are either."""
+        def look(keys: np.ndarray, at: np.ndarray, there: Table, more: Filter) -> tuple[np.ndarray, np.ndarray]:
+            """Adds the weights of hot keys, and tells which keys are hot or may be stored; and those of the latter alone."""
             found = there.get(keys)
             hot = ~np.isnan(found)
             made[at[hot]] += found[hot]
             others = np.flatnonzero(~hot)
             others = others[more.has(keys[others])]
-            cold[kind].append((keys[others], at[others]))
             hot[others] = True
-            return hot
+            return hot, others
 
-        key, t = h, np.arange(1, len(h))
-        for n in range(1, self.depth + 1):
+        key, t, moved = h, np.arange(1, len(h)), np.zeros(0, np.int64)  # ``moved``: where the transitions asked for end
+        for n in range(1, self.depth + 2):  # runs of n tokens: as states before each t, and as transitions
             if n > 1:
                 t = t[t >= n]
                 t = t[h[t - n + 1] != END]
-            t = t[look(key[t - n], t - 1, self.states, self.more_states, 0)]
+            if n > self.depth:
+                t = t[:0]
+            there, others = look(key[t - n], t - 1, self.states, self.more_states)
+            ends = t[others] - 1
+            if n == 1:
+                cold[1].append((key[ends], ends))
+            else:
+                both = np.intersect1d(ends, moved, assume_unique=True)
+                for kind, own in ((1, np.setdiff1d(ends, both, True)), (2, np.setdiff1d(moved, both, True)), (3, both)):
+                    cold[kind].append((key[own - n + 1], own - 1 if kind > 1 else own))
+            t = t[there]
             if not len(t):
                 break
             key = run_key(key[:-1], key[1:])
-            look(key[t - n], t - 1, self.moves, self.more_moves, 1)
-        return symbol, base, made, *cold
+            moved = t[look(key[t - n], t - 1, self.moves, self.more_moves)[1]]
+        return symbol, base, made, cold
 
 
 def grow(runs: DataFrame, sizes: DataFrame, below: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -425,47 +457,70 @@ def grow(runs: DataFrame, sizes: DataFrame, below: DataFrame, name: str) -> tupl
 def learn(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored tables of the tree of the training texts: ``(token, c)`` of all tokens, and the states and transitions (:func:`grow`).
 
-    Texts are read three times at most: for tokens and pairs, for the runs of three tokens whose pairs are stored, and for all longer ones whose runs of three are. Only
-    runs that a state reaches are counted; no other can be in the tree. Counts that no later step reads are removed.
+    Texts are read three times if few of their runs are counted often: for tokens and pairs, for the runs of three tokens whose pairs are stored, and for all longer ones whose runs of three are. Where
+    more could be sent at once than :data:`SHARE` allows, each length is counted by itself and in rounds, and a round's transitions are made before the next one is counted, so that disk stays in proportion to
+    the texts however often their runs recur. Only runs that a state reaches are counted; no other can be in the tree. Counts that no later step reads are removed.
     """
     spark = train.sparkSession
     path = common.scratch_path(spark, "grams")
     size = train.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     slices = max(1, -(-size // SLICE))
-    grams, paths = _counted(train, text_col, _short, path, slices), {2: path}
+    grams, paths = _counted(train, text_col, _short, path, slices), {2: [path]}
     tokens = grams.filter("length = 1").select(F.col("pre").alias("token"), "c")
     facts = tokens.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     root = F.log10((F.col("c") + 0.5) / F.lit((facts.n or 0) + 0.5 * (facts.v + 1)))
     often = F.col("c") >= C_MIN
     below = tokens.filter(often).select(F.col("token").alias("key"), F.struct("c", root.alias("logp")).alias("v"))
-    of_length = lambda n: tables[n].filter(F.col("length") == n)
     key = F.xxhash64("pre", "suf")
-    tables, found = {1: grams, 2: grams}, ([], [])
+    runs_of, found = {1: grams.filter("length = 1"), 2: grams.filter("length = 2")}, ([], [])
     for n in range(1, depth + 1):  # states of n tokens
-        if n in (2, 3):
-            share, path = spark.sparkContext.broadcast, common.scratch_path(spark, f"grams{n + 1}")
-            lengths = range(3, 4) if n == 2 else range(4, depth + 2)
-            parts, reached = share(_filter(of_length(n).select(key.alias("key")))), share(_filter(states))
-            tables |= dict.fromkeys(lengths, _counted(train, text_col, lambda h, a=(lengths, n, depth), b=parts, c=reached: _long(*a, b.value, c.value)(h), path, slices))
-            paths |= dict.fromkeys(lengths, path)
+        sizes = runs_of[n].filter(often).select((F.col("pre") if n == 1 else key).alias("pre"), F.col("c").alias("size"))
+        made = []
+        if n + 1 in runs_of:
+            made.append(grow(runs_of[n + 1].select("pre", "suf", "c"), sizes, below, str(n)))
+        else:
+            may = runs_of[n].agg(F.sum("c")).first()[0] or 0  # so many places at most have a run of one token more
+            share = 2 * SHARE / n
+            lengths = range(n + 1, depth + 2 if n > 2 and rounds_for((depth + 1 - n) * may, facts.n or 0, share) == 1 else n + 2)
+            rounds = rounds_for(len(lengths) * may, facts.n or 0, share)
+            parts, reached = (spark.sparkContext.broadcast(_filter(t)) for t in (runs_of[n].select(key.alias("key")), states))
+            runs = lambda h, a=(lengths, n, depth), b=parts, c=reached: _long(*a, b.value, c.value)(h)
+            turns = []
+            for turn in range(rounds):
+                path = common.scratch_path(spark, f"grams{n + 1}")
+                turns.append(_counted(train, text_col, runs, path, slices, turn, rounds))
+                for length in lengths:
+                    paths.setdefault(length, []).append(path)
+                own = sizes if rounds == 1 else sizes.filter(_round_of(F.col("pre"), rounds) == turn)
+                made.append(grow(turns[-1].filter(F.col("length") == n + 1).select("pre", "suf", "c"), own, below, str(n)))
+                if n == depth and turn + 1 < rounds:
+                    common.removed(spark, f"{path}/length={n + 1}")
+                    paths[n + 1].pop()
+            runs_of |= {length: reduce(DataFrame.unionByName, [t.filter(F.col("length") == length) for t in turns]) for length in lengths}
             for filters in (parts, reached):  # the counts are written
                 filters.unpersist()
-        sizes = of_length(n).filter(often).select((F.col("pre") if n == 1 else key).alias("pre"), F.col("c").alias("size"))
-        states, moves, below = grow(of_length(n + 1).select("pre", "suf", "c"), sizes, below, str(n))
+        states, moves, below = (reduce(DataFrame.unionByName, of) for of in zip(*made, strict=True))
         found[0].append(states)
         found[1].append(moves)
-        for done in {n, n + 1 if n == depth else n} & paths.keys():  # tokens are kept
-            common.removed(spark, f"{paths[done]}/length={done}")
+        for done in sorted({n, n + 1 if n == depth else n} & paths.keys()):  # tokens are kept
+            for path in paths[done]:
+                common.removed(spark, f"{path}/length={done}")
     return tokens, *(reduce(DataFrame.unionByName, parts) for parts in found)
 
 
-def _most(table: DataFrame, rows: int, *names: str) -> tuple[pd.DataFrame, DataFrame]:
-    """The columns ``names`` of the most counted rows of a table, ``rows`` at most: from the count on that no more reach (to an eighth of a power of two). And the rest as a table."""
+def _most(table: DataFrame, rows: int, *names: str) -> tuple[list[np.ndarray], DataFrame, tuple[float, float]]:
+    """The columns ``names`` of the most counted rows of a table, ``rows`` at most: from the count on that no more reach (to an eighth of a power of two). The rest as a table, and the sums of its counts and of all."""
     step = F.floor(F.log2("c") * 8)
-    found = table.groupBy(step.alias("step")).count().toPandas().sort_values("step", ascending=False)  # a few hundred rows
+    found = table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("count"), F.sum("c").alias("c")).toPandas().sort_values("step", ascending=False)  # a few hundred rows
     fits = found.loc[found["count"].cumsum() <= rows, "step"]
     least = int(fits.min()) if len(fits) else 1 << 30
-    return table.filter(step >= least).select(*names).toArrow().to_pandas(), table.filter(step < least)
+    # a column at a time, so that the driver holds the rows once
+    made, columns = table.filter(step >= least).select(*names).toArrow(), []
+    for name in names:
+        columns.append(made.column(name).to_numpy())
+        made = made.drop_columns([name])
+    pa.default_memory_pool().release_unused()
+    return columns, table.filter(step < least), (float(found.loc[found["step"] < least, "c"].sum()), float(found["c"].sum()))
 
 
 def hot(tokens: DataFrame, states: DataFrame, moves: DataFrame, depth: int = DEPTH, hot_tokens: int = HOT_TOKENS, hot_runs: int = HOT_RUNS) -> tuple[Tree, DataFrame, DataFrame, DataFrame]:
@@ -474,14 +529,19 @@ def hot(tokens: DataFrame, states: DataFrame, moves: DataFrame, depth: int = DEP
 
     root = lambda c: np.log10((c + 0.5) / (int(facts.n or 0) + 0.5 * (int(facts.v) + 1)))
 
-    def most(table: DataFrame, name: str, rows: int, value: str) -> tuple[Table, DataFrame]:
-        found, rest = _most(table.select(name, "c", *({value} - {"c"})), rows, name, value)
-        values = root(found["c"].to_numpy(float)) if value == "c" else found[value].to_numpy(np.float32)
-        return Table(found[name].to_numpy(np.int64).view(np.uint64), values), rest
-
-    symbols, more_tokens = most(tokens, "token", hot_tokens, "c")
-    (heads, more_heads), (tails, more_tails) = most(states, "key", hot_runs // 4, "after"), most(moves, "key", hot_runs, "own")
-    tree = Tree(symbols, heads, tails, int(facts.n or 0), int(facts.v), _filter(more_heads), _filter(more_tails), depth)
+    def most(table: DataFrame, name: str, rows: int, value: str) -> tuple[Table, DataFrame, tuple[float, float]]:
+        (keys, values), rest, times = _most(table.select(name, "c", *({value} - {"c"})), rows, name, value)
+        values = root(values.astype(float)) if value == "c" else values.astype(np.float32, copy=False)
+        return Table(keys.astype(np.int64, copy=False).view(np.uint64), values), rest, times
+
+    symbols, more_tokens, _ = most(tokens, "token", hot_tokens, "c")
+    (heads, more_heads, begun), (tails, more_tails, moved) = most(states, "key", hot_runs // 4, "after"), most(moves, "key", hot_runs, "own")
+    n, filters = int(facts.n or 0), (_filter(more_heads), _filter(more_tails))
+    # what is stored is found as often as it was counted; by chance pass the transitions that states lack, and states beyond the last one of a chain
+    states_by_chance, moves_by_chance = (f.passes() for f in filters)
+    beyond = min(depth, states_by_chance / max(1 - states_by_chance, 1e-9)) * (1 + moves_by_chance)
+    asked = (begun[0] + moved[0] + moves_by_chance * max(begun[1] - moved[1], 0.0)) / max(n, 1) + beyond
+    tree = Tree(symbols, heads, tails, n, int(facts.v), *filters, depth, min(asked, 2 * depth))
     return tree, more_tokens, more_heads, more_tails
 
 
@@ -501,14 +561,14 @@ def scores(
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(train_when, F.lit(False)).alias("_train"))
     tokens, heads, tails = learn(docs.filter("_train"), "_text", depth)
     tree, tokens, heads, tails = hot(tokens, heads, tails, depth, hot_tokens, hot_runs)  # the tables without what is hot
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    spark, shared = docs.sparkSession, docs.sparkSession.sparkContext.broadcast(tree)
     lists = T.ArrayType(T.LongType())
-    schema = T.StructType([docs.schema["_id"], docs.schema["_train"]]).add("n", "long").add("known", "long").add("base", "double").add("made", "double").add("rare", lists).add("states", lists).add("runs", lists)
+    schema = T.StructType([docs.schema["_id"], docs.schema["_train"]]).add("n", "long").add("known", "long").add("base", "double").add("made", "double").add("rare", lists).add("states", lists).add("runs", lists).add("both", lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, h, lengths in _streams(batches, 1):
             tree = shared.value
-            symbol, base, made, states, runs = tree.score(h)
+            symbol, base, made, cold = tree.score(h)
             start = np.cumsum(lengths) - lengths
 
             def by_text(keys: np.ndarray, at: np.ndarray) -> pa.ListArray:
@@ -517,31 +577,44 @@ def scores(
                 return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order].view(np.int64)))
 
             none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            joined = [by_text(*map(np.concatenate, zip(*(found or [none]), strict=True))) for found in (states, runs)]
+            joined = [by_text(*map(np.concatenate, zip(*(cold[kind] or [none]), strict=True))) for kind in (1, 2, 3)]
             rare = np.flatnonzero(~symbol)
             part = batch.slice(first, len(lengths))
             known = np.add.reduceat(symbol.astype(np.int64), start)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(lengths, pa.int64()), pa.array(known), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(made, start)), by_text(h[1:][rare], rare), *joined],
-                names=["_id", "_train", "n", "known", "base", "made", "rare", "states", "runs"],
+                names=["_id", "_train", "n", "known", "base", "made", "rare", "states", "runs", "both"],
             )
 
-    # the rows' numbers are fixed once they are written
-    with _few_rows(docs.sparkSession):
-        rows = common.stored(docs.select("_id", "_text", "_train").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
-    shared.unpersist()
     none = float(tree.root(0))
     root = F.log10((F.col("c") + 0.5) / F.lit(tree.tokens + 0.5 * (tree.distinct + 1)))
-    seen = rows.select("_row", F.explode("rare").alias("token")).join(tokens, "token").select("_row", F.lit(1).alias("seen"), (root - none).alias("root"), F.lit(0.0).alias("more"))
-    asked = lambda lists, table, weight: rows.select("_row", F.explode(lists).alias("key")).join(table.select("key", weight), "key").select("_row", F.lit(0).alias("seen"), F.lit(0.0).alias("root"), F.col(weight).alias("more"))
-    rest = seen.unionByName(asked("states", heads, "after")).unionByName(asked("runs", tails, "own"))
-    rest = rest.groupBy("_row").agg(F.sum("seen").alias("seen"), F.sum("root").alias("root"), F.sum("more").alias("more"))
-    out = rows.withColumn("unseen", F.size("rare") * F.lit(none)).drop("rare", "states", "runs").join(rest, "_row", "left")
-    base = F.col("unseen") + F.coalesce("root", F.lit(0.0))
-    return out.select(
-        F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + base).alias("base_score"), (F.col("made") + base + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
+    more = heads.select("key", F.lit(1).alias("kind"), F.col("after").alias("more")).unionByName(tails.select("key", F.lit(2).alias("kind"), F.col("own").alias("more")))
+
+    def scored(texts: DataFrame) -> DataFrame:
+        """The scores of some of the texts, stored; what they look up is removed."""
+        path = common.scratch_path(spark, "scored")
+        with _few_rows(spark):  # the rows' numbers are fixed once they are written
+            rows = common.stored(texts.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), path)
+        seen = rows.select("_row", F.explode("rare").alias("token")).join(tokens, "token").select("_row", F.lit(1).alias("seen"), (root - none).alias("root"), F.lit(0.0).alias("more"))
+        # a row's number and what its key is asked for as, in one
+        asked = reduce(DataFrame.unionByName, [rows.select((F.col("_row") * 4 + kind).alias("_for"), F.explode(name).alias("key")) for kind, name in ((1, "states"), (2, "runs"), (3, "both"))])
+        found = asked.join(more, "key").filter(F.col("_for").bitwiseAND(F.col("kind")) != 0).select(F.expr("shiftright(_for, 2)").alias("_row"), F.lit(0).alias("seen"), F.lit(0.0).alias("root"), F.col("more").cast("double").alias("more"))
+        rest = seen.unionByName(found).groupBy("_row").agg(F.sum("seen").alias("seen"), F.sum("root").alias("root"), F.sum("more").alias("more"))
+        out = rows.withColumn("unseen", F.size("rare") * F.lit(none)).drop("rare", "states", "runs", "both").join(rest, "_row", "left")
+        base = F.col("unseen") + F.coalesce("root", F.lit(0.0))
+        out = out.select(
+            F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+            F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + base).alias("base_score"), (F.col("made") + base + F.coalesce("more", F.lit(0.0))).alias("score"),
+        )
+        out = common.stored(out, "scores")
+        common.removed(spark, path)
+        return out
+
+    rounds = rounds_for(tree.asked * tree.tokens, tree.tokens, LOOKUPS)
+    texts = docs.select("_id", "_text", "_train")
+    made = [scored(texts if rounds == 1 else texts.filter(_round_of(F.xxhash64("_id", "_text"), rounds) == turn)) for turn in range(rounds)]
+    shared.unpersist()
+    return reduce(DataFrame.unionByName, made)
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
